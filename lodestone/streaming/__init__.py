@@ -1,0 +1 @@
+"""The engine has no streaming operators: its corpus is a batch snapshot."""
