@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +35,33 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application: Python workers import it by name."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent.parent
+    path = os.path.join(tempfile.mkdtemp(), f"{root.name}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+def map_pandas(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    ship(df.sparkSession)
+    return df.mapInPandas(run, schema)
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32(doc_id as text) mod n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
@@ -88,3 +121,19 @@ def ordered_runs(df: DataFrame, key: str, weight: Column, per_part: int = 40) ->
     dealt = df.withColumn("_at", F.explode(F.filter(F.array(*places), lambda x: x.isNotNull())))
     dealt = dealt.withColumn("_bucket", F.col("_at.b")).withColumn("_role", F.col("_at.r")).drop("_at")
     return dealt.repartitionById(parts, F.col("_bucket")).drop("_bucket"), len(ends)
+
+
+def batches_of(rows: Iterable[tuple], names: list[str], types: list[pa.DataType], size: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """Record batches of at most size rows."""
+    held: list[tuple] = []
+    for row in rows:
+        held.append(row)
+        if len(held) == size:
+            yield _batch(held, names, types)
+            held = []
+    if held:
+        yield _batch(held, names, types)
+
+
+def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import _words
+from lodestone.llm._util import map_arrow
 
 WINDOW = 13
 SAMPLE = 8
@@ -191,7 +192,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
 
     chosen = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).cast("string").alias("_text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return chosen.mapInArrow(run, f"{kept}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>, contaminated boolean")
+    return map_arrow(chosen, run, f"{kept}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>, contaminated boolean")
 
 
 def _shard(part: pa.RecordBatch, blocks: list[Phrases], keep: list[str]) -> pa.RecordBatch:

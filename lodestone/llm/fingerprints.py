@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._util import ordered_runs
+from lodestone.llm._util import map_pandas, ordered_runs
 
 #: Two primes under 2**31 and a base for each; products of two residues fit in 63 bits.
 MODULI = (2_147_483_647, 2_147_483_629)
@@ -152,7 +152,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         if held:  # nothing follows: the only range, whose first comes after its last
             yield pd.DataFrame([_row(held, first)], columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
-    return dealt.select("doc_id", "text", "_role").mapInPandas(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return map_pandas(dealt.select("doc_id", "text", "_role"), run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def _row(held: tuple, following: tuple) -> tuple:

@@ -18,10 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._util import crc_mod, materialize
+from lodestone.llm._util import batches_of, crc_mod, map_arrow, map_pandas, materialize
 
 SAMPLE_ROWS = 10_000
 MAX_WORDS = 60_000
@@ -87,22 +88,21 @@ def train(rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     if n > sample_rows:
         labelled = labelled.filter(F.pmod(F.xxhash64("i", F.lit("language")), F.lit(1_000_000)) < int(sample_rows / n * 1_000_000))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # counts of some batches together; what is rare in them is still sent on, so no count is lost
         held: dict[str, Counter] = {}
         for batch in batches:
-            for text, lang in zip(batch["t"], batch["l"], strict=True):
+            for text, lang in zip(batch.column("t").to_pylist(), batch.column("l").to_pylist(), strict=True):
                 held.setdefault(lang, Counter()).update(count_features(text))
-            if sum(map(len, held.values())) > 500_000:
-                yield from frames(held)
-                held = {}
-        yield from frames(held)
+                if sum(map(len, held.values())) > 500_000:
+                    yield from sent(held)
+                    held = {}
+        yield from sent(held)
 
-    def frames(held: dict[str, Counter]) -> Iterator[pd.DataFrame]:
-        for lang, c in held.items():
-            yield pd.DataFrame({"l": lang, "f": list(c), "n": list(c.values())})
+    def sent(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        return batches_of(((lang, f, n) for lang, c in held.items() for f, n in c.items()), ["l", "f", "n"], [pa.string(), pa.string(), pa.int64()])
 
-    counts = labelled.select("t", "l").mapInPandas(count, "l string, f string, n long").groupBy("f", "l").agg(F.sum("n").alias("n"))
+    counts = map_arrow(labelled.select("t", "l"), count, "l string, f string, n long").groupBy("f", "l").agg(F.sum("n").alias("n"))
     gram = F.substring("f", 2, 1) == "\x01"
     size = F.when(gram, F.substring("f", 1, 1).cast("int")).otherwise(0)
     counts = materialize(counts.withColumn("size", size), "language-counts")
@@ -164,7 +164,7 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
             yield batch
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return chosen.mapInPandas(run, f"{fields}, lang_pred string, score double")
+    return map_pandas(chosen, run, f"{fields}, lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:
