@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat_format, decontaminate, fingerprints, language_id, mixing, token_counts, toxicity
+from lodestone.llm import chat_format, decontaminate, fingerprints, language_id, license_scan, mixing, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_tokens": op5_tokens,
     "op6_decontamination": op6_decontamination,
     "op8_chat": op8_chat,
+    "op9_licenses": op9_licenses,
     "op10_toxicity": op10_toxicity,
 }
 
@@ -124,4 +129,5 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        sum(size)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id""",
+    "op9_licenses": license_scan.oracle(),
 }
