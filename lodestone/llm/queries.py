@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat_format, decontaminate, fingerprints, language_id, license_scan, mixing, token_counts, toxicity
+from lodestone.llm import chat_format, decontaminate, fingerprints, html_extract, language_id, license_scan, mixing, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of conversations are events of one delta each; rows that share a turn are messages of their own."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op5_tokens": op5_tokens,
     "op6_decontamination": op6_decontamination,
+    "op7_html": op7_html,
     "op8_chat": op8_chat,
     "op9_licenses": op9_licenses,
     "op10_toxicity": op10_toxicity,
