@@ -1,4 +1,788 @@
-"""Every registered query of the engine, with its SQL."""
+"""Every registered query of the engine, with its SQL, over the driver's tables in the roles below.
 
-QUERIES: dict = {}
-SQL: dict = {}
+orders are changes (customer: author, priority: title, status: outcome), lineitem their touched paths, embeddings their chunk
+vectors (five a change), documents and benchmark the text corpus and its queries, labels the judgments. Searches take every
+query whose id is divisible by 50, against all rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lodestone import constants as C
+from lodestone.functions import text as T
+from lodestone.functions import vectors as V
+from lodestone.operators import bm25, checks, corpus, diffs, evaluation, overlap, ranking, rows, vector_signal
+from lodestone.plans import samples
+from lodestone.sources import store
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+DIM = 64
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Roles -----------------------------------------------------------------------------------------------------------------
+
+CHANGES = """
+changes AS (
+  SELECT o_orderkey AS number,
+         CASE WHEN o_custkey % 97 = 0 THEN 'Dependabot[bot]' ELSE 'user' || o_custkey END AS author,
+         CASE WHEN o_custkey % 89 = 0 THEN 'Bot' ELSE 'User' END AS author_type,
+         CASE WHEN o_orderkey % 61 = 0 THEN 'chore: update contributors.png' ELSE '  Fix  ' || o_orderpriority || '. ' END AS title,
+         o_orderdate AS created_at, CASE WHEN o_orderstatus = 'F' THEN o_orderdate + INTERVAL 1 DAY END AS merged_at
+  FROM orders)"""
+
+
+def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.select(
+        F.col("o_orderkey").alias("number"),
+        F.when(F.col("o_custkey") % 97 == 0, "Dependabot[bot]").otherwise(F.concat(F.lit("user"), F.col("o_custkey").cast("string"))).alias("author"),
+        F.when(F.col("o_custkey") % 89 == 0, "Bot").otherwise("User").alias("author_type"),
+        F.when(F.col("o_orderkey") % 61 == 0, "chore: update contributors.png").otherwise(F.concat(F.lit("  Fix  "), F.col("o_orderpriority"), F.lit(". "))).alias("title"),
+        F.col("o_orderdate").cast("timestamp").alias("created_at"),
+        F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate").cast("timestamp") + F.expr("INTERVAL 1 DAY")).alias("merged_at"))
+
+
+FILES = """
+files AS (
+  SELECT DISTINCT l_orderkey AS pr_id,
+         'src/m' || (l_partkey % 40) || '/f' || l_partkey || CASE l_partkey % 5 WHEN 0 THEN '.md' WHEN 1 THEN '.py' WHEN 2 THEN '.js' WHEN 3 THEN '.ts' ELSE '' END AS path
+  FROM lineitem)"""
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("l_partkey")
+    ext = F.when(p % 5 == 0, ".md").when(p % 5 == 1, ".py").when(p % 5 == 2, ".js").when(p % 5 == 3, ".ts").otherwise("")
+    path = F.concat(F.lit("src/m"), (p % 40).cast("string"), F.lit("/f"), p.cast("string"), ext)
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("pr_id"), path.alias("path")).distinct()
+
+
+def touched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pr_id, repo_id, created_at, in_corpus, files of every change that touches any."""
+    f = files(spark, sf_dir).groupBy("pr_id").agg(F.collect_list("path").alias("files"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pr_id"), F.lit(1).alias("repo_id"), F.col("o_orderdate").cast("timestamp").alias("created_at"), F.lit(True).alias("in_corpus"))
+    return o.join(f, "pr_id")
+
+
+CHUNKS = """
+chunks AS (
+  SELECT vec_id // 5 AS pr_id, vec_id AS chunk, TIMESTAMP '2024-01-01' + (vec_id // 5) * INTERVAL 1 HOUR AS created_at, embedding::DOUBLE[] AS v
+  FROM embeddings WHERE embedding IS NOT NULL)"""
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    pr = F.expr("vec_id div 5")
+    at = F.timestamp_seconds(F.lit(1_704_067_200) + pr * 3600)
+    return e.select(pr.alias("pr_id"), F.col("vec_id").alias("chunk"), F.lit(1).alias("repo_id"), at.alias("created_at"), F.lit(True).alias("in_corpus"), "embedding")
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks(spark, sf_dir).filter("pr_id % 50 = 0").select(F.col("pr_id").alias("query_pr"), F.col("chunk").alias("query_chunk"), "repo_id", "created_at", "embedding")
+
+
+TOKENS = r"""list_transform(flatten(list_transform(regexp_extract_all({0}, '[A-Za-z0-9_]+'),
+  lambda x: CASE WHEN len(regexp_extract_all(regexp_replace(x, '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+')) > 1
+            THEN list_concat([x], regexp_extract_all(regexp_replace(x, '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+')) ELSE [x] END)),
+  lambda t: lower(t))"""
+
+
+def corpus_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pr_id"), "text")
+
+
+def bench_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.timestamp_seconds(F.lit(1_704_067_200) + (F.col("item_id") * 7919 % 1000 + 1) * 36_000)
+    return table(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("query_pr"), at.alias("created_at"), "text")
+
+
+# Vector signal -----------------------------------------------------------------------------------------------------------
+
+SCORED = CHUNKS + """,
+scored AS (
+  SELECT q.pr_id AS query_pr, q.chunk AS query_chunk, c.pr_id, round(max(list_cosine_similarity(q.v, c.v)), 6) AS score
+  FROM chunks q JOIN chunks c ON q.pr_id % 50 = 0 AND c.created_at < q.created_at AND c.pr_id <> q.pr_id
+  GROUP BY q.pr_id, q.chunk, c.pr_id)"""
+TOP50 = SCORED + """,
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_pr, query_chunk ORDER BY score DESC, pr_id) AS rank FROM scored) WHERE rank <= 50)"""
+
+
+@query(f"""WITH {CHUNKS}, last AS (SELECT * FROM chunks ORDER BY chunk DESC LIMIT 1)
+SELECT c.pr_id, round(max(list_cosine_similarity(last.v, c.v)), 6) AS score
+FROM chunks c, last WHERE c.created_at < last.created_at AND c.pr_id <> last.pr_id
+GROUP BY c.pr_id ORDER BY score DESC, c.pr_id LIMIT 10""")
+def vector_topk(spark, sf_dir):
+    """The ten earlier changes most similar to the newest chunk (a top-k report)."""
+    all_ = chunks(spark, sf_dir)
+    last = all_.orderBy(F.desc("chunk")).limit(1).select(F.col("pr_id").alias("query_pr"), F.col("chunk").alias("query_chunk"), "repo_id", "created_at", "embedding")
+    return vector_signal.chunk_scores(last, all_, dim=DIM).orderBy(F.desc("score"), "pr_id").limit(10).select("pr_id", "score")
+
+
+@query(f"WITH {TOP50} SELECT query_pr, pr_id, max(score) AS score, count(*) AS chunk_hits FROM best GROUP BY 1, 2")
+def vector_multi_chunk_max(spark, sf_dir):
+    return vector_signal.signal(asked(spark, sf_dir), chunks(spark, sf_dir), dim=DIM)
+
+
+@query(f"""WITH {TOP50}, r AS (SELECT *, row_number() OVER (PARTITION BY query_pr, pr_id ORDER BY score DESC) AS k FROM best)
+SELECT query_pr, pr_id, round(avg(score) FILTER (WHERE k <= 3) + 1e-9, 6) AS score, count(*) AS chunk_hits FROM r GROUP BY 1, 2""")
+def vector_multi_chunk_mean3(spark, sf_dir):
+    return vector_signal.signal(asked(spark, sf_dir), chunks(spark, sf_dir), dim=DIM, strategy="mean_top_k").withColumn("score", F.round(F.col("score") + 1e-9, 6))
+
+
+@query(f"""WITH {TOP50}, h AS (SELECT query_pr, pr_id, count(*) AS chunk_hits FROM best GROUP BY 1, 2)
+SELECT query_pr, chunk_hits, count(*) AS candidates FROM h GROUP BY 1, 2""")
+def vector_chunk_hits_hist(spark, sf_dir):
+    s = vector_signal.signal(asked(spark, sf_dir), chunks(spark, sf_dir), dim=DIM)
+    return s.groupBy("query_pr", "chunk_hits").agg(F.count("*").alias("candidates"))
+
+
+@query(f"""WITH {CHUNKS}, p AS (
+  SELECT q.pr_id AS query_pr, c.pr_id, q.chunk AS a, c.chunk AS b, round(list_cosine_similarity(q.v, c.v), 6) AS s
+  FROM chunks q JOIN chunks c ON q.pr_id % 50 = 0 AND c.created_at < q.created_at),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_pr, pr_id ORDER BY s DESC, a, b) AS k FROM p)
+SELECT query_pr, pr_id, max(s) AS best, round(avg(s) FILTER (WHERE k <= 3) + 1e-9, 6) AS mean3, any_value(a) FILTER (WHERE k = 1) AS chunk_a, any_value(b) FILTER (WHERE k = 1) AS chunk_b
+FROM r GROUP BY 1, 2""")
+def pair_similarity_argmax(spark, sf_dir):
+    """Of all pairs of chunks of a query and an earlier change: the best, the mean of the best three, and which the best is."""
+    q = F.broadcast(asked(spark, sf_dir).select("query_pr", F.col("query_chunk").alias("a"), F.col("created_at").alias("q_at"), F.col("embedding").alias("qv")))
+    c = chunks(spark, sf_dir).filter("embedding is not null").select("pr_id", F.col("chunk").alias("b"), "created_at", "embedding")
+    p = c.join(q, F.col("created_at") < F.col("q_at")).withColumn("s", F.round(V.cosine(F.col("qv"), F.col("embedding")), 6))
+    top = F.max(F.struct("s", (-F.col("a")).alias("a"), (-F.col("b")).alias("b")))
+    return p.groupBy("query_pr", "pr_id").agg(F.max("s").alias("best"), F.round(V.top_mean(F.collect_list("s"), 3) + 1e-9, 6).alias("mean3"), (-top["a"]).alias("chunk_a"), (-top["b"]).alias("chunk_b"))
+
+
+@query("""SELECT vec_id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 5) AS norm_before,
+  round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y))))), 5) AS sum_after FROM embeddings""")
+def l2_normalise(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    unit = V.l2_normalise(F.col("embedding"))
+    return e.select("vec_id", F.round(V.norm(F.col("embedding")), 5).alias("norm_before"), F.round(F.aggregate(unit, F.lit(0.0), lambda s, x: s + x), 5).alias("sum_after"))
+
+
+@query("""WITH t(name, a, b) AS (VALUES ('identical', [1.0, 2.0, 2.0], [1.0, 2.0, 2.0]), ('doubled', [1.0, 2.0, 2.0], [2.0, 4.0, 4.0]), ('orthogonal', [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]), ('opposite', [1.0, 2.0, 2.0], [-1.0, -2.0, -2.0]))
+SELECT name, round(list_cosine_similarity(a::DOUBLE[], b::DOUBLE[]), 5) AS cosine FROM t""")
+def cosine_identities(spark, sf_dir):
+    t = spark.createDataFrame(samples.VECTORS, "name string, a array<double>, b array<double>")
+    return t.select("name", F.round(V.cosine(F.col("a"), F.col("b")), 5).alias("cosine"))
+
+
+@query(f"""WITH {CHUNKS}, p AS (SELECT a.chunk, round(list_cosine_similarity(a.v, b.v), 6) AS s FROM chunks a JOIN chunks b ON b.chunk = a.chunk + 1)
+SELECT CASE WHEN s > 0.15 THEN 'strong' WHEN s >= 0.05 THEN 'weak' ELSE 'none' END AS band, count(*) AS pairs, min(s) AS lowest, max(s) AS highest FROM p GROUP BY 1""")
+def similarity_bands(spark, sf_dir):
+    a = chunks(spark, sf_dir).filter("embedding is not null").select("chunk", F.col("embedding").alias("x"))
+    b = a.select((F.col("chunk") - 1).alias("chunk"), F.col("x").alias("y"))
+    s = a.join(b, "chunk").select(F.round(V.cosine(F.col("x"), F.col("y")), 6).alias("s"))
+    return s.groupBy(V.band(F.col("s")).alias("band")).agg(F.count("*").alias("pairs"), F.min("s").alias("lowest"), F.max("s").alias("highest"))
+
+
+@query("SELECT count(*) AS vectors, count(*) FILTER (WHERE len(embedding) <> 64) AS wrong, count(*) FILTER (WHERE embedding IS NULL) AS missing FROM embeddings")
+def dimension_check(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return e.agg(F.count("*").alias("vectors"), F.count_if(F.size("embedding") != DIM).alias("wrong"), F.count_if(F.col("embedding").isNull()).alias("missing"))
+
+
+# File signal -------------------------------------------------------------------------------------------------------------
+
+OVERLAP = FILES + """,
+n AS (SELECT pr_id, count(*) AS n FROM files GROUP BY 1),
+pairs AS (
+  SELECT q.pr_id AS query_pr, c.pr_id, count(*) AS shared
+  FROM files q JOIN files c ON q.path = c.path AND q.pr_id % 50 = 0 AND c.pr_id <> q.pr_id
+  JOIN orders qo ON qo.o_orderkey = q.pr_id JOIN orders co ON co.o_orderkey = c.pr_id AND co.o_orderdate < qo.o_orderdate
+  GROUP BY 1, 2),
+ranked AS (
+  SELECT query_pr, p.pr_id, shared, round(shared / (a.n + b.n - shared)::DOUBLE, 6) AS score,
+         row_number() OVER (PARTITION BY query_pr ORDER BY round(shared / (a.n + b.n - shared)::DOUBLE, 6) DESC, p.pr_id) AS rank
+  FROM pairs p JOIN n a ON a.pr_id = query_pr JOIN n b ON b.pr_id = p.pr_id)"""
+
+
+def overlap_queries(spark, sf_dir):
+    return touched(spark, sf_dir).filter("pr_id % 50 = 0").select(F.col("pr_id").alias("query_pr"), "repo_id", "created_at", "files")
+
+
+@query(f"WITH {OVERLAP} SELECT query_pr, pr_id, shared, score, rank::INTEGER AS rank FROM ranked WHERE rank <= 100")
+def file_overlap_batch(spark, sf_dir):
+    return overlap.overlap_join(overlap_queries(spark, sf_dir), touched(spark, sf_dir))
+
+
+@query(f"""WITH {FILES}, f AS (SELECT pr_id, list(path) AS fs FROM files GROUP BY 1),
+last AS (SELECT o_orderkey, o_orderdate, fs FROM orders JOIN f ON pr_id = o_orderkey ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1)
+SELECT f.pr_id, round(len(list_intersect(f.fs, last.fs)) / (len(f.fs) + len(last.fs) - len(list_intersect(f.fs, last.fs)))::DOUBLE, 6) AS score
+FROM f JOIN orders o ON o.o_orderkey = f.pr_id, last WHERE o.o_orderdate < last.o_orderdate AND list_has_any(f.fs, last.fs)""")
+def file_overlap_one(spark, sf_dir):
+    """The newest change against all earlier ones, by array overlap."""
+    t = touched(spark, sf_dir)
+    last = t.orderBy(F.desc("created_at"), F.desc("pr_id")).limit(1).select(F.col("created_at").alias("q_at"), F.col("files").alias("q_files"))
+    j = t.join(F.broadcast(last), F.col("created_at") < F.col("q_at")).filter(F.arrays_overlap("files", "q_files"))
+    return j.select("pr_id", F.round(V.jaccard(F.col("files"), F.col("q_files")), 6).alias("score"))
+
+
+@query(f"""WITH {OVERLAP}, f AS (SELECT query_pr, count(*) AS candidates FROM pairs GROUP BY 1)
+SELECT count(*) AS queries, min(candidates) AS least, max(candidates) AS most, median(candidates) AS mid, count(*) FILTER (WHERE candidates > 100) AS capped FROM f""")
+def overlap_fanout(spark, sf_dir):
+    f = overlap.overlap_join(overlap_queries(spark, sf_dir), touched(spark, sf_dir), cap=None).groupBy("query_pr").agg(F.count("*").alias("candidates"))
+    return f.agg(F.count("*").alias("queries"), F.min("candidates").alias("least"), F.max("candidates").alias("most"), F.median("candidates").alias("mid"), F.count_if(F.col("candidates") > C.OVERLAP_CAP).alias("capped"))
+
+
+# Text and BM25 -----------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, {TOKENS.format('text')} AS tokens FROM documents")
+def tokenize(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.tokenize(F.col("text")).alias("tokens"))
+
+
+@query(f"""WITH t(s) AS (VALUES {", ".join(f"('{s}')" for s in samples.IDENTIFIERS)}) SELECT s, {TOKENS.format('s')} AS tokens FROM t""")
+def tokenize_identifiers(spark, sf_dir):
+    t = spark.createDataFrame([(s,) for s in samples.IDENTIFIERS], "s string")
+    return t.select("s", T.tokenize(F.col("s")).alias("tokens"))
+
+
+@query(f"""SELECT page_id, {TOKENS.format("concat(url, chr(10), '', chr(10), regexp_extract(url, '([^/]*)$', 1))")} AS tokens FROM pages""")
+def build_document(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", T.tokenize(T.document_text(F.col("url"), F.lit(None).cast("string"), F.array("url"))).alias("tokens"))
+
+
+BM25 = f"""
+docs AS (SELECT doc_id AS pr_id, {TOKENS.format('text')} AS ts FROM documents),
+tf AS (SELECT pr_id, term, count(*) AS tf FROM (SELECT pr_id, unnest(ts) AS term FROM docs) GROUP BY 1, 2),
+st AS (SELECT count(*) AS n_docs, avg(len(ts)) AS avgdl FROM docs),
+raw AS (SELECT term, count(*) AS df, ln(any_value(n_docs) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf, st GROUP BY 1),
+voc AS (SELECT count(*) AS vocabulary, avg(raw) AS average_idf FROM raw),
+idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * average_idf ELSE raw END AS idf FROM raw, voc)"""
+BM25_SCORED = BM25 + f""",
+qs AS (SELECT -1 - item_id AS query_pr, TIMESTAMP '2024-01-01' + (item_id * 7919 % 1000 + 1) * INTERVAL 10 HOUR AS created_at, {TOKENS.format('text')} AS ts FROM benchmark),
+qt AS (SELECT query_pr, term, count(*) AS qtf FROM (SELECT query_pr, unnest(ts) AS term FROM qs) GROUP BY 1, 2),
+sc AS (
+  SELECT query_pr, tf.pr_id, round(sum(qtf * idf * (tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * len(ts) / avgdl)))), 6) AS score
+  FROM qt JOIN idf USING (term) JOIN tf USING (term) JOIN docs USING (pr_id), st GROUP BY 1, 2),
+el AS (
+  SELECT sc.*, row_number() OVER (PARTITION BY query_pr ORDER BY score DESC, pr_id) AS rank
+  FROM sc JOIN qs USING (query_pr) WHERE score > 0 AND TIMESTAMP '2024-01-01' + pr_id * INTERVAL 1 HOUR < created_at)"""
+
+
+@query(f"WITH {BM25} SELECT n_docs, round(avgdl, 6) AS avgdl, vocabulary, round(average_idf, 6) AS average_idf, (SELECT count(*) FROM raw WHERE raw < 0) AS floored FROM st, voc")
+def bm25_stats(spark, sf_dir):
+    i = bm25.build(corpus_docs(spark, sf_dir))
+    floored = i.idf.crossJoin(F.broadcast(i.stats)).agg(F.count_if(F.ln(F.col("n_docs") - F.col("df") + 0.5) < F.ln(F.col("df") + 0.5)).alias("floored"))
+    return i.stats.crossJoin(floored).select("n_docs", F.round("avgdl", 6).alias("avgdl"), "vocabulary", F.round("average_idf", 6).alias("average_idf"), "floored")
+
+
+@query(f"WITH {BM25} SELECT pr_id, term, tf, len(ts) AS dl, df, round(idf, 6) AS idf FROM tf JOIN docs USING (pr_id) JOIN idf USING (term)")
+def bm25_postings(spark, sf_dir):
+    i = bm25.build(corpus_docs(spark, sf_dir))
+    return i.postings.join(i.idf, "term").select("pr_id", "term", "tf", "dl", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"WITH {BM25_SCORED} SELECT query_pr, pr_id, score FROM el WHERE rank <= 50")
+def bm25_topk(spark, sf_dir):
+    docs = corpus_docs(spark, sf_dir)
+    at = docs.select("pr_id", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("pr_id") * 3600).alias("created_at"))
+    return bm25.signal(bm25.build(docs), bench_queries(spark, sf_dir), at).select("query_pr", "pr_id", "score")
+
+
+# Corpus ------------------------------------------------------------------------------------------------------------------
+
+ROW_RULES = CHANGES + r""",
+ruled AS (
+  SELECT *, CASE WHEN author_type = 'Bot' OR regexp_replace(lower(author), '\[bot\]$', '') IN ('p5js-bot', 'github-actions', 'allcontributors', 'dependabot') THEN 'bot_author'
+                 WHEN regexp_matches(title, 'chore:\s*update contributors\.png|chore:\s*update README table from stewards\.yml|(update|Update) stewards\.yml') THEN 'housekeeping' END AS reason
+  FROM changes)"""
+NORMAL = r"trim(regexp_replace(regexp_replace(lower(trim({0}, ' ' || chr(9) || chr(10) || chr(13))), '\s+', ' ', 'g'), '[.!?]+$', ''))"
+GROUPED = (
+    ROW_RULES
+    + f""",
+k AS (SELECT *, {NORMAL.format('title')} AS nt FROM ruled WHERE reason IS NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY author, nt ORDER BY created_at, number) AS i FROM k),
+g AS (
+  SELECT author, nt, i, number, created_at, created_at AS at, number AS anchor, merged_at FROM o WHERE i = 1
+  UNION ALL
+  SELECT o.author, o.nt, o.i, o.number, o.created_at, CASE WHEN o.created_at > g.at + INTERVAL 7 DAY THEN o.created_at ELSE g.at END,
+         CASE WHEN o.created_at > g.at + INTERVAL 7 DAY THEN o.number ELSE g.anchor END, o.merged_at
+  FROM g JOIN o ON o.author = g.author AND o.nt = g.nt AND o.i = g.i + 1),
+s AS (SELECT anchor, count(*) AS group_size, count(merged_at) AS n_merged, coalesce(max(number) FILTER (WHERE merged_at IS NOT NULL), max(number)) AS keeper FROM g GROUP BY 1),
+d AS (SELECT g.*, group_size, n_merged, keeper, group_size > 1 AND n_merged < 2 AND number <> keeper AS duplicate FROM g JOIN s USING (anchor)),
+v AS (SELECT number, reason FROM ruled WHERE reason IS NOT NULL UNION ALL SELECT number, CASE WHEN duplicate THEN 'duplicate_resubmission' END FROM d)"""
+)
+
+
+def survivors(spark, sf_dir):
+    return corpus.classify(changes(spark, sf_dir)).filter("reason is null").drop("reason")
+
+
+@query(f"WITH {ROW_RULES} SELECT number, reason FROM ruled")
+def classify_rows(spark, sf_dir):
+    return corpus.classify(changes(spark, sf_dir)).select("number", "reason")
+
+
+@query(r"""WITH t(title) AS (VALUES ('Chore: Update contributors.png'), ('UPDATE stewards.yml'), ('update stewards.yml'), ('chore: update contributors.png'), ('docs'))
+SELECT title FROM t WHERE regexp_matches(title, '(?i)chore:\s*update contributors\.png|chore:\s*update README table from stewards\.yml|(update|Update) stewards\.yml')
+  AND NOT regexp_matches(title, 'chore:\s*update contributors\.png|chore:\s*update README table from stewards\.yml|(update|Update) stewards\.yml')""")
+def near_misses(spark, sf_dir):
+    t = spark.createDataFrame([("Chore: Update contributors.png",), ("UPDATE stewards.yml",), ("update stewards.yml",), ("chore: update contributors.png",), ("docs",)], "title string")
+    return corpus.near_misses(t)
+
+
+@query(f"WITH t(s) AS (VALUES {', '.join('(' + chr(39) + s.replace(chr(39), chr(39) * 2) + chr(39) + ')' for s in samples.TITLES)}) SELECT s, {NORMAL.format('s')} AS normal FROM t")
+def normalize_title(spark, sf_dir):
+    t = spark.createDataFrame([(s,) for s in samples.TITLES], "s string")
+    return t.select("s", T.normalize_title(F.col("s")).alias("normal"))
+
+
+@query(f"WITH RECURSIVE {GROUPED} SELECT number, anchor, group_size FROM d WHERE group_size > 1")
+def duplicate_groups(spark, sf_dir):
+    return corpus.group_duplicates(survivors(spark, sf_dir)).filter("group_size > 1").select("number", "anchor", "group_size")
+
+
+@query(f"WITH RECURSIVE {GROUPED} SELECT anchor, any_value(n_merged) AS n_merged, any_value(group_size) AS group_size FROM d WHERE group_size > 1 AND n_merged >= 2 GROUP BY 1")
+def multi_merged_guard(spark, sf_dir):
+    r = corpus.resolve(corpus.group_duplicates(survivors(spark, sf_dir))).filter("group_size > 1 and n_merged >= 2")
+    return r.select("anchor", "n_merged", "group_size").distinct()
+
+
+@query(f"WITH RECURSIVE {GROUPED} SELECT DISTINCT anchor, keeper FROM d WHERE group_size > 1 AND n_merged < 2")
+def keepers(spark, sf_dir):
+    return corpus.resolve(corpus.group_duplicates(survivors(spark, sf_dir))).filter("group_size > 1 and n_merged < 2").select("anchor", "keeper").distinct()
+
+
+@query(f"WITH RECURSIVE {GROUPED} SELECT number, reason IS NULL AS in_corpus, reason AS exclusion_reason FROM v")
+def corpus_verdicts(spark, sf_dir):
+    return corpus.verdicts(changes(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {GROUPED} SELECT coalesce(reason, 'in corpus') AS reason, count(*) AS changes FROM v GROUP BY 1")
+def exclusion_audit(spark, sf_dir):
+    v = corpus.verdicts(changes(spark, sf_dir))
+    return v.groupBy(F.coalesce("exclusion_reason", F.lit("in corpus")).alias("reason")).agg(F.count("*").alias("changes"))
+
+
+@query("""SELECT o_orderstatus AS state, CASE o_orderstatus WHEN 'F' THEN 'merged' WHEN 'O' THEN 'closed_unmerged' ELSE 'open' END AS outcome, count(*) AS changes FROM orders GROUP BY 1, 2""")
+def outcomes(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("merged", F.when(F.col("o_orderstatus") == "F", "x")).withColumn("state", F.when(F.col("o_orderstatus") == "O", "closed").otherwise("open"))
+    return o.groupBy(F.col("o_orderstatus").alias("state"), rows.outcome(F.col("merged"), F.col("state")).alias("outcome")).agg(F.count("*").alias("changes"))
+
+
+# Diffs and rows ----------------------------------------------------------------------------------------------------------
+
+
+def values(items: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join("NULL" if x is None else str(x) if isinstance(x, int) else "'" + str(x).replace("'", "''") + "'" for x in r) + ")" for r in items)
+
+
+LINES = r"regexp_split_to_array({0}, '\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]')"
+HUNKS = rf"""
+t(number, diff) AS (VALUES {values(samples.DIFFS)}),
+b AS (SELECT number, unnest(regexp_split_to_array(diff, '(?m)^diff --git ')[2:]) AS block, generate_subscripts(regexp_split_to_array(diff, '(?m)^diff --git ')[2:], 1) AS block_no FROM t),
+c AS (SELECT *, regexp_split_to_array(block, '(?m)^@@ -[0-9]+(?:,[0-9]+)? \+[0-9]+(?:,[0-9]+)? @@') AS pieces FROM b),
+f AS (SELECT *, trim(regexp_extract(pieces[1], '(?m)^\+\+\+ (?:b/)?([^\n]+)$', 1), ' ' || chr(9) || chr(13)) AS file_path FROM c WHERE len(pieces) > 1),
+e AS (SELECT * FROM f WHERE file_path NOT IN ('', '/dev/null') AND NOT regexp_matches(file_path, '^translations/[^/]+/translation\.json$|^test/unit/visual/screenshots/')
+        AND regexp_extract(file_path, '([^/]*)$', 1) NOT IN ('package-lock.json', '.all-contributorsrc')
+        AND regexp_extract(regexp_extract(file_path, '([^/]*)$', 1), '(\.[^.]*)$', 1) NOT IN ('.md', '.txt', '.rst', '.po', '.lock', '.svg', '.map', '.obj', '.mtl', '.stl')),
+p AS (SELECT number, block_no, file_path, unnest(pieces[2:]) AS piece, generate_subscripts(pieces[2:], 1) - 1 AS hunk_index FROM e),
+q AS (SELECT *, split_part(piece, chr(10), 1) AS context, substr(piece, length(split_part(piece, chr(10), 1)) + 1) AS body FROM p),
+hunks AS (
+  SELECT number, file_path, hunk_index::INTEGER AS hunk_index,
+         CASE WHEN trim(context, ' ' || chr(9) || chr(13)) = '' THEN trim(body, chr(10)) ELSE trim(context, ' ' || chr(9) || chr(13)) || chr(10) || trim(body, chr(10)) END AS content,
+         len(list_filter({LINES.format('body')}, lambda l: l LIKE '+%'))::INTEGER AS additions, len(list_filter({LINES.format('body')}, lambda l: l LIKE '-%'))::INTEGER AS deletions
+  FROM q)"""
+
+
+def sample_diffs(spark):
+    return spark.createDataFrame(samples.DIFFS, "number long, diff string")
+
+
+@query(f"WITH {HUNKS} SELECT * FROM hunks")
+def parse_hunks(spark, sf_dir):
+    return diffs.parse_hunks(sample_diffs(spark)).drop("block_no")
+
+
+@query(f"WITH {HUNKS} SELECT number, list_sort(list(DISTINCT file_path)) AS files_changed FROM hunks GROUP BY 1")
+def files_changed(spark, sf_dir):
+    return diffs.files_changed(diffs.parse_hunks(sample_diffs(spark)))
+
+
+@query(f"WITH {HUNKS} SELECT number, sum(additions)::BIGINT AS additions, sum(deletions)::BIGINT AS deletions FROM hunks GROUP BY 1")
+def diff_totals(spark, sf_dir):
+    return diffs.diff_totals(diffs.parse_hunks(sample_diffs(spark)))
+
+
+@query(None)
+def classify_diffs(spark, sf_dir):
+    return sample_diffs(spark).select("number", diffs.classify(F.col("diff")).alias("kind"))
+
+
+@query(rf"""WITH t(path) AS (VALUES {values([(p,) for p in samples.PATHS])})
+SELECT path, regexp_extract(path, '([^/]*)$', 1) AS base, regexp_extract(regexp_extract(path, '([^/]*)$', 1), '(\.[^.]*)$', 1) AS ext,
+  regexp_extract(path, '([^/]*)$', 1) IN ('package-lock.json', '.all-contributorsrc') OR regexp_matches(path, '^translations/[^/]+/translation\.json$|^test/unit/visual/screenshots/')
+  OR regexp_extract(regexp_extract(path, '([^/]*)$', 1), '(\.[^.]*)$', 1) IN ('.md', '.txt', '.rst', '.po', '.lock', '.svg', '.map', '.obj', '.mtl', '.stl') AS excluded,
+  regexp_matches(path, '\.(js|mjs|ts)$') AND path NOT LIKE 'translations/%' AND path NOT LIKE 'test/%' AS source FROM t""")
+def excluded_paths(spark, sf_dir):
+    t = spark.createDataFrame([(p,) for p in samples.PATHS], "path string")
+    p = F.col("path")
+    return t.select("path", T.basename(p).alias("base"), T.extension(p).alias("ext"), T.is_excluded(p).alias("excluded"), T.is_source(p).alias("source"))
+
+
+@query(rf"""WITH {HUNKS}, i(raw) AS (VALUES {values([(r,) for r in samples.ITEMS])}),
+x AS (SELECT (raw::JSON->>'$.number')::BIGINT AS number, raw::JSON AS j FROM i),
+w(number, step_reason) AS (VALUES {values(samples.VERDICTS)}),
+u(number) AS (VALUES {values([(n,) for n in samples.UNAVAILABLE])}),
+hs AS (SELECT number, list_sort(list(DISTINCT file_path)) AS fs, sum(additions)::BIGINT AS a, sum(deletions)::BIGINT AS d, count(*) AS n FROM hunks GROUP BY 1),
+r AS (
+  SELECT x.number, j, CASE WHEN step_reason IS NOT NULL THEN step_reason WHEN u.number IS NOT NULL THEN 'diff_unavailable' WHEN coalesce(n, 0) = 0 THEN 'no_source_content' END AS reason,
+         step_reason IS NULL AND u.number IS NULL AS used, fs, a, d
+  FROM x JOIN w USING (number) LEFT JOIN u USING (number) LEFT JOIN hs USING (number))
+SELECT number, coalesce(nullif(j->>'$.user.login', ''), 'ghost') AS author, coalesce(nullif(j->>'$.user.type', ''), 'User') AS author_type,
+       CASE WHEN j->>'$.merged_at' IS NOT NULL THEN 'merged' WHEN j->>'$.state' = 'closed' THEN 'closed_unmerged' ELSE 'open' END AS outcome,
+       coalesce(j->>'$.labels[*].name', []) AS labels, CASE WHEN used THEN coalesce(fs, []) ELSE [] END AS files_changed,
+       CASE WHEN used THEN coalesce(a, 0) ELSE 0 END AS additions, CASE WHEN used THEN coalesce(d, 0) ELSE 0 END AS deletions,
+       (j->>'$.created_at')::TIMESTAMP AS created_at, reason AS exclusion_reason, reason IS NULL AS in_corpus FROM r""")
+def build_rows(spark, sf_dir):
+    items = rows.parse_items(spark.createDataFrame([(r,) for r in samples.ITEMS], "raw string"))
+    verdicts = spark.createDataFrame(samples.VERDICTS, "number long, exclusion_reason string")
+    out = rows.build(items, verdicts, sample_diffs(spark), spark.createDataFrame([(n,) for n in samples.UNAVAILABLE], "number long"))
+    return out.select("number", "author", "author_type", "outcome", "labels", "files_changed", "additions", "deletions", "created_at", "exclusion_reason", "in_corpus")
+
+
+# Histograms, sampling, resume, writes --------------------------------------------------------------------------------------
+
+
+@query("SELECT source, round(100.0 * count(*) FILTER (WHERE n_chars > 2048) / count(*), 6) AS truncated_percent FROM documents GROUP BY 1")
+def truncation_rate(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.groupBy("source").agg(F.round(100.0 * F.count_if(F.col("n_chars") > 2048) / F.count("*"), 6).alias("truncated_percent"))
+
+
+@query("""SELECT event_type AS label, count(*) AS n, count(DISTINCT user_id) AS numbers, strftime(min(ts), '%Y-%m') AS first_month, strftime(max(ts), '%Y-%m') AS last_month,
+  round(avg(value), 6) AS mean, round(median(value), 6) AS mid, round(max(value), 6) AS most, sum((props::JSON->>'$.k')::BIGINT)::BIGINT AS k_total FROM events GROUP BY 1""")
+def label_histogram(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.groupBy(F.col("event_type").alias("label")).agg(
+        F.count("*").alias("n"), F.countDistinct("user_id").alias("numbers"), F.date_format(F.min("ts"), "yyyy-MM").alias("first_month"), F.date_format(F.max("ts"), "yyyy-MM").alias("last_month"),
+        F.round(F.avg("value"), 6).alias("mean"), F.round(F.median("value"), 6).alias("mid"), F.round(F.max("value"), 6).alias("most"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k_total"))
+
+
+@query(f"WITH {FILES} SELECT split_part(path, '.', -1) AS ext, count(*) AS n FROM files GROUP BY 1")
+def extension_histogram(spark, sf_dir):
+    return files(spark, sf_dir).groupBy(F.split_part("path", F.lit("."), F.lit(-1)).alias("ext")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH m AS (SELECT l_orderkey, list_sort(list(l_quantity)) AS q FROM lineitem GROUP BY 1) SELECT l_orderkey, q[len(q) // 2 + 1] AS upper_median FROM m""")
+def upper_median(spark, sf_dir):
+    q = F.sort_array(F.collect_list("l_quantity"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(q.alias("q")).select("l_orderkey", F.col("q")[F.expr("size(q) div 2")].alias("upper_median"))
+
+
+@query("SELECT l_returnflag, count(*) AS naive, count(DISTINCT l_orderkey) AS numbers FROM lineitem GROUP BY 1")
+def union_vs_naive(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("naive"), F.countDistinct("l_orderkey").alias("numbers"))
+
+
+@query("SELECT o_orderkey AS number, o_custkey AS author FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def pending_chunks(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pr_id"), F.col("o_orderkey").alias("number"), F.col("o_custkey").alias("author"), F.lit(True).alias("in_corpus"))
+    return store.pending(o, table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("pr_id"))).select("number", "author")
+
+
+@query("SELECT o_orderkey AS number FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def has_chunks(spark, sf_dir):
+    o, l = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    return o.join(l, o.o_orderkey == l.l_orderkey, "left_semi").select(F.col("o_orderkey").alias("number"))
+
+
+UPSERTED = """
+tgt AS (SELECT 1 AS repo_id, o_orderkey AS number, 'old' || o_custkey AS author, o_orderstatus AS outcome, o_orderpriority AS body FROM orders WHERE o_orderkey % 3 <> 0),
+src AS (SELECT 1 AS repo_id, o_orderkey AS number, 'new' || o_custkey AS author, lower(o_orderstatus) AS outcome, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderpriority || '!' END AS body FROM orders WHERE o_orderkey % 3 <> 1)"""
+
+
+def halves(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    tgt = o.filter(k % 3 != 0).select(F.lit(1).alias("repo_id"), k.alias("number"), F.concat(F.lit("old"), c).alias("author"), F.col("o_orderstatus").alias("outcome"), F.col("o_orderpriority").alias("body"))
+    src = o.filter(k % 3 != 1).select(F.lit(1).alias("repo_id"), k.alias("number"), F.concat(F.lit("new"), c).alias("author"), F.lower("o_orderstatus").alias("outcome"), F.when(k % 5 != 0, F.concat(F.col("o_orderpriority"), F.lit("!"))).alias("body"))
+    return tgt, src
+
+
+@query(f"""WITH {UPSERTED} SELECT coalesce(t.repo_id, s.repo_id) AS repo_id, coalesce(t.number, s.number) AS number, CASE WHEN t.number IS NULL THEN s.author ELSE t.author END AS author,
+  CASE WHEN s.number IS NULL THEN t.outcome ELSE s.outcome END AS outcome, CASE WHEN s.number IS NULL THEN t.body ELSE s.body END AS body FROM tgt t FULL JOIN src s ON t.number = s.number""")
+def upsert_merge(spark, sf_dir):
+    """Two halves of the changes that overlap in a third (the halves are the operator's two inputs)."""
+    tgt, src = halves(spark, sf_dir)
+    return store.upsert(tgt, src, store.CHANGE_KEY, ["author"])
+
+
+@query(f"WITH {UPSERTED} SELECT * FROM src WHERE number NOT IN (SELECT number FROM tgt)")
+def insert_ignore(spark, sf_dir):
+    tgt, src = halves(spark, sf_dir)
+    return store.insert_ignore(tgt, src.unionByName(src), ["repo_id", "number"])
+
+
+@query(None)
+def sample_n(spark, sf_dir):
+    """Fifty changes, the same ones each time (a sampling operator)."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("number"))
+    return o.orderBy(F.xxhash64("number", F.lit(20)), "number").limit(50)
+
+
+@query("SELECT o_orderkey AS number FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) ORDER BY o_orderdate DESC, o_orderkey LIMIT 10 OFFSET 100")
+def page_offset(spark, sf_dir):
+    o, l = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    return o.join(l, o.o_orderkey == l.l_orderkey, "left_semi").orderBy(F.desc("o_orderdate"), "o_orderkey").offset(100).limit(10).select(F.col("o_orderkey").alias("number"))
+
+
+# Checks ------------------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH RECURSIVE {GROUPED} SELECT (SELECT count(*) > 0 FROM orders) AS not_empty, (SELECT count(*) = count(DISTINCT o_orderkey) FROM orders) AS unique_numbers,
+  (SELECT min(o_orderkey) = 0 FROM orders) AS first_ok, (SELECT count(*) BETWEEN 1000 AND 1000000 FROM orders) AS in_band, count(*) = (SELECT count(*) FROM orders) AS complete,
+  count(DISTINCT number) = count(*) AS unique_verdicts, true AS consistent, count(*) FILTER (WHERE reason NOT IN ('bot_author', 'housekeeping', 'duplicate_resubmission')) = 0 AS known FROM v""")
+def soundness_checks(spark, sf_dir):
+    c = changes(spark, sf_dir)
+    a = checks.list_sound(c, 0, 1_000, 1_000_000).withColumnRenamed("unique", "unique_numbers")
+    b = checks.verdicts_sound(corpus.verdicts(c), c.count()).withColumnRenamed("unique", "unique_verdicts")
+    return a.crossJoin(b)
+
+
+@query("""SELECT o_orderkey AS number, before FROM (SELECT o_orderkey, lag(o_orderkey) OVER (ORDER BY o_orderdate, o_orderkey) AS before FROM orders) WHERE before >= o_orderkey""")
+def ascending_breaks(spark, sf_dir):
+    return corpus.ascending_breaks(changes(spark, sf_dir), ["created_at", "number"]).select("number", "before")
+
+
+@query(f"""WITH {OVERLAP} SELECT count(*) FILTER (WHERE c.o_orderdate >= q.o_orderdate) AS leaks, count(*) AS checked
+FROM pairs JOIN orders q ON q.o_orderkey = query_pr JOIN orders c ON c.o_orderkey = pr_id""")
+def temporal_leaks(spark, sf_dir):
+    at = touched(spark, sf_dir).select("pr_id", "created_at")
+    r = overlap.overlap_join(overlap_queries(spark, sf_dir), touched(spark, sf_dir), cap=None)
+    r = r.join(at.withColumnRenamed("created_at", "candidate_at"), "pr_id").join(at.select(F.col("pr_id").alias("query_pr"), F.col("created_at").alias("query_at")), "query_pr")
+    return checks.temporal_leaks(r)
+
+
+@query("""SELECT 'unique l_orderkey,l_partkey' AS rule, coalesce(sum(n - 1), 0)::BIGINT AS broken FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_partkey HAVING count(*) > 1)
+UNION ALL SELECT 'not null l_shipdate', count(*) FILTER (WHERE l_shipdate IS NULL) FROM lineitem UNION ALL SELECT 'check l_linestatus', count(*) FILTER (WHERE l_linestatus NOT IN ('O')) FROM lineitem
+UNION ALL SELECT 'references l_orderkey', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)""")
+def constraint_violations(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem")
+    return checks.violations(l, unique=[["l_orderkey", "l_partkey"]], not_null=["l_shipdate"], allowed={"l_linestatus": ["O"]}, parents={"l_orderkey": (table(spark, sf_dir, "orders"), "o_orderkey")})
+
+
+@query("""WITH s AS (SELECT l_orderkey, sum(l_linenumber) AS t FROM lineitem GROUP BY 1)
+SELECT o_orderkey AS pr_id, o_custkey AS additions, coalesce(t, 0)::BIGINT AS chunk_additions FROM orders LEFT JOIN s ON l_orderkey = o_orderkey WHERE coalesce(t, 0) <> o_custkey""")
+def chunk_totals_break(spark, sf_dir):
+    ch = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("pr_id"), F.col("l_linenumber").alias("additions"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pr_id"), F.col("o_custkey").alias("additions"))
+    return checks.chunk_totals_break(ch, o).withColumn("chunk_additions", F.coalesce("chunk_additions", F.lit(0)))
+
+
+# Sets of groups ------------------------------------------------------------------------------------------------------------
+
+GROUPS = """
+a AS (SELECT o_custkey AS k, list_sort(list(DISTINCT o_orderpriority)) AS m FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),
+b AS (SELECT o_custkey AS k, list_sort(list(DISTINCT o_orderpriority)) AS m FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)"""
+
+
+@query(f"""WITH {GROUPS} SELECT CASE WHEN a.m = b.m THEN 'equal' WHEN b.m IS NULL THEN 'only a' WHEN a.m IS NULL THEN 'only b'
+  WHEN len(list_intersect(a.m, b.m)) = len(a.m) THEN 'a inside b' WHEN len(list_intersect(a.m, b.m)) = len(b.m) THEN 'b inside a' ELSE 'other' END AS relation, count(*) AS groups
+FROM a FULL JOIN b USING (k) GROUP BY 1""")
+def group_diff(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    part = lambda s, n: o.filter(F.col("o_orderstatus") == s).groupBy(F.col("o_custkey").alias("k")).agg(F.array_sort(F.collect_set("o_orderpriority")).alias(n))
+    j = part("F", "a").join(part("O", "b"), "k", "full")
+    inside = lambda x, y: F.size(F.array_except(x, y)) == 0
+    r = F.when(F.col("a") == F.col("b"), "equal").when(F.col("b").isNull(), "only a").when(F.col("a").isNull(), "only b").when(inside("a", "b"), "a inside b").when(inside("b", "a"), "b inside a").otherwise("other")
+    return j.groupBy(r.alias("relation")).agg(F.count("*").alias("groups"))
+
+
+@query(f"""WITH {TOP50}, m AS (SELECT query_pr, pr_id, max(score) AS s FROM best GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_pr, pr_id ORDER BY score DESC) AS k FROM best), n AS (SELECT query_pr, pr_id, round(avg(score) FILTER (WHERE k <= 3) + 1e-9, 6) AS s FROM r GROUP BY 1, 2),
+x AS (SELECT query_pr, pr_id FROM (SELECT *, row_number() OVER (PARTITION BY query_pr ORDER BY s DESC, pr_id) AS i FROM m) WHERE i <= 10),
+y AS (SELECT query_pr, pr_id FROM (SELECT *, row_number() OVER (PARTITION BY query_pr ORDER BY s DESC, pr_id) AS i FROM n) WHERE i <= 10)
+SELECT query_pr, count(*) AS overlap FROM x JOIN y USING (query_pr, pr_id) GROUP BY 1""")
+def top10_overlap(spark, sf_dir):
+    a = vector_signal.top_per(vector_signal.signal(asked(spark, sf_dir), chunks(spark, sf_dir), dim=DIM), ["query_pr"], 10)
+    m = vector_signal.signal(asked(spark, sf_dir), chunks(spark, sf_dir), dim=DIM, strategy="mean_top_k").withColumn("score", F.round(F.col("score") + 1e-9, 6))
+    b = vector_signal.top_per(m, ["query_pr"], 10)
+    return a.join(b, ["query_pr", "pr_id"]).groupBy("query_pr").agg(F.count("*").alias("overlap"))
+
+
+@query("""SELECT (SELECT count(*) FROM (SELECT o_custkey FROM orders EXCEPT ALL SELECT c_custkey FROM customer)) AS only_orders, (SELECT count(*) FROM (SELECT c_custkey FROM customer EXCEPT ALL SELECT o_custkey FROM orders)) AS only_customers""")
+def set_equality(spark, sf_dir):
+    o, c = table(spark, sf_dir, "orders").select("o_custkey"), table(spark, sf_dir, "customer").select("c_custkey")
+    return o.exceptAll(c).agg(F.count("*").alias("only_orders")).crossJoin(c.exceptAll(o).agg(F.count("*").alias("only_customers")))
+
+
+# Ranking: changes of the vector chunks (pr_id), their files by order key, text by document id -------------------------------
+
+RANKED = (
+    FILES
+    + ","
+    + SCORED
+    + f""",
+vs AS (SELECT query_pr, pr_id, max(score) AS score FROM scored GROUP BY 1, 2),
+vt AS (SELECT query_pr, pr_id FROM (SELECT *, row_number() OVER (PARTITION BY query_pr ORDER BY score DESC, pr_id) AS i FROM vs) WHERE i <= 50),
+n AS (SELECT pr_id, count(*) AS n FROM files GROUP BY 1),
+fp AS (SELECT q.pr_id AS query_pr, c.pr_id, count(*) AS shared, min(c.path) AS shared_file FROM files q JOIN files c ON q.path = c.path AND q.pr_id % 50 = 0 AND c.pr_id < q.pr_id
+       WHERE q.pr_id IN (SELECT pr_id FROM chunks) AND c.pr_id IN (SELECT pr_id FROM chunks) GROUP BY 1, 2),
+fr AS (SELECT query_pr, fp.pr_id, shared_file, round(shared / (x.n + y.n - shared)::DOUBLE, 6) AS score FROM fp JOIN n x ON x.pr_id = query_pr JOIN n y ON y.pr_id = fp.pr_id),
+fs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_pr ORDER BY score DESC, pr_id) AS i FROM fr) WHERE i <= 100),
+{BM25.strip()},
+qt AS (SELECT pr_id AS query_pr, term, tf AS qtf FROM tf WHERE pr_id % 50 = 0 AND pr_id IN (SELECT pr_id FROM chunks)),
+bs AS (SELECT query_pr, tf.pr_id, round(sum(qtf * idf * (tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * len(ts) / avgdl)))), 6) AS score
+       FROM qt JOIN idf USING (term) JOIN tf USING (term) JOIN docs USING (pr_id), st WHERE tf.pr_id < query_pr AND tf.pr_id IN (SELECT pr_id FROM chunks) GROUP BY 1, 2),
+bt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_pr ORDER BY score DESC, pr_id) AS i FROM bs WHERE score > 0) WHERE i <= 50),
+cand AS (SELECT query_pr, pr_id FROM vt UNION SELECT query_pr, pr_id FROM fs UNION SELECT query_pr, pr_id FROM bt),
+raw3 AS (SELECT query_pr, cand.pr_id, coalesce(vs.score, 0) AS vector, coalesce(fr.score, 0) AS file, coalesce(bs.score, 0) AS bm25, shared_file
+         FROM cand LEFT JOIN vs USING (query_pr, pr_id) LEFT JOIN fr USING (query_pr, pr_id) LEFT JOIN bs USING (query_pr, pr_id)),
+nrm AS (SELECT *, {", ".join(f"CASE WHEN max({c}) OVER w = min({c}) OVER w THEN 0 ELSE ({c} - min({c}) OVER w) / (max({c}) OVER w - min({c}) OVER w) END AS {c}_norm" for c in ("vector", "file", "bm25"))}
+        FROM raw3 WINDOW w AS (PARTITION BY query_pr)),
+fin AS (SELECT *, row_number() OVER (PARTITION BY query_pr ORDER BY final_score DESC, pr_id) AS rank FROM (SELECT *, round(0.5 * vector_norm + 0.3 * file_norm + 0.2 * bm25_norm, 6) AS final_score FROM nrm))"""
+)
+
+
+def signals(spark, sf_dir):
+    """All three signals of the query changes over one id space: chunk changes, orders and documents that share an id."""
+    ch, q = chunks(spark, sf_dir), asked(spark, sf_dir)
+    ids = ch.select("pr_id").distinct()
+    vector = vector_signal.aggregate(vector_signal.chunk_scores(q, ch, dim=DIM))
+    f = files(spark, sf_dir).join(ids, "pr_id", "left_semi")
+    at = ch.select("pr_id", "repo_id", "created_at", "in_corpus").distinct()
+    own = f.groupBy("pr_id").agg(F.collect_list("path").alias("files")).join(at, "pr_id")
+    asks = own.filter("pr_id % 50 = 0").withColumnRenamed("pr_id", "query_pr")
+    over = overlap.overlap_join(asks, own, cap=None)
+    index = bm25.build(corpus_docs(spark, sf_dir))
+    text = corpus_docs(spark, sf_dir).filter("pr_id % 50 = 0").join(ids, "pr_id", "left_semi").withColumnRenamed("pr_id", "query_pr")
+    words = bm25.scores(index, text).join(ids, "pr_id", "left_semi").filter("pr_id < query_pr")
+    tops = [vector_signal.top_per(vector, ["query_pr"], 50), over.filter(F.col("rank") <= C.OVERLAP_CAP), vector_signal.top_per(words.filter("score > 0"), ["query_pr"], 50)]
+    return vector, over, words, tops, f
+
+
+@query(f"WITH {RANKED} SELECT query_pr, pr_id FROM cand")
+def candidate_union(spark, sf_dir):
+    *_, tops, _ = signals(spark, sf_dir)
+    return ranking.candidate_union(*tops)
+
+
+def normalised(spark, sf_dir):
+    vector, over, words, tops, f = signals(spark, sf_dir)
+    return ranking.normalise(ranking.raw_signals(ranking.candidate_union(*tops), vector, over, words)), f
+
+
+@query(f"WITH {RANKED} SELECT query_pr, pr_id, round(vector_norm, 5) AS vector_norm, round(file_norm, 5) AS file_norm, round(bm25_norm, 4) AS bm25_norm FROM nrm")
+def minmax_normalise(spark, sf_dir):
+    n, _ = normalised(spark, sf_dir)
+    return n.select("query_pr", "pr_id", F.round("vector_norm", 5).alias("vector_norm"), F.round("file_norm", 5).alias("file_norm"), F.round("bm25_norm", 4).alias("bm25_norm"))
+
+
+@query(f"WITH {RANKED} SELECT query_pr, pr_id, rank::INTEGER AS rank, final_score FROM fin WHERE rank <= 3")
+def hybrid_rank(spark, sf_dir):
+    n, _ = normalised(spark, sf_dir)
+    return ranking.rank(n).select("query_pr", "pr_id", "rank", "final_score")
+
+
+@query(f"""WITH {RANKED}, top AS (SELECT pr_id, min(path) AS top_file FROM files GROUP BY 1)
+SELECT query_pr, pr_id, CASE WHEN shared_file IS NOT NULL AND vector_norm > 0.7 THEN 'Both modify ' || shared_file || ' with a similar change pattern' WHEN shared_file IS NOT NULL THEN 'Also changes ' || shared_file
+  WHEN vector_norm > 0.7 THEN 'Similar change pattern in ' || coalesce(top_file, 'none') WHEN bm25_norm > 0.7 THEN 'Shares terminology: text' ELSE 'Related change in ' || split_part(coalesce(top_file, 'none'), '/', 1) END
+  || CASE WHEN o_orderstatus = 'O' THEN ' — closed without merging, worth checking why' ELSE '' END AS reason
+FROM fin LEFT JOIN top USING (pr_id) LEFT JOIN orders ON o_orderkey = pr_id WHERE rank <= 3""")
+def reasons(spark, sf_dir):
+    n, f = normalised(spark, sf_dir)
+    r = ranking.rank(n)
+    q = f.filter("pr_id % 50 = 0").select(F.col("pr_id").alias("query_pr"), "path")
+    shared = q.join(f, "path").groupBy("query_pr", "pr_id").agg(F.min("path").alias("shared_file"))
+    top = f.groupBy("pr_id").agg(F.min("path").alias("top_file"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pr_id"), F.when(F.col("o_orderstatus") == "O", "closed_unmerged").otherwise("other").alias("outcome"))
+    r = r.join(shared, ["query_pr", "pr_id"], "left").join(top, "pr_id", "left").join(o, "pr_id", "left").withColumn("top_terms", F.array(F.lit("text"))).fillna("none", ["top_file"])
+    return ranking.reasons(r).select("query_pr", "pr_id", "reason")
+
+
+# Evaluation: queries are benchmark items, relevant documents hold the item's text ---------------------------------------------
+
+JUDGED = """
+jd AS (SELECT -1 - item_id AS query_pr, doc_id AS pr_id, CASE WHEN l.quality IS NULL THEN 1 ELSE l.quality + 1 - l.toxic END AS grade
+       FROM benchmark b JOIN documents d ON contains(d.text, b.text) LEFT JOIN labels l USING (doc_id))"""
+EVALUATED = BM25_SCORED + "," + JUDGED + """,
+rel AS (SELECT DISTINCT query_pr, pr_id FROM jd WHERE grade >= 1),
+rc AS (SELECT query_pr, count(*) AS relevant, count(rank) FILTER (WHERE rank <= 3) AS found, round(count(rank) FILTER (WHERE rank <= 3) / count(*)::DOUBLE, 6) AS recall,
+              round(coalesce(1.0 / min(rank), 0), 6) AS rr
+       FROM rel LEFT JOIN el USING (query_pr, pr_id) GROUP BY 1)"""
+
+
+def judgments(spark, sf_dir):
+    """Which documents hold an item's text, by a join on the item's first five words before the exact test."""
+    b = table(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("query_pr"), F.col("text").alias("needle"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pr_id"), "text")
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    b = b.withColumn("key", F.array_join(F.slice(words(F.col("needle")), 2, 3), " "))
+    w = d.withColumn("w", words(F.col("text"))).filter(F.size("w") >= 3)
+    keys = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1), F.element_at("w", i + 2))))
+    hits = w.select("pr_id", F.explode(keys).alias("key")).join(b, "key").join(d, "pr_id").filter(F.contains("text", F.col("needle"))).select("query_pr", "pr_id")
+    l = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("pr_id"), (F.col("quality") + 1 - F.col("toxic")).alias("grade"))
+    return hits.join(l, "pr_id", "left").select("query_pr", "pr_id", F.coalesce("grade", F.lit(1)).alias("grade"))
+
+
+def ranked_docs(spark, sf_dir):
+    docs = corpus_docs(spark, sf_dir)
+    at = docs.select("pr_id", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("pr_id") * 3600).alias("created_at"))
+    s = bm25.scores(bm25.build(docs), bench_queries(spark, sf_dir)).filter("score > 0").join(at.withColumnRenamed("created_at", "c_at"), "pr_id")
+    s = s.join(bench_queries(spark, sf_dir).select("query_pr", "created_at"), "query_pr").filter("c_at < created_at")
+    return s.select("query_pr", "pr_id", "score", F.row_number().over(Window.partitionBy("query_pr").orderBy(F.desc("score"), "pr_id")).alias("rank"))
+
+
+@query(f"WITH {EVALUATED} SELECT query_pr, relevant, found, recall FROM rc")
+def recall_at_3(spark, sf_dir):
+    return evaluation.recall_at(ranked_docs(spark, sf_dir), judgments(spark, sf_dir), least_grade=1)
+
+
+@query(f"WITH {EVALUATED} SELECT query_pr, rr FROM rc")
+def mrr(spark, sf_dir):
+    return evaluation.reciprocal_rank(ranked_docs(spark, sf_dir), judgments(spark, sf_dir), least_grade=1)
+
+
+@query(f"""WITH {EVALUATED}, vv AS (SELECT rr AS v, row_number() OVER (ORDER BY query_pr, rr) - 1 AS at FROM rc), nn AS (SELECT count(*) AS n FROM vv),
+dr AS (SELECT i, ((i * 1103515 + vv.at * 12345 + 7) * 48271 % 2147483647 * 48271 % 2147483647 % n) AS pick FROM range(1000) t(i), vv, nn),
+ms AS (SELECT i, avg(v) AS m FROM dr JOIN vv ON vv.at = dr.pick GROUP BY 1)
+SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.5), 6) AS mid, round(quantile_cont(m, 0.975), 6) AS high FROM ms""")
+def bootstrap_ci(spark, sf_dir):
+    return evaluation.bootstrap(evaluation.reciprocal_rank(ranked_docs(spark, sf_dir), judgments(spark, sf_dir), least_grade=1), "rr")
+
+
+@query(f"""WITH {EVALUATED}, x AS (SELECT query_pr, pr_id FROM el WHERE rank <= 6), y AS (SELECT query_pr, pr_id FROM jd WHERE grade >= 2) SELECT * FROM x UNION SELECT * FROM y""")
+def pool(spark, sf_dir):
+    best = judgments(spark, sf_dir).filter("grade >= 2").select("query_pr", "pr_id", F.lit(1).alias("rank"))
+    return evaluation.pool(ranked_docs(spark, sf_dir), best)
+
+
+ROUNDS = """j1 AS (SELECT doc_id, quality + 1 - toxic AS x, greatest(0, least(2, quality + 1 - toxic + CASE doc_id % 7 WHEN 0 THEN 1 WHEN 3 THEN -1 ELSE 0 END)) AS y FROM labels)"""
+
+
+@query(f"""WITH {ROUNDS}, o AS (SELECT count(*) AS t, sum((x - y) * (x - y) / 4.0) AS o FROM j1), e AS (SELECT sum(a.n * b.n * (x - y) * (x - y) / 4.0) AS e FROM (SELECT x, count(*) AS n FROM j1 GROUP BY 1) a, (SELECT y, count(*) AS n FROM j1 GROUP BY 1) b)
+SELECT t AS pairs, CASE WHEN t >= 10 AND e > 0 THEN round(1 - o * t / e, 6) END AS kappa FROM o, e""")
+def kappa(spark, sf_dir):
+    l = table(spark, sf_dir, "labels")
+    g = F.col("quality") + 1 - F.col("toxic")
+    shift = F.when(F.col("doc_id") % 7 == 0, 1).when(F.col("doc_id") % 7 == 3, -1).otherwise(0)
+    row = lambda r, grade: l.select(F.lit(0).alias("query_pr"), F.col("doc_id").alias("pr_id"), F.lit(r).alias("round"), grade.alias("grade"))
+    return evaluation.weighted_kappa(row(1, g).unionByName(row(2, F.greatest(F.lit(0), F.least(F.lit(2), g + shift)))))
+
+
+@query("SELECT lang AS subsystem, count(*) AS queries, (SELECT count(DISTINCT lang) >= 4 FROM documents) AS enough FROM documents GROUP BY 1")
+def stratification(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.groupBy(F.col("lang").alias("subsystem")).agg(F.count("*").alias("queries")).crossJoin(F.broadcast(d.agg((F.countDistinct("lang") >= 4).alias("enough"))))
