@@ -64,7 +64,14 @@ def verdicts(changes: DataFrame) -> DataFrame:
     return out.select("number", F.col("reason").isNull().alias("in_corpus"), F.col("reason").alias("exclusion_reason"))
 
 
-def ascending_breaks(changes: DataFrame, order: list[str]) -> DataFrame:
-    """Where numbers fail to rise from one row to the next, in ranges of the order joined end to end."""
-    w = Window.orderBy(*order)
-    return changes.withColumn("before", F.lag("number").over(w)).filter("before >= number")
+def ascending_breaks(changes: DataFrame, at: str = "created_at", unit: str = "day") -> DataFrame:
+    """(number, before): rows whose number is not above that of the row before, in order of time and number.
+
+    Rows are looked at inside each time unit; the first of a unit is held against the last of the unit before, which comes
+    from a table of one row per unit. No task sees more than a unit's rows."""
+    c = changes.withColumn("unit", F.date_trunc(unit, F.col(at)))
+    ends = c.groupBy("unit").agg(F.max(F.struct(F.col(at).alias("t"), F.col("number").alias("n")))["n"].alias("end"))
+    ends = ends.select("unit", F.lag("end").over(Window.orderBy("unit")).alias("end"))
+    inside = F.lag("number").over(Window.partitionBy("unit").orderBy(at, "number"))
+    j = c.withColumn("inside", inside).join(ends, "unit")
+    return j.withColumn("before", F.coalesce("inside", "end")).filter("before >= number").select("number", "before")
