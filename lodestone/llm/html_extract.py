@@ -41,6 +41,12 @@ SPACE = re.compile(r"\s+")
 FURNISHED, PLAIN, ARTICLE = 0, 1, 2
 
 
+def furniture_word(word: str, inside: bool) -> bool:
+    """Whether a class or id names furniture, whole or in one of its parts; an article's own header is none."""
+    found = MARKED.intersection([word, *re.split(r"[-_]+", word)])
+    return bool(found - {"header"} if inside else found)
+
+
 def marked(name: str, attributes: str, inside: bool) -> bool:
     """Whether an element is furniture: by its name, or by words of its class, id or role."""
     if name in FURNITURE or (name == "header" and not inside):
@@ -51,7 +57,7 @@ def marked(name: str, attributes: str, inside: bool) -> bool:
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "role" and value.strip() in ROLES):
             return True
-        if key in ("class", "id") and any(w in MARKED or not MARKED.isdisjoint(re.split(r"[-_]+", w)) for w in value.split()):
+        if key in ("class", "id") and any(furniture_word(w, inside) for w in value.split()):
             return True
     return False
 

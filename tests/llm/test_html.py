@@ -56,6 +56,11 @@ def test_article_lines_stay_and_furniture_goes(spark):
     assert set(got.values()) == {"T\n\nSame line\n\nCafé A"}
 
 
+def test_an_article_keeps_its_own_header():
+    body = '<div class="site-header">site</div><article><header><h1>T</h1></header><div class="post-header">by</div><p>x</p><section class="reader-comments"><p>c</p></section></article>'
+    assert [t for t, k in H.lines(page(body)) if k == H.ARTICLE] == ["T", "by", "x"]
+
+
 def test_awkward_and_empty(spark):
     rows = [(1, None, None), (2, "http://h/a", ""), (3, "http://h/a", "plain < text"), (3, "http://h/a", "plain < text"), (None, "", "<p>x"), (5, "http://h/b", page("<article></article><p>only this</p>"))]
     df = spark.createDataFrame([(*r, "c", "c") for r in rows], COLUMNS)
