@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -32,7 +34,19 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm/{tag}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    release()
+    spark.sparkContext._jvm.System.gc()  # what shuffles the table was made of are let go
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialize wrote and nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 _shipped: set[str] = set()
@@ -52,14 +66,31 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def release() -> None:
+    """Gives freed memory back to the system. Python workers outlive their tasks, and what they keep adds up."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def _tidy(run: Callable) -> Callable:
+    def call(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        release()
+
+    return call
+
+
 def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(_tidy(run), schema)
 
 
 def map_pandas(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     ship(df.sparkSession)
-    return df.mapInPandas(run, schema)
+    return df.mapInPandas(_tidy(run), schema)
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:

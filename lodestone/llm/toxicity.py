@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._util import batches_of, crc_mod, map_arrow, map_pandas, materialize
+from lodestone.llm._util import batches_of, crc_mod, discard, map_arrow, map_pandas, materialize
+from lodestone.llm._words import slices
 
 TOXIC_ROWS = 6_000
 CLEAN_ROWS = 12_000
@@ -44,7 +45,9 @@ GAP = -0.05
 THRESHOLD = 0.3
 SIGNIFICANT = 0.01
 SHORTEST, LONGEST = 4, 8
-CACHE = 300_000
+CACHE = 200_000
+SLICE_BYTES = 4_000_000
+PASSAGES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("p", pa.float64())]))
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -153,7 +156,7 @@ def count_by_row(rows: DataFrame, known: set[str] | None = None, only: set[str]
                 if known is not None:
                     found = {b for w in found - known for b in beginnings(w)}
                 held.update(found if only is None else found & only)
-                if len(held) > 500_000:
+                if len(held) > 300_000:
                     yield from batches_of(held.items(), ["f", "n"], [pa.string(), pa.int64()])
                     held.clear()
         yield from batches_of(held.items(), ["f", "n"], [pa.string(), pa.int64()])
@@ -195,6 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, *, toxic_rows: int = TOXIC_ROWS, c
     tail = tail_counts(rows.filter("y = 0 and not cal"), model)
     model.decay, model.k = extreme_value(tail)
     model.curve = calibrate(rows.filter("cal"), model, weight)
+    discard(rows)
     return model
 
 
@@ -277,22 +281,21 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     keep = keep or []
     chosen = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).cast("string").alias("_text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         weights = Weights(m.by_feature)
         for batch in batches:
-            probability, passages = [], []
-            for text in batch.pop("_text"):
-                best, n, found = _best(text, weights)
-                probability.append(m.probability(m.evidence(best, n)))
-                passages.append([{"start": a, "end": z, "score": x, "p": p} for a, z, x in found if (p := m.p_value(x, n)) <= SIGNIFICANT])
-            batch["score"] = np.array(probability, np.float64)
-            batch["predicted"] = (batch["score"] >= THRESHOLD).astype("int32")
-            batch["passages"] = pd.Series(passages, index=batch.index, dtype=object)
-            yield batch
+            for part in slices(batch, "_text", SLICE_BYTES):
+                probability, passages = [], []
+                for text in part.column("_text").to_pylist():
+                    best, n, found = _best(text, weights)
+                    probability.append(m.probability(m.evidence(best, n)))
+                    passages.append([{"start": a, "end": z, "score": x, "p": p} for a, z, x in found if (p := m.p_value(x, n)) <= SIGNIFICANT])
+                new = [pa.array(probability, pa.float64()), pa.array([int(p >= THRESHOLD) for p in probability], pa.int32()), pa.array(passages, PASSAGES)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new], names=[*part.schema.names[:-1], "score", "predicted", "passages"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return map_pandas(chosen, run, f"{fields}, score double, predicted int, passages array<struct<start:long,end:long,score:double,p:double>>")
+    return map_arrow(chosen, run, f"{fields}, score double, predicted int, passages array<struct<start:long,end:long,score:double,p:double>>")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
