@@ -17,21 +17,22 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._util import batches_of, crc_mod, map_arrow, map_pandas, materialize
+from lodestone.llm._util import batches_of, crc_mod, discard, map_arrow, materialize, release
+from lodestone.llm._words import slices
 
 SAMPLE_ROWS = 10_000
-MAX_WORDS = 60_000
-MAX_GRAMS = 60_000
+MAX_WORDS = 40_000
+MAX_GRAMS = 40_000
 LONGEST = 5
 #: An unseen event's share of a language's words or n-grams, and what each step back costs (natural logs).
 UNSEEN = 0.5
 STEP_BACK = math.log(0.4)
-CACHE = 200_000
+CACHE = 250_000
+SLICE_BYTES = 4_000_000
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -62,7 +63,7 @@ class Model:
             # n-grams are keyed by their length, apart from words
             known = [r for k in range(len(padded) - n + 1) if (r := self.rows.get(f"{n}\x01{padded[k:k + n]}")) is not None]
             if known:
-                return self.logs[known].mean(axis=0) + STEP_BACK * (LONGEST + 1 - n)
+                return np.add.reduce(self.logs[known]) / len(known) + STEP_BACK * (LONGEST + 1 - n)
         return self.floor
 
 
@@ -94,7 +95,7 @@ def train(rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
         for batch in batches:
             for text, lang in zip(batch.column("t").to_pylist(), batch.column("l").to_pylist(), strict=True):
                 held.setdefault(lang, Counter()).update(count_features(text))
-                if sum(map(len, held.values())) > 500_000:
+                if sum(map(len, held.values())) > 300_000:
                     yield from sent(held)
                     held = {}
         yield from sent(held)
@@ -107,45 +108,62 @@ def train(rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     size = F.when(gram, F.substring("f", 1, 1).cast("int")).otherwise(0)
     counts = materialize(counts.withColumn("size", size), "language-counts")
     totals = {(r.l, r["size"]): r.n for r in counts.groupBy("l", "size").agg(F.sum("n").alias("n")).collect()}
-    best = counts.groupBy("f", "size").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("l", "n"))).alias("by"))
-    top = []
-    for is_gram, most in ((False, MAX_WORDS), (True, MAX_GRAMS)):
-        kept = best.filter((F.col("size") > 0) == is_gram).orderBy(F.desc("n"), "f").limit(most)
-        top += [(r.f, r["size"], r.by) for r in kept.select("f", "size", "by").collect()]
     languages = sorted({lang for lang, _ in totals})
-    logs = np.zeros((len(top), len(languages)), np.float64)
-    log_total = {k: math.log(v + UNSEEN) for k, v in totals.items()}
-    for k, (_, s, by) in enumerate(top):
-        for j, lang in enumerate(languages):
-            logs[k, j] = math.log(by.get(lang, 0) + UNSEEN) - log_total.get((lang, s), 0.0)
-    return Model(languages, {f: k for k, (f, _, _) in enumerate(top)}, logs, np.zeros(len(languages)))
-
-
-def scores(model: Model, texts: Iterator[str | None], cache: dict[str, int], table: list[np.ndarray]) -> Iterator[tuple[str, float]]:
+    if not languages:
+        return Model([], {}, np.zeros((0, 0)), np.zeros(0))
+    by = [F.sum(F.when(F.col("l") == lang, F.col("n")).otherwise(0)).alias(f"n{k}") for k, lang in enumerate(languages)]
+    best = counts.groupBy("f", "size").agg(F.sum("n").alias("n"), *by)
+    features: list[str] = []
+    logs = []
+    for is_gram, most in ((False, MAX_WORDS), (True, MAX_GRAMS)):
+        kept = best.filter((F.col("size") > 0) == is_gram).orderBy(F.desc("n"), "f").limit(most).toArrow()
+        features += kept.column("f").to_pylist()
+        size = kept.column("size").to_numpy()
+        total = np.array([[math.log(totals.get((lang, s), 0) + UNSEEN) for s in range(LONGEST + 1)] for lang in languages])
+        logs.append(np.stack([np.log(kept.column(f"n{k}").to_numpy() + UNSEEN) - total[k][size] for k in range(len(languages))], axis=1))
+    discard(counts)
+    release()
+    return Model(languages, {f: k for k, f in enumerate(features)}, np.concatenate(logs), np.zeros(len(languages)))
+
+
+class Rows(dict):
+    """The row of each token in a table of its log frequencies by language; 0 for tokens without a letter. Rows come as
+    tokens do; see trim()."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model, self.used = model, 1
+        self.table = np.zeros((1024, len(model.languages)))
+
+    def __missing__(self, token: str) -> int:
+        row = 0
+        if any(map(str.isalpha, token)):
+            row = self.used
+            if row == len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[row] = self.model.vector(token)
+            self.used += 1
+        self[token] = row
+        return row
+
+    def trim(self) -> None:
+        if len(self) > CACHE:
+            self.clear()
+            self.used = 1
+
+
+def scores(texts: Iterator[str | None], rows: Rows) -> Iterator[tuple[str, float]]:
     """The language of each whole text and its share of the posterior (equal priors). Ties go to the first by code point."""
     for text in texts:
         tokens = Counter(text.split()) if text else {}
-        if len(cache) > CACHE:
-            cache.clear()
-            table.clear()
-        at, weight = [], []
-        for token, n in tokens.items():
-            row = cache.get(token)
-            if row is None:
-                row = -1
-                if LETTERS.search(token):
-                    row = len(table)
-                    table.append(model.vector(token))
-                cache[token] = row
-            if row >= 0:
-                at.append(row)
-                weight.append(n)
-        if not at or not model.languages:
+        rows.trim()
+        at = [rows[t] for t in tokens]
+        if not any(at) or not rows.model.languages:
             yield UNKNOWN, 0.0
             continue
-        total = np.array(weight, np.float64) @ np.array([table[k] for k in at])
+        total = np.fromiter(tokens.values(), np.float64, len(at)) @ rows.table[at]
         share = np.exp(total - total.max())
-        yield model.languages[int(total.argmax())], float(share.max() / share.sum())
+        yield rows.model.languages[int(total.argmax())], float(share.max() / share.sum())
 
 
 def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -154,17 +172,16 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     keep = keep or []
     chosen = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).cast("string").alias("_text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache: dict[str, int] = {}
-        table: list[np.ndarray] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = Rows(shared.value)
         for batch in batches:
-            found = list(scores(shared.value, batch.pop("_text"), cache, table))
-            batch["lang_pred"] = pd.Series([x for x, _ in found], index=batch.index, dtype=object)
-            batch["score"] = np.array([x for _, x in found], np.float64)
-            yield batch
+            for part in slices(batch, "_text", SLICE_BYTES):
+                found = list(scores(part.column("_text").to_pylist(), rows))
+                new = [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new], names=[*part.schema.names[:-1], "lang_pred", "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return map_pandas(chosen, run, f"{fields}, lang_pred string, score double")
+    return map_arrow(chosen, run, f"{fields}, lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:

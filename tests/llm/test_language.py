@@ -1,5 +1,4 @@
 import pytest
-from conftest import sentence
 
 from lodestone.llm import language_id as L
 
@@ -14,12 +13,18 @@ def model(spark):
 
 def test_known_words_then_shorter_ngrams(spark, model):
     assert model.languages == ["de", "en", "fr"]
-    rows = [(1, "the dog and the cat"), (2, "LE CHAT, les ENFANTS!"), (3, "gardening throughout"), (4, "kindhaus nichtig"), (5, None), (6, "123 -- ...  !"), (7, "")]
+    rows = [(1, "the dog and the cat"), (2, "LE CHAT, les ENFANTS!"), (3, "gardening throughout"), (4, "kindhaus nichtig"), (5, None), (6, "123 -- ...  !"), (7, ""), (8, "½ ² 五 ")]
     got = {r.doc_id: r for r in L.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
-    assert [got[k].lang_pred for k in range(1, 8)] == ["en", "fr", "en", "de", "und", "und", "und"]
+    assert [got[k].lang_pred for k in range(1, 8)] == ["en", "fr", "en", "de", "und", "und", "und"] and got[8].lang_pred != "und"
     assert all(0 <= r.score <= 1 for r in got.values()) and got[5].score == 0
 
 
+def test_digits_of_any_script_are_no_letters(spark, model):
+    rows = [(1, "½ ² ٣"), (2, "² a")]
+    got = {r.doc_id: r.lang_pred for r in L.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got[1] == "und" and got[2] != "und"
+
+
 def test_equals_a_plain_sum(spark, model):
     """The cached, batched scores against one word after the other."""
     import numpy as np
@@ -48,4 +53,3 @@ def test_awkward_and_empty(spark, awkward, empty):
     got = L.identify(awkward).collect()
     assert len(got) == awkward.count() and {r.lang_pred for r in got} <= {"en", "fr", "und"}
     assert L.identify(empty).collect() == []
-    assert sentence is not None
