@@ -21,7 +21,7 @@ from lodestone.llm._util import materialize
 
 BLOCK_WORDS = 1024
 MAX_REPEAT = 3
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 SLOT_CHUNK = 4096
 #: Words: maximal runs of anything but ASCII white space.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -63,7 +63,8 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     """
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"))
     sized = materialize(sized.withColumn("place", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))), "mix-sizes")
-    share, _, _ = schedule_tables(sized, block_words, max_repeat)
+    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    share = materialize(allot(targets(sizes, max_repeat), block_words), "mix-targets")
     lines = layout(sized, share)
     pieces = cut(lines, block_words)
     taken = slots(share, block_words).join(pieces, ["rank", "block"]).groupBy("row_source", "start").agg(
@@ -72,12 +73,6 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     return out.select("doc_id", lines["size"], "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def schedule_tables(sized: DataFrame, block_words: int, max_repeat: int) -> tuple[DataFrame, DataFrame, int]:
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    share = materialize(allot(targets(sizes, max_repeat), block_words), "mix-targets")
-    return share, sizes, 0
-
-
 def allot(share: DataFrame, block_words: int) -> DataFrame:
     """Adds to each source its blocks, the whole rounds and the rest its target comes to, its number of slots, and where
     its slots lie on the line of all."""
