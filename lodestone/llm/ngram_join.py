@@ -8,7 +8,7 @@ A document's set is its distinct five-word shingles. Two documents link when the
    it. Chunk widths depend on the size band (a power of two; a class in the upper quarter of its band also takes the next
    band's widths, so any two sizes within 4/3 share a band). Every differing shingle spoils one chunk at most, so by the
    pigeonhole principle two linked classes agree on some chunk that is not empty as long as more such chunks are
-   compared than shingles differ. That is so for sets of under about 190 shingles. Larger sets compare ``CHUNKS`` chunks of
+   compared than shingles differ. That is so for sets of under about 150 shingles. Larger sets compare ``CHUNKS`` chunks of
    1.1 to 2.25 shingles each; a chunk of a pair at the threshold agrees with probability 0.35 to 0.47 independently of
    the others, so all of 64 fail with probability under 1e-11, the order of a hash collision.
 3. Classes that share a chunk's code are compared by a bit sketch: bit (hash mod m) flips for each shingle. The Hamming
@@ -17,8 +17,9 @@ A document's set is its distinct five-word shingles. Two documents link when the
    concerned.
 5. A code that over ``HOT`` classes share comes from text that many documents repeat. A class with ``SURE`` other codes, or
    more than can differ, is found through those (all of 40 fail with probability under 1e-7 at the threshold). The others
-   are compared inside blocks of a hot code together with two pivots of the code; large groups of near copies become
-   one component there. Only where a hot code's classes still are in several components are its blocks compared with each
+   are compared inside blocks of a hot code together with two pivots of the code (``ROUNDS`` times, with other blocks), and
+   only as many pairs are verified as would join the block's components; large groups of near copies become one
+   component there. Only where a hot code's classes still are in several components are its blocks compared with each
    other, and only pairs across components are verified. So no code's classes ever meet in one task, no group is
    expanded into all its pairs, and no link is given up.
 
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import _words
-from lodestone.llm._util import map_arrow, materialize, partitions
+from lodestone.llm._util import discard, map_arrow, materialize, partitions
 
 WORDS = 5
 SIMILARITY = 75
@@ -43,7 +44,13 @@ CHUNKS = 64
 HOT = 64
 SURE = 40
 BLOCK = 512
+SKETCH_BITS = 2048
+ROUNDS = 1
+#: Edges in one file of a round's table, so that a small table does not cost a task for each shuffle partition.
+EDGES = 200_000
 SLICE_BYTES = 2_000_000
+#: Classes a task remembers to have sent; forgetting one costs a repeated row, no more.
+SEEN = 200_000
 #: Size of the bit map by which the second reading skips texts of classes without a candidate.
 MAP_BITS = 1 << 24
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -101,8 +108,9 @@ def parity_keys(s: np.ndarray) -> np.ndarray:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Bit h mod m is set if it was flipped an odd number of times; m is four times the band's lower end or more."""
-    m = 1 << max(6, band_of(len(s)) + 2)
+    """Bit h mod m is set if it was flipped an odd number of times; m is four times the band's lower end and SKETCH_BITS or
+    more, so that few flips of small sets cancel."""
+    m = max(SKETCH_BITS, 4 << band_of(len(s)))
     bits = np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
@@ -132,9 +140,9 @@ def plausible(n: np.ndarray, rows: np.ndarray, i: np.ndarray, j: np.ndarray) ->
     return out
 
 
-def forest(cls: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Of pairs in order, those that join what the earlier ones have not."""
-    up = list(range(len(cls)))
+def forest(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of pairs of nodes in order, those that join what the earlier ones have not."""
+    up = list(range(int(max(i.max(initial=0), j.max(initial=0))) + 1))
 
     def root(x: int) -> int:
         while up[x] != x:
@@ -185,10 +193,10 @@ def _framed(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def bucket_pairs(rows: DataFrame, *, spanning: bool) -> DataFrame:
-    """Plausible pairs (a < b) of classes with one bucket. rows: bucket, cls, n, sketch; a bucket is of bounded size.
-    spanning: only as many pairs of a bucket as join what the pairs join, the least class first."""
+    """Plausible pairs (a < b) of classes with one bucket. rows: bucket, cls, n, sketch, comp; a bucket is of bounded size.
+    spanning: only pairs of different components, and as many as join what all of them join, the least class first."""
     parts = partitions(rows.sparkSession)
-    dealt = rows.select("bucket", "cls", "n", "sketch").repartition(parts, "bucket").sortWithinPartitions("bucket", "cls")
+    dealt = rows.select("bucket", "cls", "n", "sketch", "comp").repartition(parts, "bucket").sortWithinPartitions("bucket", "cls")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
@@ -197,10 +205,14 @@ def bucket_pairs(rows: DataFrame, *, spanning: bool) -> DataFrame:
             if len(cls) < 2:
                 continue
             i, j = np.triu_indices(len(cls), 1)
+            if spanning:
+                comp = np.unique(g["comp"][first], return_inverse=True)[1]
+                apart = comp[i] != comp[j]
+                i, j = i[apart], j[apart]
             ok = plausible(g["n"][first], fold([g["sketch"][k] for k in first]), i, j)
             i, j = i[ok], j[ok]
             if spanning:
-                kept = forest(cls, i, j)
+                kept = forest(comp[i], comp[j])
                 i, j = i[kept], j[kept]
             a.append(cls[i])
             b.append(cls[j])
@@ -235,15 +247,13 @@ def block_pairs(blocks: DataFrame) -> DataFrame:
     return map_arrow(blocks, run, PAIRS)
 
 
-def verified(texts: DataFrame, pairs: DataFrame, words: int = WORDS) -> DataFrame:
-    """The pairs (a, b) that do link. The shingles come from a second reading of the texts, of the classes concerned only:
-    a bit map of fixed size, set from the pairs, says which; what it lets through besides falls out of the join."""
-    spark = pairs.sparkSession
+def sets_of(texts: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
+    """(cls, data): the shingle hashes, 40 bits of each, of the classes wanted (cls), by a second reading of the texts. A bit
+    map of fixed size says whose to take; what it lets through besides falls out of the join."""
+    spark = wanted.sparkSession
     slot = F.pmod(F.col("cls"), F.lit(MAP_BITS))
-    marks = pairs.select(F.explode(F.array("a", "b")).alias("cls")).select((slot / 64).cast("int").alias("w"), (slot % 64).cast("int").alias("i"))
+    marks = wanted.select((slot / 64).cast("int").alias("w"), (slot % 64).cast("int").alias("i"))
     marks = marks.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("bits")).collect()  # at most MAP_BITS / 64 rows
-    if not marks:
-        return spark.createDataFrame([], PAIRS)
     bits = np.zeros(MAP_BITS // 64, np.int64)
     bits[[r.w for r in marks]] = [r.bits for r in marks]
     shared = spark.sparkContext.broadcast(bits)
@@ -258,7 +268,7 @@ def verified(texts: DataFrame, pairs: DataFrame, words: int = WORDS) -> DataFram
                         continue
                     at = c % MAP_BITS
                     if marked[at // 64] >> np.int64(at % 64) & 1:
-                        if len(seen) < 1_000_000:
+                        if len(seen) < SEEN:
                             seen.add(c)
                         cls.append(c)
                         data.append(s.view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
@@ -267,7 +277,11 @@ def verified(texts: DataFrame, pairs: DataFrame, words: int = WORDS) -> DataFram
 
     # copies of a set in several tasks: one is enough
     sets = map_arrow(texts.select("text"), read, "cls long, data binary")
-    sets = materialize(sets.join(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("data").alias("data")), "join-sets")
+    return materialize(sets.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("data").alias("data")), "join-sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that do link, by their sets (cls, data)."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def opened(data: bytes) -> np.ndarray:
@@ -291,7 +305,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node each node of the edges (a, b) is joined to. Rounds of large-star and small-star, each
     written down; a hub's neighbours are never gathered, only their least."""
     e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "stars")
-    state = None
+    state, parts = None, None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -299,11 +313,13 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        e = materialize(small.filter("u <> v").distinct(), "stars")
+        small, old = small.filter("u <> v").distinct(), e
+        e = materialize(small.coalesce(parts) if parts else small, "stars")
+        discard(old)
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
         if now == state:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = now
+        state, parts = now, 1 + now.n // EDGES
 
 
 def prepared(docs: DataFrame, words: int) -> DataFrame:
@@ -322,7 +338,7 @@ def prepared(docs: DataFrame, words: int) -> DataFrame:
                     keys.append(parity_keys(s).view(np.int64) if new else None)
                     sketches.append(sketch(s) if new else None)
                     if new:
-                        if len(seen) > 1_000_000:
+                        if len(seen) > SEEN:
                             seen.clear()
                         seen.add(c)
                 yield pa.RecordBatch.from_arrays(
@@ -344,8 +360,8 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wor
     rows = materialize(prepared(own, words), "join-rows")
     # one row per class; copies were dropped inside each task already
     classes = materialize(rows.filter("keys is not null").groupBy("cls", "n").agg(F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "join-classes")
-    links = links_of(own, classes, words)
-    roots = components(links)
+    roots = roots_of(own, classes, words)
+    discard(classes)
     least = rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low"))
     named = least.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     named = materialize(named, "join-named")
@@ -355,42 +371,56 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wor
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def links_of(texts: DataFrame, classes: DataFrame, words: int = WORDS) -> DataFrame:
-    """Verified links (a, b) between classes (cls, n, keys, sketch) whose components are those of all links."""
+def roots_of(texts: DataFrame, classes: DataFrame, words: int = WORDS) -> DataFrame:
+    """(node, root) of all classes (cls, n, keys, sketch) that are linked: the components of all links."""
     keyed = classes.select("cls", F.explode("keys").alias("key"))
     counts = keyed.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1")
     shared = materialize(keyed.join(counts, "key"), "join-shared")
-    marks = classes.select("cls", "n", "sketch")
+    marks = classes.select("cls", "n", "sketch", F.col("cls").alias("comp"))
     cool = shared.filter(F.col("many") <= HOT).select(F.col("key").alias("bucket"), "cls").join(marks, "cls")
-    pairs = bucket_pairs(cool, spanning=False)
+    pairs = materialize(bucket_pairs(cool, spanning=False).distinct(), "join-pairs")
 
     hot = shared.filter(F.col("many") > HOT)
     tally = hot.groupBy("cls").agg(F.count("*").alias("hot"))
     total = classes.select("cls", "n", F.size("keys").alias("all"))
     most = F.expr(f"(n + n * 100 div {SIMILARITY}) * {100 - SIMILARITY} div {100 + SIMILARITY}")  # that can differ
     unsure = total.join(tally, "cls").filter((F.col("all") - F.col("hot") < SURE) & (F.col("all") - F.col("hot") <= most)).select("cls")
-    hot = materialize(hot.join(unsure, "cls").select("key", "many", "cls"), "join-hot")
-    if hot.isEmpty():
-        return materialize(verified(texts, materialize(pairs.distinct(), "join-pairs"), words), "join-links")
-    code = hot.groupBy("key").agg(F.count("*").alias("many"), F.min("cls").alias("p"), F.max("cls").alias("q"))
-    place = F.pmod(F.xxhash64("cls"), F.ceil(F.col("many") / HOT))
-    inside = hot.drop("many").join(code, "key").select(F.xxhash64("key", place).alias("bucket"), "cls")
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("many") / HOT) - 1)).alias("block")
-    pivots = code.select("key", every, F.array("p", "q").alias("ps")).select(F.xxhash64("key", "block").alias("bucket"), F.explode("ps").alias("cls"))
-    pairs = pairs.unionByName(bucket_pairs(inside.unionByName(pivots).distinct().join(marks, "cls"), spanning=True))
-    links = materialize(verified(texts, materialize(pairs.distinct(), "join-pairs"), words), "join-links")
-
-    # hot codes whose classes are in one component are done; the blocks of the others are compared across components
-    roots = components(links).withColumnRenamed("node", "cls")
-    member = hot.drop("many").join(roots, "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
-    mixed = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("many")).filter("lo <> hi")
-    member = member.join(mixed.select("key", "many"), "key").withColumn("block", F.pmod(F.xxhash64("cls"), F.ceil(F.col("many") / BLOCK)))
-    member = materialize(member.join(marks, "cls"), "join-members")
-    if member.isEmpty():
-        return links
+    hot = materialize(hot.join(unsure, "cls").select("key", "cls"), "join-hot")
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(hot.select("cls")).distinct()
+    sets = sets_of(texts, wanted, words)
+    roots = components(verified(pairs, sets))
+    for turn in range(ROUNDS + 1):
+        # hot codes whose classes are in one component are done
+        member = hot.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
+        mixed = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("many"), F.min("cls").alias("p"), F.max("cls").alias("q")).filter("lo <> hi")
+        member = materialize(member.join(mixed.drop("lo", "hi"), "key").join(marks.drop("comp"), "cls"), "join-members")
+        if member.isEmpty():
+            discard(member)
+            break
+        more = inside_blocks(member, turn) if turn < ROUNDS else across_blocks(member)
+        more = materialize(more.distinct(), "join-pairs")
+        # what was found stands as stars, which further rounds only join
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(more, sets)))
+        discard(member, more)
+    discard(shared, pairs, hot, sets)
+    return roots
+
+
+def inside_blocks(member: DataFrame, turn: int) -> DataFrame:
+    """Pairs that would join the components inside each block of each hot code; the code's least and greatest class are
+    in every block. The blocks of another turn are other ones."""
+    blocks = F.ceil(F.col("many") / HOT)
+    own = member.withColumn("block", F.pmod(F.xxhash64("cls", F.lit(turn)), blocks))
+    pivot = member.filter("cls = p or cls = q").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    return bucket_pairs(own.unionByName(pivot).withColumn("bucket", F.xxhash64("key", "block")), spanning=True)
+
+
+def across_blocks(member: DataFrame) -> DataFrame:
+    """All plausible pairs across components of each hot code, block by block."""
+    member = member.withColumn("block", F.pmod(F.xxhash64("cls"), F.ceil(F.col("many") / BLOCK)))
     blocks = member.groupBy("key", "block").agg(*[F.collect_list(c).alias(c) for c in ("cls", "n", "comp", "sketch")])
     blocks = blocks.withColumn("lo", F.array_min("comp")).withColumn("hi", F.array_max("comp"))
     other = blocks.select("key", *[F.col(c).alias(f"{c}2") for c in ("block", "cls", "n", "comp", "sketch", "lo", "hi")])
     both = blocks.join(other, "key").filter("block <= block2 and least(lo, lo2) <> greatest(hi, hi2)")
-    rest = block_pairs(both.select("cls", "n", "comp", "sketch", "cls2", "n2", "comp2", "sketch2")).distinct()
-    return links.unionByName(materialize(verified(texts, materialize(rest, "join-rest"), words), "join-more"))
+    return block_pairs(both.select("cls", "n", "comp", "sketch", "cls2", "n2", "comp2", "sketch2"))
