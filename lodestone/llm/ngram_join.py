@@ -15,9 +15,10 @@ A document's set is its distinct five-word shingles. Two documents link when the
    distance of two sketches is never more than the symmetric difference, so pairs above the bound are dropped safely.
 4. What is left is verified on the shingle hashes themselves (40 bits of each), re-read from the texts of the classes
    concerned.
-5. A code that over ``HOT`` classes share comes from text that many documents repeat. A class with ``SURE`` other codes, or
-   more than can differ, is found through those (all of 40 fail with probability under 1e-7 at the threshold). The others
-   are compared inside blocks of a hot code together with two pivots of the code (``ROUNDS`` times, with other blocks), and
+5. A code that over ``HOT`` classes share comes from text that many documents repeat. A class that has, in each band it
+   takes part in, at least ``SURE`` other codes and more of them than shingles can differ is found through those by the
+   pigeonhole principle. Nothing less will do: where the repeated text is all that two classes share, every one of their
+   other codes disagrees. The others are compared inside blocks of a hot code together with two pivots of the code (``ROUNDS`` times, with other blocks), and
    only as many pairs are verified as would join the block's components; large groups of near copies become one
    component there. Only where a hot code's classes still are in several components are its blocks compared with each
    other, and only pairs across components are verified. So no code's classes ever meet in one task, no group is
@@ -103,7 +104,8 @@ def parity_keys(s: np.ndarray) -> np.ndarray:
             first = np.flatnonzero(np.diff(chunk[:upto], prepend=-1))
             code = np.bitwise_xor.reduceat(_words.mix(s[:upto] + np.uint64(band)), first)
             chunk = chunk[:upto][first].astype(np.uint64)
-        out.append(_words.mix(code + chunk * GOLDEN + np.uint64(band)))
+        # the lowest bit tells which of a set's two bands a code is of
+        out.append(_words.mix(code + chunk * GOLDEN + np.uint64(band)) & ~np.uint64(1) | np.uint64(band & 1))
     return np.concatenate(out)
 
 
@@ -381,10 +383,7 @@ def roots_of(texts: DataFrame, classes: DataFrame, words: int = WORDS) -> DataFr
     pairs = materialize(bucket_pairs(cool, spanning=False).distinct(), "join-pairs")
 
     hot = shared.filter(F.col("many") > HOT)
-    tally = hot.groupBy("cls").agg(F.count("*").alias("hot"))
-    total = classes.select("cls", "n", F.size("keys").alias("all"))
-    most = F.expr(f"(n + n * 100 div {SIMILARITY}) * {100 - SIMILARITY} div {100 + SIMILARITY}")  # that can differ
-    unsure = total.join(tally, "cls").filter((F.col("all") - F.col("hot") < SURE) & (F.col("all") - F.col("hot") <= most)).select("cls")
+    unsure = undecided(classes, hot)
     hot = materialize(hot.join(unsure, "cls").select("key", "cls"), "join-hot")
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(hot.select("cls")).distinct()
@@ -407,6 +406,17 @@ def roots_of(texts: DataFrame, classes: DataFrame, words: int = WORDS) -> DataFr
     return roots
 
 
+def undecided(classes: DataFrame, hot: DataFrame) -> DataFrame:
+    """(cls): the classes in hot codes (key, cls) that have, in a band they take part in, fewer than SURE cold codes or no
+    more of them than shingles can differ. The others agree with any class they link to on a cold code of the band they
+    share, since a differing shingle spoils one code of a band at most."""
+    tally = hot.groupBy("cls").agg(F.count(F.expr("nullif(key & 1, 1)")).alias("hot0"), F.count(F.expr("nullif(key & 1, 0)")).alias("hot1"))
+    total = classes.select("cls", "n", *[F.expr(f"size(filter(keys, k -> (k & 1) = {b}))").alias(f"all{b}") for b in (0, 1)])
+    most = F.expr(f"(n + n * 100 div {SIMILARITY}) * {100 - SIMILARITY} div {100 + SIMILARITY}")
+    short = [(F.col(f"all{b}") > 0) & (F.col(f"all{b}") - F.col(f"hot{b}") < F.greatest(F.lit(SURE), most + 1)) for b in (0, 1)]
+    return total.join(tally, "cls").filter(short[0] | short[1]).select("cls")
+
+
 def inside_blocks(member: DataFrame, turn: int) -> DataFrame:
     """Pairs that would join the components inside each block of each hot code; the code's least and greatest class are
     in every block. The blocks of another turn are other ones."""

@@ -76,6 +76,17 @@ def test_equals_brute_force_with_hot_codes(spark, corpus, monkeypatch):
     assert run(spark, corpus) == brute(corpus)
 
 
+def test_a_common_passage_with_uneven_extensions(spark):
+    """All that two documents share is text that over HOT others carry too, and one has many codes of its own."""
+    rng = random.Random(24)
+    passage = sentence(rng, 184)
+    texts = [passage + " " + sentence(rng, 75) for _ in range(240)]
+    rows = list(enumerate([*texts, passage + " " + sentence(rng, 59), passage]))
+    want = brute(rows)
+    assert [c for *_, c in want] == [*range(241), 240]
+    assert run(spark, rows) == want
+
+
 def test_awkward_rows(spark, awkward):
     rows = [(r.doc_id, r.text) for r in awkward.collect()]
     got = sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id) for r in J.join(awkward).collect())
