@@ -116,12 +116,13 @@ def weighted_cuts(sample: list, parts: int) -> list:
     return cuts
 
 
-def ordered_runs(df: DataFrame, key: str, weight: Column, per_part: int = 40) -> tuple[DataFrame, int]:
+def ordered_runs(df: DataFrame, key: str, weight: Column, per_part: int = 40, marks: DataFrame | None = None) -> tuple[DataFrame, int]:
     """Deals df out by ranges of the non-null column ``key`` so that each partition also holds its neighbours.
 
     Adds ``_role`` and sorts each partition by (_role, key): -1 rows of the key just before the partition's range,
     0 its own rows, 1 rows of the key just after it (around the end: the first of all). What comes to the driver is
-    ``per_part`` sampled keys and two keys for each partition, whatever the size of df.
+    ``per_part`` sampled keys and two keys for each partition, whatever the size of df. With marks (k, host, state of each
+    row), -1 and 1 also have the nearest rows of the edge's host whose state is not the edge's.
     """
     spark = df.sparkSession
     parts = partitions(spark)
@@ -149,11 +150,35 @@ def ordered_runs(df: DataFrame, key: str, weight: Column, per_part: int = 40) ->
         if near:
             at = F.create_map(*[F.lit(x) for kv in near.items() for x in kv])
             places.append(F.when(F.col(key).isin(list(near)), F.struct(F.try_element_at(at, F.col(key)).cast("int").alias("b"), F.lit(role).alias("r"))))
-    dealt = df.withColumn("_at", F.explode(F.filter(F.array(*places), lambda x: x.isNotNull())))
+    places = F.filter(F.array(*places), lambda x: x.isNotNull())
+    if far := _far(marks, ends) if marks is not None and len(ends) > 1 else {}:
+        at = F.create_map(*[x for k, v in far.items() for x in (F.lit(k), F.array(*[F.struct(F.lit(b).alias("b"), F.lit(r).alias("r")) for b, r in sorted(v)]))])
+        places = F.when(F.col(key).isin(list(far)), F.array_union(places, F.try_element_at(at, F.col(key)))).otherwise(places)
+    dealt = df.withColumn("_at", F.explode(places))
     dealt = dealt.withColumn("_bucket", F.col("_at.b")).withColumn("_role", F.col("_at.r")).drop("_at")
     return dealt.repartitionById(parts, F.col("_bucket")).drop("_bucket"), len(ends)
 
 
+def _far(marks: DataFrame, ends: list[tuple]) -> dict[str, set[tuple[int, int]]]:
+    """For each key, the ranges and roles in which it is the nearest of the edge's host with another state."""
+    edges = marks.filter(F.col("k").isin([k for _, *x in ends for k in x])).distinct().collect()
+    wanted, found = [], []
+    for b, lo, hi in ends:
+        for e in edges:
+            other = (F.col("host") == e.host) & (F.col("state") != e.state)
+            if e.k == lo:
+                wanted.append((b, -1))
+                found.append(F.max(F.when(other & (F.col("k") < lo), F.col("k"))))
+            if e.k == hi:
+                wanted.append((b, 1))
+                found.append(F.min(F.when(other & (F.col("k") > hi), F.col("k"))))
+    out: dict[str, set[tuple[int, int]]] = {}
+    for at, k in zip(wanted, marks.agg(*[c.alias(f"c{i}") for i, c in enumerate(found)]).first(), strict=True):
+        if k is not None:
+            out.setdefault(k, set()).add(at)
+    return out
+
+
 def batches_of(rows: Iterable[tuple], names: list[str], types: list[pa.DataType], size: int = 50_000) -> Iterator[pa.RecordBatch]:
     """Record batches of at most size rows."""
     held: list[tuple] = []

@@ -1,7 +1,8 @@
 """HTML extraction by nearest-URL page differencing.
 
 Pages are put in order of host and path. Each is compared to its neighbour of the same host whose path agrees longest
-with its own (the one before in a tie; a neighbour with the very same lines tells nothing and is passed over): their
+with its own (the one before in a tie; pages with the very same lines tell nothing, so the neighbours are the nearest
+before and after whose lines differ): their
 lines (blocks of text) are aligned by longest common subsequence, and shared lines are deleted as the host's furniture.
 
 Two rules from the markup correct what differencing alone gets wrong. Lines inside an article or main element stay even
@@ -14,6 +15,7 @@ Order is dealt out by ranges of the key with the neighbouring range's edge page
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -22,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._util import map_pandas, ordered_runs
+from lodestone.llm._util import discard, map_pandas, materialize, ordered_runs
 
 # Element names and class words by role.
 RAW = frozenset("script style noscript template textarea title iframe svg math select object".split())
@@ -217,27 +219,41 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     own = pages.select(
         F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), host.alias("host"), path.alias("path"),
         F.concat_ws("\x01", host, path, url, F.lpad(F.coalesce(F.col(id_col).cast("string"), F.lit("")), 20, "0")).alias("key"))
-    dealt, _ = ordered_runs(own, "key", F.octet_length("html"))
+
+    def stated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            state = [hashlib.md5("\n".join(t for t, _ in lines(x)).encode("utf-8", "surrogatepass")).hexdigest() for x in batch["html"]]
+            yield pd.DataFrame({"k": batch["key"], "host": batch["host"], "state": state})
+
+    marks = materialize(map_pandas(own.select("key", "host", "html"), stated, "k string, host string, state string"), "html-marks")
+    dealt, _ = ordered_runs(own, "key", F.octet_length("html"), marks=marks)
+    discard(marks)
     dealt = dealt.sortWithinPartitions("_role", "key", "html")
     kind = pages.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        before = now = None
+        before, held = None, []  # held: rows in order with the very same lines
         for batch in batches:
             out = []
             for row in zip(batch["page_id"], batch["url"], batch["host"], batch["path"], batch["key"], batch["_role"], map(lines, batch["html"]), strict=True):
-                if now:
-                    out += finished(before, now, row)
-                    before = now
-                now = row
+                if held and alike(held[-1], row):
+                    held.append((*row[:6], held[-1][6]) if row[6] == held[-1][6] else row)
+                    continue
+                out += [x for now in held for x in finished(before, now, row)]
+                before, held = held[-1] if held else None, [row]
             if out:
                 yield framed(out)
-        if now and (out := finished(before, now, None)):
+        if out := [x for now in held for x in finished(before, now, None)]:
             yield framed(out)
 
     return map_pandas(dealt.select("page_id", "url", "html", "host", "path", "key", "_role"), run, f"page_id {kind}, url string, text string, n_chars long")
 
 
+def alike(a: tuple, b: tuple) -> bool:
+    """Whether two rows are of one host and have the very same lines."""
+    return a[2] == b[2] and [t for t, _ in a[6]] == [t for t, _ in b[6]]
+
+
 def finished(before: tuple | None, now: tuple, after: tuple | None) -> list[tuple]:
     """The finished row of a page of this range; nothing for a neighbouring range's."""
     page_id, url, host, path, key, role, own = now

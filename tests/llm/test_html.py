@@ -61,6 +61,14 @@ def test_an_article_keeps_its_own_header():
     assert [t for t, k in H.lines(page(body)) if k == H.ARTICLE] == ["T", "by", "x"]
 
 
+def test_a_run_of_copies_looks_past_itself(spark):
+    """Copies of a page under neighbouring URLs have one text, wherever they stand in the run and however ranges cut it."""
+    body = "<div>Our site</div><p>Copied {}.</p><div>All rights</div>"
+    rows = [(0, "http://h/a/0", page(body.format("a"))), *[(k, f"http://h/b/{k}", page(body.format("b"))) for k in range(1, 60)], (60, "http://h/c/60", page(body.format("c")))]
+    got = run(spark, rows)
+    assert [got[k] for k in range(61)] == ["Copied a.", *["Copied b."] * 59, "Copied c."]
+
+
 def test_awkward_and_empty(spark):
     rows = [(1, None, None), (2, "http://h/a", ""), (3, "http://h/a", "plain < text"), (3, "http://h/a", "plain < text"), (None, "", "<p>x"), (5, "http://h/b", page("<article></article><p>only this</p>"))]
     df = spark.createDataFrame([(*r, "c", "c") for r in rows], COLUMNS)
