@@ -6,23 +6,23 @@ A document's set is its distinct five-word shingles. Two documents link when the
 1. Documents with one and the same set form a class; all that follows is about classes.
 2. Each shingle's hash falls into a chunk, by its high bits, and a chunk's parity code is the exclusive or of the hashes in
    it. Chunk widths depend on the size band (a power of two; a class in the upper quarter of its band also takes the next
-   band's widths, so any two sizes within 4/3 share a band). Every differing shingle spoils one chunk at most, so by the
-   pigeonhole principle two linked classes agree on some chunk that is not empty as long as more such chunks are
-   compared than shingles differ. That is so for sets of under about 150 shingles. Larger sets compare ``CHUNKS`` chunks of
-   1.1 to 2.25 shingles each; a chunk of a pair at the threshold agrees with probability 0.35 to 0.47 independently of
-   the others, so all of 64 fail with probability under 1e-11, the order of a hash collision.
-3. Classes that share a chunk's code are compared by a bit sketch: bit (hash mod m) flips for each shingle. The Hamming
+   band's widths, so any two sizes within 4/3 share a band). Every differing shingle spoils one chunk at most. So of all
+   codes in one order, the first ``d + 1`` of each of two linked classes have one in common, where d is the most
+   shingles they can differ by: what stands before the first code they share is spoiled, on either side. This is exact
+   for sets of every size; the number of codes grows with the set.
+3. The order is any, as long as it is the same for all: codes whose shingles many documents of a sample repeat come last,
+   then it goes by place. What the sample misses costs time, never a link. A class (in practice none) whose chunks are
+   too few is compared to all others by its sketch (``against_all``).
+4. Classes that share a chunk's code are compared by a bit sketch: bit (hash mod m) flips for each shingle. The Hamming
    distance of two sketches is never more than the symmetric difference, so pairs above the bound are dropped safely.
-4. What is left is verified on the shingle hashes themselves (40 bits of each), re-read from the texts of the classes
-   concerned.
-5. A code that over ``HOT`` classes share comes from text that many documents repeat. A class that has, in each band it
-   takes part in, at least ``SURE`` other codes and more of them than shingles can differ is found through those by the
-   pigeonhole principle. Nothing less will do: where the repeated text is all that two classes share, every one of their
-   other codes disagrees. The others are compared inside blocks of a hot code together with two pivots of the code (``ROUNDS`` times, with other blocks), and
-   only as many pairs are verified as would join the block's components; large groups of near copies become one
-   component there. Only where a hot code's classes still are in several components are its blocks compared with each
-   other, and only pairs across components are verified. So no code's classes ever meet in one task, no group is
-   expanded into all its pairs, and no link is given up.
+5. What is left is verified on the shingle hashes themselves, re-read from the texts of the classes concerned.
+6. A code that over ``HOT`` classes share belongs to classes most of whose text others repeat: large groups of near copies,
+   or short texts around one passage. Its classes are first compared inside blocks together with two pivots of the code,
+   and only as many pairs are verified as would join a block's components; large groups become one component there.
+   Codes whose classes still are in several components are taken block against block, each pair of blocks a bucket of
+   its own, and blocks of the code's largest component are not held against each other. First again only as many pairs
+   are verified as would join components; then every plausible pair across components that is left. So no code's classes
+   ever meet in one task, no group is expanded into all its pairs, and no link is given up.
 
 Components come from alternating large-star and small-star rounds over the verified links.
 """
@@ -41,12 +41,17 @@ from lodestone.llm._util import discard, map_arrow, materialize, partitions
 
 WORDS = 5
 SIMILARITY = 75
-CHUNKS = 64
 HOT = 64
-SURE = 40
 BLOCK = 512
 SKETCH_BITS = 2048
-ROUNDS = 1
+#: Shingles per chunk at the upper end of a band. Band 5 has fewer, since its classes have few chunks to spare.
+WIDTH = {5: 1.5}
+WIDE = 2.25
+#: The sample that tells which shingles are common: so many rows, or this share of a large table; at most COMMON of them.
+SAMPLE_ROWS = 20_000
+SAMPLE_SHARE = 50
+SAMPLE_TASK = 5_000
+COMMON = 250_000
 #: Edges in one file of a round's table, so that a small table does not cost a task for each shuffle partition.
 EDGES = 200_000
 SLICE_BYTES = 2_000_000
@@ -88,25 +93,34 @@ def band_of(n: int) -> int:
     return n.bit_length() - 1
 
 
-def parity_keys(s: np.ndarray) -> np.ndarray:
-    """The codes of the chunks that are not empty, in each band the set takes part in."""
-    n, out = len(s), []
-    own = band_of(n)
-    for band in (own, own + 1) if 4 * n >= 3 << (own + 1) else (own,):
+def bands(n: int) -> list[tuple[int, int]]:
+    """The bands a set of n takes part in, each with the most shingles it can differ by from a set it links to there."""
+    own, larger = band_of(n), n * 100 // SIMILARITY
+    out = [(own, min(larger, (2 << own) - 1))]
+    if larger >= 2 << own:
+        out.append((own + 1, larger))
+    return [(band, (n + other) * (100 - SIMILARITY) // (100 + SIMILARITY)) for band, other in out]
+
+
+def parity_keys(s: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, bool]:
+    """The first codes of a set in each band it takes part in, one more than shingles can differ; and whether a band has too
+    few. Chunks that hold only common shingles (sorted hashes) come last."""
+    n, out, short = len(s), [], False
+    usual = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s if len(common) else np.zeros(n, bool)
+    for band, most in bands(n):
         if band <= 4:  # small sets: a chunk for each shingle
-            chunk, code = np.zeros(n, np.uint64), _words.mix(s + np.uint64(band))
+            chunk, code, last = np.zeros(n, np.uint64), _words.mix(s + np.uint64(band)), usual
         else:
-            width = (1.5 if band == 5 else 2.25) / (2 << band)
+            width = WIDTH.get(band, WIDE) / (2 << band)
             chunk = (s.astype(np.float64) / 2.0**64 / width).astype(np.int64)
-            upto = np.searchsorted(chunk, CHUNKS)
-            if not upto:
-                continue
-            first = np.flatnonzero(np.diff(chunk[:upto], prepend=-1))
-            code = np.bitwise_xor.reduceat(_words.mix(s[:upto] + np.uint64(band)), first)
-            chunk = chunk[:upto][first].astype(np.uint64)
-        # the lowest bit tells which of a set's two bands a code is of
-        out.append(_words.mix(code + chunk * GOLDEN + np.uint64(band)) & ~np.uint64(1) | np.uint64(band & 1))
-    return np.concatenate(out)
+            first = np.flatnonzero(np.diff(chunk, prepend=-1))
+            code = np.bitwise_xor.reduceat(_words.mix(s + np.uint64(band)), first)
+            last = np.logical_and.reduceat(usual, first)
+            chunk = chunk[first].astype(np.uint64)
+        short |= len(code) <= most
+        take = np.argsort(last, kind="stable")[: most + 1] if last.any() else slice(most + 1)
+        out.append(_words.mix(code[take] + chunk[take] * GOLDEN + np.uint64(band)))
+    return np.concatenate(out), short
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -195,10 +209,11 @@ def _framed(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def bucket_pairs(rows: DataFrame, *, spanning: bool) -> DataFrame:
-    """Plausible pairs (a < b) of classes with one bucket. rows: bucket, cls, n, sketch, comp; a bucket is of bounded size.
-    spanning: only pairs of different components, and as many as join what all of them join, the least class first."""
+    """Plausible pairs (a < b) of classes of different components with one bucket. rows: bucket, cls, n, sketch, comp, side; a
+    bucket is of bounded size. In a bucket of two sides only pairs across them are looked at. spanning: only as many pairs
+    as join what all of them join, the least class first."""
     parts = partitions(rows.sparkSession)
-    dealt = rows.select("bucket", "cls", "n", "sketch", "comp").repartition(parts, "bucket").sortWithinPartitions("bucket", "cls")
+    dealt = rows.select("bucket", "cls", "n", "sketch", "comp", "side").repartition(parts, "bucket").sortWithinPartitions("bucket", "cls")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
@@ -207,10 +222,11 @@ def bucket_pairs(rows: DataFrame, *, spanning: bool) -> DataFrame:
             if len(cls) < 2:
                 continue
             i, j = np.triu_indices(len(cls), 1)
-            if spanning:
-                comp = np.unique(g["comp"][first], return_inverse=True)[1]
-                apart = comp[i] != comp[j]
-                i, j = i[apart], j[apart]
+            comp, side = np.unique(g["comp"][first], return_inverse=True)[1], g["side"][first]
+            apart = comp[i] != comp[j]
+            if side.min() != side.max():
+                apart &= side[i] != side[j]
+            i, j = i[apart], j[apart]
             ok = plausible(g["n"][first], fold([g["sketch"][k] for k in first]), i, j)
             i, j = i[ok], j[ok]
             if spanning:
@@ -227,31 +243,9 @@ def bucket_pairs(rows: DataFrame, *, spanning: bool) -> DataFrame:
     return map_arrow(dealt, run, PAIRS)
 
 
-def block_pairs(blocks: DataFrame) -> DataFrame:
-    """Plausible pairs across components between two blocks of one hot code. blocks: for each side the lists of classes, sizes,
-    components and sketches of a block, which is of bounded size."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = [], []
-            for r in batch.to_pylist():
-                cls = np.array(r["cls"] + r["cls2"], np.int64)
-                n, comp = np.array(r["n"] + r["n2"], np.int64), np.array(r["comp"] + r["comp2"], np.int64)
-                rows, at = fold(r["sketch"] + r["sketch2"]), len(r["cls"])
-                i, j = (x.ravel() for x in np.meshgrid(np.arange(at), np.arange(at, len(cls)), indexing="ij"))
-                keep = np.flatnonzero(comp[i] != comp[j])
-                keep = keep[plausible(n, rows, i[keep], j[keep])]
-                a.append(np.minimum(cls[i[keep]], cls[j[keep]]))
-                b.append(np.maximum(cls[i[keep]], cls[j[keep]]))
-            if a:
-                yield _framed(a, b)
-
-    return map_arrow(blocks, run, PAIRS)
-
-
 def sets_of(texts: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
-    """(cls, data): the shingle hashes, 40 bits of each, of the classes wanted (cls), by a second reading of the texts. A bit
-    map of fixed size says whose to take; what it lets through besides falls out of the join."""
+    """(cls, data): the shingle hashes of the classes wanted (cls), by a second reading of the texts. A bit map of fixed size
+    says whose to take; what it lets through besides falls out of the join."""
     spark = wanted.sparkSession
     slot = F.pmod(F.col("cls"), F.lit(MAP_BITS))
     marks = wanted.select((slot / 64).cast("int").alias("w"), (slot % 64).cast("int").alias("i"))
@@ -273,7 +267,7 @@ def sets_of(texts: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFram
                         if len(seen) < SEEN:
                             seen.add(c)
                         cls.append(c)
-                        data.append(s.view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
+                        data.append(s.tobytes())
                 if cls:
                     yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(data, pa.binary())], names=["cls", "data"])
 
@@ -286,16 +280,12 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that do link, by their sets (cls, data)."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def opened(data: bytes) -> np.ndarray:
-            x = np.zeros((len(data) // 5, 8), np.uint8)
-            x[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-            return x.view(np.uint64).ravel()
-
         for batch in batches:
             keep = []
-            for k, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)):
-                both = len(np.intersect1d(opened(x), opened(y)))
-                if 100 * both >= SIMILARITY * (len(x) // 5 + len(y) // 5 - both):
+            for k, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
+                a, b = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                if 100 * both >= SIMILARITY * (len(a) + len(b) - both):
                     keep.append(k)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
@@ -320,50 +310,90 @@ def components(edges: DataFrame) -> DataFrame:
         discard(old)
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
         if now == state:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out.written = e.written
+            return out
         state, parts = now, 1 + now.n // EDGES
 
 
+def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
+    """Sorted hashes of shingles that many documents of a sample repeat, COMMON at most; only the order of codes hangs on them.
+    A task tells of shingles that two of its documents hold, so what it sends is small."""
+    n = docs.count()
+    share = max(SAMPLE_ROWS, n // SAMPLE_SHARE) / max(n, 1)
+    rows = docs if share >= 1 else docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("common")), F.lit(1_000_000_007)) < int(share * 1_000_000_007))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for part in _words.slices(batch, "text", SLICE_BYTES):
+                for s in shingle_sets(part, "text", words):
+                    held.append(s)
+                    size += len(s)
+                if size > 4_000_000:
+                    yield repeated(held)
+                    held, size = [], 0
+        if held:
+            yield repeated(held)
+
+    def repeated(held: list[np.ndarray]) -> pa.RecordBatch:
+        s, many = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(s[many > 1].view(np.int64)), pa.array(many[many > 1])], names=["s", "many"])
+
+    rows = rows.select("text").coalesce(max(1, round(min(1, share) * n) // SAMPLE_TASK))
+    found = map_arrow(rows, run, "s long, many long").groupBy("s").agg(F.sum("many").alias("many")).filter("many > 4")
+    return np.sort(found.orderBy(F.desc("many"), "s").limit(COMMON).select("s").toArrow().column("s").to_numpy().view(np.uint64))
+
+
 def prepared(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n, cls for each document; keys and sketch beside the first document of a class in each task."""
+    """doc_id, n, cls for each document; keys, sketch and short beside the first document of a class in each task."""
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for part in _words.slices(batch, "text", SLICE_BYTES):
-                n, cls, keys, sketches = [], [], [], []
+                n, cls, keys, sketches, short = [], [], [], [], []
                 for s in shingle_sets(part, "text", words):
                     n.append(len(s))
                     c = class_of(s) if len(s) else None
                     cls.append(c)
                     new = c is not None and c not in seen
-                    keys.append(parity_keys(s).view(np.int64) if new else None)
+                    codes, few = parity_keys(s, shared.value) if new else (None, None)
+                    keys.append(codes.view(np.int64) if new else None)
                     sketches.append(sketch(s) if new else None)
+                    short.append(few)
                     if new:
                         if len(seen) > SEEN:
                             seen.clear()
                         seen.add(c)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                    names=["doc_id", "n", "cls", "keys", "sketch"])
+                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(short, pa.bool_())],
+                    names=["doc_id", "n", "cls", "keys", "sketch", "short"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_arrow(docs, run, f"doc_id {kind}, n long, cls long, keys array<long>, sketch binary")
+    return map_arrow(docs, run, f"doc_id {kind}, n long, cls long, keys array<long>, sketch binary, short boolean")
 
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id for each row: the least doc_id that links lead to.
 
     Null and blank texts have no shingles and link with nothing, not even each other. Rows with one id are documents of
-    their own; a null id counts as no id when the least is taken, unless a component has no other. Other columns are not read.
+    their own; a null id counts as no id when the least is taken, unless a component has no other. Very long texts are
+    taken whole, one at a time. No rows in: no rows out. Other columns are not read.
     """
-    spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = materialize(prepared(own, words), "join-rows")
+    coded = materialize(prepared(own, words), "join-codes")
+    rows = materialize(coded.select("doc_id", "n", "cls"), "join-rows")
     # one row per class; copies were dropped inside each task already
-    classes = materialize(rows.filter("keys is not null").groupBy("cls", "n").agg(F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "join-classes")
-    roots = roots_of(own, classes, words)
-    discard(classes)
+    classes = materialize(coded.filter("keys is not null").groupBy("cls", "n").agg(F.first("sketch").alias("sketch"), F.first("short").alias("short")), "join-classes")
+    # a code that one class alone has tells nothing; copies of a class from several tasks are one
+    keyed = coded.filter("keys is not null").select("cls", F.explode("keys").alias("key"))
+    several = keyed.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi").select("key")
+    shared = materialize(keyed.join(several, "key").distinct(), "join-shared")
+    discard(coded)
+    roots = roots_of(own, classes, shared, words)
+    discard(classes, shared)
     least = rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low"))
     named = least.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     named = materialize(named, "join-named")
@@ -373,64 +403,93 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wor
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def roots_of(texts: DataFrame, classes: DataFrame, words: int = WORDS) -> DataFrame:
-    """(node, root) of all classes (cls, n, keys, sketch) that are linked: the components of all links."""
-    keyed = classes.select("cls", F.explode("keys").alias("key"))
-    counts = keyed.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1")
-    shared = materialize(keyed.join(counts, "key"), "join-shared")
-    marks = classes.select("cls", "n", "sketch", F.col("cls").alias("comp"))
-    cool = shared.filter(F.col("many") <= HOT).select(F.col("key").alias("bucket"), "cls").join(marks, "cls")
-    pairs = materialize(bucket_pairs(cool, spanning=False).distinct(), "join-pairs")
-
-    hot = shared.filter(F.col("many") > HOT)
-    unsure = undecided(classes, hot)
-    hot = materialize(hot.join(unsure, "cls").select("key", "cls"), "join-hot")
+def roots_of(texts: DataFrame, classes: DataFrame, shared: DataFrame, words: int = WORDS) -> DataFrame:
+    """(node, root) of all classes (cls, n, sketch, short) that are linked: the components of all links. shared: (key, cls) of
+    the codes that several classes have."""
+    counts = shared.groupBy("key").agg(F.count("*").alias("many"))
+    cool = shared.join(counts.filter(F.col("many") <= HOT), "key").select(F.col("key").alias("bucket"), "cls")
+    hot = materialize(shared.join(counts.filter(F.col("many") > HOT), "key").select("key", "cls"), "join-hot")
+    marks = classes.select("cls", "n", "sketch")
+    pairs = bucket_pairs(cool.join(marks, "cls").select("*", F.col("cls").alias("comp"), F.lit(0).alias("side")), spanning=False)
+    pairs = materialize(pairs.unionByName(against_all(classes)).distinct(), "join-pairs")
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(hot.select("cls")).distinct()
     sets = sets_of(texts, wanted, words)
     roots = components(verified(pairs, sets))
-    for turn in range(ROUNDS + 1):
-        # hot codes whose classes are in one component are done
-        member = hot.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
-        mixed = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("many"), F.min("cls").alias("p"), F.max("cls").alias("q")).filter("lo <> hi")
-        member = materialize(member.join(mixed.drop("lo", "hi"), "key").join(marks.drop("comp"), "cls"), "join-members")
-        if member.isEmpty():
-            discard(member)
+    discard(pairs)
+    for step in (inside_blocks, across_blocks, lambda member: across_blocks(member, spanning=False)):
+        member = mixed_members(hot, roots, marks)
+        more = None if member.isEmpty() else materialize(step(member).distinct(), "join-pairs")
+        if more is not None:
+            # what was found stands as stars, which further rounds only join
+            old, roots = roots, components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(more, sets)))
+            discard(old, more)
+        discard(member)
+        if more is None:
             break
-        more = inside_blocks(member, turn) if turn < ROUNDS else across_blocks(member)
-        more = materialize(more.distinct(), "join-pairs")
-        # what was found stands as stars, which further rounds only join
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(more, sets)))
-        discard(member, more)
-    discard(shared, pairs, hot, sets)
+    discard(hot, sets)
     return roots
 
 
-def undecided(classes: DataFrame, hot: DataFrame) -> DataFrame:
-    """(cls): the classes in hot codes (key, cls) that have, in a band they take part in, fewer than SURE cold codes or no
-    more of them than shingles can differ. The others agree with any class they link to on a cold code of the band they
-    share, since a differing shingle spoils one code of a band at most."""
-    tally = hot.groupBy("cls").agg(F.count(F.expr("nullif(key & 1, 1)")).alias("hot0"), F.count(F.expr("nullif(key & 1, 0)")).alias("hot1"))
-    total = classes.select("cls", "n", *[F.expr(f"size(filter(keys, k -> (k & 1) = {b}))").alias(f"all{b}") for b in (0, 1)])
-    most = F.expr(f"(n + n * 100 div {SIMILARITY}) * {100 - SIMILARITY} div {100 + SIMILARITY}")
-    short = [(F.col(f"all{b}") > 0) & (F.col(f"all{b}") - F.col(f"hot{b}") < F.greatest(F.lit(SURE), most + 1)) for b in (0, 1)]
-    return total.join(tally, "cls").filter(short[0] | short[1]).select("cls")
+def mixed_members(hot: DataFrame, roots: DataFrame, marks: DataFrame) -> DataFrame:
+    """The classes of each hot code whose classes are in several components: key, cls, n, sketch, comp; many, and rest: how many
+    are in the code's largest component or not; main: that component; p, q: its least and greatest class."""
+    member = hot.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
+    size = member.groupBy("key", "comp").agg(F.count("*").alias("k"), F.min("cls").alias("p"), F.max("cls").alias("q"))
+    main = F.max(F.struct("k", "comp"))
+    per = size.groupBy("key").agg(F.sum("k").alias("many"), main["comp"].alias("main"), (F.sum("k") - main["k"]).alias("rest"), F.min("p").alias("p"), F.max("q").alias("q"))
+    return materialize(member.join(per.filter("rest > 0"), "key").join(marks, "cls"), "join-members")
 
 
-def inside_blocks(member: DataFrame, turn: int) -> DataFrame:
+def inside_blocks(member: DataFrame) -> DataFrame:
     """Pairs that would join the components inside each block of each hot code; the code's least and greatest class are
-    in every block. The blocks of another turn are other ones."""
+    in every block."""
     blocks = F.ceil(F.col("many") / HOT)
-    own = member.withColumn("block", F.pmod(F.xxhash64("cls", F.lit(turn)), blocks))
+    own = member.withColumn("block", F.pmod(F.xxhash64("cls"), blocks))
     pivot = member.filter("cls = p or cls = q").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    return bucket_pairs(own.unionByName(pivot).withColumn("bucket", F.xxhash64("key", "block")), spanning=True)
+    return bucket_pairs(own.unionByName(pivot).withColumn("bucket", F.xxhash64("key", "block")).withColumn("side", F.lit(0)), spanning=True)
+
+
+def across_blocks(member: DataFrame, *, spanning: bool = True) -> DataFrame:
+    """Plausible pairs across components of each hot code, a bucket for each two of its blocks. The largest component has
+    blocks of its own, which meet only the others'."""
+    few, many = F.ceil(F.col("rest") / BLOCK), F.ceil((F.col("many") - F.col("rest")) / BLOCK)
+    inside = F.col("comp") == F.col("main")
+    at = F.pmod(F.xxhash64("cls"), F.when(inside, many).otherwise(few)) + F.when(inside, few).otherwise(F.lit(0))
+    dealt = member.withColumn("block", at).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(inside, few).otherwise(few + many) - 1)))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    return bucket_pairs(dealt.withColumn("bucket", F.xxhash64("key", low, high)).withColumn("side", (F.col("block") > F.col("other")).cast("int")), spanning=spanning)
+
+
+def against_all(classes: DataFrame) -> DataFrame:
+    """Plausible pairs of each class marked short with all classes: a query set, in blocks of at most BLOCK. Of random hashes
+    about one in 10**9 sets falls into too few chunks."""
+    spark = classes.sparkSession
+    short = classes.filter("short").select("cls", "n", "sketch")
+    out = spark.createDataFrame([], PAIRS)
+    many = short.count()
+    for b in range(-(-many // BLOCK)):
+        block = short.filter(F.pmod(F.xxhash64("cls"), F.lit(-(-many // BLOCK))) == b).collect()
+        if block:
+            out = out.unionByName(_against(classes, [tuple(r) for r in block]))
+    return out
+
 
+def _against(classes: DataFrame, block: list[tuple]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cls, n, sketches = map(list, zip(*[(c, m, bytes(x)) for c, m, x in block], strict=True))
+        for batch in batches:
+            a, b = [], []
+            for c, m, x in zip(batch.column("cls").to_pylist(), batch.column("n").to_pylist(), batch.column("sketch").to_pylist(), strict=True):
+                near = [k for k, size in enumerate(n) if 100 * min(size, m) >= SIMILARITY * max(size, m) and cls[k] != c]
+                if near:
+                    rows, sizes = fold([x, *[sketches[k] for k in near]]), np.array([m, *[n[k] for k in near]])
+                    i = np.arange(1, len(rows))
+                    hit = plausible(sizes, rows, np.zeros_like(i), i)
+                    other = np.array([cls[k] for k in near], np.int64)[hit]
+                    a.append(np.minimum(other, c))
+                    b.append(np.maximum(other, c))
+            if a:
+                yield _framed(a, b)
 
-def across_blocks(member: DataFrame) -> DataFrame:
-    """All plausible pairs across components of each hot code, block by block."""
-    member = member.withColumn("block", F.pmod(F.xxhash64("cls"), F.ceil(F.col("many") / BLOCK)))
-    blocks = member.groupBy("key", "block").agg(*[F.collect_list(c).alias(c) for c in ("cls", "n", "comp", "sketch")])
-    blocks = blocks.withColumn("lo", F.array_min("comp")).withColumn("hi", F.array_max("comp"))
-    other = blocks.select("key", *[F.col(c).alias(f"{c}2") for c in ("block", "cls", "n", "comp", "sketch", "lo", "hi")])
-    both = blocks.join(other, "key").filter("block <= block2 and least(lo, lo2) <> greatest(hi, hi2)")
-    return block_pairs(both.select("cls", "n", "comp", "sketch", "cls2", "n2", "comp2", "sketch2"))
+    return map_arrow(classes.select("cls", "n", "sketch"), run, PAIRS)

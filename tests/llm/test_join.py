@@ -71,7 +71,6 @@ def test_equals_brute_force_with_hot_codes(spark, corpus, monkeypatch):
     """With tiny limits nearly every shared code is hot and every block is small, so the other way does the work."""
     monkeypatch.setattr(J, "HOT", 3)
     monkeypatch.setattr(J, "BLOCK", 4)
-    monkeypatch.setattr(J, "SURE", 10_000)
     monkeypatch.setattr(J, "SIMILARITY", 75)
     assert run(spark, corpus) == brute(corpus)
 
@@ -87,6 +86,62 @@ def test_a_common_passage_with_uneven_extensions(spark):
     assert run(spark, rows) == want
 
 
+def edited_pair(rng, n, similarity):
+    """Two texts of about n words whose similarity lies close to the one given: one run of words is another in the second."""
+    a = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    k = round((n - 4) * (1 - similarity) / (1 + similarity)) - 4
+    at = rng.randrange(1, n - k)
+    return " ".join(a), " ".join([*a[:at], *[f"x{rng.randrange(10**9)}" for _ in range(k)], *a[at + k :]])
+
+
+def test_large_sets_around_the_threshold(spark):
+    """Each pair is by itself near 0.75, so a single missed code would show; also chains of sizes across a band's end."""
+    rng = random.Random(7)
+    rows, k = [], 0
+    for n in (500, 760, 1020, 1030, 1500, 2040, 2060, 3000, 5000):
+        for similarity in (0.74, 0.748, 0.7499, 0.7501, 0.752, 0.76):
+            for t in edited_pair(rng, n, similarity):
+                rows.append((k, t))
+                k += 1
+        long = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+        rows += [(k, " ".join(long)), (k + 1, " ".join(long[: n * 3 // 4 + 4])), (k + 2, " ".join(long[: n * 3 // 4 - 30]))]
+        k += 3
+    want = brute(rows)
+    assert 0.3 < sum(d == c for _, d, _, c in want) / len(want) < 0.9
+    assert run(spark, rows) == want
+
+
+def test_codes_outnumber_what_two_linked_sets_can_differ_by():
+    """Of two sets at the threshold the first codes always share one, whichever shingles count as common."""
+    rng = np.random.default_rng(11)
+    for n in [*range(1, 70), 127, 128, 191, 192, 400, 1023, 1024, 3000]:
+        for _ in range(4):
+            m = int(rng.integers(-(-3 * n // 4), n + 1))
+            both = -(-75 * (n + m) // 175)
+            pool = np.unique(rng.integers(0, 2**63, 2 * (n + m)).astype(np.uint64) << np.uint64(1))
+            rng.shuffle(pool)
+            a, b = np.sort(pool[:n]), np.sort(np.concatenate([pool[:both], pool[n : n + m - both]]))
+            common = np.sort(rng.choice(pool, len(pool) // 2, replace=False))
+            for usual in (common[:0], common, np.sort(pool)):
+                (x, few), (y, also) = J.parity_keys(a, usual), J.parity_keys(b, usual)
+                assert not few and not also and len(np.intersect1d(x, y))
+
+
+def test_sets_with_too_few_codes_are_held_against_all(spark):
+    got = J.against_all(spark.createDataFrame([(k, 10, J.sketch(np.arange(k, k + 10, dtype=np.uint64)), k == 3) for k in (2, 3, 4, 5, 90)], "cls long, n long, sketch binary, short boolean"))
+    assert sorted(map(tuple, got.collect())) == [(2, 3), (3, 4)]
+
+
+def test_a_hot_code_of_many_components(spark, monkeypatch):
+    """Short texts around one passage: most share codes, few link; the blocks of a code are buckets of their own."""
+    monkeypatch.setattr(J, "HOT", 4)
+    monkeypatch.setattr(J, "BLOCK", 6)
+    rng = random.Random(31)
+    passage = sentence(rng, 40)
+    rows = list(enumerate(passage + " " + sentence(rng, rng.choice((3, 8, 12, 14, 20))) for _ in range(120)))
+    assert run(spark, rows) == brute(rows)
+
+
 def test_awkward_rows(spark, awkward):
     rows = [(r.doc_id, r.text) for r in awkward.collect()]
     got = sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id) for r in J.join(awkward).collect())
