@@ -3,189 +3,238 @@
 A known word scores its log frequency in each language; an unseen word falls back to its character n-grams, longest
 first, and takes the mean log frequency of those that are known. Only frequencies are learnt.
 
-Learning takes a bounded sample: at most about ``SAMPLE_ROWS`` labelled rows, chosen by a hash of the id, and keeps the
-``MAX_WORDS`` most frequent words and ``MAX_GRAMS`` n-grams of all languages together, so the model that goes out to the
-executors has a fixed bound. Prediction reads every document whole, in one pass without a shuffle.
+Learning takes a bounded sample, ``SAMPLE_ROWS`` labelled rows at most in expectation, as many of each language as there
+are (so a rare language is learnt like a frequent one), chosen by a hash of the id. The model keeps ``MAX_WORDS`` words and
+``MAX_GRAMS`` n-grams, each language's most frequent ones, so what goes out to the executors has a fixed bound.
+Prediction reads every document whole, in one pass without a shuffle.
+
+Words and n-grams are 64-bit hashes of their code points, so a batch of texts is scored in numpy: the words of all texts
+at once, and the backoff once for each distinct unseen word.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm._util import batches_of, crc_mod, discard, map_arrow, materialize, release
-from lodestone.llm._words import slices
+from lodestone.llm import _words
+from lodestone.llm._util import crc_mod, discard, map_arrow, materialize, partitions, release
 
 SAMPLE_ROWS = 10_000
-MAX_WORDS = 40_000
-MAX_GRAMS = 40_000
+MAX_WORDS = 60_000
+MAX_GRAMS = 60_000
 LONGEST = 5
 #: An unseen event's share of a language's words or n-grams, and what each step back costs (natural logs).
 UNSEEN = 0.5
 STEP_BACK = math.log(0.4)
-CACHE = 250_000
 SLICE_BYTES = 4_000_000
 UNKNOWN = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Stand before and after a word when its n-grams are taken.
+BEGIN, END = 2, 3
 
 
 @dataclass
 class Model:
-    """languages; for words and n-grams the row of each in a table of log frequencies by language; the rows of unseen
-    ones, by length of n-gram."""
+    """languages; for words (size 0) and n-grams by their length: sorted hashes, and log frequencies by language."""
 
     languages: list[str]
-    rows: dict[str, int]
-    logs: np.ndarray
-    floor: np.ndarray
-
-    def vector(self, token: str) -> np.ndarray:
-        """Sum over the letter runs of a token of their log frequencies by language."""
-        total = np.zeros(len(self.languages))
-        for word in LETTERS.findall(token.lower()):
-            total += self._word(word)
-        return total
-
-    def _word(self, word: str) -> np.ndarray:
-        at = self.rows.get(word)
-        if at is not None:
-            return self.logs[at]
-        padded = f"\x02{word}\x03"
-        for n in range(LONGEST, 0, -1):
-            # n-grams are keyed by their length, apart from words
-            known = [r for k in range(len(padded) - n + 1) if (r := self.rows.get(f"{n}\x01{padded[k:k + n]}")) is not None]
-            if known:
-                return np.add.reduce(self.logs[known]) / len(known) + STEP_BACK * (LONGEST + 1 - n)
-        return self.floor
-
-
-def count_features(text: str) -> Counter:
-    """Words, and n-grams of the padded words, keyed as in Model."""
-    words = Counter(LETTERS.findall(text.lower()))
-    out = Counter(words)
-    for word, c in words.items():
-        padded = f"\x02{word}\x03"
-        for n in range(1, LONGEST + 1):
-            for k in range(len(padded) - n + 1):
-                out[f"{n}\x01{padded[k:k + n]}"] += c
-    return out
+    hashes: dict[int, np.ndarray] = field(default_factory=dict)
+    logs: dict[int, np.ndarray] = field(default_factory=dict)
+
+    def known(self, size: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are known, and the rows of those in logs."""
+        have = self.hashes.get(size)
+        if have is None or not len(have):
+            return np.zeros(len(h), bool), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(have, h), len(have) - 1)
+        hit = have[at] == h
+        return hit, at[hit]
+
+
+@cache
+def letters() -> np.ndarray:
+    """For each code point whether it is a letter."""
+    return np.fromiter((chr(k).isalpha() for k in range(0x110000)), bool, 0x110000)
+
+
+def span_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of code points, equal for equal spans wherever they stand."""
+    total = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum((points.astype(np.uint64) + np.uint64(1)) * _words._power("up", _words.BASE, len(points)), out=total[1:])
+    return _words.mix((total[ends] - total[starts]) * _words._power("down", _words.INVERSE, len(points) + 1)[starts])
+
+
+def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words (runs of letters, lower case) of all texts: code points, starts, ends, hashes, and the text of each."""
+    low = [(t or "").lower() for t in texts]
+    points = np.frombuffer("\n".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = np.zeros(len(points) + 2, bool)
+    inside[1:-1] = letters()[points]
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edge[::2], edge[1::2]
+    begin = np.cumsum([0, *[len(t) + 1 for t in low]])
+    return points, starts, ends, span_hashes(points, starts, ends), np.searchsorted(begin, starts, side="right") - 1
+
+
+def padded(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words one after the other, each between BEGIN and END: code points, starts, sizes."""
+    sizes = ends - starts + 2
+    begin = np.cumsum(sizes) - sizes
+    place = np.repeat(starts - begin - 1, sizes) + np.arange(sizes.sum())
+    out = points[np.clip(place, 0, len(points) - 1)] if len(points) else np.zeros(0, np.uint32)
+    out[begin], out[begin + sizes - 1] = BEGIN, END
+    return out, begin, sizes
+
+
+def grams(points: np.ndarray, begin: np.ndarray, sizes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all n-grams inside each padded word, and the word of each."""
+    many = np.maximum(sizes - n + 1, 0)
+    word = np.repeat(np.arange(len(sizes)), many)
+    at = np.arange(many.sum()) + np.repeat(begin - (np.cumsum(many) - many), many)
+    return span_hashes(points, at, at + n), word
+
+
+def count_features(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For words (0) and n-grams by length: distinct hashes and how often each stands in the texts."""
+    points, starts, ends, h, _ = words_of(texts)
+    distinct, first, many = np.unique(h, return_index=True, return_counts=True)
+    yield 0, distinct, many
+    shown = padded(points, starts[first], ends[first])
+    for n in range(1, LONGEST + 1):
+        g, word = grams(*shown, n)
+        seen, at = np.unique(g, return_inverse=True)
+        yield n, seen, np.bincount(at, many[word], len(seen)).astype(np.int64)
 
 
 def train(rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learns from rows whose text and language are not null; without any, the model has no language.
 
-    The frequent words and n-grams are chosen by count, then by code point, so reruns agree.
+    Of each language the features most frequent in it are kept (ties by their hash), as many for each, so reruns agree.
+    Repeated rows count again; texts without a letter teach nothing; very long texts are read whole; an empty table
+    gives an empty model. Other columns are not read.
     """
-    labelled = rows.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).filter("t is not null and l is not null")
-    n = labelled.count()
-    if n > sample_rows:
-        labelled = labelled.filter(F.pmod(F.xxhash64("i", F.lit("language")), F.lit(1_000_000)) < int(sample_rows / n * 1_000_000))
+    labelled = rows.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).filter("t is not null and l is not null")
+    share = shares({r.l: r["count"] for r in labelled.groupBy("l").count().collect()}, sample_rows)
+    if not share:
+        return Model([])
+    if cut := {lang: s for lang, s in share.items() if s < 1}:
+        most = F.create_map(*[F.lit(x) for lang, s in cut.items() for x in (lang, int(s * 2**62))])
+        place = F.shiftrightunsigned(F.xxhash64("i", F.lit("language")), 2)
+        labelled = labelled.filter(place < F.coalesce(F.try_element_at(most, F.col("l")), F.lit(2**62)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # counts of some batches together; what is rare in them is still sent on, so no count is lost
-        held: dict[str, Counter] = {}
         for batch in batches:
-            for text, lang in zip(batch.column("t").to_pylist(), batch.column("l").to_pylist(), strict=True):
-                held.setdefault(lang, Counter()).update(count_features(text))
-                if sum(map(len, held.values())) > 300_000:
-                    yield from sent(held)
-                    held = {}
-        yield from sent(held)
-
-    def sent(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
-        return batches_of(((lang, f, n) for lang, c in held.items() for f, n in c.items()), ["l", "f", "n"], [pa.string(), pa.string(), pa.int64()])
-
-    counts = map_arrow(labelled.select("t", "l"), count, "l string, f string, n long").groupBy("f", "l").agg(F.sum("n").alias("n"))
-    gram = F.substring("f", 2, 1) == "\x01"
-    size = F.when(gram, F.substring("f", 1, 1).cast("int")).otherwise(0)
-    counts = materialize(counts.withColumn("size", size), "language-counts")
+            for part in _words.slices(batch, "t", SLICE_BYTES):
+                by: dict[str, list[str]] = {}
+                for text, lang in zip(part.column("t").to_pylist(), part.column("l").to_pylist(), strict=True):
+                    by.setdefault(lang, []).append(text)
+                for lang, texts in by.items():
+                    for size, h, n in count_features(texts):
+                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(np.full(len(h), size, np.int32)), pa.array(h.view(np.int64)), pa.array(n)], names=["l", "size", "f", "n"])
+
+    # the sample is small: dealt out anew, since a table may be one file
+    sample = labelled.select("t", "l").repartition(partitions(rows.sparkSession))
+    counts = map_arrow(sample, count, "l string, size int, f long, n long").groupBy("f", "size", "l").agg(F.sum("n").alias("n"))
+    counts = materialize(counts, "language-counts")
     totals = {(r.l, r["size"]): r.n for r in counts.groupBy("l", "size").agg(F.sum("n").alias("n")).collect()}
     languages = sorted({lang for lang, _ in totals})
     if not languages:
-        return Model([], {}, np.zeros((0, 0)), np.zeros(0))
+        return Model([])
+    quota = F.when(F.col("size") > 0, MAX_GRAMS // len(languages)).otherwise(MAX_WORDS // len(languages))
+    nth = F.row_number().over(Window.partitionBy("l", F.col("size") > 0).orderBy(F.desc("n"), "f", "size"))
+    best = counts.withColumn("nth", nth).filter(F.col("nth") <= F.greatest(quota, F.lit(1))).select("f", "size").distinct()
     by = [F.sum(F.when(F.col("l") == lang, F.col("n")).otherwise(0)).alias(f"n{k}") for k, lang in enumerate(languages)]
-    best = counts.groupBy("f", "size").agg(F.sum("n").alias("n"), *by)
-    features: list[str] = []
-    logs = []
-    for is_gram, most in ((False, MAX_WORDS), (True, MAX_GRAMS)):
-        kept = best.filter((F.col("size") > 0) == is_gram).orderBy(F.desc("n"), "f").limit(most).toArrow()
-        features += kept.column("f").to_pylist()
-        size = kept.column("size").to_numpy()
-        total = np.array([[math.log(totals.get((lang, s), 0) + UNSEEN) for s in range(LONGEST + 1)] for lang in languages])
-        logs.append(np.stack([np.log(kept.column(f"n{k}").to_numpy() + UNSEEN) - total[k][size] for k in range(len(languages))], axis=1))
+    kept = counts.join(best, ["f", "size"]).groupBy("f", "size").agg(*by).toArrow()
+    model = Model(languages)
+    f, size = kept.column("f").to_numpy().view(np.uint64), kept.column("size").to_numpy()
+    n = np.stack([kept.column(f"n{k}").to_numpy() for k in range(len(languages))], axis=1)
+    for s in range(LONGEST + 1):
+        own = np.flatnonzero(size == s)
+        own = own[np.argsort(f[own])]
+        total = np.log([totals.get((lang, s), 0) + UNSEEN for lang in languages])
+        model.hashes[s], model.logs[s] = f[own], np.log(n[own] + UNSEEN) - total
     discard(counts)
     release()
-    return Model(languages, {f: k for k, f in enumerate(features)}, np.concatenate(logs), np.zeros(len(languages)))
+    return model
 
 
-class Rows(dict):
-    """The row of each token in a table of its log frequencies by language; 0 for tokens without a letter. Rows come as
-    tokens do; see trim()."""
-
-    def __init__(self, model: Model):
-        super().__init__()
-        self.model, self.used = model, 1
-        self.table = np.zeros((1024, len(model.languages)))
+def shares(sizes: dict[str, int], most: int) -> dict[str, float]:
+    """The share of each language's rows to take, so that all together are ``most`` and no language is cut below another."""
+    left, out = most, {}
+    for k, (lang, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        own = min(n, left / (len(sizes) - k))
+        out[lang] = own / n
+        left -= own
+    return out
 
-    def __missing__(self, token: str) -> int:
-        row = 0
-        if any(map(str.isalpha, token)):
-            row = self.used
-            if row == len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[row] = self.model.vector(token)
-            self.used += 1
-        self[token] = row
-        return row
 
-    def trim(self) -> None:
-        if len(self) > CACHE:
-            self.clear()
-            self.used = 1
+def word_scores(model: Model, points: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Log frequencies by language of distinct words: their own, or the mean of their longest known n-grams; 0 for a word
+    without any."""
+    out = np.zeros((len(h), len(model.languages)))
+    hit, at = model.known(0, h)
+    out[hit] = model.logs[0][at] if len(at) else 0
+    left = np.flatnonzero(~hit)
+    for n in range(LONGEST, 0, -1):
+        if not len(left):
+            break
+        g, word = grams(*padded(points, starts[left], ends[left]), n)
+        hit, at = model.known(n, g)
+        if len(at):
+            many = np.bincount(word[hit], minlength=len(left))
+            found = many > 0
+            for k in range(len(model.languages)):
+                total = np.bincount(word[hit], model.logs[n][at, k], len(left))
+                out[left[found], k] = total[found] / many[found] + STEP_BACK * (LONGEST + 1 - n)
+            left = left[~found]
+    return out
 
 
-def scores(texts: Iterator[str | None], rows: Rows) -> Iterator[tuple[str, float]]:
+def scores(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray]:
     """The language of each whole text and its share of the posterior (equal priors). Ties go to the first by code point."""
-    for text in texts:
-        tokens = Counter(text.split()) if text else {}
-        rows.trim()
-        at = [rows[t] for t in tokens]
-        if not any(at) or not rows.model.languages:
-            yield UNKNOWN, 0.0
-            continue
-        total = np.fromiter(tokens.values(), np.float64, len(at)) @ rows.table[at]
-        share = np.exp(total - total.max())
-        yield rows.model.languages[int(total.argmax())], float(share.max() / share.sum())
+    points, starts, ends, h, text = words_of(texts)
+    if not len(h) or not model.languages:
+        return [UNKNOWN] * len(texts), np.zeros(len(texts))
+    distinct, first, at = np.unique(h, return_index=True, return_inverse=True)
+    by = word_scores(model, points, starts[first], ends[first], distinct)
+    total = np.stack([np.bincount(text, by[at, k], len(texts)) for k in range(len(model.languages))], axis=1)
+    share = np.exp(total - total.max(axis=1, keepdims=True))
+    some = np.bincount(text, minlength=len(texts)) > 0
+    names = [model.languages[k] if s else UNKNOWN for k, s in zip(total.argmax(axis=1).tolist(), some.tolist(), strict=True)]
+    return names, np.where(some, share.max(axis=1) / share.sum(axis=1), 0.0)
 
 
 def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """doc_id, the columns in keep, lang_pred, score for each row. Null texts and texts without a letter: und, 0."""
+    """doc_id, the columns in keep, lang_pred, score for each row.
+
+    Null texts and texts without a letter, and all texts if the model has no language: und, 0. Repeated rows are judged
+    each on its own; a very long text is taken whole, alone; no rows in: no rows out. Of other columns only those in keep
+    are read; they must not be called doc_id, lang_pred or score.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = keep or []
     chosen = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = Rows(shared.value)
         for batch in batches:
-            for part in slices(batch, "_text", SLICE_BYTES):
-                found = list(scores(part.column("_text").to_pylist(), rows))
-                new = [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new], names=[*part.schema.names[:-1], "lang_pred", "score"])
+            for part in _words.slices(batch, "_text", SLICE_BYTES):
+                names, share = scores(part.column("_text").to_pylist(), shared.value)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(names, pa.string()), pa.array(share)], names=[*part.schema.names[:-1], "lang_pred", "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
     return map_arrow(chosen, run, f"{fields}, lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """Contract columns: doc_id, held_out, lang_pred, score. Learns from rows whose crc32(id) mod 5 is not 0."""
+    """Contract columns: doc_id, held_out, lang_pred, score. Learns from rows whose crc32(id) mod 5 is not 0 (a null id
+    counts as the empty text). Nulls, repeats, very long texts, empty tables and other columns as in train and predict."""
     held_out = crc_mod(F.col("doc_id"), 5) == 0
     model = train(docs.filter(~held_out))
     return predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
