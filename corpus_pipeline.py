@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, language_id, mixing, ngram_join, toxicity
-from lodestone.llm._util import materialize
+from lodestone.llm._util import discard, materialize
 
 #: A language that is less likely than this against all others together is no decision.
 LANGUAGE_SCORE = 0.5
@@ -27,32 +28,42 @@ def kept(docs: DataFrame, judge: Callable[..., DataFrame], condition: str) -> Da
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are predicted toxic go."""
+    """Documents that are predicted toxic go. Null and empty texts are not; repeated rows are judged alike; an empty table stays one."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return kept(docs, lambda d, **names: toxicity.score(d, model, **names), "predicted = 0")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no language that was learnt, or in none more likely than not, go."""
+    """Documents in no language that was learnt, or in none more likely than not, go; so do null texts and those without a letter.
+    Repeated rows are judged alike; an empty table stays one."""
     model = language_id.train(docs)
     return kept(docs, lambda d, **names: language_id.predict(d, model, **names), f"lang_pred <> '{language_id.UNKNOWN}' and score >= {LANGUAGE_SCORE}")
 
 
 def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that with the least doc_id. Rows that share this id stay together."""
-    groups = ngram_join.join(docs)
-    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group stays: that with the least doc_id (null last), the first of those that share it. So repeated rows
+    and copies without an id go like any others; texts without words are no group and all stay.
+
+    Rows are told apart by their place in docs, which is a table that was written before and so is read in one order.
+    """
+    plain = docs.toDF(*[f"_c{k}" for k in range(len(docs.columns))])
+    own = dict(zip(docs.columns, plain.columns, strict=True))
+    doc_id = F.col(own["doc_id"])
+    plain = plain.withColumn("_row", F.monotonically_increasing_id())
+    groups = ngram_join.join(plain.select(F.struct(doc_id.isNull().alias("none"), doc_id.alias("id"), "_row").alias("doc_id"), F.col(own["text"]).alias("text")))
+    gone = groups.filter("doc_id <> component_id").select("doc_id._row")
+    return plain.join(gone, "_row", "left_anti").select(*own.values()).toDF(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
+    """Contaminated documents go. Null and empty texts are not; repeated rows are judged alike; an empty table stays one."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return kept(docs, lambda d, **names: decontaminate.scan(d, benchmark, **names), "not contaminated")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words the mix takes of each document that is left."""
+    """How many words the mix takes of each row that is left: none of null or empty texts; repeated rows count each on its own;
+    of an empty table there are no rows."""
     return mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
@@ -69,8 +80,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order, each written as Parquet and read again."""
+    """All stages in order, each written as Parquet and read again; what the next one has read is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        old, docs = docs, materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if name != STAGES[0][0]:
+            discard(old)
     return STAGES[-1][1](spark, docs, sf_dir)

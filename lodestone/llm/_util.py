@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import math
 import os
 import tempfile
 import uuid
@@ -20,22 +21,31 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a folder in /tmp is set only where the session names none."""
+    """The folder all executors share. Where the session names none, a local session gets one in /tmp; a cluster must name one,
+    since its executors would each write to a disk of their own."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "/tmp/checkpoints/lodestone"
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: lineage ends there, and a lost
-    executor costs no recomputation of what came before."""
+    """Writes df as Parquet in the shared folder and reads it back: lineage ends there, and a lost executor costs no
+    recomputation of what came before. What is not discarded earlier goes when the driver ends.
+
+    Spark deletes shuffle files only once the driver's garbage collector has seen that their plan is gone, which a driver
+    with little to do puts off for long; so it is asked to look here, where a plan has just been cut off."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm/{tag}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     release()
-    spark.sparkContext._jvm.System.gc()  # what shuffles the table was made of are let go
+    spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out.written = path
     return out
@@ -116,28 +126,46 @@ def weighted_cuts(sample: list, parts: int) -> list:
     return cuts
 
 
+#: A range of ordered_runs weighs about so much.
+RANGE_WEIGHT = 8_000_000
+
+
+def range_of(key: Column, cuts: list) -> Column:
+    """How many of the sorted cuts are not above the key, found in two steps: first among every so-manieth, then between."""
+    if not cuts:
+        return F.lit(0)
+    step = math.isqrt(len(cuts) - 1) + 1
+    among = lambda array: F.size(F.filter(array, lambda c: c <= key))
+    heads = F.array(*[F.lit(c) for c in cuts[::step]])
+    parts = F.array(*[F.array(*[F.lit(c) for c in cuts[k : k + step]]) for k in range(0, len(cuts), step)])
+    at = among(heads)
+    return F.when(at == 0, 0).otherwise((at - 1) * step + among(F.element_at(parts, at)))
+
+
 def ordered_runs(df: DataFrame, key: str, weight: Column, per_part: int = 40, marks: DataFrame | None = None) -> tuple[DataFrame, int]:
     """Deals df out by ranges of the non-null column ``key`` so that each partition also holds its neighbours.
 
     Adds ``_role`` and sorts each partition by (_role, key): -1 rows of the key just before the partition's range,
-    0 its own rows, 1 rows of the key just after it (around the end: the first of all). What comes to the driver is
-    ``per_part`` sampled keys and two keys for each partition, whatever the size of df. With marks (k, host, state of each
-    row), -1 and 1 also have the nearest rows of the edge's host whose state is not the edge's.
+    0 its own rows, 1 rows of the key just after it (around the end: the first of all). There are as many ranges as
+    shuffle partitions, or one for each RANGE_WEIGHT if that is more. What comes to the driver is ``per_part`` sampled
+    keys and a few edge keys for each range, whatever the size of df; rows of one key share a range. With marks (k, host,
+    state of each row), -1 and 1 also have the nearest rows of the edge's host whose state is not the edge's.
     """
     spark = df.sparkSession
-    parts = partitions(spark)
-    n = df.count()
+    whole = df.agg(F.count("*").alias("n"), F.sum(weight).alias("w")).first()
+    n = whole.n
     if n == 0:
         return df.withColumn("_role", F.lit(0)), 1
+    parts = max(partitions(spark), int((whole.w or 0) // RANGE_WEIGHT))
     want = parts * per_part
     keys = df.select(F.col(key).alias("k"), weight.cast("double").alias("w"))
     if n > want:
-        share = int(want / n * 1_000_000) + 1
-        keys = keys.filter(F.pmod(F.xxhash64("k", F.lit("cut")), F.lit(1_000_000)) < share)
+        share = int(want / n * 2**62) + 1
+        keys = keys.filter(F.shiftrightunsigned(F.xxhash64("k", F.lit("cut")), 2) < share)
     # equal keys share a hash, so the sample is taken of distinct keys; its size is bounded again here
     keys = keys.groupBy("k").agg(F.sum("w").alias("w")).orderBy(F.xxhash64("k")).limit(4 * want)
     cuts = weighted_cuts([(r.k, r.w + 1) for r in keys.collect()], parts)
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(key))) if cuts else F.lit(0)
+    bucket = range_of(F.col(key), cuts)
     ends = df.select(F.col(key).alias("k"), bucket.alias("b")).groupBy("b").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
     ends = sorted((r.b, r.lo, r.hi) for r in ends.collect())
     places = [F.struct(bucket.cast("int").alias("b"), F.lit(0).alias("r"))]
@@ -151,7 +179,7 @@ def ordered_runs(df: DataFrame, key: str, weight: Column, per_part: int = 40, ma
             at = F.create_map(*[F.lit(x) for kv in near.items() for x in kv])
             places.append(F.when(F.col(key).isin(list(near)), F.struct(F.try_element_at(at, F.col(key)).cast("int").alias("b"), F.lit(role).alias("r"))))
     places = F.filter(F.array(*places), lambda x: x.isNotNull())
-    if far := _far(marks, ends) if marks is not None and len(ends) > 1 else {}:
+    if far := _far(marks, range_of(F.col("k"), cuts)) if marks is not None and len(ends) > 1 else {}:
         at = F.create_map(*[x for k, v in far.items() for x in (F.lit(k), F.array(*[F.struct(F.lit(b).alias("b"), F.lit(r).alias("r")) for b, r in sorted(v)]))])
         places = F.when(F.col(key).isin(list(far)), F.array_union(places, F.try_element_at(at, F.col(key)))).otherwise(places)
     dealt = df.withColumn("_at", F.explode(places))
@@ -159,23 +187,30 @@ def ordered_runs(df: DataFrame, key: str, weight: Column, per_part: int = 40, ma
     return dealt.repartitionById(parts, F.col("_bucket")).drop("_bucket"), len(ends)
 
 
-def _far(marks: DataFrame, ends: list[tuple]) -> dict[str, set[tuple[int, int]]]:
+def _far(marks: DataFrame, bucket: Column) -> dict[str, set[tuple[int, int]]]:
     """For each key, the ranges and roles in which it is the nearest of the edge's host with another state."""
-    edges = marks.filter(F.col("k").isin([k for _, *x in ends for k in x])).distinct().collect()
-    wanted, found = [], []
-    for b, lo, hi in ends:
-        for e in edges:
-            other = (F.col("host") == e.host) & (F.col("state") != e.state)
-            if e.k == lo:
-                wanted.append((b, -1))
-                found.append(F.max(F.when(other & (F.col("k") < lo), F.col("k"))))
-            if e.k == hi:
-                wanted.append((b, 1))
-                found.append(F.min(F.when(other & (F.col("k") > hi), F.col("k"))))
+    m = marks.withColumn("b", bucket)
+    row = F.struct("k", "host", "state")
+    ends = m.groupBy("b").agg(F.min(row).alias("lo"), F.max(row).alias("hi"))
+    other = lambda end: (F.col("host") == F.col(f"{end}.host")) & (F.col("state") != F.col(f"{end}.state"))
+    ends = m.join(ends, "b").groupBy("b", "lo", "hi").agg(
+        F.min(F.when(other("lo"), F.col("k"))).alias("first"), F.max(F.when(other("hi"), F.col("k"))).alias("last"))
+    rows = sorted(ends.collect(), key=lambda r: r.b)
     out: dict[str, set[tuple[int, int]]] = {}
-    for at, k in zip(wanted, marks.agg(*[c.alias(f"c{i}") for i, c in enumerate(found)]).first(), strict=True):
-        if k is not None:
-            out.setdefault(k, set()).add(at)
+    for order, near, beyond, inside, role in ((rows, "lo", "hi", "last", -1), (rows[::-1], "hi", "lo", "first", 1)):
+        found = None  # of the range before in this order
+        for before, r in zip(order, order[1:]):
+            edge, end = r[near], before[beyond]
+            if end.host != edge.host:
+                found = None
+            elif end.state != edge.state:
+                found = end.k
+            elif before[inside] is not None:
+                found = before[inside]
+            elif before[near].host != edge.host:
+                found = None  # the host begins in that range, all in one state
+            if found is not None:
+                out.setdefault(found, set()).add((r.b, role))
     return out
 
 

@@ -26,6 +26,7 @@ MODULI = (2_147_483_647, 2_147_483_629)
 BASES = (1_103_515_245, 1_181_783_497)
 INVERSES = tuple(pow(b, -1, m) for b, m in zip(BASES, MODULI, strict=True))
 GRID = 32
+COLUMNS = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "begin_edited", "end_edited", "begin_next", "end_next"]
 _tables: dict[int, np.ndarray] = {}
 
 
@@ -116,19 +117,23 @@ def edited(text: str, following: str) -> str:
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, one row per document.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, one row per document; then
+    begin_edited, end_edited, begin_next, end_next: how many code points the text has in common with its edited text and
+    with the next document from the beginning on and up to the end, by binary search over the prefix hashes.
 
     The next document is the one with the next higher id, the first after the last. Documents go by ranges of the id, so
     that all but the ends of each range have their neighbour beside them; the next range's first comes along.
 
-    Null texts are empty; a null id is the lowest; rows with one id follow each other by their texts. A single
-    document is its own next one. No rows in: no rows out. Other columns are not read.
+    Null texts are empty; a null id is the lowest; ids that are no integers go by their text; rows with one id follow each
+    other by their texts. A single document is its own next one. A very long text is taken whole. No rows in: no rows
+    out. Other columns are not read.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    own = own.withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
+    kind = docs.schema[id_col].dataType.simpleString()
+    whole = kind in ("tinyint", "smallint", "int", "bigint")
+    own = own.withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))) if whole else F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     dealt, _ = ordered_runs(own, "key", F.octet_length("text"))
     dealt = dealt.filter("_role >= 0").sortWithinPartitions("_role", "key", "text")
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None  # the document that waits for the next one
@@ -148,15 +153,17 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 else:
                     held, first = now, first or now
             if out:
-                yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+                yield pd.DataFrame(out, columns=COLUMNS)
         if held:  # nothing follows: the only range, whose first comes after its last
-            yield pd.DataFrame([_row(held, first)], columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            yield pd.DataFrame([_row(held, first)], columns=COLUMNS)
 
-    return map_pandas(dealt.select("doc_id", "text", "_role"), run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return map_pandas(dealt.select("doc_id", "text", "_role"), run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, begin_edited long, end_edited long, begin_next long, end_next long")
 
 
 def _row(held: tuple, following: tuple) -> tuple:
     doc_id, text, p, own = held
     other = edited(text, following[1])
-    print_ = fingerprint(Prefix(other))
-    return doc_id, p.n, hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest(), own, print_, likeness(own, print_), likeness(own, following[3])
+    changed = Prefix(other)
+    print_ = fingerprint(changed)
+    shared = [x for y in (changed, following[2]) for x in (extension(p, 0, y, 0), extension(p, p.n, y, y.n, backward=True))]
+    return doc_id, p.n, hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest(), own, print_, likeness(own, print_), likeness(own, following[3]), *shared

@@ -7,8 +7,8 @@ lines (blocks of text) are aligned by longest common subsequence, and shared lin
 
 Two rules from the markup correct what differencing alone gets wrong. Lines inside an article or main element stay even
 if shared, since a host may print one text twice; lines in elements marked as furniture (navigation, page header,
-footer, sidebar, notice, advert, form, reader comments) go even if unshared. A page with an article or main element that
-holds text is that text; any other page is what differencing leaves.
+footer, sidebar, notice, advert, form, reader comments) go even if unshared. Differencing decides all other lines, also on
+pages with an article.
 
 Order is dealt out by ranges of the key with the neighbouring range's edge page beside it, so no host meets in one task.
 """
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from lodestone.llm._util import discard, map_pandas, materialize, ordered_runs
 
 # Element names and class words by role.
-RAW = frozenset("script style noscript template textarea title iframe svg math select object".split())
+RAW = frozenset("script style noscript template textarea title iframe select".split())
 FURNITURE = frozenset("head nav footer aside form menu dialog button".split())
 MAIN = frozenset("article main".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -35,6 +35,8 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 #: Elements whose nesting is followed; the others never change what a line is.
 NESTED = frozenset("div section span ul ol table header".split()) | FURNITURE | MAIN
 MARKED = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments cookie cookies footer header menu nav navbar navigation newsletter notice notices popup promo related share sharing sidebar social sponsor sponsored subscribe".split())
+#: First parts of a compound that name furniture whatever follows; others (related-work, share-price) need not.
+MARKED_FIRST = frozenset("ad ads advert advertisement comment comments cookie cookies newsletter sidebar sponsor sponsored".split())
 ROLES = frozenset("banner navigation contentinfo complementary search alert dialog form menu menubar".split())
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
@@ -44,9 +46,12 @@ FURNISHED, PLAIN, ARTICLE = 0, 1, 2
 
 
 def furniture_word(word: str, inside: bool) -> bool:
-    """Whether a class or id names furniture, whole or in one of its parts; an article's own header is none."""
-    found = MARKED.intersection([word, *re.split(r"[-_]+", word)])
-    return bool(found - {"header"} if inside else found)
+    """Whether a class or id names furniture: whole or in any part; inside an article whole, by its last part, which says
+    what a compound is, or by a first part that leaves no doubt. An article's own header is none."""
+    parts = re.split(r"[-_]+", word)
+    if inside:
+        return bool(MARKED.intersection([word, parts[-1]]) - {"header"} or parts[0] in MARKED_FIRST)
+    return bool(MARKED.intersection([word, *parts]))
 
 
 def marked(name: str, attributes: str, inside: bool) -> bool:
@@ -200,8 +205,6 @@ def main_text(own: list[tuple[str, int]], near: list[list[tuple[str, int]]]) ->
     # differencing; then the two corrections from the markup
     left = [k for k in range(len(own)) if k not in shared or own[k][1] == ARTICLE]
     left = [k for k in left if own[k][1] != FURNISHED]
-    if any(own[k][1] == ARTICLE for k in left):
-        left = [k for k in left if own[k][1] == ARTICLE]
     return "\n\n".join(texts[k] for k in left)
 
 
@@ -210,7 +213,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
 
     Null html is empty and gives an empty text. A null url is a host of its own with empty path. Pages with one url follow
     each other by id and are neighbours like any others; exact copies of a page tell it nothing. Malformed markup never
-    fails. No rows in: no rows out. Other columns are not read.
+    fails. A very long page is taken whole. No rows in: no rows out. Other columns are not read.
     """
     url = F.coalesce(F.col(url_col), F.lit(""))
     rest = F.regexp_replace(url, "^[A-Za-z][A-Za-z0-9+.-]*://", "")

@@ -131,15 +131,15 @@ def labelled(docs: DataFrame, labels: DataFrame, toxic_rows: int, clean_rows: in
     y = labels.select(F.col("doc_id").alias("i"), F.col("toxic").cast("int").alias("y")).filter("i is not null and y is not null")
     y = y.groupBy("i").agg((F.max("y") > 0).alias("y"))
     n = {r.y: r["count"] for r in y.groupBy("y").count().collect()}
-    lot = F.pmod(F.xxhash64("i", F.lit("toxicity")), F.lit(1_000_000))
-    share = {k: min(1_000_000, int(most / max(1, n.get(k, 0)) * 1_000_000)) for k, most in ((True, toxic_rows), (False, clean_rows))}
-    y = y.filter(lot < F.when(F.col("y"), share[True]).otherwise(share[False]))
+    lot = F.shiftrightunsigned(F.xxhash64("i", F.lit("toxicity")), 2)
+    share = {k: min(1.0, most / max(1, n.get(k, 0))) for k, most in ((True, toxic_rows), (False, clean_rows))}
+    y = y.filter(lot < F.when(F.col("y"), int(share[True] * 2**62)).otherwise(int(share[False] * 2**62)))
     # at most about toxic_rows + clean_rows ids, so their size is bounded
     own = docs.select(F.col("doc_id").alias("i"), F.col("text").alias("t")).filter("t is not null").join(F.broadcast(y), "i")
     # copies of a text count once, or what they happen to hold would look frequent
     own = own.groupBy("t").agg(F.max("y").cast("int").alias("y"))
     cal = F.pmod(F.xxhash64("t", F.lit("calibrate")), F.lit(CALIBRATE)) == 0
-    return own.select("t", "y", cal.alias("cal")), (1e6 / max(1, share[False]), 1e6 / max(1, share[True]))
+    return own.select("t", "y", cal.alias("cal")), (1 / share[False], 1 / share[True])
 
 
 def count_by_row(rows: DataFrame, known: set[str] | None = None, only: set[str] | None = None) -> DataFrame:
@@ -276,7 +276,12 @@ def _best(text: str | None, weights: Weights) -> tuple[float, int, list[tuple[in
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """For each row: doc_id, the columns in keep, score, predicted and passages: the significant segments as word ranges
-    (start, end) with their score and p-value. Null and empty texts have no passage and the probability of none."""
+    (start, end) with their score and p-value.
+
+    Null and empty texts have no passage and the probability of none; so has every text if the model knows no word.
+    Repeated rows are scored each on its own; a very long text is taken whole, one at a time; no rows in: no rows out. Of
+    other columns only those in keep are read; they must not be called doc_id, score, predicted or passages.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = keep or []
     chosen = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).cast("string").alias("_text"))
@@ -304,6 +309,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Contract columns: doc_id, held_out, score, predicted."""
+    """Contract columns: doc_id, held_out, score, predicted. Labels of a null id or null labels teach nothing, several of one id
+    are toxic if any is, and copies of a text teach once; else as in score. Without labels every row has the low score."""
     model = fit(docs, labels)
     return score(docs.select("doc_id", "text"), model).select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")

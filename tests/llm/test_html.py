@@ -1,3 +1,5 @@
+import os
+import random
 import re
 
 from hypothesis import given, settings
@@ -53,7 +55,62 @@ def test_differencing_removes_what_a_host_repeats(spark):
 def test_article_lines_stay_and_furniture_goes(spark):
     body = '<nav><ul><li><a href="/x">X</a></li></ul></nav><div class="ad">Buy</div><article><h1>T</h1><p>Same line<p>Caf&eacute;&nbsp;&#x41;<aside>side</aside><form>f</form></article><div id="comments">c</div><footer>&copy; z</footer>'
     got = run(spark, [(1, "http://h/a", page(body)), (2, "http://h/b", page(body + "<p>outside</p>")), (3, "http://h/c", page(body).replace("</body></html>", ""))])
-    assert set(got.values()) == {"T\n\nSame line\n\nCafé A"}
+    # what only one page has outside its article is the page's own; differencing keeps it
+    assert got == {1: "T\n\nSame line\n\nCafé A", 2: "T\n\nSame line\n\nCafé A\n\noutside", 3: "T\n\nSame line\n\nCafé A"}
+
+
+def test_differencing_decides_what_stands_beside_an_article(spark, monkeypatch):
+    """Unmarked blocks that all pages of a host repeat go; a page's own stay; without differencing they would all stay."""
+    rows = [(k, f"http://h/{k}", page(f"<div>Our site since 1999</div><article><p>Story {k}.</p></article><div>Epilogue {k}.</div><div>Imprint</div>")) for k in range(6)]
+    assert run(spark, rows) == {k: f"Story {k}.\n\nEpilogue {k}." for k in range(6)}
+    assert H.main_text(H.lines(rows[0][2]), []) == "Our site since 1999\n\nStory 0.\n\nEpilogue 0.\n\nImprint"
+
+
+def test_compound_names_inside_an_article():
+    kept = '<section class="related-work">a</section><div id="share-price">b</div><p>c <math><mi>x</mi></math></p><object>d</object><svg><text>e</text></svg>'
+    gone = '<div class="reader-comments">c</div><div class="ad-slot">c</div><div class="cookie-banner">c</div><div class="notice">c</div>'
+    assert [t for t, k in H.lines(f"<article>{kept}{gone}</article>") if k == H.ARTICLE] == ["a", "b", "c x", "de"]
+    assert [k for _, k in H.lines('<div class="related-work">a</div><div class="site-header">b</div><p>c</p>')] == [H.FURNISHED, H.FURNISHED, H.PLAIN]
+
+
+def slow(rows):
+    """Pairing and differencing by plain loops: of the pages of a host whose lines differ, the nearest in order on each side;
+    of these the one whose path agrees longest; a line that some longest common subsequence shares goes."""
+    out = {}
+    order = sorted(rows, key=lambda r: (r[1].split("/")[2].lower(), "/" + r[1].split("/", 3)[3], r[1], f"{r[0]:020d}"))
+    text = {r[0]: [t for t, _ in H.lines(r[2])] for r in rows}
+    for at, (i, url, _) in enumerate(order):
+        host, path = url.split("/")[2], "/" + url.split("/", 3)[3]
+        near = []
+        for side in (order[:at][::-1], order[at + 1 :]):
+            near += [next((r for r in side if r[1].split("/")[2] == host and text[r[0]] != text[i]), None)]
+        near = [r for r in near if r]
+        near.sort(key=lambda r: -len(os.path.commonprefix([path, "/" + r[1].split("/", 3)[3]])))
+        out[i] = (text[i], text[near[0][0]]) if near else (text[i], [])
+    return out
+
+
+def test_pairing_and_differencing_by_plain_loops(spark):
+    """Random sites without markup that tells anything, copies included, over several ranges."""
+    rng = random.Random(6)
+    rows = []
+    for k in range(240):
+        body = ["Our site", f"host line {k % 3}", *[f"own {rng.randrange(60)}" for _ in range(rng.randrange(4))], rng.choice(("foot", "foot b")), "All rights"]
+        rows.append((k, f"http://h{k % 3}.example/{rng.choice('abc')}/{rng.randrange(40)}", page("".join(f"<div>{x}</div>" for x in body))))
+        if k % 7 == 0:
+            rows.append((1000 + k, rows[-1][1] + "x", rows[-1][2]))
+    got = run(spark, rows)
+    for i, (own, other) in slow(rows).items():
+        left = got[i].split("\n\n") if got[i] else []
+        rest = iter(own)
+        # what is left is the page's lines in order without a longest common subsequence
+        assert all(x in rest for x in left) and len(own) - len(left) == lcs(own, other), (i, own, other, left)
+
+
+def test_a_very_long_page(spark):
+    body = "".join(f"<p>paragraph {k} &amp; more</p>" for k in range(60_000))
+    got = run(spark, [(1, "http://h/a", page("<div>top</div>" + body)), (2, "http://h/b", page("<div>top</div><p>short</p>"))])
+    assert got[2] == "short" and got[1].count("\n\n") == 59_999 and got[1].startswith("paragraph 0 & more")
 
 
 def test_an_article_keeps_its_own_header():

@@ -43,6 +43,18 @@ def test_stages_take_effect(spark, tmp_path):
     assert sorted((r.doc_id, r.taken) for r in got) == sorted((r.doc_id, r.taken) for r in mixing.mix(kept).collect())
 
 
+def test_repeated_rows_and_null_ids_leave_one(spark):
+    """Copies with equal ids, without ids, and near copies leave one row; the least id, null last; other columns come along."""
+    rng = random.Random(4)
+    a, b, c = (sentence(rng, 40) for _ in range(3))
+    rows = [(1, a, "x"), (1, a, "x"), (2, a, "y"), (None, a, "z"), (None, b, "n"), (None, b, "n"), (7, c, "p"), (7, c + " more", "q"), (8, None, "e"), (8, None, "e"), (9, "", "e"), (None, None, "e"), (3, "one two", "s"), (3, "three four", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.text or "", r.component_id) for r in P.duplicates_stage(spark, docs, "").collect()))
+    kept = [r for r in got if r[1] != 7]
+    assert kept == sorted([(False, 1, a, "x"), (True, 0, b, "n"), (False, 8, "", "e"), (False, 8, "", "e"), (False, 9, "", "e"), (True, 0, "", "e"), (False, 3, "one two", "s"), (False, 3, "three four", "s")])
+    assert len([r for r in got if r[1] == 7]) == 1
+
+
 @pytest.mark.parametrize("name", [n for n, _ in P.STAGES])
 def test_empty_documents(spark, tmp_path, name):
     d = str(tmp_path)
