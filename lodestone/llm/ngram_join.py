@@ -5,7 +5,7 @@ A document's set is its distinct five-word shingles. Two documents link when the
 
 1. Documents with one and the same set form a class; all that follows is about classes.
 2. Each shingle's hash falls into a chunk, by its high bits, and a chunk's parity code is the exclusive or of the hashes in
-   it. Chunk widths depend on the size band (a power of two; a class in the upper quarter of its band also takes the next
+   it. Chunk widths depend on the size band (a power of four; a class in the upper quarter of its band also takes the next
    band's widths, so any two sizes within 4/3 share a band). Every differing shingle spoils one chunk at most. So of all
    codes in one order, the first ``d + 1`` of each of two linked classes have one in common, where d is the most
    shingles they can differ by: what stands before the first code they share is spoiled, on either side. This is exact
@@ -15,6 +15,8 @@ A document's set is its distinct five-word shingles. Two documents link when the
    too few is compared to all others by its sketch (``against_all``).
 4. Classes that share a chunk's code are compared by a bit sketch: bit (hash mod m) flips for each shingle. The Hamming
    distance of two sketches is never more than the symmetric difference, so pairs above the bound are dropped safely.
+   Codes of up to ``FEW`` classes give their pairs at once and the distinct pairs then get their sketches; the classes of
+   other codes meet in a bucket with their sketches.
 5. What is left is verified on the shingle hashes themselves, re-read from the texts of the classes concerned.
 6. A code that over ``HOT`` classes share belongs to classes most of whose text others repeat: large groups of near copies,
    or short texts around one passage. Its classes are first compared inside blocks together with two pivots of the code,
@@ -41,12 +43,12 @@ from lodestone.llm._util import discard, map_arrow, materialize, partitions
 
 WORDS = 5
 SIMILARITY = 75
-HOT = 64
+FEW, HOT = 8, 64
 BLOCK = 512
 SKETCH_BITS = 2048
-#: Shingles per chunk at the upper end of a band. Band 5 has fewer, since its classes have few chunks to spare.
-WIDTH = {5: 1.5}
+#: Shingles per chunk at the upper end of a band. A chunk holds one in the bands up to SMALL.
 WIDE = 2.25
+SMALL = 2
 #: The sample that tells which shingles are common: so many rows, or this share of a large table; at most COMMON of them.
 SAMPLE_ROWS = 20_000
 SAMPLE_SHARE = 50
@@ -90,14 +92,16 @@ def class_of(s: np.ndarray) -> int:
 
 
 def band_of(n: int) -> int:
-    return n.bit_length() - 1
+    """The power of four in n."""
+    return (n.bit_length() - 1) // 2
 
 
 def bands(n: int) -> list[tuple[int, int]]:
     """The bands a set of n takes part in, each with the most shingles it can differ by from a set it links to there."""
     own, larger = band_of(n), n * 100 // SIMILARITY
-    out = [(own, min(larger, (2 << own) - 1))]
-    if larger >= 2 << own:
+    above = 4 << 2 * own
+    out = [(own, min(larger, above - 1))]
+    if larger >= above:
         out.append((own + 1, larger))
     return [(band, (n + other) * (100 - SIMILARITY) // (100 + SIMILARITY)) for band, other in out]
 
@@ -108,10 +112,10 @@ def parity_keys(s: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, bool]:
     n, out, short = len(s), [], False
     usual = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s if len(common) else np.zeros(n, bool)
     for band, most in bands(n):
-        if band <= 4:  # small sets: a chunk for each shingle
+        if band <= SMALL:  # a chunk for each shingle
             chunk, code, last = np.zeros(n, np.uint64), _words.mix(s + np.uint64(band)), usual
         else:
-            width = WIDTH.get(band, WIDE) / (2 << band)
+            width = WIDE / (4 << 2 * band)
             chunk = (s.astype(np.float64) / 2.0**64 / width).astype(np.int64)
             first = np.flatnonzero(np.diff(chunk, prepend=-1))
             code = np.bitwise_xor.reduceat(_words.mix(s + np.uint64(band)), first)
@@ -124,9 +128,9 @@ def parity_keys(s: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, bool]:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Bit h mod m is set if it was flipped an odd number of times; m is four times the band's lower end and SKETCH_BITS or
-    more, so that few flips of small sets cancel."""
-    m = max(SKETCH_BITS, 4 << band_of(len(s)))
+    """Bit h mod m is set if it was flipped an odd number of times; m is a power of two, four times as many as there are
+    shingles or less, and SKETCH_BITS or more, so that few flips of small sets cancel."""
+    m = max(SKETCH_BITS, 4 << (len(s).bit_length() - 1))
     bits = np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
@@ -243,6 +247,27 @@ def bucket_pairs(rows: DataFrame, *, spanning: bool) -> DataFrame:
     return map_arrow(dealt, run, PAIRS)
 
 
+def likely(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The plausible ones of pairs (a, b) of classes. marks: cls, n, sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(c).to_pylist() for c in ("x", "y"))
+            sizes = np.stack([batch.column(c).to_numpy() for c in ("n", "m")], axis=1).ravel()
+            width = np.array([min(len(a), len(b)) for a, b in zip(x, y, strict=True)], np.int64)
+            keep = np.zeros(len(x), bool)
+            for w in np.unique(width).tolist():  # a power of two for each size of set
+                own = np.flatnonzero(width == w)
+                rows = fold([v for k in own.tolist() for v in (x[k], y[k])])
+                i = np.arange(0, len(rows), 2)
+                keep[own] = plausible(sizes.reshape(-1, 2)[own].ravel(), rows, i, i + 1)
+            yield batch.select(["a", "b"]).take(pa.array(np.flatnonzero(keep)))
+
+    j = pairs.join(marks.select(F.col("cls").alias("a"), "n", F.col("sketch").alias("x")), "a")
+    j = j.join(marks.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y")), "b")
+    return map_arrow(j.select("a", "b", "n", "m", "x", "y"), run, PAIRS)
+
+
 def sets_of(texts: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
     """(cls, data): the shingle hashes of the classes wanted (cls), by a second reading of the texts. A bit map of fixed size
     says whose to take; what it lets through besides falls out of the join."""
@@ -387,9 +412,9 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wor
     rows = materialize(coded.select("doc_id", "n", "cls"), "join-rows")
     # one row per class; copies were dropped inside each task already
     classes = materialize(coded.filter("keys is not null").groupBy("cls", "n").agg(F.first("sketch").alias("sketch"), F.first("short").alias("short")), "join-classes")
-    # a code that one class alone has tells nothing; copies of a class from several tasks are one
+    # a code that stands once tells nothing; copies of a class from several tasks are one
     keyed = coded.filter("keys is not null").select("cls", F.explode("keys").alias("key"))
-    several = keyed.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi").select("key")
+    several = keyed.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1").select("key")
     shared = materialize(keyed.join(several, "key").distinct(), "join-shared")
     discard(coded)
     roots = roots_of(own, classes, shared, words)
@@ -407,11 +432,16 @@ def roots_of(texts: DataFrame, classes: DataFrame, shared: DataFrame, words: int
     """(node, root) of all classes (cls, n, sketch, short) that are linked: the components of all links. shared: (key, cls) of
     the codes that several classes have."""
     counts = shared.groupBy("key").agg(F.count("*").alias("many"))
-    cool = shared.join(counts.filter(F.col("many") <= HOT), "key").select(F.col("key").alias("bucket"), "cls")
-    hot = materialize(shared.join(counts.filter(F.col("many") > HOT), "key").select("key", "cls"), "join-hot")
+    counted = materialize(shared.join(counts.filter("many > 1"), "key"), "join-counted")
+    few = counted.filter(F.col("many") <= FEW)
+    some = counted.filter((F.col("many") > FEW) & (F.col("many") <= HOT)).select(F.col("key").alias("bucket"), "cls")
+    hot = counted.filter(F.col("many") > HOT).select("key", "cls")
     marks = classes.select("cls", "n", "sketch")
-    pairs = bucket_pairs(cool.join(marks, "cls").select("*", F.col("cls").alias("comp"), F.lit(0).alias("side")), spanning=False)
-    pairs = materialize(pairs.unionByName(against_all(classes)).distinct(), "join-pairs")
+    near = few.select("key", F.col("cls").alias("a")).join(few.select("key", F.col("cls").alias("b")), "key").filter("a < b").select("a", "b")
+    near = materialize(near.distinct(), "join-near")
+    pairs = bucket_pairs(some.join(marks, "cls").select("*", F.col("cls").alias("comp"), F.lit(0).alias("side")), spanning=False)
+    pairs = materialize(likely(near, marks).unionByName(pairs).unionByName(against_all(classes)).distinct(), "join-pairs")
+    discard(near)
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(hot.select("cls")).distinct()
     sets = sets_of(texts, wanted, words)
@@ -427,7 +457,7 @@ def roots_of(texts: DataFrame, classes: DataFrame, shared: DataFrame, words: int
         discard(member)
         if more is None:
             break
-    discard(hot, sets)
+    discard(counted, sets)
     return roots
 
 

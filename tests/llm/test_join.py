@@ -69,6 +69,7 @@ def test_equals_brute_force(spark, corpus):
 
 def test_equals_brute_force_with_hot_codes(spark, corpus, monkeypatch):
     """With tiny limits nearly every shared code is hot and every block is small, so the other way does the work."""
+    monkeypatch.setattr(J, "FEW", 2)
     monkeypatch.setattr(J, "HOT", 3)
     monkeypatch.setattr(J, "BLOCK", 4)
     monkeypatch.setattr(J, "SIMILARITY", 75)
@@ -134,6 +135,7 @@ def test_sets_with_too_few_codes_are_held_against_all(spark):
 
 def test_a_hot_code_of_many_components(spark, monkeypatch):
     """Short texts around one passage: most share codes, few link; the blocks of a code are buckets of their own."""
+    monkeypatch.setattr(J, "FEW", 2)
     monkeypatch.setattr(J, "HOT", 4)
     monkeypatch.setattr(J, "BLOCK", 6)
     rng = random.Random(31)
