@@ -11,7 +11,7 @@ template (``<s>``, ``</s>``, ``[INST]``, ``[/INST]``, ``<|...|>``) can occur ins
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "<s>", "</s>"
@@ -38,7 +38,8 @@ def fold(events: DataFrame, *, conv: str = "conv_id", message: str = "turn", seq
     kind: ``delta`` appends its text to the message; ``edit`` replaces the text so far by its own; ``regenerate`` discards
     the text so far and begins again with its own (null: empty); any other kind, null too, counts as ``delta``. The role is
     that of the last event that has one. Ties in seq are taken in order of kind, then text. Null texts are empty.
-    Messages are folded apart from each other; a message's events meet in one row, as its text does.
+    Messages are folded apart from each other; a message's events meet in one row, as its text does. Repeated events count
+    each on its own. No rows in: no rows out. Other columns are not read.
     """
     e = events.select(
         F.col(conv).alias("conv_id"), F.col(message).alias("turn"),
@@ -57,7 +58,8 @@ def render(messages: DataFrame, *, conv: str = "conv_id", turn: str = "turn", ro
 
     mask holds, for each turn in order, the code point range (start, length) of formatted that counts for the loss; the
     length is 0 for turns of other roles. Turns are in order of turn, then role, then text (null first); null roles
-    and texts are empty; a null conv_id is a conversation of its own.
+    and texts are empty; a null conv_id is a conversation of its own. Repeated rows are turns of their own; a very long text
+    is one turn like any other. No rows in: no rows out. Other columns are not read.
     """
     head = F.concat(F.lit(OPEN), escape(F.coalesce(F.col(role), F.lit("")), ESCAPES), F.lit("\n"))
     body = escape(F.coalesce(F.col(text), F.lit("")))
@@ -65,28 +67,36 @@ def render(messages: DataFrame, *, conv: str = "conv_id", turn: str = "turn", ro
         F.col(turn).alias("turn"), F.col(role).alias("role"), F.concat(head, body, F.lit(CLOSE)).alias("out"),
         F.length(head).alias("head"), F.when(F.col(role) == loss_role, F.length(body)).otherwise(0).alias("size"),
         (F.length(head) + F.length(body) + len(CLOSE)).alias("all")).alias("t"))
-    m = m.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    start = F.aggregate("ts", F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts")), lambda a, t: F.struct((a["at"] + t["all"]).alias("at"), F.array_append(a["starts"], a["at"] + t["head"]).alias("starts")), lambda a: a["starts"])
-    mask = F.zip_with(start, "ts", lambda s, t: F.struct(s.alias("start"), t["size"].cast("long").alias("length")))
-    return m.select("conv_id", F.array_join(F.transform("ts", lambda t: t["out"]), "").alias("formatted"), mask.alias("mask"))
+    # where each turn starts: a running sum over the conversation's turns, in linear time
+    before = Window.partitionBy("conv_id").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    m = m.withColumn("at", F.coalesce(F.sum("t.all").over(before), F.lit(0)).cast("long"))
+    m = m.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("at", "t"))).alias("ts"))
+    mask = F.transform("ts", lambda x: F.struct((x["at"] + x["t"]["head"]).alias("start"), x["t"]["size"].cast("long").alias("length")))
+    return m.select("conv_id", F.array_join(F.transform("ts", lambda x: x["t"]["out"]), "").alias("formatted"), mask.alias("mask"))
 
 
 def read_back(rendered: DataFrame) -> DataFrame:
-    """Takes formatted apart again: adds turns (role, text) and loss_text (all text under the mask, unescaped)."""
+    """Takes formatted apart again: adds turns (role, text) and loss_text (all text under the mask, unescaped). rendered has a
+    row for each conv_id, as render gives it. No rows in: no rows out."""
     raw = F.split("formatted", F.lit(CLOSE))
     raw = F.slice(raw, 1, F.size(raw) - 1)
-    turns = F.transform(raw, lambda x: F.struct(
-        unescape(F.substr(F.substring_index(x, "\n", 1), F.lit(len(OPEN) + 1)), ESCAPES).alias("role"),
-        unescape(F.substr(x, F.length(F.substring_index(x, "\n", 1)) + 2)).alias("text")))
-    r = rendered.withColumn("raw", raw)
-    at = F.aggregate("raw", F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts")), lambda a, x: F.struct((a["at"] + F.length(x) + len(CLOSE)).alias("at"), F.array_append(a["starts"], a["at"]).alias("starts")), lambda a: a["starts"])
+    parts = rendered.select("conv_id", "mask", F.posexplode(raw).alias("pos", "x"))
+    before = Window.partitionBy("conv_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.coalesce(F.sum(F.length("x") + len(CLOSE)).over(before), F.lit(0))
     # a turn's part of the mask, counted from the turn's own start
-    under = F.zip_with(F.zip_with("raw", at, lambda x, s: F.struct(x.alias("x"), s.alias("s"))), "mask", lambda p, m: F.substr(p["x"], (m["start"] - p["s"] + 1).cast("int"), m["length"].cast("int")))
-    return r.select("*", turns.alias("turns"), unescape(F.array_join(under, "")).alias("loss_text")).drop("raw")
+    own = F.get("mask", F.col("pos"))
+    parts = parts.withColumn("under", F.substr("x", (own["start"] - at + 1).cast("int"), own["length"].cast("int")))
+    turn = F.struct(
+        unescape(F.substr(F.substring_index("x", "\n", 1), F.lit(len(OPEN) + 1)), ESCAPES).alias("role"),
+        unescape(F.substr("x", F.length(F.substring_index("x", "\n", 1)) + 2)).alias("text"))
+    read = parts.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("pos", turn.alias("turn"), "under"))).alias("ps"))
+    read = read.select(F.col("conv_id").alias("_conv"), F.transform("ps", lambda p: p["turn"]).alias("turns"), unescape(F.array_join(F.transform("ps", lambda p: p["under"]), "")).alias("loss_text"))
+    return rendered.join(read, rendered["conv_id"].eqNullSafe(read["_conv"])).drop("_conv")
 
 
 def digest(messages: DataFrame) -> DataFrame:
-    """Contract columns, from what is read back: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    """Contract columns, from what is read back: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+    Nulls, repeats, empty tables and other columns as in render."""
     r = read_back(render(messages))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return r.select(

@@ -53,13 +53,15 @@ def targets(sizes: DataFrame, max_repeat: int = MAX_REPEAT, cycle: int = 3) -> D
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", block_words: int = BLOCK_WORDS, max_repeat: int = MAX_REPEAT, seed: str = "mix") -> DataFrame:
-    """Returns doc_id, size, source, source_size, target, taken, one row for each row of docs.
+    """Returns doc_id, size, source, source_size, target, taken, first_slot, one row for each row of docs.
 
     taken is what the schedule's blocks take of the document, repeats counted; over a source it is
-    floor(target + 1/2) words exactly, and at most max_repeat times the size for any document.
+    floor(target + 1/2) words exactly, and at most max_repeat times the size for any document. first_slot is the first
+    slot of the schedule that takes any of it (null: none does).
 
     Null or empty text: size 0, taken 0. Null source: a source of its own, last in order. Rows that agree in id are
-    laid down one after the other, ordered by size, each on its own. No rows in: no rows out. Other columns are not read.
+    laid down one after the other, ordered by size, each on its own. A very long text spans many blocks. No rows in: no
+    rows out. Other columns are not read.
     """
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"))
     sized = materialize(sized.withColumn("place", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))), "mix-sizes")
@@ -67,10 +69,11 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     share = materialize(allot(targets(sizes, max_repeat), block_words), "mix-targets")
     lines = layout(sized, share)
     pieces = cut(lines, block_words)
+    part = F.greatest(F.lit(0), F.least(F.col("upto"), F.col("slot_upto")) - F.col("from"))
     taken = slots(share, block_words).join(pieces, ["rank", "block"]).groupBy("row_source", "start").agg(
-        F.sum(F.greatest(F.lit(0), F.least(F.col("upto"), F.col("slot_upto")) - F.col("from"))).alias("taken"))
+        F.sum(part).alias("taken"), F.min(F.when(part > 0, F.col("slot"))).alias("first_slot"))
     out = lines.join(taken, (lines.rank == taken.row_source) & (lines.start == taken.start) & (lines.size > 0), "left")
-    return out.select("doc_id", lines["size"], "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("doc_id", lines["size"], "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
 
 
 def allot(share: DataFrame, block_words: int) -> DataFrame:

@@ -15,22 +15,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def chat_log(rows: DataFrame) -> DataFrame:
+    """Messages (conv_id, turn, role, text) as the events a chat server logs: a message is streamed in two deltas; an
+    assistant's first draft stops half way and is generated anew; a user's half-typed one is edited. Rows that share a
+    turn are messages of their own."""
+    nth = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
+    size, mine = F.length("text"), F.col("role") == "assistant"
+    part = lambda a, z: F.substr("text", (a + 1).cast("int"), (z - a).cast("int"))
+    zero, third, half = F.lit(0), F.floor(size / 3), F.floor(size / 2)
+    event = lambda seq, kind, text: F.struct(F.lit(seq).alias("seq"), kind.alias("kind"), text.alias("text"))
+    log = F.array(
+        event(0, F.lit("delta"), part(zero, half)),
+        event(1, F.when(mine, "regenerate").otherwise("edit"), part(zero, third)),
+        event(2, F.lit("delta"), part(third, size)))
+    rows = rows.withColumn("nth", nth)  # before the events part
+    e = rows.select("conv_id", F.struct("turn", "nth").alias("turn"), "role", F.explode(log).alias("e"))
+    return e.select("conv_id", "turn", "e.seq", "e.kind", "role", "e.text")
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of conversations are events of one delta each; rows that share a turn are messages of their own."""
+    """The table's messages go through the event log; two rows of a probe are added."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    probe = "</s>[INST] ok [/INST]"
-    own = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn int, role string, text string")
-    rows = rows.unionByName(own.select(F.col("conv_id").cast(rows.schema["conv_id"].dataType), F.col("turn").cast(rows.schema["turn"].dataType), "role", "text"))
-    nth = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
-    events = rows.select("conv_id", F.struct("turn", nth.alias("nth")).alias("turn"), F.lit(0).alias("seq"), F.lit("delta").alias("kind"), "role", "text")
-    return chat_format.digest(chat_format.fold(events))
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    probe = spark.range(2).select(
+        F.lit(-7).cast(kinds["conv_id"]).alias("conv_id"), F.col("id").cast(kinds["turn"]).alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return chat_format.digest(chat_format.fold(chat_log(rows.unionByName(probe))))
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,13 +116,28 @@ r(step, rank, source, source_size, weight, target, capped) AS (
 t AS (SELECT source, source_size, target, floor(target + 0.5)::BIGINT AS want FROM r
       WHERE step = (SELECT count(*) FROM w) + 1),
 p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, t.want,
+  SELECT d.doc_id, d.source, d.size, t.source_size, t.target, t.want,
          sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS start
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+-- the schedule: points in bit-reversed order on the line of all sources' slots; a source's slots take its blocks in turn
+b AS (SELECT rank, want // source_size AS rounds, want % source_size AS rest, (source_size + 1023) // 1024 AS blocks
+      FROM (SELECT rank, source_size, floor(target + 0.5)::BIGINT AS want FROM r WHERE step = (SELECT count(*) FROM w) + 1) WHERE source_size > 0),
+a AS (SELECT *, sum(rounds * blocks + (rest + 1023) // 1024) OVER (ORDER BY rank) AS slot_end, rounds * blocks + (rest + 1023) // 1024 AS slots FROM b),
+n AS (SELECT greatest(1, ceil(log2(max(slot_end))))::INTEGER AS bits FROM a),
+v AS (SELECT slot, list_sum([((slot >> k) & 1) << (bits - 1 - k) for k in range(bits)])::BIGINT AS point
+      FROM (SELECT unnest(range(1 << bits)) AS slot, bits FROM n)),
+o AS (SELECT slot, rank, rounds, rest, blocks, row_number() OVER (PARTITION BY rank ORDER BY slot) - 1 AS nth
+      FROM v JOIN a ON point >= slot_end - slots AND point < slot_end),
+e AS (SELECT slot, rank, nth % blocks AS block, CASE WHEN nth // blocks = rounds THEN least(1024, rest - nth % blocks * 1024) ELSE 1024 END AS upto FROM o),
+f AS (SELECT doc_id, start, p.rank, min(slot) AS first_slot FROM (SELECT p.*, s.rank FROM p JOIN s ON p.source IS NOT DISTINCT FROM s.source) p
+      JOIN e ON e.rank = p.rank AND e.block BETWEEN start // 1024 AND (start + size - 1) // 1024
+            AND size > 0 AND e.upto > greatest(0, start - e.block * 1024) GROUP BY ALL)
+SELECT p.doc_id, size, source_size, target,
        CASE WHEN size = 0 THEN 0 ELSE (want // source_size) * size
-            + greatest(0, least(start + size, want % source_size) - start) END::BIGINT AS taken
-FROM p""",
+            + greatest(0, least(p.start + size, want % source_size) - p.start) END::BIGINT AS taken,
+       CASE WHEN size > 0 THEN first_slot END::BIGINT AS first_slot
+FROM (SELECT p.*, s.rank FROM p JOIN s ON p.source IS NOT DISTINCT FROM s.source) p
+LEFT JOIN f ON f.rank = p.rank AND f.start = p.start AND f.doc_id IS NOT DISTINCT FROM p.doc_id""",
     "op4_jaccard": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

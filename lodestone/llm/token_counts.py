@@ -14,6 +14,7 @@ characters at every section boundary; a byte-level token may hold a part of a ch
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,21 +28,35 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pre-tokenisation pattern the vocabulary was made with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 RULES = ("first", "last", "most")
-_encoders: dict[int, tuple] = {}
+_encoders: dict[tuple[str, str], tuple] = {}
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> dict[bytes, int]:
-    """The ranks of a tiktoken file (one token a line, so bounded by the vocabulary), read on the driver."""
-    with open(path, "rb") as f:
-        return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
-
-
-def encoder(ranks: dict[bytes, int], pattern: str) -> tuple:
-    """An encoding and the byte length of each of its tokens; one for each Python worker."""
+    """The ranks of a tiktoken file (one token a line, so bounded by the vocabulary), read on the driver; a path with a scheme is
+    read by Spark."""
+    if "://" in path:
+        lines = [r.value.encode() for r in spark.read.text(path).collect()]
+    else:
+        with open(path, "rb") as f:
+            lines = f.read().splitlines()
+    return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
+
+
+def digest_of(ranks: dict[bytes, int]) -> str:
+    """What tells one vocabulary from another."""
+    h = hashlib.sha256()
+    for token, rank in sorted(ranks.items()):
+        h.update(b"%d:%d:%s;" % (rank, len(token), token))
+    return h.hexdigest()
+
+
+def encoder(ranks: dict[bytes, int], pattern: str, digest: str) -> tuple:
+    """An encoding and the byte length of each of its tokens; a Python worker keeps the last one."""
     import tiktoken
 
-    key = hash((pattern, len(ranks)))
+    key = (digest, pattern)
     if key not in _encoders:
+        _encoders.clear()
         lengths = np.zeros(max(ranks.values(), default=0) + 1, np.int64)
         for token, rank in ranks.items():
             lengths[rank] = len(token)
@@ -82,17 +97,19 @@ def count_tokens(docs: DataFrame, *, id_col: str = "doc_id", fields: tuple[str,
     the pieces of the fields between delimiters (none: the fields themselves). The sum of section_tokens is n_tokens.
 
     Null fields are empty; an empty text is one section of no tokens. Control strings of the tokenizer are ordinary
-    text. Repeated rows are counted each on their own; other columns are not read.
+    text. Repeated rows are counted each on their own; a very long text is encoded whole; no rows in: no rows out. Other
+    columns are not read.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(read_vocabulary(spark, vocabulary))
+    ranks = read_vocabulary(spark, vocabulary)
+    shared = spark.sparkContext.broadcast((ranks, pattern, digest_of(ranks)))
     chosen = docs.select(F.col(id_col).alias("doc_id"), *[F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f"f{k}") for k, f in enumerate(fields)])
     kind = chosen.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoding, lengths = encoder(shared.value, pattern)
+        encoding, lengths = encoder(*shared.value)
         for batch in batches:
             out = []
             for parts in zip(*[batch[f"f{k}"] for k in range(len(fields))], strict=True):

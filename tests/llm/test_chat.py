@@ -55,3 +55,29 @@ def test_escape_is_reversible(spark, texts):
     for table in (C.ESCAPES, C.TEXT_ESCAPES):
         for r in df.select("t", C.escape(df.t, table).alias("e"), C.unescape(C.escape(df.t, table), table).alias("u")).collect():
             assert r.u == r.t and "<" not in r.e and "[" not in r.e
+
+
+def test_awkward_conversations(spark):
+    """A null id, rows that share a turn, repeated rows, a very long text and a long conversation."""
+    rows = [(None, 0, "user", "a<"), (None, 1, "assistant", "b"), (1, 0, "user", "x"), (1, 0, "assistant", "y"), (1, 0, "assistant", "y"), (1, None, None, None), (2, 0, "assistant", "long [" * 200_000)]
+    rows += [(3, k, ("user", "assistant")[k % 2], f"t{k}") for k in range(3000)]
+    df = spark.createDataFrame([(*r, "clash", 5) for r in rows], "conv_id long, turn int, role string, text string, formatted string, pos int")
+    first = lambda v: (v is not None, v if v is not None else 0)
+    want = {}
+    for c, _, role, text in sorted(rows, key=lambda r: (first(r[0]), first(r[1]), r[2] is not None, r[2] or "", r[3] or "")):
+        want.setdefault(c, []).append((role or "", text or ""))
+    got = {r.conv_id: r for r in C.digest(df).collect()}
+    assert got.keys() == want.keys()
+    for c, turns in want.items():
+        said = "".join(t for x, t in turns if x == "assistant")
+        assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256) == (len(turns), sha("".join(f"{x}\n{t}\n" for x, t in turns)), len(said), sha(said))
+
+
+def test_the_log_folds_back_to_the_messages(spark):
+    from lodestone.llm import queries
+
+    rows = [(1, 0, "user", "question?"), (1, 1, "assistant", "an answer"), (1, 1, "assistant", "an answer"), (1, 2, None, None), (2, 0, "user", ""), (2, 1, "assistant", "é😀"), (None, 0, "user", "x")]
+    log = queries.chat_log(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    assert {r.kind for r in log.collect()} == {"delta", "edit", "regenerate"} and log.count() == 3 * len(rows)
+    got = sorted(((r.conv_id or 0, r.turn.turn, r.role, r.text) for r in C.fold(log).collect()), key=repr)
+    assert got == sorted(((c or 0, t, r, x or "") for c, t, r, x in rows), key=repr)

@@ -53,3 +53,16 @@ def test_unknown_rule_awkward_and_empty(spark, awkward, empty):
         K.count_tokens(awkward, rule="half")
     assert len(K.count_tokens(awkward).collect()) == awkward.count()
     assert K.count_tokens(empty).collect() == []
+
+
+def test_vocabularies_of_one_size_are_told_apart(spark, tmp_path):
+    import base64
+
+    single = {bytes([k]): k for k in range(256)}
+    paths = []
+    for name, extra in (("a", b"ab"), ("b", b"bc")):
+        paths.append(f"{tmp_path}/{name}")
+        with open(paths[-1], "w") as f:
+            f.writelines(f"{base64.b64encode(t).decode()} {r}\n" for t, r in (single | {extra: 256}).items())
+    df = spark.createDataFrame([(1, "abab bc")], "doc_id long, text string").coalesce(1)
+    assert [K.count_tokens(df, vocabulary=p).first().n_tokens for p in (*paths, paths[0], "file://" + paths[1])] == [5, 6, 5, 6]
