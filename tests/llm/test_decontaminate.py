@@ -49,6 +49,28 @@ def test_equals_brute_force(spark):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(docs, items)
 
 
+def test_blocks_of_a_large_benchmark_add_up(spark, monkeypatch):
+    """Items in several blocks: hits of one document that overlap across blocks are one, columns kept come along."""
+    rng = random.Random(5)
+    text = sentence(rng, 60).split()
+    items = [(k, " ".join(text[a : a + 20])) for k, a in enumerate((0, 10, 18, 40))] + [(9, sentence(rng, 30)), (10, "one")]
+    docs = [(1, "pre " + " ".join(text) + " post", "x"), (1, "pre " + " ".join(text) + " post", "x"), (2, "clean words here", "y"), (3, None, "z"), (None, items[4][1] + " One.", "w")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string, _c string"), spark.createDataFrame(items, "item_id long, text string")
+    key = lambda r: repr((r.doc_id, r._c, r.n_words, r.n_hit, r["items"], [tuple(s) for s in r.spans], r.contaminated))
+    whole = sorted(map(key, D.scan(d, b, keep=["_c"]).collect()))
+    monkeypatch.setattr(D, "BLOCK_BYTES", 150)
+    assert sorted(map(key, D.scan(d, b, keep=["_c"]).collect())) == whole
+    assert sorted((tuple(r) for r in D.digest(d, b).collect()), key=repr) == brute([r[:2] for r in docs], items)
+
+
+def test_a_very_long_document(spark):
+    rng = random.Random(6)
+    item = sentence(rng, 20)
+    docs = [(1, sentence(rng, 150_000) + " " + item), (2, "word " * 200_000)]
+    got = D.digest(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(docs, [(1, item)])
+
+
 def test_spans_cover_the_hits(spark):
     item = " ".join(f"w{k}" for k in range(15))
     docs = spark.createDataFrame([(1, "😀 Ünd " + item + ", end. " + item)], "doc_id long, text string")
