@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lodestone import constants as C
 from lodestone.functions import text as T
 from lodestone.functions import vectors as V
-from lodestone.operators import bm25, checks, corpus, diffs, evaluation, overlap, ranking, rows, vector_signal
+from lodestone.operators import bm25, checks, corpus, diffs, embedding, evaluation, overlap, ranking, rows, vector_signal
 from lodestone.plans import samples
 from lodestone.sources import store
 
@@ -109,6 +109,10 @@ def corpus_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pr_id"), "text")
 
 
+def timed_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_docs(spark, sf_dir).withColumn("created_at", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("pr_id") * 3600))
+
+
 def bench_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.timestamp_seconds(F.lit(1_704_067_200) + (F.col("item_id") * 7919 % 1000 + 1) * 36_000)
     return table(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("query_pr"), at.alias("created_at"), "text")
@@ -162,7 +166,9 @@ SELECT query_pr, pr_id, max(s) AS best, round(avg(s) FILTER (WHERE k <= 3) + 1e-
 FROM r GROUP BY 1, 2""")
 def pair_similarity_argmax(spark, sf_dir):
     """Of all pairs of chunks of a query and an earlier change: the best, the mean of the best three, and which the best is."""
-    q = F.broadcast(asked(spark, sf_dir).select("query_pr", F.col("query_chunk").alias("a"), F.col("created_at").alias("q_at"), F.col("embedding").alias("qv")))
+    q = asked(spark, sf_dir).select("query_pr", F.col("query_chunk").alias("a"), F.col("created_at").alias("q_at"), F.col("embedding").alias("qv"))
+    if q.count() <= vector_signal.QUERY_BLOCK:
+        q = F.broadcast(q)
     c = chunks(spark, sf_dir).filter("embedding is not null").select("pr_id", F.col("chunk").alias("b"), "created_at", "embedding")
     p = c.join(q, F.col("created_at") < F.col("q_at")).withColumn("s", F.round(V.cosine(F.col("qv"), F.col("embedding")), 6))
     top = F.max(F.struct("s", (-F.col("a")).alias("a"), (-F.col("b")).alias("b")))
@@ -295,9 +301,7 @@ def bm25_postings(spark, sf_dir):
 
 @query(f"WITH {BM25_SCORED} SELECT query_pr, pr_id, score FROM el WHERE rank <= 50")
 def bm25_topk(spark, sf_dir):
-    docs = corpus_docs(spark, sf_dir)
-    at = docs.select("pr_id", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("pr_id") * 3600).alias("created_at"))
-    return bm25.signal(bm25.build(docs), bench_queries(spark, sf_dir), at).select("query_pr", "pr_id", "score")
+    return bm25.signal(bm25.build(timed_docs(spark, sf_dir)), bench_queries(spark, sf_dir)).select("query_pr", "pr_id", "score")
 
 
 # Corpus ------------------------------------------------------------------------------------------------------------------
@@ -425,7 +429,13 @@ def diff_totals(spark, sf_dir):
     return diffs.diff_totals(diffs.parse_hunks(sample_diffs(spark)))
 
 
-@query(None)
+@query(rf"""WITH t(number, diff) AS (VALUES {values(samples.DIFFS)}),
+l AS (SELECT *, {LINES.format('diff')} AS ls, list_transform(regexp_split_to_array(diff, '(?m)^@@')[2:], lambda h: len(regexp_replace(h, '\r\n|[\n\r\x0B\x0C\x1C-\x1E]', '', 'g')) + 2) AS sizes FROM t)
+SELECT number, CASE WHEN contains(diff, 'Binary files') OR contains(diff, 'GIT binary patch') THEN 'binary_file' WHEN contains(diff, '+++ /dev/null') OR contains(diff, 'deleted file mode') THEN 'deleted_file'
+  WHEN contains(diff, 'rename from') AND contains(diff, 'rename to ') AND NOT contains(diff, '@@') THEN 'rename_only'
+  WHEN len(list_filter(ls, lambda x: NOT regexp_matches(x, '^(\+\+\+|---|diff|index|@@|new file|deleted file|rename)') AND regexp_matches(x, '^[ +-]') AND contains(x, '@@'))) > 0 THEN 'at_marker_in_content'
+  WHEN coalesce(list_max(sizes), 0) > 1500 THEN 'huge_hunk' WHEN len(string_split(diff, 'diff --git')) = 2 AND contains(diff, '@@') THEN 'simple_single_file' WHEN len(string_split(diff, 'diff --git')) > 2 THEN 'multi_file' END AS kind
+FROM l""")
 def classify_diffs(spark, sf_dir):
     return sample_diffs(spark).select("number", diffs.classify(F.col("diff")).alias("kind"))
 
@@ -535,11 +545,11 @@ def insert_ignore(spark, sf_dir):
     return store.insert_ignore(tgt, src.unionByName(src), ["repo_id", "number"])
 
 
-@query(None)
+@query("SELECT o_orderkey AS number FROM orders ORDER BY md5(o_orderkey || ':20'), o_orderkey LIMIT 50")
 def sample_n(spark, sf_dir):
     """Fifty changes, the same ones each time (a sampling operator)."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("number"))
-    return o.orderBy(F.xxhash64("number", F.lit(20)), "number").limit(50)
+    return o.orderBy(F.md5(F.concat(F.col("number").cast("string"), F.lit(":20"))), "number").limit(50)
 
 
 @query("SELECT o_orderkey AS number FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) ORDER BY o_orderdate DESC, o_orderkey LIMIT 10 OFFSET 100")
@@ -660,19 +670,26 @@ def signals(spark, sf_dir):
     """All three signals of the query changes over one id space: chunk changes, orders and documents that share an id."""
     ch, q = chunks(spark, sf_dir), asked(spark, sf_dir)
     ids = ch.select("pr_id").distinct()
-    vector = vector_signal.aggregate(vector_signal.chunk_scores(q, ch, dim=DIM))
+    vector = vector_signal.aggregate(vector_signal.chunk_scores(q, ch, dim=DIM))  # with the best chunk of each
     f = files(spark, sf_dir).join(ids, "pr_id", "left_semi")
     at = ch.select("pr_id", "repo_id", "created_at", "in_corpus").distinct()
     own = f.groupBy("pr_id").agg(F.collect_list("path").alias("files")).join(at, "pr_id")
     asks = own.filter("pr_id % 50 = 0").withColumnRenamed("pr_id", "query_pr")
     over = overlap.overlap_join(asks, own, cap=None)
-    index = bm25.build(corpus_docs(spark, sf_dir))
-    text = corpus_docs(spark, sf_dir).filter("pr_id % 50 = 0").join(ids, "pr_id", "left_semi").withColumnRenamed("pr_id", "query_pr")
-    words = bm25.scores(index, text).join(ids, "pr_id", "left_semi").filter("pr_id < query_pr")
+    # only documents that are changes have a time, and so take part; ids rise with time
+    index, text = indexed(spark, sf_dir)
+    words = bm25.scores(index, text)
     tops = [vector_signal.top_per(vector, ["query_pr"], 50), over.filter(F.col("rank") <= C.OVERLAP_CAP), vector_signal.top_per(words.filter("score > 0"), ["query_pr"], 50)]
     return vector, over, words, tops, f
 
 
+def indexed(spark, sf_dir):
+    """The index over all documents, and the texts of the query changes."""
+    at = chunks(spark, sf_dir).select("pr_id", "created_at").distinct()
+    docs = corpus_docs(spark, sf_dir).join(at, "pr_id", "left")
+    return bm25.build(docs), docs.filter("pr_id % 50 = 0 and created_at is not null").withColumnRenamed("pr_id", "query_pr")
+
+
 @query(f"WITH {RANKED} SELECT query_pr, pr_id FROM cand")
 def candidate_union(spark, sf_dir):
     *_, tops, _ = signals(spark, sf_dir)
@@ -681,34 +698,47 @@ def candidate_union(spark, sf_dir):
 
 def normalised(spark, sf_dir):
     vector, over, words, tops, f = signals(spark, sf_dir)
-    return ranking.normalise(ranking.raw_signals(ranking.candidate_union(*tops), vector, over, words)), f
+    return ranking.normalise(ranking.raw_signals(ranking.candidate_union(*tops), vector, over, words)), f, vector.select("query_pr", "pr_id", "best_chunk")
 
 
 @query(f"WITH {RANKED} SELECT query_pr, pr_id, round(vector_norm, 5) AS vector_norm, round(file_norm, 5) AS file_norm, round(bm25_norm, 4) AS bm25_norm FROM nrm")
 def minmax_normalise(spark, sf_dir):
-    n, _ = normalised(spark, sf_dir)
+    n, *_ = normalised(spark, sf_dir)
     return n.select("query_pr", "pr_id", F.round("vector_norm", 5).alias("vector_norm"), F.round("file_norm", 5).alias("file_norm"), F.round("bm25_norm", 4).alias("bm25_norm"))
 
 
 @query(f"WITH {RANKED} SELECT query_pr, pr_id, rank::INTEGER AS rank, final_score FROM fin WHERE rank <= 3")
 def hybrid_rank(spark, sf_dir):
-    n, _ = normalised(spark, sf_dir)
+    n, *_ = normalised(spark, sf_dir)
     return ranking.rank(n).select("query_pr", "pr_id", "rank", "final_score")
 
 
-@query(f"""WITH {RANKED}, top AS (SELECT pr_id, min(path) AS top_file FROM files GROUP BY 1)
+@query(f"""WITH {RANKED},
+-- a change's chunks lie in its files in order, around again
+fl AS (SELECT pr_id, list_sort(list(path)) AS fs FROM files GROUP BY 1),
+bc AS (SELECT query_pr, pr_id, chunk FROM (
+  SELECT q.pr_id AS query_pr, c.pr_id, c.chunk, row_number() OVER (PARTITION BY q.pr_id, c.pr_id ORDER BY round(list_cosine_similarity(q.v, c.v), 6) DESC, c.chunk) AS k
+  FROM chunks q JOIN chunks c ON q.pr_id % 50 = 0 AND c.created_at < q.created_at AND c.pr_id <> q.pr_id) WHERE k = 1),
+top AS (SELECT query_pr, pr_id, fs[chunk % 5 % len(fs) + 1] AS top_file FROM bc JOIN fl USING (pr_id)),
+bp AS (SELECT query_pr, tf.pr_id, term, round(qtf * idf * (tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * len(ts) / avgdl))), 6) AS part
+       FROM qt JOIN idf USING (term) JOIN tf USING (term) JOIN docs USING (pr_id), st WHERE tf.pr_id < query_pr),
+bq AS (SELECT query_pr, pr_id, string_agg(term, ', ' ORDER BY k) AS terms FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_pr, pr_id ORDER BY part DESC, term) AS k FROM bp) WHERE k <= 2 GROUP BY 1, 2)
 SELECT query_pr, pr_id, CASE WHEN shared_file IS NOT NULL AND vector_norm > 0.7 THEN 'Both modify ' || shared_file || ' with a similar change pattern' WHEN shared_file IS NOT NULL THEN 'Also changes ' || shared_file
-  WHEN vector_norm > 0.7 THEN 'Similar change pattern in ' || coalesce(top_file, 'none') WHEN bm25_norm > 0.7 THEN 'Shares terminology: text' ELSE 'Related change in ' || split_part(coalesce(top_file, 'none'), '/', 1) END
+  WHEN vector_norm > 0.7 THEN 'Similar change pattern in ' || coalesce(top_file, 'none') WHEN bm25_norm > 0.7 THEN 'Shares terminology: ' || terms ELSE 'Related change in ' || split_part(coalesce(top_file, 'none'), '/', 1) END
   || CASE WHEN o_orderstatus = 'O' THEN ' — closed without merging, worth checking why' ELSE '' END AS reason
-FROM fin LEFT JOIN top USING (pr_id) LEFT JOIN orders ON o_orderkey = pr_id WHERE rank <= 3""")
+FROM fin LEFT JOIN top USING (query_pr, pr_id) LEFT JOIN bq USING (query_pr, pr_id) LEFT JOIN orders ON o_orderkey = pr_id WHERE rank <= 3""")
 def reasons(spark, sf_dir):
-    n, f = normalised(spark, sf_dir)
+    n, f, best = normalised(spark, sf_dir)
     r = ranking.rank(n)
     q = f.filter("pr_id % 50 = 0").select(F.col("pr_id").alias("query_pr"), "path")
     shared = q.join(f, "path").groupBy("query_pr", "pr_id").agg(F.min("path").alias("shared_file"))
-    top = f.groupBy("pr_id").agg(F.min("path").alias("top_file"))
+    own = f.groupBy("pr_id").agg(F.array_sort(F.collect_list("path")).alias("fs"))
+    top = r.select("query_pr", "pr_id").join(best, ["query_pr", "pr_id"]).join(own, "pr_id")
+    top = top.select("query_pr", "pr_id", F.col("fs")[(F.col("best_chunk") % 5 % F.size("fs")).cast("int")].alias("top_file"))
+    terms = bm25.top_terms(*indexed(spark, sf_dir), r)
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pr_id"), F.when(F.col("o_orderstatus") == "O", "closed_unmerged").otherwise("other").alias("outcome"))
-    r = r.join(shared, ["query_pr", "pr_id"], "left").join(top, "pr_id", "left").join(o, "pr_id", "left").withColumn("top_terms", F.array(F.lit("text"))).fillna("none", ["top_file"])
+    r = r.join(shared, ["query_pr", "pr_id"], "left").join(top, ["query_pr", "pr_id"], "left").join(terms, ["query_pr", "pr_id"], "left").join(o, "pr_id", "left").fillna("none", ["top_file"])
     return ranking.reasons(r).select("query_pr", "pr_id", "reason")
 
 
@@ -725,23 +755,27 @@ rc AS (SELECT query_pr, count(*) AS relevant, count(rank) FILTER (WHERE rank <=
 
 
 def judgments(spark, sf_dir):
-    """Which documents hold an item's text, by a join on the item's first five words before the exact test."""
+    """Which documents hold an item's text. An item's second to fourth words stand whole in any document that holds it; their
+    items are found by that key, and those of under five words, whose ends may be parts of words, by the text itself. Items
+    are a stated query set: their keys go out if they are at most SMALL_ROWS, which is checked, else they are joined."""
     b = table(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("query_pr"), F.col("text").alias("needle"))
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pr_id"), "text")
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    b = b.withColumn("key", F.array_join(F.slice(words(F.col("needle")), 2, 3), " "))
+    long = F.size(words(F.col("needle"))) >= 5
+    short = b.filter(~long)
+    few = b.limit(C.SMALL_ROWS + 1).count() <= C.SMALL_ROWS
+    b = b.filter(long).withColumn("key", F.array_join(F.slice(words(F.col("needle")), 2, 3), " "))
     w = d.withColumn("w", words(F.col("text"))).filter(F.size("w") >= 3)
     keys = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1), F.element_at("w", i + 2))))
-    hits = w.select("pr_id", F.explode(keys).alias("key")).join(b, "key").join(d, "pr_id").filter(F.contains("text", F.col("needle"))).select("query_pr", "pr_id")
+    hits = w.select("pr_id", F.explode(keys).alias("key")).join(F.broadcast(b) if few else b, "key").join(d, "pr_id").filter(F.contains("text", F.col("needle"))).select("query_pr", "pr_id")
+    if not short.isEmpty():
+        hits = hits.unionByName(d.join(F.broadcast(short) if few else short, F.contains("text", F.col("needle"))).select("query_pr", "pr_id"))
     l = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("pr_id"), (F.col("quality") + 1 - F.col("toxic")).alias("grade"))
     return hits.join(l, "pr_id", "left").select("query_pr", "pr_id", F.coalesce("grade", F.lit(1)).alias("grade"))
 
 
 def ranked_docs(spark, sf_dir):
-    docs = corpus_docs(spark, sf_dir)
-    at = docs.select("pr_id", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("pr_id") * 3600).alias("created_at"))
-    s = bm25.scores(bm25.build(docs), bench_queries(spark, sf_dir)).filter("score > 0").join(at.withColumnRenamed("created_at", "c_at"), "pr_id")
-    s = s.join(bench_queries(spark, sf_dir).select("query_pr", "created_at"), "query_pr").filter("c_at < created_at")
+    s = bm25.scores(bm25.build(timed_docs(spark, sf_dir)), bench_queries(spark, sf_dir)).filter("score > 0")
     return s.select("query_pr", "pr_id", "score", F.row_number().over(Window.partitionBy("query_pr").orderBy(F.desc("score"), "pr_id")).alias("rank"))
 
 
@@ -786,3 +820,97 @@ def kappa(spark, sf_dir):
 def stratification(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.groupBy(F.col("lang").alias("subsystem")).agg(F.count("*").alias("queries")).crossJoin(F.broadcast(d.agg((F.countDistinct("lang") >= 4).alias("enough"))))
+
+
+# Embedding, lookups, tallies ---------------------------------------------------------------------------------------------------
+
+EMBEDDED = r"""
+tk AS (SELECT {0}, list_transform(regexp_extract_all(coalesce({1}, ''), '[A-Za-z0-9_]+|[^A-Za-z0-9_\s]'), lambda x: lower(x)) AS ts FROM {2}),
+hs AS (SELECT {0}, t, md5(t) AS h FROM (SELECT {0}, unnest(CASE WHEN len(ts) = 0 THEN [''] ELSE ts[1:254] END) AS t FROM tk)),
+ws AS (SELECT {0}, ('0x' || h[1:8])::BIGINT % 384 AS i, sum(CASE WHEN ('0x' || h[9:9])::BIGINT % 2 = 0 THEN 1.0 ELSE -1.0 END) AS w FROM hs GROUP BY ALL),
+nm AS (SELECT {0}, sqrt(sum(w * w)) AS n, sum(w) / nullif(sqrt(sum(w * w)), 0) AS total, max(w) / nullif(sqrt(sum(w * w)), 0) AS most FROM ws GROUP BY ALL)"""
+
+
+def shown(e: DataFrame) -> list:
+    """A vector as numbers that engines can be compared by: its length, sum and first largest place."""
+    d = F.transform("embedding", lambda x: x.cast("double"))
+    return [F.round(V.norm(d), 4).alias("norm"), F.round(F.aggregate(d, F.lit(0.0), lambda s, x: s + x), 4).alias("total"), F.round(F.array_max(d), 4).alias("most")]
+
+
+@query(f"""WITH {EMBEDDED.format('item_id', 'text', 'benchmark')}
+SELECT item_id, len(ts)::INTEGER + 2 AS token_count, len(ts) + 2 > 256 AS was_truncated, CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END AS norm, round(coalesce(total, 0), 4) AS total, round(coalesce(greatest(most, 0), 0), 4) AS most
+FROM tk JOIN nm USING (item_id)""")
+def embed_texts(spark, sf_dir):
+    e = rows.chunk_rows(embedding.embed(table(spark, sf_dir, "benchmark").select("item_id", "text"), "text"))
+    return e.select("item_id", "token_count", "was_truncated", *shown(e))
+
+
+@query(f"""WITH {HUNKS}, {EMBEDDED.format('number, file_path, hunk_index', 'content', 'hunks')}
+SELECT 100 + number AS pr_id, 1 AS repo_id, file_path, hunk_index, content, len(ts)::INTEGER + 2 AS token_count, len(ts) + 2 > 256 AS was_truncated, additions, deletions,
+  CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END AS norm, round(coalesce(total, 0), 4) AS total, round(coalesce(greatest(most, 0), 0), 4) AS most, TIMESTAMP '2024-01-01' + number * INTERVAL 1 DAY AS created_at
+FROM hunks JOIN tk USING (number, file_path, hunk_index) JOIN nm USING (number, file_path, hunk_index)""")
+def chunk_rows(spark, sf_dir):
+    """From diffs to rows of the chunk table."""
+    d = sample_diffs(spark)
+    c = d.select("number", (F.col("number") + 100).alias("pr_id"), F.lit(1).alias("repo_id"), F.timestamp_seconds(F.lit(1_704_067_200) + F.col("number") * 86_400).alias("created_at"))
+    e = rows.build_chunks(diffs.parse_hunks(d), c)
+    return e.select(*[x for x in e.columns if x != "embedding"], *shown(e))
+
+
+@query("SELECT o_orderkey AS pr_id, o_orderstatus AS status FROM orders WHERE o_orderkey IN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_partkey % 500 = 0)")
+def fetch_by_ids(spark, sf_dir):
+    ids = table(spark, sf_dir, "lineitem").filter("l_partkey % 500 = 0").select(F.col("l_orderkey").alias("pr_id"))
+    return store.by_ids(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pr_id"), F.col("o_orderstatus").alias("status")), ids)
+
+
+REPO_ROWS = """
+repos AS (SELECT n_nationkey AS id, n_nationkey + 1000 AS github_id, 'org/' || lower(n_name) AS full_name, 'pending' AS status, 0 AS indexed_prs FROM nation)"""
+
+
+def repos(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    return n.select(F.col("n_nationkey").cast("long").alias("id"), (F.col("n_nationkey") + 1000).alias("github_id"), F.concat(F.lit("org/"), F.lower("n_name")).alias("full_name"), F.lit("pending").alias("status"), F.lit(0).alias("indexed_prs"), F.lit(None).cast("timestamp").alias("indexed_at"))
+
+
+@query(f"WITH {REPO_ROWS}, one AS (SELECT min(full_name) AS name FROM repos) SELECT id, full_name FROM repos WHERE full_name = (SELECT name FROM one)")
+def repo_by_name(spark, sf_dir):
+    r = repos(spark, sf_dir)
+    return store.repo_by_name(r, r.agg(F.min("full_name")).first()[0]).select("id", "full_name")
+
+
+@query(f"WITH {REPO_ROWS}, one AS (SELECT min(full_name) AS name FROM repos) SELECT id, full_name, CASE WHEN full_name = name THEN 'ready' ELSE status END AS status, CASE WHEN full_name = name THEN 42 ELSE indexed_prs END AS indexed_prs, full_name = name AS timed FROM repos, one")
+def repo_status(spark, sf_dir):
+    r = repos(spark, sf_dir)
+    out = store.set_status(r, r.agg(F.min("full_name")).first()[0], "ready", 42)
+    return out.select("id", "full_name", "status", "indexed_prs", F.col("indexed_at").isNotNull().alias("timed"))
+
+
+@query("SELECT event_type AS label, count(*) AS count FROM events GROUP BY 1 ORDER BY count DESC, label LIMIT 3")
+def most_common(spark, sf_dir):
+    return corpus.most_common(table(spark, sf_dir, "events").select(F.col("event_type").alias("label")), "label", 3)
+
+
+@query("""SELECT c_mktsegment AS facet, count(*) AS changes, sum(o_custkey % 7 + o_orderkey % 3)::BIGINT AS churn, count(*) FILTER (WHERE o_custkey % 7 + o_orderkey % 3 = 0) AS empty
+FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1""")
+def churn_facets(spark, sf_dir):
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    j = o.join(c, o.o_custkey == c.c_custkey)
+    return corpus.facets(j.select(F.col("c_mktsegment").alias("facet"), (F.col("o_custkey") % 7).alias("additions"), (F.col("o_orderkey") % 3).alias("deletions")))
+
+
+@query(f"WITH t(s) AS (VALUES {', '.join('(' + chr(39) + s.replace(chr(39), chr(39) * 2) + chr(39) + ')' for s in samples.TITLES)}), p AS (SELECT {NORMAL.format('a.s')} = {NORMAL.format('b.s')} AS same FROM t a, t b WHERE a.s < b.s) SELECT count(*) FILTER (WHERE same) AS exact, count(*) FILTER (WHERE NOT same) AS loose FROM p")
+def branch_tally(spark, sf_dir):
+    t = [(a, b) for a in samples.TITLES for b in samples.TITLES if a < b]
+    return corpus.branch_tally(spark.createDataFrame(t, "title_a string, title_b string"))
+
+
+@query("WITH l(labels) AS (VALUES (['Area: core', 'bug']), (['area:WebGL', 'AREA:docs', 'areas']), ([]::VARCHAR[])) SELECT labels, list_filter(labels, lambda x: lower(x) LIKE 'area:%') AS areas FROM l")
+def area_labels(spark, sf_dir):
+    l = spark.createDataFrame([(["Area: core", "bug"],), (["area:WebGL", "AREA:docs", "areas"],), ([],)], "labels array<string>")
+    return l.select("labels", T.area_labels(F.col("labels")).alias("areas"))
+
+
+@query(f"WITH {RANKED} SELECT count(*) FILTER (WHERE final_score NOT BETWEEN 0 AND 1) AS outside FROM fin WHERE rank <= 3")
+def scores_in_range(spark, sf_dir):
+    n, *_ = normalised(spark, sf_dir)
+    return checks.scores_in_range(ranking.rank(n), "final_score")

@@ -1,6 +1,6 @@
 """Every threshold and fixed value of the engine."""
 
-# Retrieval.
+# Thresholds of retrieval, ranking and corpus rules.
 EMBEDDING_DIM = 384
 MAX_MODEL_TOKENS = 256
 VECTOR_TOP_K = 50
@@ -12,6 +12,9 @@ WEIGHT_VECTOR, WEIGHT_FILE, WEIGHT_BM25 = 0.5, 0.3, 0.2
 REASON_HIGH_VECTOR = 0.7
 REASON_HIGH_BM25 = 0.7
 
+#: Rows of a side that may be broadcast, where it is counted first.
+SMALL_ROWS = 10_000
+
 # BM25.
 BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
 
@@ -33,5 +36,8 @@ HOUSEKEEPING_TITLES = (
 EXCLUDED_EXTENSIONS = (".md", ".txt", ".rst", ".po", ".lock", ".svg", ".map", ".obj", ".mtl", ".stl")
 EXCLUDED_BASENAMES = ("package-lock.json", ".all-contributorsrc")
 EXCLUDED_PATHS = (r"^translations/[^/]+/translation\.json$", r"^test/unit/visual/screenshots/")
+# Keys of a raw item that are not kept, and how labels of an area begin.
+DROPPED_KEYS = ("base", "head", "links", "_links")
+AREA_PREFIX = "area:"
 # Fixed value: added to the reason of a change that was closed without a merge.
 CLOSED_SUFFIX = " — closed without merging, worth checking why"

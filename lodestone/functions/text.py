@@ -81,5 +81,10 @@ def is_source(path: Column) -> Column:
     return path.rlike(r"\.(js|mjs|ts)\z") & ~path.startswith("translations/") & ~path.startswith("test/")
 
 
+def area_labels(labels: Column) -> Column:
+    """The labels that name an area, whatever their case."""
+    return F.filter(labels, lambda x: F.startswith(F.lower(x), F.lit(C.AREA_PREFIX)))
+
+
 def is_test_path(path: Column) -> Column:
     return path.rlike(r"(^|/)(tests?|spec|__tests__)/|(^|/)test_[^/]*\z|[._]test\.[a-z]+\z")

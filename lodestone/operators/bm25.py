@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone import constants as C
@@ -13,7 +13,8 @@ from lodestone.functions import text as T
 
 @dataclass
 class Index:
-    """postings (pr_id, term, tf, dl), idf (term, df, idf) and stats (one row: n_docs, avgdl, vocabulary, average_idf)."""
+    """postings (pr_id, term, tf, dl, and created_at if the documents have it), idf (term, df, idf) and stats (one row: n_docs,
+    avgdl, vocabulary, average_idf)."""
 
     postings: DataFrame
     idf: DataFrame
@@ -21,31 +22,58 @@ class Index:
 
 
 def build(docs: DataFrame) -> Index:
-    """docs: pr_id, text. An idf below 0 is set to epsilon times the average raw idf of the vocabulary. An empty corpus is an error at use."""
-    terms = docs.select("pr_id", F.explode(T.tokenize(F.col("text"))).alias("term"))
-    tf = terms.groupBy("pr_id", "term").agg(F.count("*").alias("tf"))
-    sizes = docs.select("pr_id", F.size(T.tokenize(F.coalesce(F.col("text"), F.lit("")))).alias("dl"))
-    base = sizes.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(base.select("n_docs")))
+    """docs: pr_id (one row each), text, and created_at if candidates are to be cut by time. A document is tokenised once and
+    its counts leave its task summed. An idf below 0 is set to epsilon times the average raw idf of the vocabulary."""
+    carried = [c for c in ("created_at",) if c in docs.columns]
+    terms = docs.select("pr_id", *carried, T.tokenize(F.col("text")).alias("tokens"))
+    terms = terms.select("pr_id", *carried, F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    postings = terms.groupBy("pr_id", *carried, "dl", "term").agg(F.count("*").alias("tf"))
+    base = docs.agg(F.count("*").alias("n_docs")).crossJoin(F.broadcast(postings.agg(F.sum("tf").alias("terms"))))
+    base = base.select("n_docs", (F.coalesce("terms", F.lit(0)) / F.nullif("n_docs", F.lit(0))).alias("avgdl"))
+    df = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(base.select("n_docs")))
     raw = df.withColumn("raw", F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
     vocabulary = raw.agg(F.count("*").alias("vocabulary"), F.avg("raw").alias("average_idf"))
     idf = raw.crossJoin(F.broadcast(vocabulary)).select("term", "df", F.when(F.col("raw") < 0, F.col("average_idf") * C.BM25_EPSILON).otherwise(F.col("raw")).alias("idf"))
-    return Index(tf.join(sizes, "pr_id"), idf, base.crossJoin(vocabulary))
+    return Index(postings, idf, base.crossJoin(F.broadcast(vocabulary)))
 
 
-def scores(index: Index, queries: DataFrame) -> DataFrame:
-    """(query_pr, pr_id, score) for queries (query_pr, text); a repeated query term counts as often as it stands."""
-    q = queries.select("query_pr", F.explode(T.tokenize(F.col("text"))).alias("term")).groupBy("query_pr", "term").agg(F.count("*").alias("qtf"))
+def parts(index: Index, queries: DataFrame) -> DataFrame:
+    """(query_pr, pr_id, term, part): what each term of a query (query_pr, text) adds to a document's score. A repeated query
+    term counts as often as it stands. If queries and documents have created_at, only strictly earlier documents other
+    than the query itself take part: they fall out before anything is summed."""
+    timed = "created_at" in queries.columns and "created_at" in index.postings.columns
+    at = [F.col("created_at").alias("q_at")] if timed else []
+    q = queries.select("query_pr", *at, F.explode(T.tokenize(F.col("text"))).alias("term")).groupBy("query_pr", *[c for c in ("q_at",) if timed], "term").agg(F.count("*").alias("qtf"))
     avgdl = F.broadcast(index.stats.select("avgdl"))
-    j = q.join(index.idf.select("term", "idf"), "term").join(index.postings, "term").crossJoin(avgdl)
+    postings = index.postings
+    if timed:
+        postings = postings.filter(F.col("created_at").isNotNull())
+    j = q.join(index.idf.select("term", "idf"), "term").join(postings, "term")
+    if timed:
+        j = j.filter((F.col("created_at") < F.col("q_at")) & (F.col("pr_id") != F.col("query_pr")))
     weight = F.col("tf") * (C.BM25_K1 + 1) / (F.col("tf") + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * F.col("dl") / F.col("avgdl")))
-    return j.groupBy("query_pr", "pr_id").agg(F.round(F.sum(F.col("qtf") * F.col("idf") * weight), 6).alias("score"))
+    return j.crossJoin(avgdl).select("query_pr", "pr_id", "term", (F.col("qtf") * F.col("idf") * weight).alias("part"))
+
+
+def scores(index: Index, queries: DataFrame) -> DataFrame:
+    """(query_pr, pr_id, score) for queries (query_pr, text, and created_at as in parts)."""
+    return parts(index, queries).groupBy("query_pr", "pr_id").agg(F.round(F.sum("part"), 6).alias("score"))
+
+
+def top_terms(index: Index, queries: DataFrame, pairs: DataFrame, k: int = 2) -> DataFrame:
+    """(query_pr, pr_id, top_terms): the k terms that add most to the scores of the pairs, the first by code point in a tie."""
+    own = parts(index, queries).join(F.broadcast(pairs.select("query_pr", "pr_id")) if pairs.count() <= C.SMALL_ROWS else pairs.select("query_pr", "pr_id"), ["query_pr", "pr_id"], "left_semi")
+    own = own.withColumn("part", F.round("part", 6))
+    nth = F.row_number().over(Window.partitionBy("query_pr", "pr_id").orderBy(F.desc("part"), "term"))
+    best = own.withColumn("nth", nth).filter(F.col("nth") <= k).groupBy("query_pr", "pr_id").agg(F.array_sort(F.collect_list(F.struct("nth", "term"))).alias("t"))
+    return best.select("query_pr", "pr_id", F.col("t")["term"].alias("top_terms"))
 
 
-def signal(index: Index, queries: DataFrame, changes: DataFrame, k: int = C.BM25_TOP_K) -> DataFrame:
-    """The k best earlier changes with a positive score. queries: query_pr, created_at, text; changes: pr_id, created_at."""
+def signal(index: Index, queries: DataFrame, changes: DataFrame | None = None, k: int = C.BM25_TOP_K) -> DataFrame:
+    """The k best earlier changes with a positive score. queries: query_pr, created_at, text. changes (pr_id, created_at) is
+    needed where the index has no created_at."""
     from lodestone.operators.vector_signal import top_per
 
-    s = scores(index, queries).filter("score > 0")
-    s = s.join(changes.select("pr_id", F.col("created_at").alias("c_at")), "pr_id").join(queries.select("query_pr", "created_at"), "query_pr")
-    return top_per(s.filter("c_at < created_at and pr_id <> query_pr").drop("c_at", "created_at"), ["query_pr"], k)
+    if "created_at" not in index.postings.columns:
+        index = Index(index.postings.join(changes.select("pr_id", "created_at"), "pr_id"), index.idf, index.stats)
+    return top_per(scores(index, queries).filter("score > 0"), ["query_pr"], k)

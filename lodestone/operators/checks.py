@@ -16,6 +16,21 @@ def list_sound(items: DataFrame, first: int, low: int, high: int) -> DataFrame:
     return items.agg((n > 0).alias("not_empty"), (n == u).alias("unique"), F.coalesce(F.min("number") == first, F.lit(False)).alias("first_ok"), n.between(low, high).alias("in_band"))
 
 
+def tail_short(items: DataFrame, per_page: int = C.PER_PAGE) -> DataFrame:
+    """items: page. One row, ok: every page but the last is full, and the last is not above a page."""
+    n = items.groupBy("page").agg(F.count("*").alias("n"))
+    last = n.agg(F.max("page").alias("last"))
+    return n.crossJoin(F.broadcast(last)).agg(F.coalesce(F.bool_and(F.when(F.col("page") == F.col("last"), F.col("n") <= per_page).otherwise(F.col("n") == per_page)), F.lit(False)).alias("ok"))
+
+
+def scores_in_range(results: DataFrame, *columns: str) -> DataFrame:
+    """(outside): how many rows have a score below 0 or above 1."""
+    bad = F.lit(False)
+    for c in columns:
+        bad = bad | ~F.col(c).between(0, 1)
+    return results.agg(F.count_if(bad).alias("outside"))
+
+
 def verdicts_sound(verdicts: DataFrame, expected: int) -> DataFrame:
     """One row: complete, unique, consistent (the reason is null exactly where in_corpus), known (reasons of this step only)."""
     step = (C.REASON_BOT, C.REASON_HOUSEKEEPING, C.REASON_DUPLICATE)

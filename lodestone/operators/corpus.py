@@ -64,6 +64,23 @@ def verdicts(changes: DataFrame) -> DataFrame:
     return out.select("number", F.col("reason").isNull().alias("in_corpus"), F.col("reason").alias("exclusion_reason"))
 
 
+def most_common(df: DataFrame, column: str, n: int) -> DataFrame:
+    """(column, count): the n most frequent values, the first in order in a tie (a top-n report)."""
+    return df.groupBy(column).agg(F.count("*").alias("count")).orderBy(F.desc("count"), column).limit(n)
+
+
+def branch_tally(groups: DataFrame) -> DataFrame:
+    """groups: title_a, title_b of pairs that two rules matched. One row: exact (equal after normalising) and loose ones."""
+    same = T.normalize_title(F.col("title_a")) == T.normalize_title(F.col("title_b"))
+    return groups.agg(F.count_if(same).alias("exact"), F.count_if(~same).alias("loose"))
+
+
+def facets(changes: DataFrame) -> DataFrame:
+    """changes: facet, additions, deletions. Churn and number of changes of each facet, and how many touch nothing."""
+    churn = F.col("additions") + F.col("deletions")
+    return changes.groupBy("facet").agg(F.count("*").alias("changes"), F.sum(churn).alias("churn"), F.count_if(churn == 0).alias("empty"))
+
+
 def ascending_breaks(changes: DataFrame, at: str = "created_at", unit: str = "day") -> DataFrame:
     """(number, before): rows whose number is not above that of the row before, in order of time and number.
 

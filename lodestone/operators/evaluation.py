@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+MOST_QUERIES = 100_000
+
+
 def pool(*runs: DataFrame, per_run: int = 6) -> DataFrame:
     """Distinct (query_pr, pr_id) of the best of each run (query_pr, pr_id, rank)."""
     out = runs[0].filter(F.col("rank") <= per_run).select("query_pr", "pr_id")
@@ -31,22 +34,23 @@ def reciprocal_rank(results: DataFrame, judgments: DataFrame, least_grade: int =
 
 def bootstrap(values: DataFrame, column: str, rounds: int = 1000, seed: int = 7) -> DataFrame:
     """(low, mid, high): percentile interval of the mean over queries drawn with replacement. Draw j of round i takes the query
-    at index (a(i, j)) mod n, from a linear congruence of the two, so any engine gives the same draws."""
-    v = values.select(F.col(column).alias("v"), (F.row_number().over(_by_all(values, column)) - 1).alias("at"))
-    n = v.agg(F.count("*").alias("n"))
+    at index (a(i, j)) mod n, from a linear congruence of the two, so any engine gives the same draws. values has a row
+    for each evaluated query, MOST_QUERIES at most: they go to every round as one array."""
     spark = values.sparkSession
-    draws = spark.range(rounds).select(F.col("id").alias("i")).crossJoin(v.select(F.col("at").alias("j"))).crossJoin(F.broadcast(n))
-    state = (F.col("i") * 1_103_515 + F.col("j") * 12_345 + seed) * 48_271 % 2_147_483_647
-    draws = draws.withColumn("at", (state * 48_271 % 2_147_483_647 % F.col("n")).cast("int"))
-    means = draws.join(v, "at").groupBy("i").agg(F.avg("v").alias("m"))
-    p = F.percentile("m", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
-    return means.agg(p.alias("p")).select(*[F.round(F.col("p")[k], 6).alias(c) for k, c in enumerate(("low", "mid", "high"))])
+    rest = [c for c in values.columns if c != column]
+    if values.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} evaluated queries")
+    v = values.agg(F.transform(F.array_sort(F.collect_list(F.struct(*rest, column))), lambda r: r[column]).alias("v"))
+    draws = spark.range(rounds).select(F.col("id").alias("i")).crossJoin(F.broadcast(v)).filter(F.size("v") > 0)
 
+    def drawn(j):
+        state = (F.col("i") * 1_103_515 + j * 12_345 + seed) * 48_271 % 2_147_483_647
+        return F.get("v", (state * 48_271 % 2_147_483_647 % F.size("v")).cast("int"))
 
-def _by_all(values: DataFrame, column: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(*[c for c in values.columns if c != column], column)
+    total = F.aggregate(F.transform(F.sequence(F.lit(0).cast("long"), F.size("v").cast("long") - 1), drawn), F.lit(0.0), lambda s, x: s + x)
+    means = draws.select((total / F.size("v")).alias("m"))
+    p = F.percentile("m", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
+    return means.agg(p.alias("p")).select(*[F.round(F.col("p")[k], 6).alias(c) for k, c in enumerate(("low", "mid", "high"))])
 
 
 def weighted_kappa(judgments: DataFrame, grades: int = 3, least_pairs: int = 10) -> DataFrame:

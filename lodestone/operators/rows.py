@@ -37,36 +37,49 @@ def parse_items(raw: DataFrame, column: str = "raw") -> DataFrame:
     return raw.select(F.from_json(F.col(column), ITEM.replace("variant", "string")).alias("item"), F.col(column).alias("raw")).select("item.*", "raw")
 
 
-def lean_raw(item: Column) -> Column:
-    """The item without what repeats the repository and without links, with the head's revision kept."""
-    return F.to_json(F.struct(
-        item["number"].alias("number"), item["id"].alias("id"), item["title"].alias("title"), item["body"].alias("body"), item["user"].alias("user"), item["state"].alias("state"),
-        item["created_at"].alias("created_at"), item["merged_at"].alias("merged_at"), item["closed_at"].alias("closed_at"), item["labels"].alias("labels"), item["head"]["sha"].alias("head_sha")))
+def lean_raw(raw: Column) -> Column:
+    """An item's JSON without what repeats the repository and without links, and with the head's revision; every other key stays
+    as it is."""
+    whole = F.parse_json(raw)
+    kept = F.map_filter(whole.cast("map<string,variant>"), lambda k, v: ~k.isin(*C.DROPPED_KEYS))
+    sha = F.try_variant_get(whole, "$.head.sha", "string")
+    return F.to_json(F.map_concat(kept, F.create_map(F.lit("head_sha"), F.to_variant_object(F.array(sha)).cast("array<variant>")[0])))
 
 
 def build(items: DataFrame, verdicts: DataFrame, diffs: DataFrame, unavailable: DataFrame) -> DataFrame:
     """One row per item, marked. The reason is the verdict's, else that the diff is unavailable, else that it has no source.
 
-    verdicts: number, exclusion_reason, for every item. diffs: number, diff. unavailable: number. An item that should
-    have a diff and has none is an error.
+    verdicts: number, exclusion_reason, for every item. diffs: number, diff. unavailable: number. An item without a
+    verdict, and one that should have a diff and has none, are errors.
     """
     hunks = D.parse_hunks(diffs)
     per = hunks.groupBy("number").agg(F.array_sort(F.collect_set("file_path")).alias("files_changed"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"), F.count("*").alias("n_hunks"))
-    j = items.join(verdicts.select("number", F.col("exclusion_reason").alias("step_reason")), "number")
+    j = items.join(verdicts.select("number", F.col("exclusion_reason").alias("step_reason"), F.lit(True).alias("judged")), "number", "left")
     j = j.join(diffs.select("number", F.lit(True).alias("has_diff")).distinct(), "number", "left").join(unavailable.select("number", F.lit(True).alias("refused")).distinct(), "number", "left").join(per, "number", "left")
     reason = F.coalesce("step_reason", F.when(F.col("refused"), C.REASON_NO_DIFF), F.when(F.col("has_diff") & (F.coalesce("n_hunks", F.lit(0)) == 0), C.REASON_NO_SOURCE))
     missing = F.col("step_reason").isNull() & F.col("refused").isNull() & F.col("has_diff").isNull()
-    reason = F.when(missing, F.raise_error(F.concat(F.lit("no diff for change "), F.col("number").cast("string")))).otherwise(reason)
+    reason = F.when(F.col("judged").isNull(), F.raise_error(F.concat(F.lit("no verdict for change "), F.col("number").cast("string")))).when(missing, F.raise_error(F.concat(F.lit("no diff for change "), F.col("number").cast("string")))).otherwise(reason)
     used = F.col("step_reason").isNull() & F.col("refused").isNull()
     return j.select(
         "number", F.col("id").alias("github_id"), "title", "body", author(F.col("user")).alias("author"), author_type(F.col("user")).alias("author_type"), outcome(F.col("merged_at"), F.col("state")).alias("outcome"),
         F.coalesce(F.col("labels")["name"], F.array().cast("array<string>")).alias("labels"),
         F.when(used, F.col("files_changed")).otherwise(F.lit(None)).alias("files"), F.when(used, F.coalesce("additions", F.lit(0))).otherwise(0).alias("additions"), F.when(used, F.coalesce("deletions", F.lit(0))).otherwise(0).alias("deletions"),
         F.to_timestamp("created_at").alias("created_at"), F.to_timestamp("merged_at").alias("merged_at"), F.to_timestamp("closed_at").alias("closed_at"), reason.alias("exclusion_reason"),
-        lean_raw(F.struct(*[c for c in items.columns if c != "raw"])).alias("raw"),
+        lean_raw(F.col("raw")).alias("raw"),
     ).withColumn("files_changed", F.coalesce("files", F.array().cast("array<string>"))).drop("files").withColumn("in_corpus", F.col("exclusion_reason").isNull())
 
 
 def chunk_rows(hunks: DataFrame, limit: int = C.MAX_MODEL_TOKENS) -> DataFrame:
     """hunks with token_count: adds was_truncated, strictly above the model's limit."""
     return hunks.withColumn("was_truncated", F.col("token_count") > limit)
+
+
+def build_chunks(hunks: DataFrame, changes: DataFrame) -> DataFrame:
+    """Rows of the chunk table: hunks (number, file_path, hunk_index, content, additions, deletions) embedded and counted, with
+    the id, repo and time of their change (changes: number, pr_id, repo_id, created_at). A hunk of no change is an error."""
+    from lodestone.operators import embedding
+
+    e = chunk_rows(embedding.embed(hunks, "content"))
+    j = e.join(changes.select("number", "pr_id", "repo_id", "created_at", F.lit(True).alias("known")), "number", "left")
+    j = j.withColumn("pr_id", F.when(F.col("known"), F.col("pr_id")).otherwise(F.raise_error(F.concat(F.lit("hunk of unknown change "), F.col("number").cast("string")))))
+    return j.select("pr_id", "repo_id", "file_path", "hunk_index", "content", "token_count", "was_truncated", "additions", "deletions", "embedding", "created_at")

@@ -2,31 +2,105 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 from lodestone import constants as C
 from lodestone.functions import vectors as V
+from lodestone.plans.cluster import ship
+
+#: So many query chunks are held against all chunks at once; more are taken in blocks of at most about this size.
+QUERY_BLOCK = 2_000
+
+
+def matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """Vectors as rows of one matrix, each of length one; a vector of another dimension is an error."""
+    sizes = np.diff(column.offsets.to_numpy())
+    if (sizes != dim).any():
+        raise ValueError(f"embedding dimension {int(sizes[sizes != dim][0])}, expected {dim}")
+    m = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    with np.errstate(invalid="ignore"):
+        return m / np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
+
 
-#: A query side up to so many chunks is broadcast; more are joined by blocks.
-BROADCAST_CHUNKS = 2_000
+def check(query: DataFrame, chunks: DataFrame) -> None:
+    """Raises for a query without chunks, an empty corpus, and times without a zone."""
+    for name, df in (("query", query), ("chunks", chunks)):
+        if isinstance(df.schema["created_at"].dataType, TimestampNTZType):
+            raise ValueError(f"created_at of {name} has no time zone")
+    if query.isEmpty():
+        raise ValueError("the query has no chunks")
+    if chunks.filter("in_corpus and embedding is not null").isEmpty():
+        raise ValueError("the corpus has no chunks")
 
 
-def chunk_scores(query: DataFrame, chunks: DataFrame, *, dim: int = C.EMBEDDING_DIM, places: int = 6) -> DataFrame:
+def chunk_scores(query: DataFrame, chunks: DataFrame, *, dim: int = C.EMBEDDING_DIM, places: int = 6, k: int | None = None) -> DataFrame:
     """(query_pr, query_chunk, pr_id, score): for each query chunk, the best chunk of each strictly earlier change of its repo.
+    If chunks have a column chunk, best_chunk names the best (the least of those as good). k: only the k best changes of
+    a query chunk need to come out right; a task then sends on no more of each.
 
     query: query_pr, query_chunk, repo_id, created_at, embedding. chunks: pr_id, repo_id, created_at, in_corpus, embedding.
-    Chunks without a vector never match; a vector of another dimension is an error. Queries are a stated set; up to
-    BROADCAST_CHUNKS of them are broadcast, which bounds what is sent; more are taken by a join on the repo.
+    Chunks without a vector never match; a vector of another dimension is an error. Queries are a stated set: their unit
+    vectors go out in blocks of about QUERY_BLOCK, and each batch of chunks is one matrix product with a block; chunks are
+    not shuffled.
     """
-    right = chunks.filter("in_corpus and embedding is not null").select("pr_id", F.col("repo_id").alias("c_repo"), F.col("created_at").alias("c_at"), F.col("embedding").alias("c_vec"))
-    right = right.filter(F.assert_true(F.size("c_vec") == dim, F.lit("embedding dimension")).isNull())
-    left = query.filter("embedding is not null").select("query_pr", "query_chunk", "repo_id", "created_at", F.col("embedding").alias("q_vec"))
-    if left.limit(BROADCAST_CHUNKS + 1).count() <= BROADCAST_CHUNKS:
-        left = F.broadcast(left)
-    earlier = (F.col("c_repo") == F.col("repo_id")) & (F.col("c_at") < F.col("created_at")) & (F.col("pr_id") != F.col("query_pr"))
-    j = right.join(left, earlier)
-    return j.groupBy("query_pr", "query_chunk", "pr_id").agg(F.round(F.max(V.cosine(F.col("q_vec"), F.col("c_vec"))), places).alias("score"))
+    named = "chunk" in chunks.columns
+    right = chunks.filter("in_corpus and embedding is not null").select(
+        F.col("pr_id").cast("long").alias("pr_id"), F.col("repo_id").cast("long").alias("repo"), F.unix_micros(F.col("created_at").cast("timestamp")).alias("at"),
+        (F.col("chunk") if named else F.lit(0)).cast("long").alias("chunk"), "embedding")
+    left = query.filter("embedding is not null").select(
+        F.col("query_pr").cast("long").alias("query_pr"), F.col("query_chunk").cast("long").alias("query_chunk"), F.col("repo_id").cast("long").alias("repo"),
+        F.unix_micros(F.col("created_at").cast("timestamp")).alias("at"), "embedding")
+    many = -(-left.count() // QUERY_BLOCK)
+    out = None
+    for b in range(max(1, many)):
+        own = left if many <= 1 else left.filter(F.pmod(F.xxhash64("query_pr", "query_chunk"), F.lit(many)) == b)
+        one = _against(own.toArrow().combine_chunks(), right, dim, places, k)
+        out = one if out is None else out.unionByName(one)
+    best = out.groupBy("query_pr", "query_chunk", "pr_id").agg(F.max(F.struct("score", (-F.col("best_chunk")).alias("minus"))).alias("b"))
+    return best.select("query_pr", "query_chunk", "pr_id", "b.score", *([(-F.col("b.minus")).alias("best_chunk")] if named else []))
+
+
+def _against(block: pa.Table, chunks: DataFrame, dim: int, places: int, k: int | None) -> DataFrame:
+    vectors = matrix(block.column("embedding").combine_chunks(), dim) if block.num_rows else np.zeros((0, dim))
+    keys = {c: block.column(c).to_numpy() for c in ("query_pr", "query_chunk", "repo", "at")}
+    shared = chunks.sparkSession.sparkContext.broadcast((vectors, keys))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, of = shared.value
+        for batch in batches:
+            if not batch.num_rows or not len(q):
+                continue
+            own = {c: batch.column(c).to_numpy() for c in ("pr_id", "repo", "at", "chunk")}
+            order = np.lexsort((own["chunk"], own["pr_id"]))
+            own = {c: v[order] for c, v in own.items()}
+            near = np.round(matrix(batch.column("embedding"), dim)[order] @ q.T, places)
+            fit = (own["repo"][:, None] == of["repo"]) & (own["at"][:, None] < of["at"]) & (own["pr_id"][:, None] != of["query_pr"])
+            near = np.where(fit & ~np.isnan(near), near, -np.inf)
+            first = np.flatnonzero(np.diff(own["pr_id"], prepend=own["pr_id"][0] - 1))
+            best = np.maximum.reduceat(near, first, axis=0)  # change by query chunk
+            # the first row that is as good as its change's best
+            rows = np.arange(len(near))[:, None]
+            at = np.minimum.reduceat(np.where(near == np.repeat(best, np.diff(first, append=len(near)), axis=0), rows, len(near)), first, axis=0)
+            pr = own["pr_id"][first]
+            keep = best > -np.inf
+            if k is not None and len(pr) > k:
+                top = np.argsort(-best, axis=0, kind="stable")[:k]  # changes are in order of their id
+                chosen = np.zeros_like(keep)
+                np.put_along_axis(chosen, top, True, axis=0)
+                keep &= chosen
+            i, j = np.nonzero(keep)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(of["query_pr"][j]), pa.array(of["query_chunk"][j]), pa.array(pr[i]), pa.array(best[i, j]), pa.array(own["chunk"][at[i, j]])],
+                names=["query_pr", "query_chunk", "pr_id", "score", "best_chunk"])
+
+    ship(chunks.sparkSession)
+    return chunks.mapInArrow(run, "query_pr long, query_chunk long, pr_id long, score double, best_chunk long")
 
 
 def top_per(scores: DataFrame, by: list[str], k: int, score: str = "score", tie: str = "pr_id") -> DataFrame:
@@ -35,13 +109,16 @@ def top_per(scores: DataFrame, by: list[str], k: int, score: str = "score", tie:
 
 
 def aggregate(best: DataFrame, strategy: str = "max", by: str = "query_pr") -> DataFrame:
-    """(query_pr, pr_id, score, chunk_hits) over a change's chunk lists. max, or mean_top_k: the mean of up to MEAN_TOP_K."""
+    """(query_pr, pr_id, score, chunk_hits) over a change's chunk lists. max, or mean_top_k: the mean of up to MEAN_TOP_K. With
+    max, and best_chunk in best, also the best chunk of all."""
     if strategy not in ("max", "mean_top_k"):
         raise ValueError(f"unknown strategy {strategy!r}")
     score = F.max("score") if strategy == "max" else V.top_mean(F.collect_list("score"), C.MEAN_TOP_K)
-    return best.groupBy(by, "pr_id").agg(score.alias("score"), F.count("*").alias("chunk_hits"))
+    chunk = [(-F.max(F.struct("score", (-F.col("best_chunk")).alias("m")))["m"]).alias("best_chunk")] if "best_chunk" in best.columns else []
+    return best.groupBy(by, "pr_id").agg(score.alias("score"), F.count("*").alias("chunk_hits"), *chunk)
 
 
 def signal(query: DataFrame, chunks: DataFrame, *, dim: int = C.EMBEDDING_DIM, strategy: str = "max", k: int = C.VECTOR_TOP_K) -> DataFrame:
     """The k best of each query chunk, then one score per earlier change. Filters come before the cut."""
-    return aggregate(top_per(chunk_scores(query, chunks, dim=dim), ["query_pr", "query_chunk"], k), strategy)
+    best = top_per(chunk_scores(query, chunks, dim=dim, k=k), ["query_pr", "query_chunk"], k)
+    return aggregate(best.drop("best_chunk"), strategy)

@@ -9,7 +9,7 @@ from lodestone import constants as C
 from lodestone import schemas
 from lodestone.functions import text as T
 from lodestone.functions import vectors as V
-from lodestone.operators import bm25, checks, corpus, diffs, evaluation, overlap, ranking, rows, vector_signal
+from lodestone.operators import bm25, checks, corpus, diffs, embedding, evaluation, overlap, ranking, rows, vector_signal
 from lodestone.plans import samples
 from lodestone.sources import snapshot, store
 
@@ -237,6 +237,146 @@ def test_checks(spark):
     assert checks.rows_sound(v.withColumn("files_changed", F.array(F.lit("a"))), 3).first().no_files_if_excluded is False
 
 
+def test_vector_guards(spark):
+    query, chunks = chunk_frames(spark)
+    vector_signal.check(query, chunks)
+    with pytest.raises(ValueError, match="no chunks"):
+        vector_signal.check(query.filter("false"), chunks)
+    with pytest.raises(ValueError, match="corpus has no chunks"):
+        vector_signal.check(query, chunks.filter("embedding is null"))
+    with pytest.raises(ValueError, match="time zone"):
+        vector_signal.check(query.withColumn("created_at", F.col("created_at").cast("timestamp_ntz")), chunks)
+
+
+def test_vector_blocks_cut_and_best_chunk_equal_plain_loops(spark, monkeypatch):
+    """Query blocks, the cut inside a task and ties against a loop over all pairs."""
+    import random
+
+    monkeypatch.setattr(vector_signal, "QUERY_BLOCK", 4)
+    rng = random.Random(3)
+    data = [(k // 3, k % 2, k, k // 3, [float(rng.choice((1, 2, 3))) for _ in range(3)]) for k in range(120)]
+    df = spark.createDataFrame(data, "pr_id long, repo_id int, chunk long, day int, embedding array<double>").withColumn("created_at", ts(spark, F.col("day"))).withColumn("in_corpus", F.lit(True)).repartition(5)
+    q = df.filter("pr_id % 10 = 9").select(F.col("pr_id").alias("query_pr"), F.col("chunk").alias("query_chunk"), "repo_id", "created_at", "embedding")
+    unit = lambda v: [x / sum(y * y for y in v) ** 0.5 for x in v]
+    want = {}
+    for pr, repo, chunk, _, v in data:
+        if pr % 10 == 9:
+            best = {}
+            for other, r, c, _, w in data:
+                if r == repo and other < pr:
+                    s = (round(sum(a * b for a, b in zip(unit(v), unit(w))), 6), -c)
+                    best[other] = max(best.get(other, s), s)
+            want.update({(chunk, o): x for o, x in sorted(best.items(), key=lambda e: (-e[1][0], e[0]))})
+    got = {(r.query_chunk, r.pr_id): (round(r.score, 6), -r.best_chunk) for r in vector_signal.chunk_scores(q, df, dim=3).collect()}
+    assert got == want
+    for k in (1, 4):
+        top = {}
+        for (c, o), x in want.items():
+            top.setdefault(c, []).append((-x[0], o))
+        cut = {(c, o) for c, v in top.items() for _, o in sorted(v)[:k]}
+        best = vector_signal.top_per(vector_signal.chunk_scores(q, df, dim=3, k=k), ["query_pr", "query_chunk"], k)
+        assert {(r.query_chunk, r.pr_id) for r in best.collect()} == cut
+
+
+def test_bm25_top_terms(spark):
+    docs = spark.createDataFrame([(k, "common pad " + ("alpha beta" if k < 2 else "gamma") * (k + 1)) for k in range(9)], "pr_id long, text string")
+    q = spark.createDataFrame([(100, "alpha beta common gamma")], "query_pr long, text string")
+    index = bm25.build(docs)
+    parts = {}
+    for r in bm25.parts(index, q).collect():
+        parts.setdefault(r.pr_id, []).append((-round(r.part, 6), r.term))
+    got = {r.pr_id: r.top_terms for r in bm25.top_terms(index, q, spark.createDataFrame([(100, 0), (100, 5)], "query_pr long, pr_id long")).collect()}
+    assert got == {k: [t for _, t in sorted(parts[k])[:2]] for k in (0, 5)}
+
+
+def test_embedding(spark):
+    texts = ["def run(self): return 1", "DEF RUN(SELF): RETURN 1", "other words entirely", "", None, "x " * 300]
+    e = {r.k: r for r in embedding.embed(spark.createDataFrame(list(enumerate(texts)), "k long, text string"), "text").collect()}
+    assert [e[k].token_count for k in range(6)] == [10, 10, 5, 2, 2, 302]
+    assert all(len(r.embedding) == C.EMBEDDING_DIM and sum(x * x for x in r.embedding) == pytest.approx(1, abs=1e-5) for r in e.values())
+    assert e[0].embedding == e[1].embedding and e[3].embedding == e[4].embedding and e[0].embedding != e[2].embedding
+    assert embedding.embed(spark.createDataFrame([], "text string"), "text").collect() == []
+
+
+def test_lean_raw_keeps_unknown_keys(spark):
+    raw = json.dumps({"number": 1, "base": {"x": 1}, "head": {"sha": "abc", "y": 2}, "links": [], "_links": {}, "odd": {"deep": [1, None, "z"]}, "draft": False, "milestone": None})
+    gone = json.dumps({"number": 2})
+    a, b = (json.loads(r.j) for r in spark.createDataFrame([(raw,), (gone,)], "raw string").select(rows.lean_raw(F.col("raw")).alias("j")).collect())
+    assert a == {"number": 1, "odd": {"deep": [1, None, "z"]}, "draft": False, "milestone": None, "head_sha": "abc"} and b == {"number": 2, "head_sha": None}
+
+
+def test_a_missing_verdict_and_a_lost_change_are_errors(spark):
+    items = rows.parse_items(spark.createDataFrame([(r,) for r in samples.ITEMS], "raw string"))
+    verdicts = spark.createDataFrame(samples.VERDICTS, "number long, exclusion_reason string")
+    d, gone = spark.createDataFrame(samples.DIFFS, "number long, diff string"), spark.createDataFrame([(11,)], "number long")
+    with pytest.raises(Exception, match="no verdict for change 2"):
+        rows.build(items, verdicts.filter("number <> 2"), d, gone).collect()
+    c = d.filter("number <> 9").select("number", "number", F.lit(1).alias("repo_id"), F.current_timestamp().alias("created_at")).toDF("number", "pr_id", "repo_id", "created_at")
+    with pytest.raises(Exception, match="unknown change 9"):
+        rows.build_chunks(diffs.parse_hunks(d), c).collect()
+
+
+def test_a_load_that_ends_between_the_renames_is_recovered(spark, tmp_path):
+    t, s = spark.range(3), spark.range(5)
+    path = f"{tmp_path}/out/t"
+    store.load(t, path, f"{tmp_path}/stage")
+    (tmp_path / "out/t").rename(tmp_path / "out/t.before")  # ended after the first rename
+    store.recover(spark, path)
+    assert spark.read.parquet(path).count() == 3
+    (tmp_path / "out/t").rename(tmp_path / "out/t.before")
+    store.load(s, path, f"{tmp_path}/stage")
+    assert spark.read.parquet(path).count() == 5 and not (tmp_path / "out/t.before").exists()
+    out = store.load_each({"good": (t, f"{tmp_path}/g"), "bad": (t.select(F.raise_error(F.lit("broken")).alias("x")), f"{tmp_path}/b")}, f"{tmp_path}/stages")
+    assert out["good"] is None and "broken" in out["bad"] or out["bad"]
+
+
+def test_repos(spark):
+    repos = store.empty(spark, schemas.REPOS).unionByName(spark.createDataFrame([(4, 40, "o", "a", "o/a", "pending", 1, 0)], "id bigint, github_id bigint, owner string, name string, full_name string, status string, total_prs int, indexed_prs int"), allowMissingColumns=True)
+    new = repos.withColumn("status", F.lit("ready")).unionByName(repos.withColumns({"github_id": F.lit(77).cast("long"), "full_name": F.lit("o/b")}))
+    merged, ids = store.upsert_repo(repos, new)
+    assert {r.full_name: r.id for r in ids.collect()} == {"o/a": 4, "o/b": 5}
+    assert {r.full_name: (r.id, r.status) for r in merged.collect()} == {"o/a": (4, "ready"), "o/b": (5, "pending")}
+    assert store.repo_by_name(merged, "o/b").first().github_id == 77 and store.repo_by_name(merged, "none").isEmpty()
+    set_ = store.set_status(merged, "o/a", "done", 9).filter("full_name = 'o/a'").first()
+    assert (set_.status, set_.indexed_prs) == ("done", 9) and set_.indexed_at is not None
+    assert store.by_ids(merged, merged.select("id").limit(1), "id").count() == 1
+
+
+def test_seeds(spark, tmp_path):
+    r = spark.createDataFrame([(1, ["x"], {"vector": 0.5})], "query_pr long, results array<string>, weights map<string,double>")
+    store.seeds(r, f"{tmp_path}/seed", model="hashed")
+    back = spark.read.json(f"{tmp_path}/seed").first()
+    assert (back.query_pr, back.model, back.results) == (1, "hashed", ["x"]) and back.generated_at
+
+
+def test_more_checks_and_tallies(spark):
+    pages = spark.createDataFrame([(p,) for p, n in ((1, 100), (2, 100), (3, 7)) for _ in range(n)], "page int")
+    assert checks.tail_short(pages).first().ok and not checks.tail_short(pages.filter("page > 1").unionByName(pages.filter("page = 3").selectExpr("4 as page"))).first().ok
+    assert checks.scores_in_range(spark.createDataFrame([(0.5,), (1.1,), (0.0,)], "s double"), "s").first().outside == 1
+    t = spark.createDataFrame([("b",), ("a",), ("b",), ("c",), ("a",)], "x string")
+    assert [tuple(r) for r in corpus.most_common(t, "x", 2).collect()] == [("a", 2), ("b", 2)]
+    assert corpus.branch_tally(spark.createDataFrame([("Fix it.", " fix IT"), ("Fix it", "Fix that")], "title_a string, title_b string")).first() == (1, 1)
+
+
+def test_results_do_not_depend_on_the_order_of_rows(spark):
+    query, chunks = chunk_frames(spark)
+    key = lambda df: sorted(map(tuple, df.collect()))
+    one = key(vector_signal.signal(query, chunks, dim=2))
+    assert key(vector_signal.signal(query.orderBy(F.desc("query_pr")), chunks.orderBy(F.desc("pr_id")).repartition(3), dim=2)) == one
+    df = group(spark, [(k, "a", "T", float(k * 3 % 17), False) for k in range(12)])
+    assert key(corpus.verdicts(df)) == key(corpus.verdicts(df.orderBy(F.rand(3)).repartition(3)))
+
+
+def test_short_items_are_judged_too(spark, tmp_path):
+    from lodestone import catalog
+
+    spark.createDataFrame([(1, "rare words here"), (2, "one"), (3, "a b c d e f"), (4, "b c d e")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, "some rare words here it is"), (2, "someone is"), (3, "xa b c d e fx"), (4, "b c d ease"), (5, "nothing")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {(r.query_pr, r.pr_id) for r in catalog.judgments(spark, str(tmp_path)).collect()}
+    assert got == {(-2, 1), (-3, 2), (-4, 3), (-5, 3), (-5, 4)}
+
+
 def test_entry_without_the_optional_folder(tmp_path):
     import shutil
     import subprocess
