@@ -69,3 +69,30 @@ def test_awkward_one_and_none(spark, awkward, empty):
     assert run(awkward) == brute(rows)
     assert run(awkward.filter("doc_id = 7")) == brute([(7, "one two")])
     assert P.fingerprints(empty).collect() == []
+
+
+def test_columns_by_plain_loops(spark):
+    """The edited text, its hash and the common extensions, without the operator's own functions."""
+    rng = random.Random(9)
+    rows = [(k, "".join(rng.choice("aé😀b ") for _ in range(rng.randrange(60))) + ("x" * 400 if k % 9 == 0 else "")) for k in range(0, 120, 2)] + [(7, None), (9, "")]
+    got = {r.doc_id: r for r in P.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    order = sorted((d, t or "") for d, t in rows)
+
+    def begin(a, b):
+        return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+    for k, (d, t) in enumerate(order):
+        nxt, q, r = order[(k + 1) % len(order)][1], len(t) // 4, got[d]
+        e = t[: len(t) - q] + nxt[:q]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(e.encode()).hexdigest())
+        assert (r.begin_edited, r.begin_next) == (begin(t, e), begin(t, nxt))
+        assert (r.end_edited, r.end_next) == (begin(t[::-1], e[::-1]), begin(t[::-1], nxt[::-1]))
+        assert (r.fingerprint == r.edited_fingerprint) == (t == e) == (r.near_edited == 1)
+        n = max(len(t), len(e), 1)
+        assert abs(r.near_edited - min(begin(t, e) + begin(t[::-1], e[::-1]), len(t), len(e)) / n) <= 4 / 32 + 1 / n or t == e
+
+
+def test_ids_that_are_text(spark):
+    rows = [("b", "two"), ("a", "one one one one"), (None, "zero"), ("c", None)]
+    got = {r.doc_id: r.edited_sha256 for r in P.fingerprints(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got["a"] == hashlib.sha256(b"one one one two").hexdigest() and len(got) == 4

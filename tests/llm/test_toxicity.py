@@ -64,3 +64,51 @@ def test_awkward_without_labels_and_empty(spark, awkward, empty):
     some = spark.createDataFrame([(1, 0, 1), (1, 0, 0), (3, 0, 0), (None, 0, 1), (7, 0, None), (999, 1, 1)], "doc_id long, quality int, toxic int")
     assert len(X.rate(awkward, some).collect()) == awkward.count()
     assert X.rate(empty, some).collect() == []
+
+
+def test_held_out_rows_of_the_table(spark):
+    """Ranking and decisions on rows that taught nothing."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = X.rate(docs, labels).join(labels.select("doc_id", "toxic"), "doc_id").filter("held_out").select("score", "predicted", "toxic").collect()
+    toxic, clean = [r for r in rows if r.toxic], [r for r in rows if not r.toxic]
+    above = sum((a.score > b.score) + (a.score == b.score) / 2 for a in toxic for b in clean)
+    assert len(toxic) > 50 and above / (len(toxic) * len(clean)) > 0.95
+    assert sum(r.predicted for r in toxic) > 0.85 * len(toxic) and sum(r.predicted for r in clean) < 0.06 * len(clean)
+
+
+def test_scores_by_plain_loops(spark):
+    """Evidence and probability of whole documents from the model's weights, one token after the other."""
+    import math
+
+    docs, labels = make(spark, 300)
+    model = X.fit(docs, labels)
+
+    def weight(token):
+        words, run = [], ""
+        for c in token.lower() + " ":
+            if c.isalpha():
+                run += c
+            elif run:
+                words.append(run)
+                run = ""
+        names = words + [w[:k] + "*" for w in words for k in range(4, 9) if k < len(w)]
+        return max([model.by_feature.get(f, -0.05) for f in names], default=-0.05)
+
+    got = {r.doc_id: r.score for r in X.score(docs, model).collect()}
+    for r in docs.collect():
+        s, best, run = [weight(t) for t in r.text.split()], 0.0, 0.0
+        for x in s:
+            run = max(0.0, run + x)
+            best = max(best, run)
+        tail = model.k * len(s) * math.exp(-model.decay * best)
+        evidence = 0.0 if best <= 0 else -math.log(-math.expm1(-tail)) if tail > 1e-13 else -math.log(tail)
+        x = math.log1p(max(0.0, evidence))
+        assert abs(got[r.doc_id] - (0.998 * float(np.interp(x, *model.curve)) + 0.002 * x / (1 + x))) < 1e-9
+
+
+def test_copies_and_very_long_texts(spark):
+    docs, labels = make(spark, 300)
+    model = X.fit(docs, labels)
+    text = "calm " * 200_000 + "nastyword vilething nastyword"
+    rows = X.score(spark.createDataFrame([(1, text), (1, text), (2, "nastyword")], "doc_id long, text string"), model).collect()
+    assert len(rows) == 3 and len({r.score for r in rows if r.doc_id == 1}) == 1 and all(p.start == 200_000 for r in rows if r.doc_id == 1 for p in r.passages)
