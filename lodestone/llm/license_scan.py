@@ -97,12 +97,17 @@ def bounds(size: int, threshold: float) -> tuple[int, int]:
     return -(-t * size // (2000 - t)), (2000 - t) * size // t
 
 
+#: Words that most texts hold; they are anchors only where nothing else is left. A matter of speed alone.
+FREQUENT = frozenset("a an and any as at be by for from in is it not of on or that the this to under with you".split())
+
+
 def anchors(grams: list[str], threshold: float) -> list[str]:
-    """Words, the longest first, that stand in more of the distinct bigrams than a match can lack, so one stands in any match."""
+    """Words that stand in more of the distinct bigrams than a match can lack, so one stands in any match: the longest first,
+    frequent ones last."""
     grams = sorted(set(grams))
     lacking = len(grams) - bounds(len(grams), threshold)[0]
     out, met = [], set()
-    for w in sorted({w for g in grams for w in g.split()}, key=lambda w: (-len(w), w)):
+    for w in sorted({w for g in grams for w in g.split()}, key=lambda w: (w in FREQUENT, -len(w), w)):
         if len(met) > lacking:
             break
         out.append(w)
