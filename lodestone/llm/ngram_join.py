@@ -414,9 +414,9 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wor
     classes = materialize(coded.filter("keys is not null").groupBy("cls", "n").agg(F.first("sketch").alias("sketch"), F.first("short").alias("short")), "join-classes")
     # a code that stands once tells nothing; copies of a class from several tasks are one
     keyed = coded.filter("keys is not null").select("cls", F.explode("keys").alias("key"))
-    several = keyed.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1").select("key")
+    several = materialize(keyed.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1").select("key"), "join-several")
     shared = materialize(keyed.join(several, "key").distinct(), "join-shared")
-    discard(coded)
+    discard(coded, several)
     roots = roots_of(own, classes, shared, words)
     discard(classes, shared)
     least = rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low"))
