@@ -17,7 +17,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm._util import materialize
+from lodestone.llm._util import materialize, partitions
 
 BLOCK_WORDS = 1024
 MAX_REPEAT = 3
@@ -118,23 +118,21 @@ def cut(lines: DataFrame, block_words: int) -> DataFrame:
 
 def slots(share: DataFrame, block_words: int) -> DataFrame:
     """The schedule: (slot, rank of its source, block, slot_upto: where in the block it stops)."""
-    spark = share.sparkSession
     total = share.agg(F.coalesce(F.max("slot_end"), F.lit(0)).alias("n")).first().n
     bits = max(1, math.ceil(math.log2(total))) if total > 1 else 1
-    s = spark.range(1 << bits).withColumnRenamed("id", "slot")
-    # van der Corput in base 2: the slot's bits in reverse order, as a point on the line of allotments
-    point = F.conv(F.reverse(F.lpad(F.bin("slot"), bits, "0")), 2, 10).cast("long")
-    s = s.withColumn("point", point).filter(F.col("point") < total)
-    allot_ = share.filter("slots > 0").select("rank", "source_size", "blocks", "rounds", "rest", "slot_begin", "slot_end")
-    ends = [(r.slot_end, r["rank"]) for r in allot_.select("slot_end", "rank").orderBy("slot_end").collect()]
-    source = F.element_at(F.array(*[F.lit(k) for _, k in ends]), (F.size(F.filter(F.array(*[F.lit(e) for e, _ in ends]), lambda e: e <= F.col("point"))) + 1).cast("int")) if ends else F.lit(None).cast("int")
-    s = s.withColumn("rank", source).withColumn("chunk", F.expr(f"slot div {SLOT_CHUNK}"))
+    # each source's stretch of the line of allotments, point by point, in two steps so that no array is long
+    own = share.filter("slots > 0").select("rank", "blocks", "rounds", "rest", "slot_begin", "slot_end")
+    upto = F.ceil(F.col("slot_end") / SLOT_CHUNK).cast("long") - 1
+    own = own.withColumn("piece", F.explode(F.sequence(F.expr(f"slot_begin div {SLOT_CHUNK}"), upto))).repartition(partitions(share.sparkSession), "piece")
+    first, last = F.greatest(F.col("slot_begin"), F.col("piece") * SLOT_CHUNK), F.least(F.col("slot_end"), (F.col("piece") + 1) * SLOT_CHUNK) - 1
+    s = own.withColumn("point", F.explode(F.sequence(first, last)))
+    # van der Corput in base 2: a slot's point is its bits in reverse order, and so is the slot of a point
+    s = s.withColumn("slot", F.conv(F.reverse(F.lpad(F.bin("point"), bits, "0")), 2, 10).cast("long")).withColumn("chunk", F.expr(f"slot div {SLOT_CHUNK}"))
     counts = s.groupBy("rank", "chunk").count()
     before = Window.partitionBy("rank").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("rank", "chunk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
     s = s.withColumn("seen", F.row_number().over(Window.partitionBy("rank", "chunk").orderBy("slot")))
     s = s.join(counts, ["rank", "chunk"]).withColumn("nth", F.col("offset") + F.col("seen") - 1)
-    s = s.join(allot_.drop("slot_begin", "slot_end"), "rank")
     block, last = F.expr("nth % blocks"), F.expr("nth div blocks") == F.col("rounds")
     stop = F.when(last, F.least(F.col("rest") - F.col("block") * block_words, F.lit(block_words))).otherwise(F.lit(block_words))
     return s.withColumn("block", block).withColumn("slot_upto", stop).select("slot", "rank", "block", "slot_upto")
