@@ -62,6 +62,8 @@ SEEN = 200_000
 #: Size of the bit map by which the second reading skips texts of classes without a candidate.
 MAP_BITS = 1 << 24
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+#: Codes have 48 bits, which is less to shuffle. Two that agree by chance are a candidate that its sketch rules out.
+CODE_SHIFT = np.uint64(16)
 
 
 def shingle_sets(part: pa.RecordBatch, column: str, words: int = WORDS) -> Iterator[np.ndarray]:
@@ -123,7 +125,7 @@ def parity_keys(s: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, bool]:
             chunk = chunk[first].astype(np.uint64)
         short |= len(code) <= most
         take = np.argsort(last, kind="stable")[: most + 1] if last.any() else slice(most + 1)
-        out.append(_words.mix(code[take] + chunk[take] * GOLDEN + np.uint64(band)))
+        out.append(_words.mix(code[take] + chunk[take] * GOLDEN + np.uint64(band)) >> CODE_SHIFT)
     return np.concatenate(out), short
 
 
