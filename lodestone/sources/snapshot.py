@@ -35,6 +35,21 @@ def trusted_pages(pages: DataFrame) -> DataFrame:
     return pages.join(full.select("page"), "page", "left_semi")
 
 
+def until_short(pages: DataFrame) -> DataFrame:
+    """The pages up to the first that is short or has no successor, as a reader that goes page by page would stop there; the
+    partitions of a paged source do not know of each other. Without page 1: none."""
+    n = pages.groupBy("page").agg(F.count("*").alias("n"))
+    after = n.select((F.col("page") - 1).alias("page"), F.lit(True).alias("more"))
+    ends = n.join(after, "page", "left").agg(F.min(F.when((F.col("n") < C.PER_PAGE) | F.col("more").isNull(), F.col("page"))).alias("end"), F.min("page").alias("begin"))
+    return pages.join(F.broadcast(ends), (F.col("page") <= F.col("end")) & (F.col("begin") == 1), "left_semi")
+
+
+def cache_first(cached: DataFrame, fetched: DataFrame) -> DataFrame:
+    """Full cached pages as they are, all others from the fetched ones."""
+    own = trusted_pages(cached)
+    return own.unionByName(fetched.join(own.select("page").distinct(), "page", "left_anti").select(*own.columns))
+
+
 def read_frozen(spark: SparkSession, root: str, slug: str, manifest: dict) -> DataFrame:
     """The pages of a frozen snapshot. Everything is checked before anything is returned: that no page is missing or
     stray, and that the total is the manifest's."""
@@ -133,13 +148,14 @@ class PagedReader(DataSourceReader):
 
 
 def with_retry(call, *, attempts: int = 5, base: float = 2.0, sleep=None):
-    """Calls; after an OSError waits base**attempt, or as long as the error's retry_after says, and calls again."""
+    """Calls; after an OSError waits base**attempt, or as long as the error's retry_after says, and calls again. An error with
+    an HTTP code is tried again only if the code is a refusal for now: 403 or 429."""
     import time
 
     for attempt in range(attempts):
         try:
             return call()
         except OSError as e:
-            if attempt == attempts - 1:
+            if attempt == attempts - 1 or getattr(e, "code", None) not in (None, 403, 429):
                 raise
             (sleep or time.sleep)(getattr(e, "retry_after", None) or base**attempt)

@@ -388,3 +388,30 @@ def test_entry_without_the_optional_folder(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 50 and set(e.oracle_sql()) <= set(q) and not any(k.startswith('op') for k in q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin"})
+
+
+def test_pages_end_at_the_first_short_one(spark):
+    page = lambda p, n: [(p, k, f"{p}:{k}") for k in range(n)]
+    frame = lambda *sizes: spark.createDataFrame([r for p, n in sizes for r in page(p, n)], "page int, pos int, raw string")
+    seen = lambda df: sorted({r.page for r in df.collect()})
+    assert seen(snapshot.until_short(frame((1, 100), (2, 40), (3, 100)))) == [1, 2]
+    assert seen(snapshot.until_short(frame((1, 100), (2, 100), (4, 100)))) == [1, 2]
+    assert seen(snapshot.until_short(frame((2, 100)))) == []
+    both = snapshot.cache_first(frame((1, 100), (2, 40)), frame((1, 3), (2, 60), (3, 5)))
+    assert {r.page: r.n for r in both.groupBy("page").count().withColumnRenamed("count", "n").collect()} == {1: 100, 2: 60, 3: 5}
+
+
+def test_only_refusals_are_tried_again():
+    class Refused(OSError):
+        def __init__(self, code):
+            self.code = code
+
+    def call():
+        made.append(1)
+        raise Refused(code)
+
+    for code, calls in ((404, 1), (429, 3)):
+        made = []
+        with pytest.raises(Refused):
+            snapshot.with_retry(call, attempts=3, sleep=lambda s: None)
+        assert len(made) == calls
