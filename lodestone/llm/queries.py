@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat_format, decontaminate, fingerprints, html_extract, language_id, license_scan, mixing, ngram_join, token_counts, toxicity
+from lodestone.llm import chat_format, clustering, decontaminate, fingerprints, html_extract, language_id, license_scan, mixing, ngram_join, token_counts, toxicity, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_fingerprints": op2_fingerprints,
@@ -89,6 +97,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_licenses": op9_licenses,
     "op10_toxicity": op10_toxicity,
+    "op11_clustering": op11_clustering,
+    "op12_whitening": op12_whitening,
 }
 
 SQL: dict[str, str] = {
@@ -185,4 +195,5 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
        sum(size)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id""",
     "op9_licenses": license_scan.oracle(),
+    "op11_clustering": clustering.oracle(),
 }
