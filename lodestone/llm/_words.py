@@ -89,3 +89,12 @@ def hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((low.astype(np.uint64) + np.uint64(1)) * _power("up", BASE, n), out=total[1:])
     return mix((total[ends] - total[starts]) * _power("down", INVERSE, n)[starts])
+
+
+def hashes_of_runs(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hashes of the runs of n values of h that begin at the places given, equal wherever they stand."""
+    if not len(at):
+        return np.zeros(0, np.uint64)
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(mix(h) * _power("up", BASE, len(h)), out=total[1:])
+    return mix((total[at + n] - total[at]) * _power("down", INVERSE, len(h))[at])

@@ -80,12 +80,12 @@ def read_back(rendered: DataFrame) -> DataFrame:
     row for each conv_id, as render gives it. No rows in: no rows out."""
     raw = F.split("formatted", F.lit(CLOSE))
     raw = F.slice(raw, 1, F.size(raw) - 1)
-    parts = rendered.select("conv_id", "mask", F.posexplode(raw).alias("pos", "x"))
+    # a turn and its own part of the mask go together, so a row carries no array
+    parts = rendered.select("conv_id", F.posexplode(F.arrays_zip(raw.alias("x"), F.col("mask").alias("m"))).alias("pos", "z")).select("conv_id", "pos", "z.x", "z.m")
     before = Window.partitionBy("conv_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     at = F.coalesce(F.sum(F.length("x") + len(CLOSE)).over(before), F.lit(0))
-    # a turn's part of the mask, counted from the turn's own start
-    own = F.get("mask", F.col("pos"))
-    parts = parts.withColumn("under", F.substr("x", (own["start"] - at + 1).cast("int"), own["length"].cast("int")))
+    # the part of the mask, counted from the turn's own start
+    parts = parts.withColumn("under", F.substr("x", (F.col("m.start") - at + 1).cast("int"), F.col("m.length").cast("int")))
     turn = F.struct(
         unescape(F.substr(F.substring_index("x", "\n", 1), F.lit(len(OPEN) + 1)), ESCAPES).alias("role"),
         unescape(F.substr("x", F.length(F.substring_index("x", "\n", 1)) + 2)).alias("text"))

@@ -10,12 +10,12 @@ costs its shards only.
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -131,22 +131,28 @@ class FMIndex:
 
 
 class Phrases:
-    """The windows of a block of benchmark items, over the block's own vocabulary."""
+    """The windows of a block of benchmark items, over the block's own vocabulary: for each length the distinct windows as rows
+    of symbols, and whose they are as a run of item numbers for each window. All are flat arrays."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
         self.ids = sorted({i for i, _ in items})
-        number = {x: k for k, x in enumerate(self.ids)}
+        number = np.searchsorted(np.array(self.ids, object), np.array([i for i, _ in items], object)) if items else np.zeros(0, np.int64)
         data, offsets = _words.utf8(pa.array([t for _, t in items], pa.string()))
         low, starts, ends, before = _words.words(data, offsets, _words.NOT_ALNUM)
         h = _words.hashes(low, starts, ends)
         self.vocabulary, symbol = np.unique(h, return_inverse=True)
-        found: dict[int, dict[tuple, set[int]]] = {}
-        for k, (item, _) in enumerate(items):
-            own = symbol[before[k] : before[k + 1]] + 1
-            size = min(window, len(own))
-            for at in range(len(own) - size + 1 if size else 0):
-                found.setdefault(size, {}).setdefault(tuple(own[at : at + size].tolist()), set()).add(number[item])
-        self.by_length = {n: (np.array(list(w), np.int64), [np.array(sorted(x)) for x in w.values()]) for n, w in found.items()}
+        symbol = symbol.astype(np.int32)
+        many = np.diff(before)
+        of = np.repeat(np.arange(len(items)), many)
+        size = np.minimum(window, many)[of]
+        begins = np.arange(len(h)) - before[of] + size <= many[of]
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in np.unique(size).tolist():
+            at = np.flatnonzero(begins & (size == n))
+            _, first, same = np.unique(_words.hashes_of_runs(h, at, n), return_index=True, return_inverse=True)
+            pairs = np.unique(same * len(self.ids) + number[of[at]])
+            owners, runs = pairs % len(self.ids), np.searchsorted(pairs // len(self.ids), np.arange(len(first) + 1))
+            self.by_length[n] = (symbol[at[first][:, None] + np.arange(n)] + 1, owners, runs)
         self.shortest = min(self.by_length, default=0)
 
     def occurrences(self, h: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -178,7 +184,7 @@ class Phrases:
         text[last] = 0
         index = FMIndex(text, len(self.vocabulary) + 1)
         where, length, occ, item = [], [], [], []
-        for n, (phrases, owners) in self.by_length.items():
+        for n, (phrases, owners, runs) in self.by_length.items():
             low, high = index.search(phrases)
             many = high - low
             hit = np.flatnonzero(many)
@@ -189,9 +195,10 @@ class Phrases:
             seen = sum(map(len, where))
             where.append(place[index.locate(rows)])
             length.append(np.full(len(rows), n))
-            owner_count = np.repeat([len(owners[k]) for k in hit], many)
-            occ.append(np.repeat(np.arange(len(rows)), owner_count) + seen)
-            item.append(np.concatenate([np.tile(owners[k], m) for k, m in zip(hit, many, strict=True)]))
+            phrase = np.repeat(hit, many)
+            owned = runs[phrase + 1] - runs[phrase]
+            occ.append(np.repeat(np.arange(len(rows)), owned) + seen)
+            item.append(owners[np.repeat(runs[phrase] - np.cumsum(owned) + owned, owned) + np.arange(int(owned.sum()))])
         if not where:
             return none, none, none, none
         return tuple(map(np.concatenate, (where, length, occ, item)))
@@ -217,14 +224,17 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
     count = int(size) // BLOCK_BYTES + 1
     if count == 1:
-        found = found_in(chosen, items, window, ["doc_id", *keep], kept, every=True)
+        found, _ = found_in(chosen, items, window, ["doc_id", *keep], kept, every=True)
         return found.select("doc_id", *keep, "n_words", *judged(F.col("n_words"), F.col("hits"), F.col("items")))
-    # a larger benchmark: one block after the other goes out, is searched for, and is taken back
-    chosen = chosen.withColumn("_row", F.monotonically_increasing_id())
+    # a larger benchmark: one block after the other goes out, is searched for in rows that were numbered and written once, and
+    # is taken back
+    chosen = materialize(chosen.withColumn("_row", F.monotonically_increasing_id()), "decontaminate-rows")
     found = []
     for b in range(count):
         block = items.filter(F.pmod(F.xxhash64("i"), F.lit(count)) == b)
-        found.append(materialize(found_in(chosen.select("_row", "_text"), block, window, ["_row"], "_row long", every=False), "decontaminate-block"))
+        hits, sent = found_in(chosen.select("_row", "_text"), block, window, ["_row"], "_row long", every=False)
+        found.append(materialize(hits, "decontaminate-block"))
+        sent.destroy()
     both = found[0]
     for more in found[1:]:
         both = both.unionByName(more)
@@ -253,9 +263,9 @@ def phrases_of(token: str, items: list[tuple[str, str | None]], window: int) ->
     return _phrases[token]
 
 
-def found_in(docs: DataFrame, items: DataFrame, window: int, carried: list[str], kinds: str, *, every: bool) -> DataFrame:
+def found_in(docs: DataFrame, items: DataFrame, window: int, carried: list[str], kinds: str, *, every: bool) -> tuple[DataFrame, Broadcast]:
     """The carried columns, n_words, hits (merged) and items of each row of docs, or of those with a hit, for one block of items.
-    The block's texts go out, at most about BLOCK_BYTES; workers make phrases of them."""
+    The block's texts go out, at most about BLOCK_BYTES; workers make phrases of them. Beside it what went out, to be taken back."""
     block = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [(r.i, r.t) for r in items.collect()]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +275,7 @@ def found_in(docs: DataFrame, items: DataFrame, window: int, carried: list[str],
                 out = _shard(part, phrases, carried)
                 yield out if every else out.filter(pa.array([bool(x) for x in out.column("hits").to_pylist()], pa.bool_()))
 
-    return map_arrow(docs.select(*carried, "_text"), run, f"{kinds}, n_words long, hits {HITS}, items array<string>")
+    return map_arrow(docs.select(*carried, "_text"), run, f"{kinds}, n_words long, hits {HITS}, items array<string>"), block
 
 
 def merged(rows: DataFrame) -> DataFrame:
@@ -329,7 +339,3 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Contract columns: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     s = scan(docs, benchmark)
     return s.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
-
-
-def sha256_of(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

@@ -1,7 +1,9 @@
 import hashlib
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lodestone.llm import chat_format as C
 
@@ -81,3 +83,18 @@ def test_the_log_folds_back_to_the_messages(spark):
     assert {r.kind for r in log.collect()} == {"delta", "edit", "regenerate"} and log.count() == 3 * len(rows)
     got = sorted(((r.conv_id or 0, r.turn.turn, r.role, r.text) for r in C.fold(log).collect()), key=repr)
     assert got == sorted(((c or 0, t, r, x or "") for c, t, r, x in rows), key=repr)
+
+
+def test_many_turns_take_time_in_proportion(spark):
+    """20,000 turns, and no row of theirs carries the whole mask."""
+    said = F.concat(F.lit("turn "), F.col("id").cast("string"), F.lit(" [x] "))
+    rows = lambda n: spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    took = {}
+    for n in (5_000, 20_000):
+        C.digest(rows(n)).collect()
+        began = time.perf_counter()
+        (r,) = C.digest(rows(n)).collect()
+        took[n] = time.perf_counter() - began
+        text = [f"turn {k} [x] " for k in range(n)]
+        assert (r.n_turns, r.loss_chars, r.loss_sha256) == (n, sum(map(len, text[1::2])), sha("".join(text[1::2])))
+    assert took[20_000] < 6 * took[5_000] + 1

@@ -1,8 +1,10 @@
+import hashlib
 import random
 import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from conftest import sentence
 
 from lodestone.llm import decontaminate as D
@@ -29,7 +31,7 @@ def brute(docs, items):
                 if own := windows.get(tuple(w[k : k + n])):
                     hit.update(range(k, k + n))
                     found |= own
-        out.append((d, len(w), len(hit), len(found), D.sha256_of(list(found)), bool(hit) and 20 * len(hit) >= len(w)))
+        out.append((d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
     return sorted(out, key=repr)
 
 
@@ -63,6 +65,36 @@ def test_blocks_of_a_large_benchmark_add_up(spark, monkeypatch):
     assert sorted((tuple(r) for r in D.digest(d, b).collect()), key=repr) == brute([r[:2] for r in docs], items)
 
 
+@pytest.mark.parametrize("size", [150, 5_000])
+def test_blocks_over_rows_in_changing_order(spark, monkeypatch, size):
+    """Rows dealt round robin come in another order whenever they are computed again."""
+    rng = random.Random(size)
+    items = [(k, sentence(rng, rng.randrange(3, 40))) for k in range(60)]
+    docs = [(k, sentence(rng, 30) + (" " + items[k % 60][1] if k % 2 else "") + " " + sentence(rng, k % 50)) for k in range(400)]
+    docs += docs[:5]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(7).withColumn("_c", F.col("doc_id") * 2).repartition(7)
+    monkeypatch.setattr(D, "BLOCK_BYTES", size)
+    got = D.scan(d, spark.createDataFrame(items, "item_id long, text string"), keep=["_c"]).collect()
+    assert all(r._c == 2 * r.doc_id for r in got)
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, len(r["items"]), r.contaminated) for r in got), key=repr) == sorted(((x[0], x[1], x[2], x[3], x[5]) for x in brute(docs, items)), key=repr)
+
+
+def test_phrases_are_flat_arrays():
+    """Windows that repeat inside and across items, items of one id, short items, none."""
+    rng = random.Random(8)
+    items = [("a", "x " * 40), ("b", sentence(rng, 30)), ("c", "one two"), ("a", "one TWO"), ("d", None), ("e", ""), ("f", "One two")]
+    p = D.Phrases(items)
+    want: dict = {}
+    for i, t in items:
+        w = (t or "").lower().split()
+        n = min(13, len(w))
+        for k in range(len(w) - n + 1 if n else 0):
+            want.setdefault(n, {}).setdefault(tuple(w[k : k + n]), set()).add(i)
+    assert {n: sorted(sorted(o) for o in x.values()) for n, x in want.items()} == {n: sorted(sorted(p.ids[o] for o in owners[a:z]) for a, z in zip(runs, runs[1:])) for n, (_, owners, runs) in p.by_length.items()}
+    assert all(phrases.shape == (len(want[n]), n) for n, (phrases, _, _) in p.by_length.items())
+    assert D.Phrases([]).by_length == {}
+
+
 def test_a_very_long_document(spark):
     rng = random.Random(6)
     item = sentence(rng, 20)
