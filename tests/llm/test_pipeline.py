@@ -62,3 +62,13 @@ def test_empty_documents(spark, tmp_path, name):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     assert dict(P.STAGES)[name](spark, docs, d).collect() == []
+
+
+def test_duplicates_over_rows_in_changing_order(spark):
+    """Rows dealt round robin come in another order whenever they are computed again; the stage tells them apart all the same."""
+    rng = random.Random(12)
+    texts = [sentence(rng, 40) for _ in range(150)]
+    rows = [(k, texts[k % 150]) for k in range(300)] + [(1000 + k, sentence(rng, 40)) for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = sorted(r.doc_id for r in P.duplicates_stage(spark, docs, "").collect())
+    assert got == [*range(150), *range(1000, 1100)]
