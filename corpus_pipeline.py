@@ -44,12 +44,12 @@ def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One row of each group stays: that with the least doc_id (null last), the first of those that share it. So repeated rows
     and copies without an id go like any others; texts without words are no group and all stay.
 
-    Rows are told apart by their place in docs, which is a table that was written before and so is read in one order.
+    Rows are told apart by numbers, which are written with them first, so that all that follows sees the same ones.
     """
     plain = docs.toDF(*[f"_c{k}" for k in range(len(docs.columns))])
     own = dict(zip(docs.columns, plain.columns, strict=True))
     doc_id = F.col(own["doc_id"])
-    plain = plain.withColumn("_row", F.monotonically_increasing_id())
+    plain = materialize(plain.withColumn("_row", F.monotonically_increasing_id()), "pipeline-numbered")
     groups = ngram_join.join(plain.select(F.struct(doc_id.isNull().alias("none"), doc_id.alias("id"), "_row").alias("doc_id"), F.col(own["text"]).alias("text")))
     gone = groups.filter("doc_id <> component_id").select("doc_id._row")
     return plain.join(gone, "_row", "left_anti").select(*own.values()).toDF(*docs.columns)
