@@ -4,11 +4,12 @@ A text is a sequence of bytes and an end symbol, each written in the bits of a p
 bytes after the byte before; so the model is a proper distribution over texts. For each bit, predictors look up how often
 it was 0 and 1 in training after their own hashed context: the last 2, 3 and 5 bytes, and the word begun so far. Their
 log-odds are added up with weights from a set that a gate chooses (which contexts were ever seen, how deep the bit lies in
-its code), and a map refines the sum. Weights and map follow the text as it is read, a few bits at a time.
+its code), and a map learnt with them refines the sum. While a text is read, two gains, of the short and of the long
+contexts, follow it block by block.
 
 Everything is gathered from all training texts: words and bytes by counting, contexts by adding up tables of a fixed
-number of slots, range by range. Weights are learnt on a seventh of the texts (remainder TUNE) whose contexts are not yet
-in the tables, and which are added afterwards. What a task needs for scoring has a fixed size; words too rare for that are
+number of slots, range by range. Weights and map are learnt online on one in TUNE_MOD of the texts, whose contexts are not
+yet in the tables and are added afterwards. What a task needs for scoring has a fixed size; words too rare for that are
 counted by a join.
 """
 
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 from lodestone.llm import _words
 from lodestone.llm._util import crc_mod, discard, map_arrow, materialize
 
-HELD_MOD, HELD_OUT, TUNE = 7, 2, 6
+HELD_MOD, HELD_OUT = 7, 2
+TUNE_MOD = 28
 END = 256
 #: Predictors: bytes of context (0: the word begun so far), each with a table of 2 ** BITS slots.
 CONTEXTS, BITS = (2, 3, 5, 0), 22
@@ -39,16 +41,15 @@ RANGE = -(-SLOTS // RANGES)
 STEPS = 15.0
 #: A text is read in segments of so many symbols side by side; each begins with the learnt weights and the bytes before it.
 SEGMENT = 1024
-#: Weights and map follow a text after every so many bits.
-BLOCK = 8
+#: Gains follow a text after every so many bits.
+BLOCK = 64
 #: Bytes of text taken at once, and lanes read side by side.
 PART, LANES = 2_000_000, 4_096
-#: How fast weights and map follow a text, and how fast the weights are learnt.
-RATE, MAP_RATE, LEARN = 0.01, 0.02, 0.1
-DEPTHS, REACH = 4, 8.0
-GATES = DEPTHS << INPUTS
-#: Bins of the map, for bits whose longest context was seen and for the others.
-BINS = 33
+#: How fast gains follow a text, and how fast the weights are learnt.
+RATE, LEARN = 0.003, 0.1
+#: Gates: which of the long contexts, from LONG on, were seen, and the depth of the bit in its code. The map has bins for each.
+LONG, DEPTHS, REACH, BINS = 2, 4, 8.0, 33
+GATES = DEPTHS << (INPUTS - LONG)
 #: Words that make up one of so many training tokens go out to every task; there are at most so many.
 FREQUENT = 1 << 20
 K1, K2 = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
@@ -125,11 +126,11 @@ class Text:
         before = np.roll(symbol, 1)
         before[self.inside == 0] = END
         self.pair = before * SYMBOLS + symbol
+        # the bytes before each symbol, the last one lowest: read eight at a time, those of another text masked out
         longest = max(CONTEXTS)
-        past = np.zeros(len(symbol), np.uint64)
-        for k in range(1, longest + 1):
-            past[k:] |= symbol[:-k].view(np.uint64) << np.uint64(8 * k - 8)
-        past &= (np.uint64(1) << (np.minimum(self.inside, longest) * 8).astype(np.uint64)) - np.uint64(1)
+        raw = np.concatenate([np.zeros(8, np.uint8), symbol.astype(np.uint8)])
+        past = np.ndarray(len(symbol), ">u8", raw, 0, (1,)).astype(np.uint64)
+        past &= ((np.uint64(1) << np.arange(longest + 1, dtype=np.uint64) * np.uint64(8)) - np.uint64(1))[np.minimum(self.inside, longest)]
         self.past = past
 
     def word(self) -> np.ndarray:
@@ -146,10 +147,17 @@ class Text:
 
     def base(self, k: int) -> np.ndarray:
         """The hashed context of each symbol in the k-th table."""
-        order = CONTEXTS[k]
-        h = self.past & np.uint64((1 << 8 * order) - 1) if order else self.word()
-        with np.errstate(over="ignore"):
-            return (_words.mix(h + np.uint64(order + 1) * K2) >> np.uint64(64 - BITS)).astype(np.uint32)
+        return based(self.past & window(k) if CONTEXTS[k] else self.word(), k)
+
+
+def window(k: int) -> np.uint64:
+    """The bytes of the k-th context among those before."""
+    return np.uint64((1 << 8 * CONTEXTS[k]) - 1)
+
+
+def based(context: np.ndarray, k: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (_words.mix(context + np.uint64(CONTEXTS[k] + 1) * K2) >> np.uint64(64 - BITS)).astype(np.uint32)
 
 
 @dataclass
@@ -159,7 +167,7 @@ class Model:
     code: Code
     odds: np.ndarray = field(default_factory=lambda: np.zeros(SLOTS, np.int8))
     weights: np.ndarray = field(default_factory=lambda: np.full((GATES, INPUTS), 0.4, np.float32))
-    refined: np.ndarray = field(default_factory=lambda: np.tile(squash(np.linspace(-REACH, REACH, BINS)), 2).astype(np.float32))
+    refined: np.ndarray = field(default_factory=lambda: np.tile(squash(np.linspace(-REACH, REACH, BINS)), GATES).astype(np.float32))
     frequent: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
@@ -170,13 +178,12 @@ def squash(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Lanes:
-    """Segments of texts as blocks of bits, the longest first: bits, log-odds of each predictor, gates and halves of the map of
-    all blocks, a byte each; the first block, number of blocks and text of each lane."""
+    """Segments of texts as blocks of bits, the longest first: bits, log-odds of each predictor and gates of all blocks, a byte
+    each; the first block, number of blocks and text of each lane."""
 
     bit: np.ndarray
     odds: list[np.ndarray]
     gate: np.ndarray
-    half: np.ndarray
     first: np.ndarray
     size: np.ndarray
     text: np.ndarray
@@ -193,90 +200,85 @@ def lanes(model: Model, text: Text) -> Lanes:
     step = code.steps(text.pair, many)
     filled = np.repeat(np.cumsum(bits + fill) - np.cumsum(fill), fill) + np.arange(int(fill.sum()))
     step[filled] = len(code.bit) - 1
-    node, odds, gate = code.node[step], [], np.zeros(len(step), np.uint8)
+    node, odds, gate = code.node[step], [], code.depth[step]
     for k in range(INPUTS):
         found = model.odds[k * TABLE : (k + 1) * TABLE][code.slots(text.base(k), many, node)]
         found[filled] = 0
-        gate |= (found != 0).view(np.uint8) << np.uint8(k)
+        if k >= LONG:
+            gate += (found != 0).view(np.uint8) * np.uint8(DEPTHS << (k - LONG))
         odds.append(found)
     size = (bits + fill) // BLOCK
     order = np.argsort(-size, kind="stable")
-    half = gate >> np.uint8(CONTEXTS.index(max(CONTEXTS))) & np.uint8(1)
-    return Lanes(code.bit[step], odds, gate * np.uint8(DEPTHS) + code.depth[step], half, (np.cumsum(size) - size)[order], size[order], text.of[begin][order])
-
-
-def blocks(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Some blocks of a byte for each bit."""
-    return x.view(np.int64)[at].view(x.dtype).reshape(-1, BLOCK)
+    return Lanes(code.bit[step], odds, gate, (np.cumsum(size) - size)[order], size[order], text.of[begin][order])
 
 
 def read(model: Model, l: Lanes) -> np.ndarray:
-    """The natural logarithm of the probability of each lane's bits. Each lane follows its own bits from the learnt weights."""
-    fixed = np.zeros(len(l.bit), np.float32)
-    for k in range(INPUTS):
-        fixed += (model.weights[:, k] / np.float32(STEPS))[l.gate] * l.odds[k]
+    """The natural logarithm of the probability of each lane's bits. Each lane's gains begin at one and follow its own bits."""
+    parts = []
+    for own in (range(LONG), range(LONG, INPUTS)):
+        part = np.zeros(len(l.bit), np.float32)
+        for k in own:
+            part += (model.weights[:, k] / np.float32(STEPS))[l.gate] * l.odds[k]
+        parts.append(part.reshape(-1, BLOCK))
     out = np.zeros(len(l.first))
     for k in range(0, len(l.first), LANES):
-        part = slice(k, k + LANES)
-        out[part] = _follow(model, l, fixed.reshape(-1, BLOCK), l.first[part], l.size[part])
+        lane = slice(k, k + LANES)
+        out[lane] = _follow(model, *parts, l.bit.reshape(-1, BLOCK), l.gate.reshape(-1, BLOCK), l.first[lane], l.size[lane])
     return out
 
 
-def _follow(model: Model, l: Lanes, fixed: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+def _follow(model: Model, short: np.ndarray, long: np.ndarray, bit: np.ndarray, gate: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     f = np.float32
-    out = np.zeros(len(first))
-    more = np.zeros((INPUTS, len(first), 1), f)  # what a lane adds to the weights
-    refined = np.tile(model.refined, len(first))
-    lane = (np.arange(len(first)) * 2 * BINS)[:, None]
+    out, gains = np.zeros(len(first)), np.ones((2, len(first)), f)
     alive = np.searchsorted(-size, -np.arange(int(size[0]) + 1), side="left")
     for t, (w, after) in enumerate(zip(alive, alive[1:])):
         at = first[:w] + t
-        y, mixed = blocks(l.bit, at), fixed[at]
-        one = y == 1
-        x = [blocks(o, at).astype(f) for o in l.odds]
-        for k in range(INPUTS):
-            mixed += x[k] * more[k, :w]
+        a, b, y = short[at], long[at], bit[at]
+        mixed = a * gains[0, :w, None]
+        mixed += b * gains[1, :w, None]
         p = np.exp(-mixed)
         p += 1
         np.reciprocal(p, out=p)
-        np.clip(mixed, f(-REACH), f(REACH), out=mixed)
-        mixed += f(REACH)
-        mixed *= f((BINS - 1) / 2 / REACH)
-        mixed += f(0.5)
-        spot = mixed.astype(np.int64)
-        spot += blocks(l.half, at) * np.uint8(BINS)
-        spot += lane[:w]
-        own = refined[spot]
-        miss, apart = one - p, one - own
-        p += own
+        miss = y - p
+        spot = spots(mixed, gate[at])
+        p += model.refined[spot]
         p *= f(0.5)
         np.clip(p, f(1e-5), f(1 - 1e-5), out=p)
-        p = np.where(one, p, 1 - p)
+        # the probability of what the bit is
+        p *= y.astype(np.int8) * 2 - f(1)
+        p += 1 - y
         if after < w:  # what only fills the last blocks
             fill = y[after:] == FILL
-            p[after:][fill], miss[after:][fill], apart[after:][fill] = 1, 0, 0
-        out[:w] += np.log(p.prod(axis=1, dtype=np.float64))
-        for k in range(INPUTS):
-            more[k, :w, 0] += np.einsum("ij,ij->i", miss, x[k]) * f(RATE / STEPS / STEPS)
-        apart *= f(MAP_RATE)
-        refined[spot] = own + apart  # of two bits of a block in one bin the later one counts
+            p[after:][fill], miss[after:][fill] = 1, 0
+        np.log(p, out=p)
+        out[:w] += p.sum(axis=1, dtype=np.float64)
+        gains[0, :w] += np.einsum("ij,ij->i", miss, a) * f(RATE)
+        gains[1, :w] += np.einsum("ij,ij->i", miss, b) * f(RATE)
     return out
 
 
+def spots(mixed: np.ndarray, gate: np.ndarray) -> np.ndarray:
+    """The bin of the map for each sum and gate."""
+    x = np.clip(mixed, -REACH, REACH)
+    x += REACH
+    x *= (BINS - 1) / 2 / REACH
+    x += 0.5
+    return x.astype(np.int16) + gate * np.int16(BINS)
+
+
 class Learner:
-    """One set of weights learnt by all lanes together; what it gives is their mean over the way."""
+    """One set of weights learnt by all lanes together, bit after bit; what it gives is their mean over the way."""
 
     def __init__(self, model: Model):
         self.weights = model.weights.astype(np.float64)
         self.total, self.used = np.zeros((GATES, INPUTS)), np.zeros(GATES)
-        self.seen = np.zeros((2, 2 * BINS))  # of the map's bins: bits, ones
+        self.seen = np.zeros((2, GATES * BINS))  # of the map's bins: bits, ones
 
     def read(self, l: Lanes) -> None:
-        for t in range(int(l.size[0]) if len(l.size) else 0):
-            at = l.first[: np.searchsorted(-l.size, -t, side="left")] + t
-            y = blocks(l.bit, at).ravel()
-            real = y != FILL
-            x, g, y = np.stack([blocks(o, at).ravel()[real] for o in l.odds], axis=1) / STEPS, blocks(l.gate, at).ravel()[real].astype(np.int64), y[real]
+        for t in range(int(l.size[0]) * BLOCK if len(l.size) else 0):
+            at = l.first[: np.searchsorted(-l.size, -(t // BLOCK), side="left")] * BLOCK + t
+            at = at[l.bit[at] != FILL]
+            x, g, y = np.stack([o[at] for o in l.odds], axis=1) / STEPS, l.gate[at].astype(np.int64), l.bit[at]
             mixed = np.einsum("ij,ij->i", self.weights[g], x)
             miss = y - squash(mixed)
             n = np.bincount(g, minlength=GATES)
@@ -284,9 +286,9 @@ class Learner:
                 self.weights[:, i] += LEARN * np.bincount(g, weights=miss * x[:, i], minlength=GATES) / (n + 20)
             self.used += n
             self.total += self.weights * n[:, None]
-            spot = ((np.clip(mixed, -REACH, REACH) + REACH) * ((BINS - 1) / 2 / REACH) + 0.5).astype(np.int64) + blocks(l.half, at).ravel()[real].astype(np.int64) * BINS
-            self.seen[0] += np.bincount(spot, minlength=2 * BINS)
-            self.seen[1] += np.bincount(spot, weights=y, minlength=2 * BINS)
+            spot = spots(mixed, l.gate[at])
+            self.seen[0] += np.bincount(spot, minlength=GATES * BINS)
+            self.seen[1] += np.bincount(spot, weights=y, minlength=GATES * BINS)
 
 
 def log_probability(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -300,6 +302,21 @@ def log_probability(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.n
 COUNTS = "part int, size int, data binary"
 
 
+#: A pair of symbols has so many bits set at most.
+PAIR = (1 << 17) - 1
+
+
+def summed(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and how often each occurs, or the sums of n."""
+    if n is None:
+        keys = np.sort(keys)
+    else:
+        order = np.argsort(keys)
+        keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[first], np.diff(first, append=len(keys)) if n is None else np.add.reduceat(n, first)
+
+
 class Tally:
     """How often each slot's bit was 0 and 1 in a task's texts."""
 
@@ -307,16 +324,26 @@ class Tally:
         self.tables = [np.zeros(2 * TABLE, np.int32) for _ in CONTEXTS]
 
     def add(self, code: Code, text: Text) -> None:
-        """Equal symbols after equal contexts are counted first, and only then taken apart into bits."""
-        for k, t in enumerate(self.tables):
-            found = np.sort(text.base(k).astype(np.int64) << 17 | text.pair)
-            first = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
-            n, found = np.diff(first, append=len(found)).astype(np.int32), found[first]
-            pair = found & ((1 << 17) - 1)
-            many = code.length[pair].astype(np.int64)
-            step = code.steps(pair, many)
-            slot = code.slots((found >> 17).astype(np.uint32), many, code.node[step]).astype(np.int64) * 2 + code.bit[step]
-            np.add.at(t, slot, np.repeat(n, many))
+        """Equal symbols after equal contexts are counted first, and only then taken apart into bits. A shorter context's
+        counts are sums of the longest one's."""
+        longest = CONTEXTS.index(max(CONTEXTS))
+        found, n = summed((text.past & window(longest)) << np.uint64(17) | text.pair.view(np.uint64))
+        for k, order in enumerate(CONTEXTS):
+            if k == longest:
+                self.put(code, k, based(found >> np.uint64(17), k), found, n)
+            elif order:
+                own, many = summed(found & (window(k) << np.uint64(17) | np.uint64(PAIR)), n)
+                self.put(code, k, based(own >> np.uint64(17), k), own, many)
+            else:
+                own, many = summed(text.base(k).astype(np.uint64) << np.uint64(17) | text.pair.view(np.uint64))
+                self.put(code, k, (own >> np.uint64(17)).astype(np.uint32), own, many)
+
+    def put(self, code: Code, k: int, base: np.ndarray, found: np.ndarray, n: np.ndarray) -> None:
+        pair = (found & np.uint64(PAIR)).astype(np.int64)
+        many = code.length[pair].astype(np.int64)
+        step = code.steps(pair, many)
+        slot = code.slots(base, many, code.node[step]).astype(np.int64) * 2 + code.bit[step]
+        np.add.at(self.tables[k], slot, np.repeat(n.astype(np.int32), many))
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         base, held = 0, {}
@@ -390,13 +417,27 @@ def counted(training: DataFrame) -> DataFrame:
                 low, starts, ends, _ = _words.words(data, offsets, _words.SPACE)
                 h, n = np.unique(_words.hashes(low, starts, ends), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), bool)), pa.array(h.view(np.int64)), pa.array(n)], names=["word", "key", "n"])
-                n = np.bincount(Text(data, offsets).pair, minlength=SYMBOLS * SYMBOLS)
+                n = pairs_of(data, offsets)
                 pairs = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(pairs), bool)), pa.array(pairs), pa.array(n[pairs])], names=["word", "key", "n"])
 
     return map_arrow(training.select("text"), run, "word boolean, key long, n long").groupBy("word", "key").agg(F.sum("n").alias("n"))
 
 
+def pairs_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How often each symbol follows each, as Text.pair has them."""
+    n = np.zeros(SYMBOLS * SYMBOLS, np.int64)
+    wide = data.astype(np.int64)
+    n += np.bincount(wide[:-1] * SYMBOLS + wide[1:], minlength=len(n))
+    first, last = offsets[:-1][np.diff(offsets) > 0], offsets[1:][np.diff(offsets) > 0] - 1
+    inner = first[first > 0]
+    np.add.at(n, wide[inner - 1] * SYMBOLS + wide[inner], -1)  # over the border of two texts
+    np.add.at(n, END * SYMBOLS + wide[first], 1)
+    np.add.at(n, wide[last] * SYMBOLS + END, 1)
+    n[END * SYMBOLS + END] += len(offsets) - 1 - len(first)
+    return n
+
+
 def tallied(texts: DataFrame, code: Code) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = None
@@ -435,12 +476,12 @@ def learnt(spark: SparkSession, texts: DataFrame, model: Model) -> None:
 
 
 def train(docs: DataFrame, vocabulary: DataFrame) -> Model:
-    """docs: text, remainder. vocabulary: as counted gives it."""
+    """docs: text, held_out, tune. vocabulary: as counted gives it."""
     spark = docs.sparkSession
     model = Model(Code({r.key: r.n for r in vocabulary.filter("not word").collect()}))
-    main = materialize(added(tallied(docs.filter((F.col("remainder") != HELD_OUT) & (F.col("remainder") != TUNE)), model.code)), "score-counts")
+    main = materialize(added(tallied(docs.filter("not held_out and not tune"), model.code)), "score-counts")
     model.odds = odds_of(main)
-    tune = docs.filter(F.col("remainder") == TUNE)
+    tune = docs.filter("not held_out and tune")
     learnt(spark, tune, model)
     model.odds = odds_of(added(main.unionByName(tallied(tune, model.code))))
     discard(main)
@@ -462,8 +503,9 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     are not read.
     """
     spark = docs.sparkSession
-    own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), crc_mod(F.col(id_col), HELD_MOD).cast("int").alias("remainder"))
-    vocabulary = materialize(counted(own.filter(F.col("remainder") != HELD_OUT)), "score-words")
+    own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), (crc_mod(F.col(id_col), HELD_MOD) == HELD_OUT).alias("held_out"))
+    own = own.withColumn("tune", F.pmod(F.xxhash64("doc_id", F.lit("tune")), F.lit(TUNE_MOD)) == 0)
+    vocabulary = materialize(counted(own.filter("not held_out")), "score-words")
     total = vocabulary.agg(F.coalesce(F.sum(F.when(F.col("word") | (F.col("key") % SYMBOLS == END), F.col("n"))), F.lit(0)).alias("n"), F.count_if(F.col("word")).alias("words"), F.coalesce(F.sum(F.when(~F.col("word") & (F.col("key") % SYMBOLS == END), F.col("n"))), F.lit(0)).alias("ends")).first()
     words = vocabulary.filter("word").select(F.col("key").alias("h"), "n")
     model = train(own, vocabulary)
@@ -508,16 +550,16 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
                 tokens = np.bincount(text, minlength=n) + 1
                 ln = log_probability(m, data, offsets)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("key"), part.column("remainder"), pa.array(tokens), pa.array(known), pa.array(base), pa.array(ln / np.log(10)), pa.array(-ln / np.log(2) / (np.diff(offsets) + 1))],
-                    names=["doc_id", "key", "remainder", "n_tokens", "known", "base", "score", "bits_per_byte"])
+                    [part.column("doc_id"), part.column("key"), part.column("held_out"), pa.array(tokens), pa.array(known), pa.array(base), pa.array(ln / np.log(10)), pa.array(-ln / np.log(2) / (np.diff(offsets) + 1))],
+                    names=["doc_id", "key", "held_out", "n_tokens", "known", "base", "score", "bits_per_byte"])
 
     cold = map_arrow(own.select("doc_id", "key", "text"), rare, f"doc_id {kind}, key long, h long, k int")
     cold = cold.join(words, "h", "left").groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(
         F.count_if(F.col("k") == 0).alias("copies"), F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("rare_known"),
         F.sum(F.when(F.col("n").isNotNull(), F.col("k") * F.log10(F.col("n") + 1.0)).otherwise(0.0)).alias("rare_base"))
-    scored = map_arrow(own, judge, f"doc_id {kind}, key long, remainder int, n_tokens long, known long, base double, score double, bits_per_byte double")
+    scored = map_arrow(own, judge, f"doc_id {kind}, key long, held_out boolean, n_tokens long, known long, base double, score double, bits_per_byte double")
     out = scored.join(cold, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")))
     each = float(np.log10(total.n + total.words + (total.ends > 0) + 1))
     return out.select(
-        "doc_id", (F.col("remainder") == HELD_OUT).alias("held_out"), "n_tokens", (F.col("known") + F.expr("rare_known div copies")).alias("n_known"), F.lit(int(total.n)).cast("long").alias("train_tokens"),
+        "doc_id", "held_out", "n_tokens", (F.col("known") + F.expr("rare_known div copies")).alias("n_known"), F.lit(int(total.n)).cast("long").alias("train_tokens"),
         (F.col("base") + F.col("rare_base") / F.col("copies") - F.col("n_tokens") * each).alias("base_score"), "score", "bits_per_byte")

@@ -39,44 +39,41 @@ def test_a_distribution_over_what_comes_next():
 
 
 def next_symbol(model, begun, symbol):
-    """log P(symbol | begun), the weights as they stand at the beginning of a segment that begins here."""
+    """log P(symbol | begun), with the gains a segment begins with."""
     whole = begun + (bytes([symbol]) if symbol != L.END else b"")
-    l = L.lanes(model, L.Text(*joined([whole])))
-    many = model.code.length[L.Text(*joined([whole])).pair]
+    text = L.Text(*joined([whole]))
+    l, many = L.lanes(model, text), model.code.length[text.pair]
     at, n = (int(many[:-2].sum()), int(many[-2])) if symbol != L.END else (int(many[:-1].sum()), int(many[-1]))
     out = 0.0
     for k in range(at, at + n):
         x = sum(model.weights[l.gate[k], i] * float(l.odds[i][k]) / L.STEPS for i in range(L.INPUTS))
-        p = 1 / (1 + math.exp(-x))
-        spot = int((min(max(x, -L.REACH), L.REACH) + L.REACH) * ((L.BINS - 1) / 2 / L.REACH) + 0.5) + int(l.half[k]) * L.BINS
-        q = min(max((p + float(model.refined[spot])) / 2, 1e-5), 1 - 1e-5)
-        out += math.log(q if l.bit[k] else 1 - q)
+        out += math.log(of_bit(model, l, k, x, 1 / (1 + math.exp(-x))))
     return out
 
 
+def of_bit(model, l, k, mixed, p):
+    spot = int((min(max(mixed, -L.REACH), L.REACH) + L.REACH) * ((L.BINS - 1) / 2 / L.REACH) + 0.5) + int(l.gate[k]) * L.BINS
+    q = min(max((p + float(model.refined[spot])) / 2, 1e-5), 1 - 1e-5)
+    return q if l.bit[k] else 1 - q
+
+
 def plain_read(model, text):
-    """The same bits one at a time, in plain loops: one lane after the other, weights and map followed block by block."""
+    """The same bits one at a time, in plain loops: one lane after the other, gains followed block by block."""
     l = L.lanes(model, L.Text(*joined([text])))
     total = 0.0
     for first, size in zip(l.first, l.size, strict=True):
-        more, refined = [0.0] * L.INPUTS, [float(x) for x in model.refined]
+        gains = [1.0, 1.0]
         for b in range(first, first + size):
-            step, moved = [0.0] * L.INPUTS, {}
+            moved = [0.0, 0.0]
             for k in range(b * L.BLOCK, (b + 1) * L.BLOCK):
                 if l.bit[k] == L.FILL:
                     continue
-                x = [float(o[k]) for o in l.odds]
-                mixed = sum((float(model.weights[l.gate[k], i]) / L.STEPS + more[i]) * x[i] for i in range(L.INPUTS))
+                sums = [sum(float(model.weights[l.gate[k], i]) / L.STEPS * float(l.odds[i][k]) for i in own) for own in (range(L.LONG), range(L.LONG, L.INPUTS))]
+                mixed = gains[0] * sums[0] + gains[1] * sums[1]
                 p = 1 / (1 + math.exp(-mixed))
-                spot = int((min(max(mixed, -L.REACH), L.REACH) + L.REACH) * ((L.BINS - 1) / 2 / L.REACH) + 0.5) + int(l.half[k]) * L.BINS
-                q = min(max((p + refined[spot]) / 2, 1e-5), 1 - 1e-5)
-                one = int(l.bit[k])
-                total += math.log(q if one else 1 - q)
-                step = [s + (one - p) * v for s, v in zip(step, x, strict=True)]
-                moved[spot] = refined[spot] + L.MAP_RATE * (one - refined[spot])
-            more = [m + s * L.RATE / L.STEPS / L.STEPS for m, s in zip(more, step, strict=True)]
-            for spot, v in moved.items():
-                refined[spot] = v
+                total += math.log(of_bit(model, l, k, mixed, p))
+                moved = [m + (int(l.bit[k]) - p) * x for m, x in zip(moved, sums, strict=True)]
+            gains = [g + L.RATE * m for g, m in zip(gains, moved, strict=True)]
     return total
 
 
@@ -106,6 +103,28 @@ def test_tables_equal_plain_counts():
         assert dict(zip(at.tolist(), tally.tables[k][at].tolist(), strict=True)) == dict(want[k])
 
 
+def test_learning_equals_plain_loops():
+    """One lane: weights after each bit, and their mean over the bits of each gate."""
+    model, text = model_of(["some words to learn", "more words"]), "some more words to read"
+    l = L.lanes(model, L.Text(*joined([text])))
+    learner = L.Learner(model)
+    learner.read(l)
+    w, total, used = model.weights.astype(float), np.zeros((L.GATES, L.INPUTS)), np.zeros(L.GATES)
+    for k in np.flatnonzero(l.bit != L.FILL):
+        g, x = l.gate[k], np.array([float(o[k]) / L.STEPS for o in l.odds])
+        w[g] += L.LEARN * (l.bit[k] - 1 / (1 + math.exp(-(w[g] @ x)))) * x / 21
+        total[g] += w[g]
+        used[g] += 1
+    assert np.allclose(learner.total, total) and (learner.used == used).all() and learner.seen[1].sum() == (l.bit == 1).sum()
+
+
+def test_pairs_equal_plain_counts():
+    for texts in (["ab", "", "", "ba c"], [""], [], ["", "x"]):
+        data, offsets = joined(texts) if texts else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
+        text = L.Text(data, offsets)
+        assert (L.pairs_of(data, offsets) == np.bincount(text.pair, minlength=L.SYMBOLS**2)).all()
+
+
 def test_code_is_a_prefix_code():
     code = L.Code({L.END * L.SYMBOLS + 65: 1000, L.END * L.SYMBOLS + 66: 10})
     for before in (0, L.END):
