@@ -15,10 +15,13 @@ REASON_HIGH_BM25 = 0.7
 #: Rows of a side that may be broadcast, where it is counted first.
 SMALL_ROWS = 10_000
 
-# BM25.
+#: Rows of one key that are folded in one row; more are spread.
+FOLD_ROWS = 1_000
+
+# BM25.
 BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
 
-# Corpus.
+# The corpus.
 DUPLICATE_WINDOW_DAYS = 7
 PER_PAGE = 100
 GHOST_AUTHOR, DEFAULT_AUTHOR_TYPE = "ghost", "User"

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone import constants as C
 from lodestone.functions import text as T
+from lodestone.operators.vector_signal import top_per
 
 
 @dataclass
@@ -21,38 +22,72 @@ class Index:
     stats: DataFrame
 
 
-def build(docs: DataFrame) -> Index:
-    """docs: pr_id (one row each), text, and created_at if candidates are to be cut by time. A document is tokenised once and
-    its counts leave its task summed. An idf below 0 is set to epsilon times the average raw idf of the vocabulary."""
+def counts(docs: DataFrame) -> DataFrame:
+    """(pr_id, created_at if there, dl, terms): a document's length and its terms with their numbers. docs: pr_id (one row each),
+    text. Null texts have none. Documents are dealt by pr_id once, which both groupings then keep to."""
     carried = [c for c in ("created_at",) if c in docs.columns]
-    terms = docs.select("pr_id", *carried, T.tokenize(F.col("text")).alias("tokens"))
-    terms = terms.select("pr_id", *carried, F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    postings = terms.groupBy("pr_id", *carried, "dl", "term").agg(F.count("*").alias("tf"))
-    base = docs.agg(F.count("*").alias("n_docs")).crossJoin(F.broadcast(postings.agg(F.sum("tf").alias("terms"))))
-    base = base.select("n_docs", (F.coalesce("terms", F.lit(0)) / F.nullif("n_docs", F.lit(0))).alias("avgdl"))
+    tokens = docs.select("pr_id", *carried, "text").repartition("pr_id")
+    tokens = tokens.select("pr_id", *carried, F.coalesce(T.tokenize(F.col("text")), F.array().cast("array<string>")).alias("tokens"))
+    t = tokens.select("pr_id", *carried, F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term"))
+    t = t.groupBy("pr_id", *carried, "dl", "term").agg(F.count("*").alias("tf"))
+    one = F.when(F.col("term").isNotNull(), F.struct("term", "tf"))
+    return t.groupBy("pr_id", *carried, "dl").agg(F.collect_list(one).alias("terms"))
+
+
+def index_of(counted: DataFrame) -> Index:
+    """The index over documents as counts gives them."""
+    carried = [c for c in ("created_at",) if c in counted.columns]
+    postings = counted.select("pr_id", *carried, "dl", F.explode("terms").alias("t")).select("pr_id", *carried, "dl", "t.term", "t.tf")
+    base = counted.agg(F.count("*").alias("n_docs"), F.sum("dl").alias("tokens"))
+    base = base.select("n_docs", (F.coalesce("tokens", F.lit(0)) / F.nullif("n_docs", F.lit(0))).alias("avgdl"))
+    vocabulary = raw_idf(postings, base).agg(F.count("*").alias("vocabulary"), F.avg("raw").alias("average_idf"))
+    stats = base.crossJoin(F.broadcast(vocabulary))
+    return Index(postings, idf_of(postings, stats), stats)
+
+
+def raw_idf(postings: DataFrame, base: DataFrame) -> DataFrame:
     df = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(base.select("n_docs")))
-    raw = df.withColumn("raw", F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
-    vocabulary = raw.agg(F.count("*").alias("vocabulary"), F.avg("raw").alias("average_idf"))
-    idf = raw.crossJoin(F.broadcast(vocabulary)).select("term", "df", F.when(F.col("raw") < 0, F.col("average_idf") * C.BM25_EPSILON).otherwise(F.col("raw")).alias("idf"))
-    return Index(postings, idf, base.crossJoin(F.broadcast(vocabulary)))
+    return df.withColumn("raw", F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
+
+
+def idf_of(postings: DataFrame, stats: DataFrame) -> DataFrame:
+    """(term, df, idf). An idf below 0 is set to epsilon times the average raw idf of the vocabulary."""
+    raw = raw_idf(postings, stats).crossJoin(F.broadcast(stats.select("average_idf")))
+    return raw.select("term", "df", F.when(F.col("raw") < 0, F.col("average_idf") * C.BM25_EPSILON).otherwise(F.col("raw")).alias("idf"))
+
+
+def build(docs: DataFrame) -> Index:
+    """docs: pr_id (one row each), text, and created_at if candidates are to be cut by time. The plan reads and tokenises the
+    documents for each of the three tables; sources.bm25_index writes them once instead."""
+    return index_of(counts(docs))
+
+
+def weight(tf: Column, dl: Column, avgdl: Column) -> Column:
+    return tf * (C.BM25_K1 + 1) / (tf + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * dl / avgdl))
+
+
+def asked(queries: DataFrame, idf: DataFrame) -> DataFrame:
+    """(query_pr, q_at if queries have created_at, term, weight): the known terms of each query (query_pr, text). A repeated term
+    counts as often as it stands."""
+    at = [F.col("created_at").alias("q_at")] if "created_at" in queries.columns else []
+    q = queries.select("query_pr", *at, F.explode(T.tokenize(F.col("text"))).alias("term")).groupBy("query_pr", *(["q_at"] if at else []), "term").agg(F.count("*").alias("qtf"))
+    return q.join(idf.select("term", "idf"), "term").withColumn("weight", F.col("qtf") * F.col("idf")).drop("qtf", "idf")
 
 
 def parts(index: Index, queries: DataFrame) -> DataFrame:
-    """(query_pr, pr_id, term, part): what each term of a query (query_pr, text) adds to a document's score. A repeated query
-    term counts as often as it stands. If queries and documents have created_at, only strictly earlier documents other
-    than the query itself take part: they fall out before anything is summed."""
+    """(query_pr, pr_id, term, part): what each term of a query (query_pr, text) adds to a document's score. If queries and
+    documents have created_at, only strictly earlier documents other than the query itself take part: they fall out before
+    anything is summed."""
     timed = "created_at" in queries.columns and "created_at" in index.postings.columns
-    at = [F.col("created_at").alias("q_at")] if timed else []
-    q = queries.select("query_pr", *at, F.explode(T.tokenize(F.col("text"))).alias("term")).groupBy("query_pr", *[c for c in ("q_at",) if timed], "term").agg(F.count("*").alias("qtf"))
-    avgdl = F.broadcast(index.stats.select("avgdl"))
+    q = asked(queries if timed else queries.drop("created_at"), index.idf)
     postings = index.postings
     if timed:
         postings = postings.filter(F.col("created_at").isNotNull())
-    j = q.join(index.idf.select("term", "idf"), "term").join(postings, "term")
+    j = q.join(postings, "term")
     if timed:
         j = j.filter((F.col("created_at") < F.col("q_at")) & (F.col("pr_id") != F.col("query_pr")))
-    weight = F.col("tf") * (C.BM25_K1 + 1) / (F.col("tf") + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * F.col("dl") / F.col("avgdl")))
-    return j.crossJoin(avgdl).select("query_pr", "pr_id", "term", (F.col("qtf") * F.col("idf") * weight).alias("part"))
+    j = j.crossJoin(F.broadcast(index.stats.select("avgdl")))
+    return j.select("query_pr", "pr_id", "term", (F.col("weight") * weight(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("part"))
 
 
 def scores(index: Index, queries: DataFrame) -> DataFrame:
@@ -62,7 +97,7 @@ def scores(index: Index, queries: DataFrame) -> DataFrame:
 
 def top_terms(index: Index, queries: DataFrame, pairs: DataFrame, k: int = 2) -> DataFrame:
     """(query_pr, pr_id, top_terms): the k terms that add most to the scores of the pairs, the first by code point in a tie."""
-    own = parts(index, queries).join(F.broadcast(pairs.select("query_pr", "pr_id")) if pairs.count() <= C.SMALL_ROWS else pairs.select("query_pr", "pr_id"), ["query_pr", "pr_id"], "left_semi")
+    own = parts(index, queries).join(pairs.select("query_pr", "pr_id"), ["query_pr", "pr_id"], "left_semi")
     own = own.withColumn("part", F.round("part", 6))
     nth = F.row_number().over(Window.partitionBy("query_pr", "pr_id").orderBy(F.desc("part"), "term"))
     best = own.withColumn("nth", nth).filter(F.col("nth") <= k).groupBy("query_pr", "pr_id").agg(F.array_sort(F.collect_list(F.struct("nth", "term"))).alias("t"))
@@ -72,8 +107,6 @@ def top_terms(index: Index, queries: DataFrame, pairs: DataFrame, k: int = 2) ->
 def signal(index: Index, queries: DataFrame, changes: DataFrame | None = None, k: int = C.BM25_TOP_K) -> DataFrame:
     """The k best earlier changes with a positive score. queries: query_pr, created_at, text. changes (pr_id, created_at) is
     needed where the index has no created_at."""
-    from lodestone.operators.vector_signal import top_per
-
     if "created_at" not in index.postings.columns:
         index = Index(index.postings.join(changes.select("pr_id", "created_at"), "pr_id"), index.idf, index.stats)
     return top_per(scores(index, queries).filter("score > 0"), ["query_pr"], k)

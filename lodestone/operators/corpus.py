@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone import constants as C
 from lodestone.functions import text as T
+from lodestone.plans.cluster import written
 
 
 def classify(changes: DataFrame) -> DataFrame:
@@ -20,29 +21,93 @@ def near_misses(changes: DataFrame) -> DataFrame:
     return changes.filter(T.is_housekeeping(F.col("title"), ignore_case=True) & ~T.is_housekeeping(F.col("title")))
 
 
-def group_duplicates(changes: DataFrame, days: int = C.DUPLICATE_WINDOW_DAYS) -> DataFrame:
+def group_duplicates(changes: DataFrame, days: int = C.DUPLICATE_WINDOW_DAYS, fold_rows: int = C.FOLD_ROWS) -> DataFrame:
     """Adds anchor (number of the group's first member) and group_size.
 
     Within an author and normalised title, in order of time and number, a change joins the open group if it is at most
-    ``days`` days after the group's first member, else opens one. Titles match by equality, so each (author, title) is
-    folded on its own; the fold carries the anchor only. Null titles form no groups of their own kind: they are equal to
-    each other. The rows of one author and title meet in one array of (time, number).
+    ``days`` days after the group's first member, else opens one. Titles match by equality. Null titles are equal to each
+    other and to empty ones, null authors to each other; a change without a time is a group of its own. Authors and titles
+    of at most ``fold_rows`` changes are folded each in one row, which carries the anchor only; larger ones go by
+    anchors_by_doubling, where no task gets all of them.
     """
     key = ["author", "title_key"]
     c = changes.withColumn("title_key", T.normalize_title(F.coalesce(F.col("title"), F.lit(""))))
-    a = c.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col("created_at").alias("t"), F.col("number").alias("n")))).alias("members"))
+    rows = c.select(F.to_json(F.struct(*key)).alias("key"), F.col("created_at").cast("timestamp").alias("t"), F.col("number").cast("long").alias("number"))
+    solo = rows.filter("t is null").select("number", F.col("number").alias("anchor"))
+    rows = rows.filter("t is not null")
+    size = rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > fold_rows)
+    large = rows.join(size, "key", "left_semi")
+    both = solo.unionByName(_folded(rows.join(size, "key", "left_anti"), days))
+    if not size.isEmpty():
+        both = both.unionByName(anchors_by_doubling(large, days))
+    size = both.groupBy("anchor").agg(F.count("*").alias("group_size"))
+    return c.drop("title_key").join(both.join(size, "anchor"), "number")
+
+
+def _folded(rows: DataFrame, days: int) -> DataFrame:
+    """(number, anchor) of rows (key, t, number), a key's rows as one array of (t, n)."""
+    a = rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("t", F.col("number").alias("n")))).alias("members"))
     zero = F.struct(F.lit(None).cast("timestamp").alias("t"), F.lit(None).cast("long").alias("n"), F.array().cast("array<struct<number:bigint,anchor:bigint>>").alias("out"))
 
     def step(acc, x):
         fresh = acc["t"].isNull() | (x["t"] > acc["t"] + F.expr(f"INTERVAL {days} DAYS"))
-        t, n = F.when(fresh, x["t"]).otherwise(acc["t"]), F.when(fresh, x["n"].cast("long")).otherwise(acc["n"])
-        return F.struct(t.alias("t"), n.alias("n"), F.array_append(acc["out"], F.struct(x["n"].cast("long").alias("number"), n.alias("anchor"))).alias("out"))
+        t, n = F.when(fresh, x["t"]).otherwise(acc["t"]), F.when(fresh, x["n"]).otherwise(acc["n"])
+        return F.struct(t.alias("t"), n.alias("n"), F.array_append(acc["out"], F.struct(x["n"].alias("number"), n.alias("anchor"))).alias("out"))
 
-    solo = a.filter(F.size("members") == 1).select(F.col("members")[0]["n"].cast("long").alias("number"), F.col("members")[0]["n"].cast("long").alias("anchor"))
-    many = a.filter(F.size("members") > 1).select(F.explode(F.aggregate("members", zero, step, lambda s: s["out"])).alias("m")).select("m.*")
-    both = solo.unionByName(many)
-    size = both.groupBy("anchor").agg(F.count("*").alias("group_size"))
-    return c.drop("title_key").join(both.join(size, "anchor"), "number")
+    one = a.filter(F.size("members") == 1).select(F.col("members")[0]["n"].alias("number"), F.col("members")[0]["n"].alias("anchor"))
+    return one.unionByName(a.filter(F.size("members") > 1).select(F.explode(F.aggregate("members", zero, step, lambda s: s["out"])).alias("m")).select("m.*"))
+
+
+#: A window is cut into so many pieces of time, and a key's rows meet by piece. Divides the microseconds of a day.
+PIECES = 150
+
+
+def piece_of(u: Column, days: int) -> Column:
+    """Exact for times before 1970 too: a day's microseconds are a multiple of PIECES."""
+    width = days * 86_400_000_000 // PIECES
+    return ((u - F.pmod(u, F.lit(width))) / width).cast("long")
+
+
+def next_anchors(points: DataFrame, days: int) -> DataFrame:
+    """(n, next): for each point (key, u in microseconds, n; one a moment) the first of its key that is more than ``days`` later.
+
+    Time is cut into pieces, PIECES to the window, so a point's limit lies PIECES further on: the next point is in the same
+    piece as the limit, or else the first of a later piece. A task gets a key's points of one piece, or a row for each piece.
+    """
+    span = days * 86_400_000_000
+    p = points.withColumn("piece", piece_of(F.col("u"), days))
+    point = F.struct("u", "n")
+    ask = p.select("key", (F.col("piece") + PIECES).alias("piece"), (F.col("u") + span).alias("at"), F.lit(1).alias("asks"), "n", F.lit(None).cast("struct<u:bigint,n:bigint>").alias("point"))
+    row = p.select("key", "piece", F.col("u").alias("at"), F.lit(0).alias("asks"), "n", point.alias("point"))
+    later = Window.partitionBy("key", "piece").orderBy(F.desc("at"), F.desc("asks")).rowsBetween(Window.unboundedPreceding, 0)
+    near = row.unionByName(ask).withColumn("next", F.min("point").over(later)).filter("asks = 1").select("key", "piece", "n", "next")
+    first = p.groupBy("key", "piece").agg(F.min(point).alias("point")).withColumn("asks", F.lit(0))
+    asked = p.select("key", (F.col("piece") + PIECES).alias("piece")).distinct().withColumns({"point": F.lit(None).cast("struct<u:bigint,n:bigint>"), "asks": F.lit(1)})
+    beyond = Window.partitionBy("key").orderBy(F.desc("piece"), F.desc("asks")).rowsBetween(Window.unboundedPreceding, 0)
+    far = first.unionByName(asked.select(*first.columns)).withColumn("far", F.min("point").over(beyond)).filter("asks = 1").select("key", "piece", "far")
+    return near.join(far, ["key", "piece"]).select("n", F.coalesce("next", "far")["n"].alias("next"))
+
+
+def anchors_by_doubling(rows: DataFrame, days: int) -> DataFrame:
+    """(number, anchor) of rows (key, t, number), by pointers that double: the anchors of a key are its first row, that row's
+    next, and so on; a round finds as many again as are known and makes every pointer twice as long, so rounds are the
+    logarithm of the longest chain. Only the first row of a moment can be an anchor. A row's anchor is the only one that is
+    not after it and not more than ``days`` before."""
+    span = days * 86_400_000_000
+    rows = written(rows.select("key", F.unix_micros("t").alias("u"), "number"), "anchors-rows")
+    points = written(rows.groupBy("key", "u").agg(F.min("number").alias("n")), "anchors-points")
+    jump = written(next_anchors(points, days).filter("next is not null"), "anchors-jump")
+    known = points.groupBy("key").agg(F.min(F.struct("u", "n"))["n"].alias("n")).select("n")
+    anchors = fresh = written(known, "anchors-known")
+    while True:
+        fresh = written(anchors.join(jump, "n").select(F.col("next").alias("n")), "anchors-known")
+        if fresh.isEmpty():
+            break
+        anchors = anchors.unionByName(fresh)
+        jump = written(jump.join(jump.select(F.col("n").alias("next"), F.col("next").alias("after")), "next").select("n", F.col("after").alias("next")), "anchors-jump")
+    own = points.join(anchors, "n").select("key", F.col("u").alias("begin"), F.col("n").alias("anchor"))
+    own = own.withColumn("piece", F.explode(F.sequence(piece_of(F.col("begin"), days), piece_of(F.col("begin"), days) + PIECES)))
+    return rows.withColumn("piece", piece_of(F.col("u"), days)).join(own, ["key", "piece"]).filter((F.col("begin") <= F.col("u")) & (F.col("u") <= F.col("begin") + span)).select("number", "anchor")
 
 
 def resolve(grouped: DataFrame) -> DataFrame:

@@ -46,29 +46,42 @@ def lean_raw(raw: Column) -> Column:
     return F.to_json(F.map_concat(kept, F.create_map(F.lit("head_sha"), F.to_variant_object(F.array(sha)).cast("array<variant>")[0])))
 
 
-def build(items: DataFrame, verdicts: DataFrame, diffs: DataFrame, unavailable: DataFrame) -> DataFrame:
-    """One row per item, marked. The reason is the verdict's, else that the diff is unavailable, else that it has no source.
+def judged(items: DataFrame, verdicts: DataFrame, diffs: DataFrame, unavailable: DataFrame) -> DataFrame:
+    """One row per item, marked, and error: what keeps it from being one, or null. Nothing is raised.
 
-    verdicts: number, exclusion_reason, for every item. diffs: number, diff. unavailable: number. An item without a
-    verdict, and one that should have a diff and has none, are errors.
+    verdicts: number, exclusion_reason, for every item. diffs: number, diff. unavailable: number. The reason is the verdict's,
+    else that the diff is unavailable, else that it has no source. Errors, the first that fits: what is no item (no number),
+    an item without a verdict, one that should have a diff and has none, a diff with text and no file in it, a time that is
+    none.
     """
     hunks = D.parse_hunks(diffs)
     per = hunks.groupBy("number").agg(F.array_sort(F.collect_set("file_path")).alias("files_changed"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"), F.count("*").alias("n_hunks"))
+    text = diffs.groupBy("number").agg(F.lit(True).alias("has_diff"), F.bool_or((F.btrim("diff") != "") & ~F.col("diff").rlike(r"(?m)^diff --git ")).alias("no_file"))
     j = items.join(verdicts.select("number", F.col("exclusion_reason").alias("step_reason"), F.lit(True).alias("judged")), "number", "left")
-    j = j.join(diffs.select("number", F.lit(True).alias("has_diff")).distinct(), "number", "left").join(unavailable.select("number", F.lit(True).alias("refused")).distinct(), "number", "left").join(per, "number", "left")
+    j = j.join(text, "number", "left").join(unavailable.select("number", F.lit(True).alias("refused")).distinct(), "number", "left").join(per, "number", "left")
     reason = F.coalesce("step_reason", F.when(F.col("refused"), C.REASON_NO_DIFF), F.when(F.col("has_diff") & (F.coalesce("n_hunks", F.lit(0)) == 0), C.REASON_NO_SOURCE))
-    missing = F.col("step_reason").isNull() & F.col("refused").isNull() & F.col("has_diff").isNull()
-    reason = F.when(F.col("judged").isNull(), F.raise_error(F.concat(F.lit("no verdict for change "), F.col("number").cast("string")))).when(missing, F.raise_error(F.concat(F.lit("no diff for change "), F.col("number").cast("string")))).otherwise(reason)
     used = F.col("step_reason").isNull() & F.col("refused").isNull()
+    said = lambda what: F.concat(F.lit(f"{what} "), F.col("number").cast("string"))
+    error = F.when(F.col("number").isNull(), F.concat(F.lit("no item: "), F.substring(F.coalesce("raw", F.lit("")), 1, 100)))
+    error = error.when(F.col("judged").isNull(), said("no verdict for change")).when(used & F.col("has_diff").isNull(), said("no diff for change")).when(used & F.col("no_file"), said("no file in the diff of change"))
+    for c in ("created_at", "merged_at", "closed_at"):
+        error = error.when((F.coalesce(F.col(c), F.lit("")) != "") & F.try_to_timestamp(c).isNull(), said(f"no time in {c} of change"))
+    at = [F.try_to_timestamp(c).alias(c) for c in ("created_at", "merged_at", "closed_at")]
     return j.select(
         "number", F.col("id").alias("github_id"), "title", "body", author(F.col("user")).alias("author"), author_type(F.col("user")).alias("author_type"), outcome(F.col("merged_at"), F.col("state")).alias("outcome"),
         F.coalesce(F.col("labels")["name"], F.array().cast("array<string>")).alias("labels"),
         F.when(used, F.col("files_changed")).otherwise(F.lit(None)).alias("files"), F.when(used, F.coalesce("additions", F.lit(0))).otherwise(0).alias("additions"), F.when(used, F.coalesce("deletions", F.lit(0))).otherwise(0).alias("deletions"),
-        F.to_timestamp("created_at").alias("created_at"), F.to_timestamp("merged_at").alias("merged_at"), F.to_timestamp("closed_at").alias("closed_at"), reason.alias("exclusion_reason"),
-        lean_raw(F.col("raw")).alias("raw"),
+        *at, reason.alias("exclusion_reason"), F.when(error.isNull(), lean_raw(F.col("raw"))).otherwise(F.col("raw")).alias("raw"), error.alias("error"),
     ).withColumn("files_changed", F.coalesce("files", F.array().cast("array<string>"))).drop("files").withColumn("in_corpus", F.col("exclusion_reason").isNull())
 
 
+def build(items: DataFrame, verdicts: DataFrame, diffs: DataFrame, unavailable: DataFrame) -> DataFrame:
+    """One row per item, as judged gives them; the first error is raised."""
+    out = judged(items, verdicts, diffs, unavailable)
+    raised = F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")))
+    return out.withColumn("exclusion_reason", F.coalesce(raised.cast("string"), F.col("exclusion_reason"))).drop("error").withColumn("in_corpus", F.col("exclusion_reason").isNull())
+
+
 def chunk_rows(hunks: DataFrame, limit: int = C.MAX_MODEL_TOKENS) -> DataFrame:
     """hunks with token_count: adds was_truncated, strictly above the model's limit."""
     return hunks.withColumn("was_truncated", F.col("token_count") > limit)

@@ -119,6 +119,8 @@ def aggregate(best: DataFrame, strategy: str = "max", by: str = "query_pr") -> D
 
 
 def signal(query: DataFrame, chunks: DataFrame, *, dim: int = C.EMBEDDING_DIM, strategy: str = "max", k: int = C.VECTOR_TOP_K) -> DataFrame:
-    """The k best of each query chunk, then one score per earlier change. Filters come before the cut."""
+    """The k best of each query chunk, then one score per earlier change. Filters come before the cut. What check rejects is an
+    error."""
+    check(query, chunks)
     best = top_per(chunk_scores(query, chunks, dim=dim, k=k), ["query_pr", "query_chunk"], k)
     return aggregate(best.drop("best_chunk"), strategy)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone import constants as C
@@ -33,8 +33,11 @@ def insert_ignore(existing: DataFrame, new: DataFrame, key: list[str]) -> DataFr
 def load(df: DataFrame, path: str, staging: str) -> None:
     """All or nothing: written beside, then renamed into place. The table that stood there is set aside first and goes only
     once the new one stands; recover() brings it back if a run ended in between."""
-    spark = df.sparkSession
     df.write.mode("overwrite").parquet(staging)
+    _place(df.sparkSession, staging, path)
+
+
+def _place(spark: SparkSession, staging: str, path: str) -> None:
     p, fs = _files(spark, path)
     recover(spark, path)
     old = p(path + OLD)
@@ -66,6 +69,21 @@ def recover(spark: SparkSession, path: str) -> None:
             fs.rename(p(path + OLD), p(path))
 
 
+def load_aside(df: DataFrame, path: str, errors: str, staging: str) -> dict[str, int]:
+    """Loads the rows of df whose error is null into path and the others into errors, with their error, in one pass: a bad
+    record costs itself only. Both tables are put in place as load does, and both always stand. How many rows went where."""
+    seen = Observation("loaded")
+    counted = df.observe(seen, F.count_if(F.col("error").isNull()).alias("rows"), F.count_if(F.col("error").isNotNull()).alias("errors"))
+    counted.withColumn("_failed", F.col("error").isNotNull()).write.mode("overwrite").partitionBy("_failed").parquet(staging)
+    for failed, at in ((False, path), (True, errors)):
+        own = f"{staging}/_failed={str(failed).lower()}"
+        p, fs = _files(df.sparkSession, own)
+        if not fs.exists(p(own)):
+            df.filter("false").write.mode("overwrite").parquet(own)
+        _place(df.sparkSession, own, at)
+    return dict(seen.get)
+
+
 def load_each(tables: dict[str, tuple[DataFrame, str]], staging: str) -> dict[str, str | None]:
     """Loads each named table (frame, path) for itself and goes on after a failure: name to error, or None."""
     out: dict[str, str | None] = {}
