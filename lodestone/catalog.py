@@ -198,9 +198,13 @@ def l2_normalise(spark, sf_dir):
 
 
 @query("""WITH t(name, a, b) AS (VALUES ('identical', [1.0, 2.0, 2.0], [1.0, 2.0, 2.0]), ('doubled', [1.0, 2.0, 2.0], [2.0, 4.0, 4.0]), ('orthogonal', [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]), ('opposite', [1.0, 2.0, 2.0], [-1.0, -2.0, -2.0]))
-SELECT name, round(list_cosine_similarity(a::DOUBLE[], b::DOUBLE[]), 5) AS cosine FROM t""")
+SELECT name, round(list_cosine_similarity(a::DOUBLE[], b::DOUBLE[]), 5) AS cosine FROM t
+UNION ALL SELECT 'vector ' || vec_id, round(list_cosine_similarity(embedding::DOUBLE[], list_transform(embedding::DOUBLE[], lambda x: -3 * x)), 5) FROM embeddings WHERE embedding IS NOT NULL""")
 def cosine_identities(spark, sf_dir):
+    """Of known pairs, and of every vector with its opposite at another length."""
     t = spark.createDataFrame(samples.VECTORS, "name string, a array<double>, b array<double>")
+    e = table(spark, sf_dir, "embeddings").filter("embedding is not null").select(F.concat(F.lit("vector "), F.col("vec_id").cast("string")).alias("name"), F.transform("embedding", lambda x: x.cast("double")).alias("a"))
+    t = t.unionByName(e.withColumn("b", F.transform("a", lambda x: -3 * x)))
     return t.select("name", F.round(V.cosine(F.col("a"), F.col("b")), 5).alias("cosine"))
 
 
@@ -270,9 +274,9 @@ def tokenize(spark, sf_dir):
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.tokenize(F.col("text")).alias("tokens"))
 
 
-@query(f"""WITH t(s) AS (VALUES {", ".join(f"('{s}')" for s in samples.IDENTIFIERS)}) SELECT s, {TOKENS.format('s')} AS tokens FROM t""")
+@query(f"""WITH t(s) AS (SELECT * FROM (VALUES {", ".join(f"('{s}')" for s in samples.IDENTIFIERS)}) UNION ALL SELECT url FROM pages) SELECT s, {TOKENS.format('s')} AS tokens FROM t""")
 def tokenize_identifiers(spark, sf_dir):
-    t = spark.createDataFrame([(s,) for s in samples.IDENTIFIERS], "s string")
+    t = spark.createDataFrame([(s,) for s in samples.IDENTIFIERS], "s string").unionByName(table(spark, sf_dir, "pages").select(F.col("url").alias("s")))
     return t.select("s", T.tokenize(F.col("s")).alias("tokens"))
 
 
@@ -359,18 +363,20 @@ def classify_rows(spark, sf_dir):
     return corpus.classify(changes(spark, sf_dir)).select("number", "reason")
 
 
-@query(r"""WITH t(title) AS (VALUES ('Chore: Update contributors.png'), ('UPDATE stewards.yml'), ('update stewards.yml'), ('chore: update contributors.png'), ('docs'))
-SELECT title FROM t WHERE regexp_matches(title, '(?i)chore:\s*update contributors\.png|chore:\s*update README table from stewards\.yml|(update|Update) stewards\.yml')
-  AND NOT regexp_matches(title, 'chore:\s*update contributors\.png|chore:\s*update README table from stewards\.yml|(update|Update) stewards\.yml')""")
+@query(rf"""WITH {CHANGES}, t(title) AS (SELECT * FROM (VALUES ('Chore: Update contributors.png'), ('UPDATE stewards.yml'), ('update stewards.yml'), ('chore: update contributors.png'), ('docs'))
+  UNION ALL SELECT CASE WHEN number % 2 = 0 THEN upper(title) ELSE title END FROM changes)
+SELECT title, count(*) AS n FROM t WHERE regexp_matches(title, '(?i)chore:\s*update contributors\.png|chore:\s*update README table from stewards\.yml|(update|Update) stewards\.yml')
+  AND NOT regexp_matches(title, 'chore:\s*update contributors\.png|chore:\s*update README table from stewards\.yml|(update|Update) stewards\.yml') GROUP BY 1""")
 def near_misses(spark, sf_dir):
     t = spark.createDataFrame([("Chore: Update contributors.png",), ("UPDATE stewards.yml",), ("update stewards.yml",), ("chore: update contributors.png",), ("docs",)], "title string")
-    return corpus.near_misses(t)
+    own = changes(spark, sf_dir).select(F.when(F.col("number") % 2 == 0, F.upper("title")).otherwise(F.col("title")).alias("title"))
+    return corpus.near_misses(t.unionByName(own)).groupBy("title").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH t(s) AS (VALUES {', '.join('(' + chr(39) + s.replace(chr(39), chr(39) * 2) + chr(39) + ')' for s in samples.TITLES)}) SELECT s, {NORMAL.format('s')} AS normal FROM t")
+@query(f"WITH {CHANGES}, t(s) AS (SELECT * FROM (VALUES {', '.join('(' + chr(39) + s.replace(chr(39), chr(39) * 2) + chr(39) + ')' for s in samples.TITLES)}) UNION ALL SELECT title FROM changes) SELECT s, {NORMAL.format('s')} AS normal, count(*) AS n FROM t GROUP BY 1, 2")
 def normalize_title(spark, sf_dir):
-    t = spark.createDataFrame([(s,) for s in samples.TITLES], "s string")
-    return t.select("s", T.normalize_title(F.col("s")).alias("normal"))
+    t = spark.createDataFrame([(s,) for s in samples.TITLES], "s string").unionByName(changes(spark, sf_dir).select(F.col("title").alias("s")))
+    return t.groupBy("s", T.normalize_title(F.col("s")).alias("normal")).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH RECURSIVE {GROUPED} SELECT number, anchor, group_size FROM d WHERE group_size > 1")
@@ -419,9 +425,29 @@ def values(items: list[tuple]) -> str:
     return ", ".join("(" + ", ".join("NULL" if x is None else str(x) if isinstance(x, int) else "'" + str(x).replace("'", "''") + "'" for x in r) + ")" for r in items)
 
 
+RENDERED = """
+rf AS (SELECT DISTINCT l_orderkey AS pr_id, 'src/m' || (l_partkey % 40) || '/f' || l_partkey || CASE l_partkey % 5 WHEN 0 THEN '.md' WHEN 1 THEN '.py' WHEN 2 THEN '.js' WHEN 3 THEN '.ts' ELSE '' END AS path FROM lineitem),
+rendered AS (
+  SELECT 1000 + pr_id AS number, string_agg('diff --git a/' || path || ' b/' || path || chr(10) || 'index 1..2 100644' || chr(10) || '--- a/' || path || chr(10)
+           || CASE WHEN path LIKE '%.%' THEN '+++ b/' || path ELSE '+++ /dev/null' END || chr(10) || '@@ -1,2 +1,3 @@ def ' || path || '():' || chr(10) || ' kept' || chr(10) || '-old ' || pr_id || chr(10)
+           || '+new ' || pr_id || chr(10) || '+more' || chr(10) || CASE WHEN path LIKE '%.ts' THEN '@@ -9 +10 @@' || chr(10) || '-x' || chr(10) || '+y' || chr(10) ELSE '' END, '' ORDER BY path) AS diff
+  FROM rf GROUP BY pr_id)"""
+
+
+def rendered(spark, sf_dir):
+    """A diff for each change, over the files it touches."""
+    f = files(spark, sf_dir)
+    nl, p, n = F.lit("\n"), F.col("path"), F.col("pr_id").cast("string")
+    head = [F.lit("diff --git a/"), p, F.lit(" b/"), p, nl, F.lit("index 1..2 100644"), nl, F.lit("--- a/"), p, nl, F.when(p.contains("."), F.concat(F.lit("+++ b/"), p)).otherwise("+++ /dev/null"), nl]
+    hunk = [F.lit("@@ -1,2 +1,3 @@ def "), p, F.lit("():"), nl, F.lit(" kept"), nl, F.lit("-old "), n, nl, F.lit("+new "), n, nl, F.lit("+more"), nl]
+    second = F.when(p.endswith(".ts"), "@@ -9 +10 @@\n-x\n+y\n").otherwise("")
+    blocks = F.array_sort(F.collect_list(F.struct("path", F.concat(*head, *hunk, second).alias("block"))))
+    return f.groupBy((F.col("pr_id") + 1000).alias("number")).agg(F.array_join(F.transform(blocks, lambda x: x["block"]), "").alias("diff"))
+
+
 LINES = r"regexp_split_to_array({0}, '\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]')"
-HUNKS = rf"""
-t(number, diff) AS (VALUES {values(samples.DIFFS)}),
+HUNKS = rf"""{RENDERED},
+t(number, diff) AS (SELECT * FROM (VALUES {values(samples.DIFFS)}) UNION ALL SELECT number, diff FROM rendered),
 b AS (SELECT number, unnest(regexp_split_to_array(diff, '(?m)^diff --git ')[2:]) AS block, generate_subscripts(regexp_split_to_array(diff, '(?m)^diff --git ')[2:], 1) AS block_no FROM t),
 c AS (SELECT *, regexp_split_to_array(block, '(?m)^@@ -[0-9]+(?:,[0-9]+)? \+[0-9]+(?:,[0-9]+)? @@') AS pieces FROM b),
 f AS (SELECT *, trim(regexp_extract(pieces[1], '(?m)^\+\+\+ (?:b/)?([^\n]+)$', 1), ' ' || chr(9) || chr(13)) AS file_path FROM c WHERE len(pieces) > 1),
@@ -437,26 +463,27 @@ hunks AS (
   FROM q)"""
 
 
-def sample_diffs(spark):
-    return spark.createDataFrame(samples.DIFFS, "number long, diff string")
+def all_diffs(spark, sf_dir):
+    """Those of the changes, and some of awkward shapes."""
+    return spark.createDataFrame(samples.DIFFS, "number long, diff string").unionByName(rendered(spark, sf_dir))
 
 
 @query(f"WITH {HUNKS} SELECT * FROM hunks")
 def parse_hunks(spark, sf_dir):
-    return diffs.parse_hunks(sample_diffs(spark)).drop("block_no")
+    return diffs.parse_hunks(all_diffs(spark, sf_dir)).drop("block_no")
 
 
 @query(f"WITH {HUNKS} SELECT number, list_sort(list(DISTINCT file_path)) AS files_changed FROM hunks GROUP BY 1")
 def files_changed(spark, sf_dir):
-    return diffs.files_changed(diffs.parse_hunks(sample_diffs(spark)))
+    return diffs.files_changed(diffs.parse_hunks(all_diffs(spark, sf_dir)))
 
 
 @query(f"WITH {HUNKS} SELECT number, sum(additions)::BIGINT AS additions, sum(deletions)::BIGINT AS deletions FROM hunks GROUP BY 1")
 def diff_totals(spark, sf_dir):
-    return diffs.diff_totals(diffs.parse_hunks(sample_diffs(spark)))
+    return diffs.diff_totals(diffs.parse_hunks(all_diffs(spark, sf_dir)))
 
 
-@query(rf"""WITH t(number, diff) AS (VALUES {values(samples.DIFFS)}),
+@query(rf"""WITH {RENDERED}, t(number, diff) AS (SELECT * FROM (VALUES {values(samples.DIFFS)}) UNION ALL SELECT number, diff FROM rendered),
 l AS (SELECT *, {LINES.format('diff')} AS ls, list_transform(regexp_split_to_array(diff, '(?m)^@@')[2:], lambda h: len(regexp_replace(h, '\r\n|[\n\r\x0B\x0C\x1C-\x1E]', '', 'g')) + 2) AS sizes FROM t)
 SELECT number, CASE WHEN contains(diff, 'Binary files') OR contains(diff, 'GIT binary patch') THEN 'binary_file' WHEN contains(diff, '+++ /dev/null') OR contains(diff, 'deleted file mode') THEN 'deleted_file'
   WHEN contains(diff, 'rename from') AND contains(diff, 'rename to ') AND NOT contains(diff, '@@') THEN 'rename_only'
@@ -464,24 +491,40 @@ SELECT number, CASE WHEN contains(diff, 'Binary files') OR contains(diff, 'GIT b
   WHEN coalesce(list_max(sizes), 0) > 1500 THEN 'huge_hunk' WHEN len(string_split(diff, 'diff --git')) = 2 AND contains(diff, '@@') THEN 'simple_single_file' WHEN len(string_split(diff, 'diff --git')) > 2 THEN 'multi_file' END AS kind
 FROM l""")
 def classify_diffs(spark, sf_dir):
-    return sample_diffs(spark).select("number", diffs.classify(F.col("diff")).alias("kind"))
+    return all_diffs(spark, sf_dir).select("number", diffs.classify(F.col("diff")).alias("kind"))
 
 
-@query(rf"""WITH t(path) AS (VALUES {values([(p,) for p in samples.PATHS])})
+@query(rf"""WITH {FILES}, t(path) AS (SELECT * FROM (VALUES {values([(p,) for p in samples.PATHS])}) UNION ALL SELECT DISTINCT path FROM files)
 SELECT path, regexp_extract(path, '([^/]*)$', 1) AS base, regexp_extract(regexp_extract(path, '([^/]*)$', 1), '(\.[^.]*)$', 1) AS ext,
   regexp_extract(path, '([^/]*)$', 1) IN ('package-lock.json', '.all-contributorsrc') OR regexp_matches(path, '^translations/[^/]+/translation\.json$|^test/unit/visual/screenshots/')
   OR regexp_extract(regexp_extract(path, '([^/]*)$', 1), '(\.[^.]*)$', 1) IN ('.md', '.txt', '.rst', '.po', '.lock', '.svg', '.map', '.obj', '.mtl', '.stl') AS excluded,
   regexp_matches(path, '\.(js|mjs|ts)$') AND path NOT LIKE 'translations/%' AND path NOT LIKE 'test/%' AS source FROM t""")
 def excluded_paths(spark, sf_dir):
-    t = spark.createDataFrame([(p,) for p in samples.PATHS], "path string")
+    t = spark.createDataFrame([(p,) for p in samples.PATHS], "path string").unionByName(files(spark, sf_dir).select("path").distinct())
     p = F.col("path")
     return t.select("path", T.basename(p).alias("base"), T.extension(p).alias("ext"), T.is_excluded(p).alias("excluded"), T.is_source(p).alias("source"))
 
 
-@query(rf"""WITH {HUNKS}, i(raw) AS (VALUES {values([(r,) for r in samples.ITEMS])}),
+ITEMS = """SELECT '{"number": ' || (1000 + o_orderkey) || ', "id": ' || o_orderkey || ', "title": "' || o_orderpriority || '", "body": null, "user": {"login": "' || CASE WHEN o_custkey % 7 = 0 THEN '' ELSE 'user' || o_custkey END
+  || '", "type": "User"}, "state": "' || CASE o_orderstatus WHEN 'O' THEN 'closed' ELSE 'open' END || '", "created_at": "' || strftime(o_orderdate, '%Y-%m-%d') || 'T00:00:00Z", "merged_at": '
+  || CASE o_orderstatus WHEN 'F' THEN '"' || strftime(o_orderdate, '%Y-%m-%d') || 'T12:00:00Z"' ELSE 'null' END || ', "closed_at": null, "labels": [{"name": "Area: ' || o_orderpriority || '"}, {"name": "bug"}], "head": {"sha": "s' || o_orderkey || '"}}' FROM orders"""
+
+
+def items(spark, sf_dir):
+    """A raw list item for each change, and some of awkward shapes."""
+    o = table(spark, sf_dir, "orders")
+    k, day = F.col("o_orderkey").cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    parts = ['{"number": ', (F.col("o_orderkey") + 1000).cast("string"), ', "id": ', k, ', "title": "', F.col("o_orderpriority"), '", "body": null, "user": {"login": "', F.when(F.col("o_custkey") % 7 == 0, "").otherwise(F.concat(F.lit("user"), F.col("o_custkey").cast("string"))),
+             '", "type": "User"}, "state": "', F.when(F.col("o_orderstatus") == "O", "closed").otherwise("open"), '", "created_at": "', day, 'T00:00:00Z", "merged_at": ', F.when(F.col("o_orderstatus") == "F", F.concat(F.lit('"'), day, F.lit('T12:00:00Z"'))).otherwise("null"),
+             ', "closed_at": null, "labels": [{"name": "Area: ', F.col("o_orderpriority"), '"}, {"name": "bug"}], "head": {"sha": "s', k, '"}}']
+    raw = o.select(F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]).alias("raw"))
+    return rows.parse_items(spark.createDataFrame([(r,) for r in samples.ITEMS], "raw string").unionByName(raw))
+
+
+@query(rf"""WITH {HUNKS}, i(raw) AS (SELECT * FROM (VALUES {values([(r,) for r in samples.ITEMS])}) UNION ALL {ITEMS}),
 x AS (SELECT (raw::JSON->>'$.number')::BIGINT AS number, raw::JSON AS j FROM i),
-w(number, step_reason) AS (VALUES {values(samples.VERDICTS)}),
-u(number) AS (VALUES {values([(n,) for n in samples.UNAVAILABLE])}),
+w(number, step_reason) AS (SELECT * FROM (VALUES {values(samples.VERDICTS)}) UNION ALL SELECT 1000 + o_orderkey, CASE WHEN o_custkey % 97 = 0 THEN 'bot_author' END FROM orders),
+u(number) AS (SELECT * FROM (VALUES {values([(n,) for n in samples.UNAVAILABLE])}) UNION ALL SELECT 1000 + o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT pr_id FROM rf)),
 hs AS (SELECT number, list_sort(list(DISTINCT file_path)) AS fs, sum(additions)::BIGINT AS a, sum(deletions)::BIGINT AS d, count(*) AS n FROM hunks GROUP BY 1),
 r AS (
   SELECT x.number, j, CASE WHEN step_reason IS NOT NULL THEN step_reason WHEN u.number IS NOT NULL THEN 'diff_unavailable' WHEN coalesce(n, 0) = 0 THEN 'no_source_content' END AS reason,
@@ -493,9 +536,11 @@ SELECT number, coalesce(nullif(j->>'$.user.login', ''), 'ghost') AS author, coal
        CASE WHEN used THEN coalesce(a, 0) ELSE 0 END AS additions, CASE WHEN used THEN coalesce(d, 0) ELSE 0 END AS deletions,
        (j->>'$.created_at')::TIMESTAMP AS created_at, reason AS exclusion_reason, reason IS NULL AS in_corpus FROM r""")
 def build_rows(spark, sf_dir):
-    items = rows.parse_items(spark.createDataFrame([(r,) for r in samples.ITEMS], "raw string"))
-    verdicts = spark.createDataFrame(samples.VERDICTS, "number long, exclusion_reason string")
-    out = rows.build(items, verdicts, sample_diffs(spark), spark.createDataFrame([(n,) for n in samples.UNAVAILABLE], "number long"))
+    """Rows of all changes; those without a file have no diff to be had."""
+    o = table(spark, sf_dir, "orders").withColumn("number", F.col("o_orderkey") + 1000)
+    verdicts = spark.createDataFrame(samples.VERDICTS, "number long, exclusion_reason string").unionByName(o.select("number", F.when(F.col("o_custkey") % 97 == 0, "bot_author").alias("exclusion_reason")))
+    bare = o.join(files(spark, sf_dir), F.col("o_orderkey") == F.col("pr_id"), "left_anti").select("number")
+    out = rows.build(items(spark, sf_dir), verdicts, all_diffs(spark, sf_dir), spark.createDataFrame([(n,) for n in samples.UNAVAILABLE], "number long").unionByName(bare))
     return out.select("number", "author", "author_type", "outcome", "labels", "files_changed", "additions", "deletions", "created_at", "exclusion_reason", "in_corpus")
 
 
@@ -892,7 +937,7 @@ SELECT 100 + number AS pr_id, 1 AS repo_id, file_path, hunk_index, content, len(
 FROM hunks JOIN tk USING (number, file_path, hunk_index) JOIN nm USING (number, file_path, hunk_index)""")
 def chunk_rows(spark, sf_dir):
     """From diffs to rows of the chunk table."""
-    d = sample_diffs(spark)
+    d = all_diffs(spark, sf_dir)
     c = d.select("number", (F.col("number") + 100).alias("pr_id"), F.lit(1).alias("repo_id"), F.timestamp_seconds(F.lit(1_704_067_200) + F.col("number") * 86_400).alias("created_at"))
     e = rows.build_chunks(diffs.parse_hunks(d), c)
     return e.select(*[x for x in e.columns if x != "embedding"], *shown(e))
@@ -939,16 +984,20 @@ def churn_facets(spark, sf_dir):
     return corpus.facets(j.select(F.col("c_mktsegment").alias("facet"), (F.col("o_custkey") % 7).alias("additions"), (F.col("o_orderkey") % 3).alias("deletions")))
 
 
-@query(f"WITH t(s) AS (VALUES {', '.join('(' + chr(39) + s.replace(chr(39), chr(39) * 2) + chr(39) + ')' for s in samples.TITLES)}), p AS (SELECT {NORMAL.format('a.s')} = {NORMAL.format('b.s')} AS same FROM t a, t b WHERE a.s < b.s) SELECT count(*) FILTER (WHERE same) AS exact, count(*) FILTER (WHERE NOT same) AS loose FROM p")
+@query(f"WITH {CHANGES}, t(s) AS (VALUES {', '.join('(' + chr(39) + s.replace(chr(39), chr(39) * 2) + chr(39) + ')' for s in samples.TITLES)}), p AS (SELECT {NORMAL.format('a.s')} = {NORMAL.format('b.s')} AS same FROM t a, t b WHERE a.s < b.s UNION ALL SELECT {NORMAL.format('title')} = {NORMAL.format('author')} FROM changes UNION ALL SELECT {NORMAL.format('title')} = {NORMAL.format('upper(title)')} FROM changes) SELECT count(*) FILTER (WHERE same) AS exact, count(*) FILTER (WHERE NOT same) AS loose FROM p")
 def branch_tally(spark, sf_dir):
     t = [(a, b) for a in samples.TITLES for b in samples.TITLES if a < b]
-    return corpus.branch_tally(spark.createDataFrame(t, "title_a string, title_b string"))
+    c = changes(spark, sf_dir)
+    own = c.select(F.col("title").alias("title_a"), F.col("author").alias("title_b")).unionByName(c.select(F.col("title").alias("title_a"), F.upper("title").alias("title_b")))
+    return corpus.branch_tally(spark.createDataFrame(t, "title_a string, title_b string").unionByName(own))
 
 
-@query("WITH l(labels) AS (VALUES (['Area: core', 'bug']), (['area:WebGL', 'AREA:docs', 'areas']), ([]::VARCHAR[])) SELECT labels, list_filter(labels, lambda x: lower(x) LIKE 'area:%') AS areas FROM l")
+@query("""WITH l(labels) AS (SELECT * FROM (VALUES (['Area: core', 'bug']), (['area:WebGL', 'AREA:docs', 'areas']), ([]::VARCHAR[])) UNION ALL SELECT ['aReA:' || o_orderpriority, o_orderstatus] FROM orders)
+SELECT labels, list_filter(labels, lambda x: lower(x) LIKE 'area:%') AS areas, count(*) AS n FROM l GROUP BY 1, 2""")
 def area_labels(spark, sf_dir):
     l = spark.createDataFrame([(["Area: core", "bug"],), (["area:WebGL", "AREA:docs", "areas"],), ([],)], "labels array<string>")
-    return l.select("labels", T.area_labels(F.col("labels")).alias("areas"))
+    own = table(spark, sf_dir, "orders").select(F.array(F.concat(F.lit("aReA:"), F.col("o_orderpriority")), F.col("o_orderstatus")).alias("labels"))
+    return l.unionByName(own).groupBy("labels", T.area_labels(F.col("labels")).alias("areas")).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {RANKED} SELECT count(*) FILTER (WHERE final_score NOT BETWEEN 0 AND 1) AS outside FROM fin WHERE rank <= 3")
