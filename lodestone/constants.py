@@ -44,3 +44,12 @@ DROPPED_KEYS = ("base", "head", "links", "_links")
 AREA_PREFIX = "area:"
 # Fixed value: added to the reason of a change that was closed without a merge.
 CLOSED_SUFFIX = " — closed without merging, worth checking why"
+# The parts of an identifier.
+SUBTOKEN = r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[0-9]+"
+# The head of a hunk, the line with a file's new path, and lines of a diff that are no content.
+HUNK_HEADER = r"(?dm)^@@ -[0-9]+(?:,[0-9]+)? \+[0-9]+(?:,[0-9]+)? @@"
+NEW_PATH = r"(?dm)^\+\+\+ (?:b/)?(.+)$"
+DIFF_STRUCTURE = r"^(\+\+\+|---|diff|index|@@|new file|deleted file|rename)"
+# The phrases of reasons.
+SAID_BOTH, SAID_BOTH_END = "Both modify ", " with a similar change pattern"
+SAID_FILE, SAID_PATTERN, SAID_TERMS, SAID_RELATED = "Also changes ", "Similar change pattern in ", "Shares terminology: ", "Related change in "

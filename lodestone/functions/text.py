@@ -11,7 +11,6 @@ from lodestone import constants as C
 BLANK = r"(?U)\s+"
 #: What ends a line: CR LF, or any one of the others.
 LINE_END = "\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\u0085\\u2028\\u2029]"
-SUBTOKEN = r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[0-9]+"
 
 
 def strip(c: Column) -> Column:
@@ -28,7 +27,7 @@ def tokenize(text: Column) -> Column:
     """Each identifier in lower case, then its parts if it has more than one; in order, repeats kept. Null: null."""
 
     def parts(x: Column) -> Column:
-        p = F.regexp_extract_all(x, F.lit(SUBTOKEN), F.lit(0))
+        p = F.regexp_extract_all(x, F.lit(C.SUBTOKEN), F.lit(0))
         whole = F.array(x)
         return F.transform(F.when(F.size(p) > 1, F.concat(whole, p)).otherwise(whole), F.lower)
 

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone import constants as C
 from lodestone.functions import text as T
 
-HEADER = r"(?dm)^@@ -[0-9]+(?:,[0-9]+)? \+[0-9]+(?:,[0-9]+)? @@"
-
 
 def _counted(body: Column, sign: str) -> Column:
     return F.size(F.filter(F.split(body, T.LINE_END), lambda x: F.startswith(x, F.lit(sign))))
@@ -22,9 +21,9 @@ def parse_hunks(diffs: DataFrame, id_col: str = "number", diff_col: str = "diff"
     """
     blocks = F.expr(f"posexplode(slice(split(`{diff_col}`, '(?dm)^diff --git '), 2, 1000000000))")
     b = diffs.select(F.col(id_col), blocks).withColumnsRenamed({"pos": "block_no", "col": "block"})
-    pieces = F.split("block", HEADER)
+    pieces = F.split("block", C.HUNK_HEADER)
     b = b.withColumn("pieces", pieces).filter(F.size("pieces") > 1)
-    path = T.strip(F.regexp_extract(F.col("pieces")[0], r"(?dm)^\+\+\+ (?:b/)?(.+)$", 1))
+    path = T.strip(F.regexp_extract(F.col("pieces")[0], C.NEW_PATH, 1))
     b = b.withColumn("file_path", path).filter((F.col("file_path") != "") & (F.col("file_path") != "/dev/null"))
     b = b.filter(~T.is_excluded(F.col("file_path")))
     h = b.select(id_col, "block_no", "file_path", F.posexplode(F.slice("pieces", 2, F.size("pieces"))).alias("hunk_index", "piece"))
@@ -47,8 +46,7 @@ def diff_totals(hunks: DataFrame, id_col: str = "number") -> DataFrame:
 def classify(diff: Column) -> Column:
     """The kind of a diff, the special ones first."""
     lines = F.split(diff, T.LINE_END)
-    structural = r"^(\+\+\+|---|diff|index|@@|new file|deleted file|rename)"
-    marker = F.exists(lines, lambda x: ~x.rlike(structural) & x.rlike("^[ +-]") & F.contains(x, F.lit("@@")))
+    marker = F.exists(lines, lambda x: ~x.rlike(C.DIFF_STRUCTURE) & x.rlike("^[ +-]") & F.contains(x, F.lit("@@")))
     files = (F.length(diff) - F.length(F.replace(diff, F.lit("diff --git"), F.lit("")))) / len("diff --git")
     sizes = F.transform(F.slice(F.split(diff, r"(?dm)^@@"), 2, 1_000_000_000), lambda h: F.length(F.regexp_replace(h, T.LINE_END, "")) + 2)
     return (

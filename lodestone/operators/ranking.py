@@ -46,11 +46,11 @@ def reasons(results: DataFrame) -> DataFrame:
     the least path is named, of the terms the two that contribute most."""
     shared, high = F.col("shared_file").isNotNull(), F.col("vector_norm") > C.REASON_HIGH_VECTOR
     said = (
-        F.when(shared & high, F.concat(F.lit("Both modify "), F.col("shared_file"), F.lit(" with a similar change pattern")))
-        .when(shared, F.concat(F.lit("Also changes "), F.col("shared_file")))
-        .when(high, F.concat(F.lit("Similar change pattern in "), F.col("top_file")))
-        .when(F.col("bm25_norm") > C.REASON_HIGH_BM25, F.concat(F.lit("Shares terminology: "), F.array_join(F.slice("top_terms", 1, 2), ", ")))
-        .otherwise(F.concat(F.lit("Related change in "), F.substring_index(F.col("top_file"), "/", 1)))
+        F.when(shared & high, F.concat(F.lit(C.SAID_BOTH), F.col("shared_file"), F.lit(C.SAID_BOTH_END)))
+        .when(shared, F.concat(F.lit(C.SAID_FILE), F.col("shared_file")))
+        .when(high, F.concat(F.lit(C.SAID_PATTERN), F.col("top_file")))
+        .when(F.col("bm25_norm") > C.REASON_HIGH_BM25, F.concat(F.lit(C.SAID_TERMS), F.array_join(F.slice("top_terms", 1, 2), ", ")))
+        .otherwise(F.concat(F.lit(C.SAID_RELATED), F.substring_index(F.col("top_file"), "/", 1)))
     )
     suffix = F.when(F.col("outcome") == "closed_unmerged", C.CLOSED_SUFFIX).otherwise("")
     return results.withColumn("reason", F.concat(said, suffix))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -109,11 +111,27 @@ def duplicate_numbers(items: DataFrame) -> DataFrame:
     return items.groupBy("number").count().filter("count > 1")
 
 
+class QuotaError(RuntimeError):
+    """The fetcher says that fewer requests are left than are to be kept."""
+
+
+class Items(list):
+    """What a fetcher may give instead of a list: the items, and how many requests are left."""
+
+    def __init__(self, items, remaining: int | None = None):
+        super().__init__(items)
+        self.remaining = remaining
+
+
 class PagedSource(DataSource):
     """A paginated list as a Spark source: ``spark.read.format("paged_list").option("fetcher", "module:function")``.
 
-    The function takes a page number and gives the JSON strings of its items; paging stops after the first page that is
-    empty or short. One partition reads ``stride`` pages; transport errors and refusals are retried with doubling waits.
+    The function takes a page number and gives the JSON strings of its items. Options: ``cache`` ("module:function"), which
+    gives a page's items from an earlier run or None, and is believed where the page is full; ``pages``, how many there are,
+    if that is known; ``per_page``; ``stride``, pages of a partition; ``attempts`` and ``base`` of retries; ``delay`` seconds
+    before each request; ``quota``, requests to be left over. If ``pages`` is not given the end is looked for before the
+    partitions are made, from the last cached page on, by doubling and bisection: about twice the logarithm of how many
+    pages are new. Transport errors and refusals are retried with doubling waits.
     """
 
     @classmethod
@@ -127,31 +145,67 @@ class PagedSource(DataSource):
         return PagedReader(self.options)
 
 
+def _named(path: str):
+    module, name = path.split(":")
+    return getattr(__import__(module, fromlist=[name]), name)
+
+
 class PagedReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = dict(options)
         self.stride = int(self.options.get("stride", "1"))
-        self.pages = int(self.options["pages"])
+        self.per_page = int(self.options.get("per_page", str(C.PER_PAGE)))
+
+    def cached(self, page: int) -> list[str] | None:
+        """A full page of an earlier run; a short one may have grown since."""
+        items = _named(self.options["cache"])(page) if "cache" in self.options else None
+        return items if items is not None and len(items) == self.per_page else None
+
+    def fetched(self, page: int) -> list[str]:
+        time.sleep(float(self.options.get("delay", "0")))
+        items = with_retry(lambda: _named(self.options["fetcher"])(page), attempts=int(self.options.get("attempts", "5")), base=float(self.options.get("base", "2")))
+        left = getattr(items, "remaining", None)
+        if left is not None and left < int(self.options.get("quota", "0")):
+            raise QuotaError(f"{left} requests are left, {self.options['quota']} are to be kept")
+        return items
+
+    def last_page(self) -> int:
+        """The last page that has items: full ones are before it, short or empty ones are not passed."""
+        low, step = 0, 1
+        while self.cached(low + 1) is not None:
+            low += 1
+        high = None  # low is full, or 0; high is short or empty
+        while high is None:
+            n = len(self.fetched(low + step))
+            if 0 < n < self.per_page:
+                return low + step
+            low, step, high = (low + step, step * 2, None) if n else (low, step, low + step)
+        while high - low > 1:
+            mid = (low + high) // 2
+            n = len(self.fetched(mid))
+            if 0 < n < self.per_page:
+                return mid
+            low, high = (mid, high) if n else (low, mid)
+        return low
 
     def partitions(self):
-        return [InputPartition(k) for k in range(0, self.pages, self.stride)]
+        pages = int(self.options["pages"]) if "pages" in self.options else self.last_page()
+        return [InputPartition((k + 1, min(k + self.stride, pages))) for k in range(0, pages, self.stride)]
 
     def read(self, partition):
-        module, name = self.options["fetcher"].split(":")
-        fetch = getattr(__import__(module, fromlist=[name]), name)
-        for page in range(partition.value + 1, min(partition.value + self.stride, self.pages) + 1):
-            items = with_retry(lambda page=page: fetch(page), attempts=int(self.options.get("attempts", "5")), base=float(self.options.get("base", "2")))
+        first, last = partition.value
+        for page in range(first, last + 1):
+            items = self.cached(page)
+            items = self.fetched(page) if items is None else items
             for pos, raw in enumerate(items):
                 yield page, pos, raw
-            if len(items) < int(self.options.get("per_page", str(C.PER_PAGE))):
+            if len(items) < self.per_page:
                 return
 
 
 def with_retry(call, *, attempts: int = 5, base: float = 2.0, sleep=None):
     """Calls; after an OSError waits base**attempt, or as long as the error's retry_after says, and calls again. An error with
     an HTTP code is tried again only if the code is a refusal for now: 403 or 429."""
-    import time
-
     for attempt in range(attempts):
         try:
             return call()
