@@ -646,6 +646,16 @@ def soundness_checks(spark, sf_dir):
     return a.crossJoin(b)
 
 
+@query(f"""WITH {CHANGES} SELECT count(*) AS rows, true AS same, true AS change_found FROM changes""")
+def order_independence(spark, sf_dir):
+    """The verdicts do not depend on the order of the changes, and one changed verdict would be seen."""
+    c = changes(spark, sf_dir)
+    v = corpus.verdicts(c)
+    again = corpus.verdicts(c.repartition(7, F.xxhash64("number", F.lit("shuffled"))))
+    one = v.withColumn("in_corpus", F.when(F.col("number") == 1, ~F.col("in_corpus")).otherwise(F.col("in_corpus")))
+    return checks.same_rows(v, again).crossJoin(checks.same_rows(v, one).select((~F.col("same")).alias("change_found")))
+
+
 @query("""SELECT o_orderkey AS number, before FROM (SELECT o_orderkey, lag(o_orderkey) OVER (ORDER BY o_orderdate, o_orderkey) AS before FROM orders) WHERE before >= o_orderkey""")
 def ascending_breaks(spark, sf_dir):
     return corpus.ascending_breaks(changes(spark, sf_dir))

@@ -79,3 +79,19 @@ def chunk_totals_break(chunks: DataFrame, changes: DataFrame) -> DataFrame:
     """Changes whose additions differ from the sum over their chunks."""
     s = chunks.groupBy("pr_id").agg(F.sum("additions").alias("chunk_additions"))
     return changes.join(s, "pr_id", "left").filter(F.coalesce("chunk_additions", F.lit(0)) != F.col("additions"))
+
+
+def fingerprint(df: DataFrame) -> DataFrame:
+    """One row (rows, total, folded) that is the same for the same rows in any order and number of partitions: how many, the sum
+    of their 64-bit hashes and their exclusive or. Repeated rows count; columns are taken by name; a null is told from the
+    empty text and from a null in another column. Maps have no hash and are an error."""
+    cols = [x for c in sorted(df.columns) for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    h = df.select(F.xxhash64(*cols).alias("h"))
+    return h.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("total"), F.coalesce(F.bit_xor("h"), F.lit(0)).alias("folded"))
+
+
+def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: rows of a, and same, whether both hold the same rows the same number of times (but for a chance in 2^64)."""
+    y = fingerprint(b).withColumnsRenamed({"rows": "b_rows", "total": "b_total", "folded": "b_folded"})
+    same = (F.col("rows") == F.col("b_rows")) & (F.col("total") == F.col("b_total")) & (F.col("folded") == F.col("b_folded"))
+    return fingerprint(a).crossJoin(F.broadcast(y)).select("rows", same.alias("same"))

@@ -142,3 +142,15 @@ def test_one_bad_record_costs_itself_only(spark, tmp_path):
     mended = rows.judged(items.filter("number < 1000"), verdicts, spark.range(n).select(F.col("id").alias("number"), F.lit(DIFF).alias("diff")), none)
     assert store.load_aside(mended, f"file://{tmp_path}/rows", f"file://{tmp_path}/errors", f"file://{tmp_path}/staging") == {"rows": n, "errors": 0}
     assert spark.read.parquet(f"{tmp_path}/rows").count() == n and spark.read.parquet(f"{tmp_path}/errors").count() == 0
+
+
+def test_order_free_fingerprint(spark):
+    from lodestone.operators import checks
+
+    rows = [(1, "a", None), (2, None, "b"), (2, None, "b"), (3, "", None)]
+    df = lambda r: spark.createDataFrame(r, "k int, x string, y string")
+    same = lambda a, b: checks.same_rows(a, b).first().same
+    a = df(rows)
+    assert same(a, df(rows[::-1]).repartition(3)) and same(a, a.select("y", "k", "x")) and same(df([]), df([]))
+    for other in (rows[:3], [*rows, rows[0]], [(1, None, "a"), *rows[1:]], [*rows[:3], (3, None, None)], [rows[0], rows[1], rows[3], rows[3]]):
+        assert not same(a, df(other))
