@@ -2,7 +2,7 @@
 
 A text is a sequence of bytes and an end symbol, each written in the bits of a prefix code, Huffman's for the training
 bytes after the byte before; so the model is a proper distribution over texts. For each bit, predictors look up how often
-it was 0 and 1 in training after their own hashed context: the last 2, 3 and 5 bytes, and the word begun so far. Their
+it was 0 and 1 in training after their own hashed context: the last 3 and 5 bytes, and the word begun so far. Their
 log-odds are added up with weights from a set that a gate chooses (which contexts were ever seen, how deep the bit lies in
 its code), and a map learnt with them refines the sum. While a text is read, two gains, of the short and of the long
 contexts, follow it block by block.
@@ -28,10 +28,10 @@ from lodestone.llm import _words
 from lodestone.llm._util import crc_mod, discard, map_arrow, materialize
 
 HELD_MOD, HELD_OUT = 7, 2
-TUNE_MOD = 28
+TUNE_MOD = 56
 END = 256
 #: Predictors: bytes of context (0: the word begun so far), each with a table of 2 ** BITS slots.
-CONTEXTS, BITS = (2, 3, 5, 0), 22
+CONTEXTS, BITS = (3, 5, 0), 22
 INPUTS, TABLE = len(CONTEXTS), 1 << BITS
 SLOTS = INPUTS * TABLE
 #: Slots are added up in so many ranges.
@@ -44,11 +44,11 @@ SEGMENT = 1024
 #: Gains follow a text after every so many bits.
 BLOCK = 64
 #: Bytes of text taken at once, and lanes read side by side.
-PART, LANES = 2_000_000, 4_096
+PART, LANES = 1_500_000, 4_096
 #: How fast gains follow a text, and how fast the weights are learnt.
 RATE, LEARN = 0.003, 0.1
 #: Gates: which of the long contexts, from LONG on, were seen, and the depth of the bit in its code. The map has bins for each.
-LONG, DEPTHS, REACH, BINS = 2, 4, 8.0, 33
+LONG, DEPTHS, REACH, BINS = 1, 4, 8.0, 33
 GATES = DEPTHS << (INPUTS - LONG)
 #: Words that make up one of so many training tokens go out to every task; there are at most so many.
 FREQUENT = 1 << 20
@@ -81,8 +81,12 @@ class Code:
 
     def steps(self, pair: np.ndarray, many: np.ndarray) -> np.ndarray:
         """The steps of symbols one after the other; many: how many each has (fewer than there is room for: to be filled)."""
-        at = np.cumsum(many, dtype=np.int64) - many
-        return np.repeat(self.start[pair] - at, many) + np.arange(int(many.sum()))
+        total = int(many.sum())
+        kind = np.int32 if total < 1 << 30 else np.int64
+        at = (np.cumsum(many, dtype=np.int64) - many).astype(kind)
+        out = np.repeat(self.start[pair].astype(kind) - at, many)
+        out += np.arange(total, dtype=kind)
+        return out
 
     def slots(self, base: np.ndarray, many: np.ndarray, node: np.ndarray) -> np.ndarray:
         """The slot of each step, given the hashed context of each symbol and the node of each step."""
@@ -346,14 +350,15 @@ class Tally:
         np.add.at(self.tables[k], slot, np.repeat(n.astype(np.int32), many))
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        base, held = 0, {}
-        for t in self.tables:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for k, t in enumerate(self.tables):
             t = t.reshape(-1, 2)
             own = np.flatnonzero(t.any(axis=1))
-            for r in np.unique((own + base) // RANGE):
-                mine = own[(own + base) // RANGE == r]
-                held.setdefault(int(r), []).append((mine + base - r * RANGE, t[mine]))
-            base += TABLE
+            place = own + k * TABLE
+            ranges = range(k * TABLE // RANGE, ((k + 1) * TABLE - 1) // RANGE + 1)
+            for r, a, z in zip(ranges, np.searchsorted(place, [r * RANGE for r in ranges]), np.searchsorted(place, [(r + 1) * RANGE for r in ranges]), strict=True):
+                if z > a:
+                    held.setdefault(r, []).append((place[a:z] - r * RANGE, t[own[a:z]]))
         for r, found in held.items():
             yield packed(r, np.concatenate([a for a, _ in found]), np.concatenate([n for _, n in found]))
 
