@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII upper case to lower case, as the contracts define lower-casing.
@@ -112,105 +112,107 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def weighted_cuts(sample: list, parts: int) -> list:
-    """At most parts-1 distinct cut values that split the sorted (value, weight) sample evenly by weight."""
-    sample = sorted(sample)
-    step, run, cuts = sum(w for _, w in sample) / parts, 0.0, []
-    for value, w in sample:
-        if cuts and run < step * (len(cuts) + 1):
-            run += w
-            continue
-        if run >= step * (len(cuts) + 1) and len(cuts) < parts - 1 and (not cuts or cuts[-1] != value):
-            cuts.append(value)
-        run += w
-    return cuts
+#: A range of ordered_runs weighs about so much; there are at least as many ranges as shuffle partitions.
+RANGE_WEIGHT = 64_000_000
+#: Rows of a range's neighbours that are broadcast; of more, Spark picks the join by their size.
+EDGES_BROADCAST = 1_000_000
 
 
-#: A range of ordered_runs weighs about so much.
-RANGE_WEIGHT = 8_000_000
+def first_keys(df: DataFrame, key: str, weight: Column, parts: int, n: int, per_part: int) -> DataFrame:
+    """One row, cuts: the first keys of at most parts ranges of about the same weight, in order.
 
-
-def range_of(key: Column, cuts: list) -> Column:
-    """How many of the sorted cuts are not above the key, found in two steps: first among every so-manieth, then between."""
-    if not cuts:
-        return F.lit(0)
-    step = math.isqrt(len(cuts) - 1) + 1
-    among = lambda array: F.size(F.filter(array, lambda c: c <= key))
-    heads = F.array(*[F.lit(c) for c in cuts[::step]])
-    parts = F.array(*[F.array(*[F.lit(c) for c in cuts[k : k + step]]) for k in range(0, len(cuts), step)])
-    at = among(heads)
-    return F.when(at == 0, 0).otherwise((at - 1) * step + among(F.element_at(parts, at)))
-
-
-def ordered_runs(df: DataFrame, key: str, weight: Column, per_part: int = 40, marks: DataFrame | None = None) -> tuple[DataFrame, int]:
+    The keys come from a sample by hash of about per_part a range, and the least of all. The sample is sorted and added up
+    in ranges of its own, so it is in no one task; the one row has a key for each range.
+    """
+    keys = df.select(F.col(key).alias("k"), (weight + 1).cast("double").alias("w"))
+    want = parts * per_part
+    some = keys
+    if n > want:
+        some = keys.filter(F.shiftrightunsigned(F.xxhash64("k", F.lit("cut")), 2) < int(want / n * 2**62) + 1)
+    some = some.unionByName(keys.agg(F.min("k").alias("k"), F.lit(0.0).alias("w"))).groupBy("k").agg(F.sum("w").alias("w"))
+    some = materialize(some.repartitionByRange(partitions(df.sparkSession), "k").withColumn("part", F.spark_partition_id()), "runs-sample")
+    # one row for each shuffle partition
+    sums = some.groupBy("part").agg(F.sum("w").alias("total"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("part", F.coalesce(F.sum("total").over(before), F.lit(0.0)).alias("offset"), F.sum("total").over(Window.partitionBy()).alias("all"))
+    inside = Window.partitionBy("part").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    some = some.withColumn("run", F.coalesce(F.sum("w").over(inside), F.lit(0.0))).join(sums, "part")
+    share = F.coalesce(F.try_divide(F.col("offset") + F.col("run"), F.col("all")), F.lit(0.0))
+    cuts = some.groupBy(F.least(F.floor(share * parts), F.lit(parts - 1)).alias("b")).agg(F.min("k").alias("k"))
+    return cuts.agg(F.array_sort(F.collect_list("k")).alias("cuts"))
+
+
+def in_ranges(df: DataFrame, key: str, cuts: Column, parts: int, name: str) -> DataFrame:
+    """Adds name: how many of the ranges' first keys, but the first, are not above the key, by binary search. Each halving is a
+    projection, so the plan grows with the logarithm of the ranges, and the steps compile into one loop-free stretch of code."""
+    df = df.withColumn(name, F.lit(0))
+    for step in (1 << j for j in reversed(range((parts - 1).bit_length()))):
+        above = F.coalesce(F.get(cuts, F.col(name) + step) <= F.col(key), F.lit(False))
+        df = df.withColumn(name, F.col(name) + F.when(above, step).otherwise(0))
+    return df
+
+
+def ordered_runs(df: DataFrame, key: str, weight: Column, per_part: int = 40, marks: DataFrame | None = None) -> DataFrame:
     """Deals df out by ranges of the non-null column ``key`` so that each partition also holds its neighbours.
 
     Adds ``_role`` and sorts each partition by (_role, key): -1 rows of the key just before the partition's range,
     0 its own rows, 1 rows of the key just after it (around the end: the first of all). There are as many ranges as
-    shuffle partitions, or one for each RANGE_WEIGHT if that is more. What comes to the driver is ``per_part`` sampled
-    keys and a few edge keys for each range, whatever the size of df; rows of one key share a range. With marks (k, host,
+    shuffle partitions, or one for each RANGE_WEIGHT if that is more; rows of one key share a range. With marks (k, host,
     state of each row), -1 and 1 also have the nearest rows of the edge's host whose state is not the edge's.
+
+    The plan does not grow with the ranges. Their first keys are one row of a subquery (a key a range, as Spark's own range
+    partitioning has); which keys go to a second range is a table that is joined. Two numbers come to the driver.
     """
     spark = df.sparkSession
     whole = df.agg(F.count("*").alias("n"), F.sum(weight).alias("w")).first()
     n = whole.n
     if n == 0:
-        return df.withColumn("_role", F.lit(0)), 1
+        return df.withColumn("_role", F.lit(0))
     parts = max(partitions(spark), int((whole.w or 0) // RANGE_WEIGHT))
-    want = parts * per_part
-    keys = df.select(F.col(key).alias("k"), weight.cast("double").alias("w"))
-    if n > want:
-        share = int(want / n * 2**62) + 1
-        keys = keys.filter(F.shiftrightunsigned(F.xxhash64("k", F.lit("cut")), 2) < share)
-    # equal keys share a hash, so the sample is taken of distinct keys; its size is bounded again here
-    keys = keys.groupBy("k").agg(F.sum("w").alias("w")).orderBy(F.xxhash64("k")).limit(4 * want)
-    cuts = weighted_cuts([(r.k, r.w + 1) for r in keys.collect()], parts)
-    bucket = range_of(F.col(key), cuts)
-    ends = df.select(F.col(key).alias("k"), bucket.alias("b")).groupBy("b").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
-    ends = sorted((r.b, r.lo, r.hi) for r in ends.collect())
-    places = [F.struct(bucket.cast("int").alias("b"), F.lit(0).alias("r"))]
-    lead, trail = {}, {}
-    for i, (b, lo, hi) in enumerate(ends):
-        trail[lo] = ends[i - 1][0]
-        if i + 1 < len(ends):
-            lead[hi] = ends[i + 1][0]
-    for near, role in ((lead, -1), (trail, 1)):
-        if near:
-            at = F.create_map(*[F.lit(x) for kv in near.items() for x in kv])
-            places.append(F.when(F.col(key).isin(list(near)), F.struct(F.try_element_at(at, F.col(key)).cast("int").alias("b"), F.lit(role).alias("r"))))
-    places = F.filter(F.array(*places), lambda x: x.isNotNull())
-    if far := _far(marks, range_of(F.col("k"), cuts)) if marks is not None and len(ends) > 1 else {}:
-        at = F.create_map(*[x for k, v in far.items() for x in (F.lit(k), F.array(*[F.struct(F.lit(b).alias("b"), F.lit(r).alias("r")) for b, r in sorted(v)]))])
-        places = F.when(F.col(key).isin(list(far)), F.array_union(places, F.try_element_at(at, F.col(key)))).otherwise(places)
-    dealt = df.withColumn("_at", F.explode(places))
+    cuts = materialize(first_keys(df, key, weight, parts, n, per_part), "runs-cuts").scalar()
+    # a range's first key is one of df's, so no range is empty and the next one's number is one more
+    ends = in_ranges(df.select(F.col(key).alias("k")), "k", cuts, parts, "b").groupBy("b").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
+    ends = materialize(ends, "runs-ends")
+    last = ends.agg(F.max("b")).scalar()
+    place = lambda b, role: F.struct(b.cast("int").alias("b"), F.lit(role).alias("r"))
+    extra = ends.select(F.col("lo").alias("_k"), place(F.when(F.col("b") == 0, last).otherwise(F.col("b") - 1), 1).alias("p"))
+    extra = extra.unionByName(ends.filter(F.col("b") < last).select(F.col("hi").alias("_k"), place(F.col("b") + 1, -1).alias("p")))
+    if marks is not None:
+        far = _far(in_ranges(marks, "k", cuts, parts, "b"))
+        extra = extra.unionByName(far.select(F.col("k").alias("_k"), F.struct(F.col("b").cast("int").alias("b"), F.col("r").alias("r")).alias("p")))
+    extra = materialize(extra.groupBy("_k").agg(F.collect_set("p").alias("_extra")), "runs-edges")
+    if 2 * parts <= EDGES_BROADCAST:
+        extra = F.broadcast(extra)
+    own = F.array(place(F.col("_own"), 0))
+    dealt = in_ranges(df, key, cuts, parts, "_own").join(extra, F.col(key) == F.col("_k"), "left")
+    dealt = dealt.withColumn("_at", F.explode(F.when(F.col("_extra").isNull(), own).otherwise(F.concat(own, "_extra")))).drop("_k", "_extra", "_own")
     dealt = dealt.withColumn("_bucket", F.col("_at.b")).withColumn("_role", F.col("_at.r")).drop("_at")
-    return dealt.repartitionById(parts, F.col("_bucket")).drop("_bucket"), len(ends)
+    return dealt.repartitionById(parts, F.col("_bucket")).drop("_bucket")
+
 
+def _far(marks: DataFrame) -> DataFrame:
+    """(k, b, r): in range b and role r, k is the nearest row of the edge's host with another state. marks: k, host, state, b.
 
-def _far(marks: DataFrame, bucket: Column) -> dict[str, set[tuple[int, int]]]:
-    """For each key, the ranges and roles in which it is the nearest of the edge's host with another state."""
-    m = marks.withColumn("b", bucket)
+    What a range finds beyond its edge is in the next one if that holds any, and else what that range found itself. So it is
+    carried along the ranges whose edge is of one host: a window over one row a range."""
     row = F.struct("k", "host", "state")
-    ends = m.groupBy("b").agg(F.min(row).alias("lo"), F.max(row).alias("hi"))
+    ends = marks.groupBy("b").agg(F.min(row).alias("lo"), F.max(row).alias("hi"))
     other = lambda end: (F.col("host") == F.col(f"{end}.host")) & (F.col("state") != F.col(f"{end}.state"))
-    ends = m.join(ends, "b").groupBy("b", "lo", "hi").agg(
-        F.min(F.when(other("lo"), F.col("k"))).alias("first"), F.max(F.when(other("hi"), F.col("k"))).alias("last"))
-    rows = sorted(ends.collect(), key=lambda r: r.b)
-    out: dict[str, set[tuple[int, int]]] = {}
-    for order, near, beyond, inside, role in ((rows, "lo", "hi", "last", -1), (rows[::-1], "hi", "lo", "first", 1)):
-        found = None  # of the range before in this order
-        for before, r in zip(order, order[1:]):
-            edge, end = r[near], before[beyond]
-            if end.host != edge.host:
-                found = None
-            elif end.state != edge.state:
-                found = end.k
-            elif before[inside] is not None:
-                found = before[inside]
-            elif before[near].host != edge.host:
-                found = None  # the host begins in that range, all in one state
-            if found is not None:
-                out.setdefault(found, set()).add((r.b, role))
+    ends = materialize(marks.join(ends, "b").groupBy("b", "lo", "hi").agg(
+        F.min(F.when(other("lo"), F.col("k"))).alias("first"), F.max(F.when(other("hi"), F.col("k"))).alias("last")), "runs-states")
+    out = None
+    for side, near, beyond, inside, role in ((-1, "lo", "hi", "last", -1), (1, "hi", "lo", "first", 1)):
+        before = ends.select((F.col("b") - side).alias("b"), F.col(beyond).alias("end"), F.col(inside).alias("inside"), F.col(f"{near}.host").alias("begins"))
+        edge = F.col(near)
+        found = (
+            F.when(F.col("end").isNull() | (F.col("end.host") != edge["host"]), F.struct(F.lit(None).cast("string").alias("k")))
+            .when(F.col("end.state") != edge["state"], F.struct(F.col("end.k").alias("k")))
+            .when(F.col("inside").isNotNull(), F.struct(F.col("inside").alias("k")))
+            .when(F.col("begins") != edge["host"], F.struct(F.lit(None).cast("string").alias("k"))))
+        along = Window.partitionBy("host").orderBy(F.col("b") * -side).rowsBetween(Window.unboundedPreceding, 0)
+        one = ends.join(before, "b", "left").select("b", edge["host"].alias("host"), found.alias("found"))
+        one = one.select("b", F.last("found", ignorenulls=True).over(along)["k"].alias("k"), F.lit(role).alias("r")).filter("k is not null")
+        out = one if out is None else out.unionByName(one)
     return out
 
 

@@ -132,7 +132,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     kind = docs.schema[id_col].dataType.simpleString()
     whole = kind in ("tinyint", "smallint", "int", "bigint")
     own = own.withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))) if whole else F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    dealt, _ = ordered_runs(own, "key", F.octet_length("text"))
+    dealt = ordered_runs(own, "key", F.octet_length("text"))
     dealt = dealt.filter("_role >= 0").sortWithinPartitions("_role", "key", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

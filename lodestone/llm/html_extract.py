@@ -229,7 +229,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
             yield pd.DataFrame({"k": batch["key"], "host": batch["host"], "state": state})
 
     marks = materialize(map_pandas(own.select("key", "host", "html"), stated, "k string, host string, state string"), "html-marks")
-    dealt, _ = ordered_runs(own, "key", F.octet_length("html"), marks=marks)
+    dealt = ordered_runs(own, "key", F.octet_length("html"), marks=marks)
     discard(marks)
     dealt = dealt.sortWithinPartitions("_role", "key", "html")
     kind = pages.schema[id_col].dataType.simpleString()
