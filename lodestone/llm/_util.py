@@ -172,18 +172,17 @@ def ordered_runs(df: DataFrame, key: str, weight: Column, per_part: int = 40, ma
     cuts = materialize(first_keys(df, key, weight, parts, n, per_part), "runs-cuts").scalar()
     # a range's first key is one of df's, so no range is empty and the next one's number is one more
     ends = in_ranges(df.select(F.col(key).alias("k")), "k", cuts, parts, "b").groupBy("b").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
-    ends = materialize(ends, "runs-ends")
-    last = ends.agg(F.max("b")).scalar()
-    place = lambda b, role: F.struct(b.cast("int").alias("b"), F.lit(role).alias("r"))
-    extra = ends.select(F.col("lo").alias("_k"), place(F.when(F.col("b") == 0, last).otherwise(F.col("b") - 1), 1).alias("p"))
-    extra = extra.unionByName(ends.filter(F.col("b") < last).select(F.col("hi").alias("_k"), place(F.col("b") + 1, -1).alias("p")))
+    last = F.size(cuts) - 1
+    to = lambda k, b, role: F.struct(k.alias("_k"), F.struct(b.cast("int").alias("b"), F.lit(role).alias("r")).alias("p"))
+    before, after = to(F.col("lo"), F.when(F.col("b") == 0, F.col("last")).otherwise(F.col("b") - 1), 1), to(F.col("hi"), F.col("b") + 1, -1)
+    extra = ends.withColumn("last", last).select(F.explode(F.when(F.col("b") < F.col("last"), F.array(before, after)).otherwise(F.array(before))).alias("e")).select("e.*")
     if marks is not None:
         far = _far(in_ranges(marks, "k", cuts, parts, "b"))
         extra = extra.unionByName(far.select(F.col("k").alias("_k"), F.struct(F.col("b").cast("int").alias("b"), F.col("r").alias("r")).alias("p")))
     extra = materialize(extra.groupBy("_k").agg(F.collect_set("p").alias("_extra")), "runs-edges")
     if 2 * parts <= EDGES_BROADCAST:
         extra = F.broadcast(extra)
-    own = F.array(place(F.col("_own"), 0))
+    own = F.array(F.struct(F.col("_own").cast("int").alias("b"), F.lit(0).alias("r")))
     dealt = in_ranges(df, key, cuts, parts, "_own").join(extra, F.col(key) == F.col("_k"), "left")
     dealt = dealt.withColumn("_at", F.explode(F.when(F.col("_extra").isNull(), own).otherwise(F.concat(own, "_extra")))).drop("_k", "_extra", "_own")
     dealt = dealt.withColumn("_bucket", F.col("_at.b")).withColumn("_role", F.col("_at.r")).drop("_at")
