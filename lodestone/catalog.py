@@ -17,7 +17,7 @@ from lodestone.functions import text as T
 from lodestone.functions import vectors as V
 from lodestone.operators import bm25, checks, corpus, diffs, embedding, evaluation, overlap, ranking, rows, sets, vector_signal
 from lodestone.plans import samples
-from lodestone.plans.cluster import shared_path, spread
+from lodestone.plans.cluster import shared_path, spread, written
 from lodestone.sources import bm25_index, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -838,6 +838,43 @@ def reasons(spark, sf_dir):
     return ranking.reasons(r).select("query_pr", "pr_id", "reason")
 
 
+# Tuning: candidates that five weightings put among the best six are judged; one in the query document's language and source
+# is a 2, in one of them a 1. Queries are split in halves by a hash of their id.
+
+RUN_RANKS = ", ".join(
+    f"row_number() OVER (PARTITION BY query_pr ORDER BY round(vector_norm * {v}::DOUBLE + file_norm * {f}::DOUBLE + bm25_norm * {b}::DOUBLE, 6) DESC, pr_id) AS r{i}"
+    for i, (v, f, b) in enumerate(C.POOL_RUNS))
+POOLED = RANKED + f""",
+pooled AS (SELECT query_pr, pr_id FROM (SELECT query_pr, pr_id, {RUN_RANKS} FROM nrm) WHERE least({", ".join(f"r{i}" for i in range(len(C.POOL_RUNS)))}) <= 6)"""
+
+
+@query(f"WITH {POOLED} SELECT query_pr, pr_id FROM pooled")
+def pool_five_runs(spark, sf_dir):
+    n, *_ = normalised(spark, sf_dir)
+    return evaluation.pool_runs(n)
+
+
+@query(f"""WITH {POOLED}, judged AS (SELECT query_pr, pr_id, (q.lang = d.lang)::INT + (q.source = d.source)::INT AS grade FROM pooled JOIN documents q ON q.doc_id = query_pr JOIN documents d ON d.doc_id = pr_id),
+rel AS (SELECT DISTINCT query_pr, pr_id, 1 AS hit FROM judged WHERE grade >= 2),
+w AS (SELECT a.range AS i, b.range AS j, 10 - a.range - b.range AS k FROM range(11) a, range(11) b WHERE a.range + b.range <= 10),
+tops AS (SELECT i, j, query_pr, count(hit) AS found FROM (
+    SELECT i, j, query_pr, hit, row_number() OVER (PARTITION BY i, j, query_pr ORDER BY round(vector_norm * (i::DOUBLE / 10) + file_norm * (j::DOUBLE / 10) + bm25_norm * (k::DOUBLE / 10), 6) DESC, pr_id) AS r
+    FROM nrm LEFT JOIN rel USING (query_pr, pr_id), w) WHERE r <= 3 GROUP BY 1, 2, 3),
+each AS (SELECT i, j, found / relevant AS recall, substr(md5(query_pr::VARCHAR), 1, 1) < '8' AS tuned FROM tops JOIN (SELECT query_pr, count(*)::DOUBLE AS relevant FROM rel GROUP BY 1) USING (query_pr)),
+means AS (SELECT i, j, k, count(recall) FILTER (WHERE tuned) AS tune_queries, count(recall) FILTER (WHERE NOT tuned) AS holdout_queries, round(avg(recall) FILTER (WHERE tuned), 6) AS tune_recall, round(avg(recall) FILTER (WHERE NOT tuned), 6) AS holdout_recall
+          FROM w LEFT JOIN each USING (i, j) GROUP BY 1, 2, 3)
+SELECT i::DOUBLE / 10 AS w_vector, j::DOUBLE / 10 AS w_file, k::DOUBLE / 10 AS w_bm25, tune_queries, holdout_queries, tune_recall, holdout_recall,
+       row_number() OVER (ORDER BY tune_recall DESC NULLS LAST, i DESC, j DESC) = 1 AND tune_recall IS NOT NULL AS chosen FROM means""")
+def weight_search(spark, sf_dir):
+    n, *_ = normalised(spark, sf_dir)
+    n = written(n, "normalised")  # read for the pool and for the weightings
+    d = table(spark, sf_dir, "documents")
+    q = d.select(F.col("doc_id").alias("query_pr"), F.col("lang").alias("q_lang"), F.col("source").alias("q_source"))
+    j = evaluation.pool_runs(n).join(q, "query_pr").join(d.select(F.col("doc_id").alias("pr_id"), "lang", "source"), "pr_id")
+    j = j.withColumn("grade", (F.col("lang") == F.col("q_lang")).cast("int") + (F.col("source") == F.col("q_source")).cast("int"))
+    return evaluation.weight_search(n, j, F.substring(F.md5(F.col("query_pr").cast("string")), 1, 1) < "8")
+
+
 # Evaluation: queries are benchmark items, relevant documents hold the item's text ---------------------------------------------
 
 JUDGED = """

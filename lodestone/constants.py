@@ -9,6 +9,8 @@ BM25_TOP_K = 50
 OVERLAP_CAP = 100
 RESULTS_RETURNED = 3
 WEIGHT_VECTOR, WEIGHT_FILE, WEIGHT_BM25 = 0.5, 0.3, 0.2
+#: The runs whose best are judged: each signal alone, and two weightings of all.
+POOL_RUNS = ((1.0, 0.0, 0.0), (0.0, 0.0, 1.0), (0.0, 1.0, 0.0), (0.5, 0.3, 0.2), (0.3, 0.3, 0.4))
 REASON_HIGH_VECTOR = 0.7
 REASON_HIGH_BM25 = 0.7
 
