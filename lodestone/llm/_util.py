@@ -161,7 +161,8 @@ def ordered_runs(df: DataFrame, key: str, weight: Column, per_part: int = 40, ma
     state of each row), -1 and 1 also have the nearest rows of the edge's host whose state is not the edge's.
 
     The plan does not grow with the ranges. Their first keys are one row of a subquery (a key a range, as Spark's own range
-    partitioning has); which keys go to a second range is a table that is joined. Two numbers come to the driver.
+    partitioning has); which keys go to a second range is a table that is joined. Through the driver go that row and, while the
+    table is broadcast (EDGES_BROADCAST), its two rows a range, four with marks; the sampled keys do not.
     """
     spark = df.sparkSession
     whole = df.agg(F.count("*").alias("n"), F.sum(weight).alias("w")).first()
