@@ -91,9 +91,8 @@ def next_anchors(points: DataFrame, days: int) -> DataFrame:
 def anchors_by_doubling(rows: DataFrame, days: int) -> DataFrame:
     """(number, anchor) of rows (key, t, number), by pointers that double: the anchors of a key are its first row, that row's
     next, and so on; a round finds as many again as are known and makes every pointer twice as long, so rounds are the
-    logarithm of the longest chain. Only the first row of a moment can be an anchor. A row's anchor is the only one that is
-    not after it and not more than ``days`` before."""
-    span = days * 86_400_000_000
+    logarithm of the longest chain. Only the first row of a moment can be an anchor. A row's anchor is the last one that is
+    not after it: the next would have begun by then if it were more than ``days`` before."""
     rows = written(rows.select("key", F.unix_micros("t").alias("u"), "number"), "anchors-rows")
     points = written(rows.groupBy("key", "u").agg(F.min("number").alias("n")), "anchors-points")
     jump = written(next_anchors(points, days).filter("next is not null"), "anchors-jump")
@@ -105,9 +104,28 @@ def anchors_by_doubling(rows: DataFrame, days: int) -> DataFrame:
             break
         anchors = anchors.unionByName(fresh)
         jump = written(jump.join(jump.select(F.col("n").alias("next"), F.col("next").alias("after")), "next").select("n", F.col("after").alias("next")), "anchors-jump")
-    own = points.join(anchors, "n").select("key", F.col("u").alias("begin"), F.col("n").alias("anchor"))
-    own = own.withColumn("piece", F.explode(F.sequence(piece_of(F.col("begin"), days), piece_of(F.col("begin"), days) + PIECES)))
-    return rows.withColumn("piece", piece_of(F.col("u"), days)).join(own, ["key", "piece"]).filter((F.col("begin") <= F.col("u")) & (F.col("u") <= F.col("begin") + span)).select("number", "anchor")
+    own = points.join(anchors, "n").select("key", "u", F.col("n").alias("anchor"))
+    return latest_anchors(rows, own, days)
+
+
+def latest_anchors(rows: DataFrame, anchors: DataFrame, days: int) -> DataFrame:
+    """(number, anchor): for each row (key, u, number) the last of its key's anchors (key, u, anchor) that is not after it.
+
+    As in next_anchors, the anchor is in the row's own piece of time, or else the last one of an earlier piece. Rows and
+    anchors go to one place each, so what is shuffled is as large as they are, however many pieces a window has.
+    """
+    mark = F.struct("u", "anchor")
+    a = anchors.withColumn("piece", piece_of(F.col("u"), days))
+    r = rows.withColumn("piece", piece_of(F.col("u"), days))
+    row = r.select("key", "piece", "u", F.lit(1).alias("asks"), "number", F.lit(None).cast("struct<u:bigint,anchor:bigint>").alias("mark"))
+    begun = a.select("key", "piece", "u", F.lit(0).alias("asks"), F.lit(None).cast("long").alias("number"), mark.alias("mark"))
+    earlier = Window.partitionBy("key", "piece").orderBy("u", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    near = row.unionByName(begun).withColumn("mark", F.max("mark").over(earlier)).filter("asks = 1").select("key", "piece", "number", F.col("mark")["anchor"].alias("near"))
+    pieces = r.select("key", "piece").distinct().withColumn("mark", F.lit(None).cast("struct<u:bigint,anchor:bigint>"))
+    pieces = pieces.unionByName(a.select("key", "piece", mark.alias("mark"))).groupBy("key", "piece").agg(F.max("mark").alias("mark"))
+    before = Window.partitionBy("key").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    far = pieces.withColumn("far", F.max("mark").over(before)).select("key", "piece", F.col("far")["anchor"].alias("far"))
+    return near.join(far, ["key", "piece"]).select("number", F.coalesce("near", "far").alias("anchor"))
 
 
 def resolve(grouped: DataFrame) -> DataFrame:

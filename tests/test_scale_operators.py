@@ -56,6 +56,15 @@ def test_a_limit_is_inclusive_to_the_microsecond(spark):
         assert {r.number: r.anchor for r in corpus.group_duplicates(df, fold_rows=fold_rows).collect()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4}
 
 
+def test_anchors_are_not_repeated_for_each_piece_of_time(spark):
+    t0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    df = spark.createDataFrame([(k, f"author {k % 50}", t0 + timedelta(days=k % 90)) for k in range(500)], "number long, key string, t timestamp")
+    out = corpus.anchors_by_doubling(df, 7)
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    want = plain_groups([(r.number, r.key, "", r.t) for r in df.collect()])
+    assert {r.number: r.anchor for r in out.collect()} == want
+
+
 def plain_relations(a, b):
     canon = lambda g: {n: frozenset(x for x in m if x is not None) for n, m in g.items() if any(x is not None for x in m)}
     a, b, out = canon(a), canon(b), {}
