@@ -278,6 +278,29 @@ def test_vector_blocks_cut_and_best_chunk_equal_plain_loops(spark, monkeypatch):
         assert {(r.query_chunk, r.pr_id) for r in best.collect()} == cut
 
 
+def test_best_changes_and_pair_scores_equal_all_pairs(spark, monkeypatch):
+    """Small blocks, slices and buffers; a task sends on k changes of a query at most."""
+    import random
+
+    for name, size in (("QUERY_BLOCK", 7), ("CELLS", 30), ("KEPT_ROWS", 1)):
+        monkeypatch.setattr(vector_signal, name, size)
+    rng = random.Random(5)
+    data = [(k // 3, k % 2, k, k // 3, [float(rng.choice((1, 2, 3))) for _ in range(3)]) for k in range(150)]
+    df = spark.createDataFrame(data, "pr_id long, repo_id int, chunk long, day int, embedding array<double>").withColumn("created_at", ts(spark, F.col("day"))).withColumn("in_corpus", F.lit(True)).repartition(5)
+    q = df.filter("pr_id % 10 = 9").select(F.col("pr_id").alias("query_pr"), F.col("chunk").alias("query_chunk"), "repo_id", "created_at", "embedding")
+    whole = {(r.query_pr, r.pr_id): (r.score, r.best_chunk) for r in vector_signal.aggregate(vector_signal.chunk_scores(q, df, dim=3)).collect()}
+    for k in (1, 4):
+        order = sorted(whole, key=lambda x: (x[0], -whole[x][0], x[1]))
+        want = {x for n, x in enumerate(order) if sum(y[0] == x[0] for y in order[:n]) < k}
+        assert {(r.query_pr, r.pr_id) for r in vector_signal.best_changes(q, df, k, dim=3).collect()} == want
+        left, right = vector_signal._sides(q, df)
+        sent = vector_signal._best_of(next(vector_signal._blocks(left)), right.coalesce(1), 3, 6, k, "query_pr")
+        assert all(r["count"] <= k for r in sent.groupBy("query_pr").count().collect())
+    some = spark.createDataFrame([*[x for x in whole if sum(x) % 2], (9, 9), (9, 30), (-5, 2)], "query_pr long, pr_id long")
+    got = {(r.query_pr, r.pr_id): (r.score, r.best_chunk) for r in vector_signal.pair_scores(some, q, df, dim=3).collect()}
+    assert got == {x: y for x, y in whole.items() if sum(x) % 2}
+
+
 def test_bm25_top_terms(spark):
     docs = spark.createDataFrame([(k, "common pad " + ("alpha beta" if k < 2 else "gamma") * (k + 1)) for k in range(9)], "pr_id long, text string")
     q = spark.createDataFrame([(100, "alpha beta common gamma")], "query_pr long, text string")
