@@ -10,7 +10,8 @@ from lodestone.functions import text as T
 
 
 def _counted(body: Column, sign: str) -> Column:
-    return F.size(F.filter(F.split(body, T.LINE_END), lambda x: F.startswith(x, F.lit(sign))))
+    """Lines that begin with sign. The last character of any line end stands before it, so lines are not taken apart."""
+    return F.regexp_count(body, F.lit(r"(?:\A|[\n\r\x0B\x0C\x1C-\x1E\u0085\u2028\u2029])\Q" + sign + r"\E")).cast("int")
 
 
 def parse_hunks(diffs: DataFrame, id_col: str = "number", diff_col: str = "diff") -> DataFrame:
@@ -19,12 +20,12 @@ def parse_hunks(diffs: DataFrame, id_col: str = "number", diff_col: str = "diff"
     Text before the first file is dropped. Files without a new path (deleted, binary, renamed only) and excluded files have
     no hunks. hunk_index starts at 0 in each file block. Null and empty diffs have none.
     """
-    blocks = F.expr(f"posexplode(slice(split(`{diff_col}`, '(?dm)^diff --git '), 2, 1000000000))")
-    b = diffs.select(F.col(id_col), blocks).withColumnsRenamed({"pos": "block_no", "col": "block"})
-    pieces = F.split("block", C.HUNK_HEADER)
-    b = b.withColumn("pieces", pieces).filter(F.size("pieces") > 1)
-    path = T.strip(F.regexp_extract(F.col("pieces")[0], C.NEW_PATH, 1))
-    b = b.withColumn("file_path", path).filter((F.col("file_path") != "") & (F.col("file_path") != "/dev/null"))
+    # pieces and path are made before the rows are: conditions on them are then not split and matched anew for each use
+    blocks = F.transform(F.slice(F.split(diff_col, r"(?dm)^diff --git "), 2, 1_000_000_000), lambda x: F.split(x, C.HUNK_HEADER))
+    told = F.transform(blocks, lambda x: F.struct(x.alias("pieces"), T.strip(F.regexp_extract(x[0], C.NEW_PATH, 1)).alias("path")))
+    b = diffs.select(F.col(id_col), F.posexplode(told).alias("block_no", "block"))
+    b = b.select(id_col, "block_no", F.col("block.pieces").alias("pieces"), F.col("block.path").alias("file_path"))
+    b = b.filter((F.size("pieces") > 1) & (F.col("file_path") != "") & (F.col("file_path") != "/dev/null"))
     b = b.filter(~T.is_excluded(F.col("file_path")))
     h = b.select(id_col, "block_no", "file_path", F.posexplode(F.slice("pieces", 2, F.size("pieces"))).alias("hunk_index", "piece"))
     context = F.substring_index("piece", "\n", 1)

@@ -301,6 +301,15 @@ def test_best_changes_and_pair_scores_equal_all_pairs(spark, monkeypatch):
     assert got == {x: y for x, y in whole.items() if sum(x) % 2}
 
 
+def test_lines_are_counted_by_any_line_end(spark):
+    bodies = ["", "+", "+a\n+b\n-c", " x\r\n+y\r\n++z", "\n\n+\n\n-", "a+b\n c+\n", "+a\x0b+b\x0c-c\x1c+d\x1e+e\x85+f\u2028-g\u2029+h\t+i", "\r+\r\n+\n\r+", "+\n+\n+\n"]
+    df = spark.createDataFrame([(b,) for b in bodies], "b string")
+    for sign in "+-":
+        split = F.size(F.filter(F.split("b", T.LINE_END), lambda x: F.startswith(x, F.lit(sign))))  # noqa: B023
+        assert all(r[0] == r[1] for r in df.select(diffs._counted(F.col("b"), sign), split).collect())
+    assert "split" not in df.select(diffs._counted(F.col("b"), "+"))._jdf.queryExecution().toString()
+
+
 def test_bm25_top_terms(spark):
     docs = spark.createDataFrame([(k, "common pad " + ("alpha beta" if k < 2 else "gamma") * (k + 1)) for k in range(9)], "pr_id long, text string")
     q = spark.createDataFrame([(100, "alpha beta common gamma")], "query_pr long, text string")
