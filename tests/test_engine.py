@@ -301,6 +301,64 @@ def test_best_changes_and_pair_scores_equal_all_pairs(spark, monkeypatch):
     assert got == {x: y for x, y in whole.items() if sum(x) % 2}
 
 
+@pytest.mark.parametrize("cells", [5, 60, 2_000_000])
+def test_top_pairs_equal_plain_loops(spark, monkeypatch, cells):
+    """Changes that go on over slices and batches, chunks of one change at several times, ties, vectors without a length or an entry."""
+    import math
+    import random
+
+    monkeypatch.setattr(vector_signal, "QUERY_BLOCK", 9)
+    monkeypatch.setattr(vector_signal, "CELLS", cells)
+    rng = random.Random(cells)
+    vec = lambda k: [0.0] * 3 if k == 70 else [1.0, None, 1.0] if k % 41 == 7 else None if k % 37 == 5 else [float(rng.choice((-1, 1, 2))) for _ in range(3)]
+    data = [(12 if 40 < k < 75 else k // 3, k % 11 // 10, 500 - k if k % 2 else k, k // 3 + k % 4, vec(k)) for k in range(150)]
+    df = spark.createDataFrame(data, "pr_id long, repo_id int, chunk long, day int, embedding array<double>").withColumn("created_at", ts(spark, F.col("day"))).withColumn("in_corpus", F.lit(True)).repartition(5)
+    q = df.filter("pr_id % 10 = 9 or pr_id = 12 or pr_id = 23").select(F.col("pr_id").alias("query_pr"), F.col("chunk").alias("query_chunk"), "repo_id", "created_at", "embedding")
+
+    def cosine(v, w):
+        size = math.sqrt(sum(x * x for x in v)) * math.sqrt(sum(x * x for x in w))
+        return round(sum(x * y for x, y in zip(v, w)) / size, 6) if size else math.inf
+
+    usable, pairs = [r for r in data if r[4] and None not in r[4]], {}
+    for pr, repo, a, day, v in usable:
+        if pr % 10 == 9 or pr in (12, 23):
+            for other, r, b, d, w in usable:
+                if r == repo and d < day and other != pr:
+                    pairs.setdefault((pr, other), []).append((-cosine(v, w), a, b))
+    named = lambda x: None if math.isinf(x) or math.isnan(x) else round(x, 6)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+    try:
+        for k in (1, 3):
+            want = {}
+            for key, p in pairs.items():
+                top = sorted(p)[:k]
+                want[key] = (named(-top[0][0]), named(round(-sum(x[0] for x in top) / len(top) + 1e-9, 6)), *top[0][1:])
+            rows = vector_signal.top_pairs(q, df, dim=3, k=k).collect()
+            assert len(rows) == len(want) and {(r.query_pr, r.pr_id): (named(r.best), named(r.mean), r.query_chunk, r.best_chunk) for r in rows} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert any(x[0] is None for x in want.values()) and vector_signal.top_pairs(q.filter("false"), df, dim=3).count() == 0
+    with pytest.raises(Exception, match="dimension"):
+        vector_signal.top_pairs(q, df, dim=2).collect()
+
+
+def test_pairs_are_neither_joined_nor_shuffled_and_equal_sql(spark, tmp_path):
+    import duckdb
+
+    from lodestone import catalog
+
+    data = [(k, [float((k * 7 + d * d) % 5 - 2) for d in range(64)] if k != 260 else [0.0] * 64) for k in range(1003)] + [(None, [1.0] * 64), (1010, None)]
+    spark.createDataFrame(data, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = catalog.pair_similarity_argmax(spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    key = lambda r: tuple(map(str, r))
+    got, want = sorted(map(key, out.collect())), sorted(map(key, db.execute(catalog.SQL["pair_similarity_argmax"]).fetchall()))
+    assert len(want) == 50 + 100 + 150 + 200 and sum("nan" in r for r in want) > 0 and got == want
+
+
 def test_lines_are_counted_by_any_line_end(spark):
     bodies = ["", "+", "+a\n+b\n-c", " x\r\n+y\r\n++z", "\n\n+\n\n-", "a+b\n c+\n", "+a\x0b+b\x0c-c\x1c+d\x1e+e\x85+f\u2028-g\u2029+h\t+i", "\r+\r\n+\n\r+", "+\n+\n+\n"]
     df = spark.createDataFrame([(b,) for b in bodies], "b string")
