@@ -1,12 +1,14 @@
 """A store of results that a batch enters whole or not at all.
 
-Tasks write files under ``parts``, each attempt one of its own; the commit names those of the attempts that counted in a
-manifest, one a batch, which appears by a rename. Readers see the files that manifests name. A failed batch leaves no rows,
-its files are deleted, and a rerun takes only the queries that have no results yet.
+Tasks write files under ``open/<batch>``, each attempt one of its own; the commit moves those of the attempts that counted to
+``parts`` and names them in a manifest, one a batch, which appears by a rename. Readers see the files that manifests name. A
+failed batch leaves no rows, its files are deleted, and a rerun takes only the queries that have no results yet. Spark does not
+wait for the other tasks of a failed batch: what one writes after the others' files are gone stays in ``open``.
 """
 
 from __future__ import annotations
 
+import contextlib
 import json
 import uuid
 from collections.abc import Iterator
@@ -59,8 +61,8 @@ class ResultWriter(DataSourceArrowWriter):
                 if not batch.num_rows:
                     continue
                 if out is None:
-                    system.create_dir(f"{at}/parts", recursive=True)
-                    out = pq.ParquetWriter(f"{at}/parts/{name}", batch.schema, filesystem=system)
+                    system.create_dir(f"{at}/open/{self.batch}", recursive=True)
+                    out = pq.ParquetWriter(f"{at}/open/{self.batch}/{name}", batch.schema, filesystem=system)
                 out.write_batch(batch)
                 rows += batch.num_rows
         finally:
@@ -72,16 +74,28 @@ class ResultWriter(DataSourceArrowWriter):
         system, at = opened(self.path)
         system.create_dir(f"{at}/manifests", recursive=True)
         told = {"files": sorted(m.name for m in messages if m and m.name), "rows": sum(m.rows for m in messages if m)}
+        system.create_dir(f"{at}/parts", recursive=True)
+        for name in told["files"]:
+            system.move(f"{at}/open/{self.batch}/{name}", f"{at}/parts/{name}")
         with system.open_output_stream(f"{at}/manifests/.{self.batch}") as f:
             f.write(json.dumps(told).encode())
         system.move(f"{at}/manifests/.{self.batch}", f"{at}/manifests/{self.batch}.json")
+        self._clear()
 
     def abort(self, messages: list[Part | None]) -> None:
         system, at = opened(self.path)
+        self._clear()
+        if system.get_file_info(f"{at}/manifests/{self.batch}.json").type == fs.FileType.File:
+            return  # it is in
         for f in system.get_file_info(fs.FileSelector(f"{at}/parts", allow_not_found=True)):
-            if f.base_name.startswith(self.batch):
+            if f.base_name.startswith(self.batch):  # of a commit that broke off
                 system.delete_file(f.path)
 
+    def _clear(self) -> None:
+        system, at = opened(self.path)
+        with contextlib.suppress(OSError):  # there is none, or a task still writes there
+            system.delete_dir(f"{at}/open/{self.batch}")
+
 
 def append(df: DataFrame, path: str) -> None:
     """Adds df as one batch. Where a task fails for good, nothing is added."""

@@ -34,6 +34,36 @@ def test_batches_failures_and_reruns(spark, tmp_path):
     assert [m["rows"] for m in results.manifests(path)].count(60) == 1 and results.remaining(made(spark, 0, 110), path).count() == 0
 
 
+def test_a_task_that_outlives_its_failed_batch_adds_nothing(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    path = f"file://{tmp_path}/store"
+    task = type("Task", (), {"partitionId": lambda self: 0, "taskAttemptId": lambda self: 1})()
+    monkeypatch.setattr(results.TaskContext, "get", lambda: task)
+    writer, rows = results.ResultWriter(path), pa.record_batch({"query_pr": [1], "score": [0.5]})
+
+    def late():
+        writer.abort([None])
+        yield rows
+
+    writer.write(late())
+    assert not (tmp_path / "store/parts").exists() and results.stored(spark, path, SCHEMA).count() == 0
+    writer = results.ResultWriter(path)
+    lost = writer.write(iter([rows]))
+    task.taskAttemptId = lambda: 2
+    counted = writer.write(iter([rows]))
+    writer.commit([counted])
+    assert lost.name != counted.name and os.listdir(tmp_path / "store/parts") == [counted.name] and not (tmp_path / "store/open" / writer.batch).exists()
+    writer.abort([counted])  # too late: the batch is in
+    assert results.stored(spark, path, SCHEMA).count() == 1
+    # a commit that breaks off before its manifest
+    writer = results.ResultWriter(path)
+    with pytest.raises(OSError):
+        writer.commit([writer.write(iter([rows])), results.Part(f"{writer.batch}-none.parquet", 1)])
+    writer.abort([None])
+    assert os.listdir(tmp_path / "store/parts") == [counted.name] and results.stored(spark, path, SCHEMA).count() == 1
+
+
 def test_empty_batches_and_modes(spark, tmp_path):
     path = f"file://{tmp_path}/store"
     results.append(made(spark, 0, 0), path)
