@@ -10,12 +10,14 @@ from lodestone.functions import text as T
 
 
 def _counted(body: Column, sign: str) -> Column:
-    """Lines that begin with sign. The last character of any line end stands before it, so lines are not taken apart."""
-    return F.regexp_count(body, F.lit(r"(?:\A|[\n\r\x0B\x0C\x1C-\x1E\u0085\u2028\u2029])\Q" + sign + r"\E")).cast("int")
+    """Lines that begin with sign: the last character of any line end stands before it, or nothing. Only signs are looked at, so
+    lines are not taken apart."""
+    return F.regexp_count(body, F.lit(rf"\{sign}(?<![^\n\r\x0B\x0C\x1C-\x1E\u0085\u2028\u2029]\{sign})")).cast("int")
 
 
-def parse_hunks(diffs: DataFrame, id_col: str = "number", diff_col: str = "diff") -> DataFrame:
-    """(id, file_path, hunk_index, content, additions, deletions): a row per hunk of a source file.
+def parse_hunks(diffs: DataFrame, id_col: str = "number", diff_col: str = "diff", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, file_path, hunk_index, content, additions, deletions): a row per hunk of a source file. keep: columns of the diff's
+    row that go with each of its hunks.
 
     Text before the first file is dropped. Files without a new path (deleted, binary, renamed only) and excluded files have
     no hunks. hunk_index starts at 0 in each file block. Null and empty diffs have none.
@@ -23,17 +25,17 @@ def parse_hunks(diffs: DataFrame, id_col: str = "number", diff_col: str = "diff"
     # pieces and path are made before the rows are: conditions on them are then not split and matched anew for each use
     blocks = F.transform(F.slice(F.split(diff_col, r"(?dm)^diff --git "), 2, 1_000_000_000), lambda x: F.split(x, C.HUNK_HEADER))
     told = F.transform(blocks, lambda x: F.struct(x.alias("pieces"), T.strip(F.regexp_extract(x[0], C.NEW_PATH, 1)).alias("path")))
-    b = diffs.select(F.col(id_col), F.posexplode(told).alias("block_no", "block"))
-    b = b.select(id_col, "block_no", F.col("block.pieces").alias("pieces"), F.col("block.path").alias("file_path"))
+    b = diffs.select(id_col, *keep, F.posexplode(told).alias("block_no", "block"))
+    b = b.select(id_col, *keep, "block_no", F.col("block.pieces").alias("pieces"), F.col("block.path").alias("file_path"))
     b = b.filter((F.size("pieces") > 1) & (F.col("file_path") != "") & (F.col("file_path") != "/dev/null"))
     b = b.filter(~T.is_excluded(F.col("file_path")))
-    h = b.select(id_col, "block_no", "file_path", F.posexplode(F.slice("pieces", 2, F.size("pieces"))).alias("hunk_index", "piece"))
-    context = F.substring_index("piece", "\n", 1)
-    body = F.substr("piece", F.length(context) + 1)
-    shown = T.strip(context)
-    trimmed = F.btrim(body, F.lit("\n"))
-    content = F.when(shown == "", trimmed).otherwise(F.concat(shown, F.lit("\n"), trimmed))
-    return h.select(id_col, "block_no", "file_path", "hunk_index", content.alias("content"), _counted(body, "+").alias("additions"), _counted(body, "-").alias("deletions"))
+    h = b.select(id_col, *keep, "block_no", "file_path", F.posexplode(F.slice("pieces", 2, F.size("pieces"))).alias("hunk_index", "piece"))
+    # each is a column of its own, made once: what is used twice is not put in place of its name
+    h = h.withColumn("context", F.substring_index("piece", "\n", 1))
+    h = h.withColumn("body", F.substr("piece", F.length("context") + 1)).withColumn("shown", T.strip(F.col("context")))
+    trimmed = F.btrim("body", F.lit("\n"))
+    content = F.concat(F.when(F.col("shown") == "", "").otherwise(F.concat("shown", F.lit("\n"))), trimmed)
+    return h.select(id_col, "block_no", "file_path", "hunk_index", content.alias("content"), _counted(F.col("body"), "+").alias("additions"), _counted(F.col("body"), "-").alias("deletions"), *keep)
 
 
 def files_changed(hunks: DataFrame, id_col: str = "number") -> DataFrame:

@@ -87,12 +87,17 @@ def chunk_rows(hunks: DataFrame, limit: int = C.MAX_MODEL_TOKENS) -> DataFrame:
     return hunks.withColumn("was_truncated", F.col("token_count") > limit)
 
 
-def build_chunks(hunks: DataFrame, changes: DataFrame) -> DataFrame:
+CHANGE_OF_CHUNK = ("pr_id", "repo_id", "created_at")
+
+
+def build_chunks(hunks: DataFrame, changes: DataFrame | None = None) -> DataFrame:
     """Rows of the chunk table: hunks (number, file_path, hunk_index, content, additions, deletions) embedded and counted, with
-    the id, repo and time of their change (changes: number, pr_id, repo_id, created_at). A hunk of no change is an error."""
+    the id, repo and time of their change: of changes (number, pr_id, repo_id, created_at), or columns of hunks if none are
+    given. A hunk of no change is an error. Changes are joined before there are vectors, which are never shuffled."""
     from lodestone.operators import embedding
 
+    if changes is not None:
+        hunks = hunks.join(changes.select("number", *CHANGE_OF_CHUNK, F.lit(True).alias("known")), "number", "left")
+        hunks = hunks.withColumn("pr_id", F.when(F.col("known"), F.col("pr_id")).otherwise(F.raise_error(F.concat(F.lit("hunk of unknown change "), F.col("number").cast("string")))))
     e = chunk_rows(embedding.embed(hunks, "content"))
-    j = e.join(changes.select("number", "pr_id", "repo_id", "created_at", F.lit(True).alias("known")), "number", "left")
-    j = j.withColumn("pr_id", F.when(F.col("known"), F.col("pr_id")).otherwise(F.raise_error(F.concat(F.lit("hunk of unknown change "), F.col("number").cast("string")))))
-    return j.select("pr_id", "repo_id", "file_path", "hunk_index", "content", "token_count", "was_truncated", "additions", "deletions", "embedding", "created_at")
+    return e.select("pr_id", "repo_id", "file_path", "hunk_index", "content", "token_count", "was_truncated", "additions", "deletions", "embedding", "created_at")

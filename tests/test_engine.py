@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -6,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestone import constants as C
-from lodestone import schemas
+from lodestone import catalog, schemas
 from lodestone.functions import text as T
 from lodestone.functions import vectors as V
 from lodestone.operators import bm25, checks, corpus, diffs, embedding, evaluation, overlap, ranking, rows, vector_signal
@@ -505,3 +506,32 @@ def test_only_refusals_are_tried_again():
         with pytest.raises(Refused):
             snapshot.with_retry(call, attempts=3, sleep=lambda s: None)
         assert len(made) == calls
+
+
+def test_chunks_are_joined_before_they_are_vectors_and_diffs_are_made_once(spark):
+    own = catalog.QUERIES["chunk_rows"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert own.count("FileScan") == 1 and "Join" not in own and "_measures(_vectors(" in own
+    d = spark.createDataFrame(samples.DIFFS, "number long, diff string")
+    c = d.selectExpr("number", "number + 100 AS pr_id", "1 AS repo_id", "timestamp_seconds(number) AS created_at")
+    joined, kept = rows.build_chunks(diffs.parse_hunks(d), c), rows.build_chunks(diffs.parse_hunks(d.join(c, "number"), keep=rows.CHANGE_OF_CHUNK))
+    plan = joined._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("EvalPython") < plan.index("Join")  # the upper one stands first
+    assert joined.columns == kept.columns and sorted(map(tuple, joined.collect())) == sorted(map(tuple, kept.collect()))
+
+
+def test_vectors_lines_and_case_beyond_ascii(spark):
+    texts = ["\u00c5 b", "\u00e5 B", "\u0130x", "\U00010d50 y", "\U00010d70 Y", "K \u212a", "\U0001f600 a_1", "", None]
+    t = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    e = embedding.embed(t, "text")
+    lowered = {r.k: r.w for r in t.select("k", F.transform(embedding.tokens(F.col("text")), F.lower).alias("w")).collect()}
+    for r in e.select("*", embedding.measures(F.col("embedding")).alias("m")).collect():
+        m = [0.0] * C.EMBEDDING_DIM
+        for w in lowered[r.k] or [""]:
+            h = hashlib.md5(w.encode()).hexdigest()
+            m[int(h[:8], 16) % C.EMBEDDING_DIM] += 1.0 if int(h[8], 16) % 2 == 0 else -1.0
+        n = sum(x * x for x in m) ** 0.5
+        assert r.embedding == pytest.approx([x / n for x in m], abs=1e-6) and r.token_count == len(lowered[r.k]) + 2
+        assert tuple(r.m) == pytest.approx((1, sum(m) / n, max(m) / n), abs=1e-6)
+    bodies = ["+a\n+b\r\n+c", "++\n+", "\U0001f600+\n\u2028+\x85+ +", "", "a+b\x1c+-\x0b-", "+", "\r+\r\n-"]
+    got = spark.createDataFrame([(b,) for b in bodies], "b string").select("b", diffs._counted(F.col("b"), "+").alias("p"), diffs._counted(F.col("b"), "-").alias("m")).collect()
+    assert [(r.p, r.m) for r in got] == [tuple(sum(x.startswith(s) for x in r.b.splitlines()) for s in "+-") for r in got]
